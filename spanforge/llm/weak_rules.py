@@ -1,10 +1,10 @@
 """Quality rules (4): rules vote or abstain, EM estimates their accuracies.
 
 Every document gets base measures and nine votes (1 good, -1 bad, 0 abstain). The model: a
-document is good with probability p; given its class, a rule votes or abstains with chances
-of its own (its accuracies on good and on bad documents), whatever the other rules say. Votes are summed up as patterns (at most 3 ** 9 rows
+document is good with probability p; given its class, a rule that does not abstain is right with an
+accuracy of its own for that class, whatever the other rules say. Votes are summed up as patterns (at most 3 ** 9 rows
 at any corpus size), expectation-maximisation runs on the pattern counts of the whole
-corpus, and a document's posterior is a sum of log odds, computed as an ordinary column.
+corpus (of those documents that pass the base rules), and a document's posterior is a sum of log odds, computed as an ordinary column.
 
 Edge cases: a null text counts as empty, has no words and fails the base rules; texts are
 measured whole; rows that repeat an id give a row each; an empty table gives an empty
@@ -69,7 +69,7 @@ def votes(raw: bytes, measured: tuple[int, int, int, int, int]) -> list[int]:
         less("dup_lines", n_dup_lines / len(lines)),
         less("repeats", n_repeat / n),
         less("capitals", capitals / max(letters, 1)),
-        1 if letters >= 0.75 * len(raw) else -1 if letters < 0.5 * len(raw) else 0,
+        1 if letters >= 0.65 * len(raw) else -1 if letters < 0.5 * len(raw) else 0,
         1 if ended >= 0.5 else -1 if ended < 0.1 and len(lines) > 3 else 0,
         less("marks", len(raw.translate(None, _NOT_MARKS)) / n),
     ]
@@ -95,31 +95,35 @@ def measures_and_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{c} long" for c in names), *(f"v_{r} long" for r in RULES)]))
 
 
-#: Start of EM and, with PRIOR_ROWS documents' weight, its prior: chances of a vote (-1, 0, 1).
-GOOD_VOTES, BAD_VOTES, PRIOR_ROWS = (0.03, 0.12, 0.85), (0.35, 0.25, 0.40), 20.0
+#: Start of EM and, with PRIOR_ROWS documents' weight, its prior: how often a vote that a rule
+#: casts on a document of the class calls it bad.
+GOOD_CALLED_BAD, BAD_CALLED_BAD, PRIOR_ROWS = 0.02, 0.3, 4.0
+#: A rule that calls more than this share of the good documents bad would not have been written.
+MOST_FALSE_ALARMS = 0.015
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """EM on (pattern, count): the share of good documents, and chances[class, rule, vote + 1].
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray]:
+    """EM on (pattern, count): the share of good documents, and calls[class, rule], the chance
+    that a cast vote is -1 on a bad (class 0) or a good (class 1) document.
 
-    A rule has an accuracy for each class, class 1 being good. A bad vote never speaks for
-    good, nor a good vote for bad: the chances are kept in that order."""
-    n_rules = patterns.shape[1]
-    prior = np.array([[BAD_VOTES] * n_rules, [GOOD_VOTES] * n_rules], float)
-    share, chances = 0.8, prior.copy()
-    cast = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)
+    These are the rules' accuracies: 1 - calls[1] on good documents and calls[0] on bad ones.
+    Abstaining says nothing. A bad vote never speaks for good: calls[0] >= calls[1]."""
+    bad, cast = (patterns == -1).astype(float), (patterns != 0).astype(float)
+    prior = np.array([[BAD_CALLED_BAD], [GOOD_CALLED_BAD]])
+    share, calls = 0.8, np.repeat(prior, patterns.shape[1], axis=1)
     for _ in range(rounds):
-        odds = np.log(share / (1 - share)) + (cast * np.log(chances[1] / chances[0])).sum((1, 2))
+        odds = np.log(share / (1 - share)) + bad @ np.log(calls[1] / calls[0]) + (cast - bad) @ np.log((1 - calls[1]) / (1 - calls[0]))
         post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        new = np.stack([np.tensordot(counts * (1 - post), cast, 1), np.tensordot(counts * post, cast, 1)]) + PRIOR_ROWS * prior
-        new /= new.sum(-1, keepdims=True)
-        new[0, :, 0], new[1, :, 2] = np.maximum(new[0, :, 0], new[1, :, 0]), np.maximum(new[1, :, 2], new[0, :, 2])
+        weight = np.stack([counts * (1 - post), counts * post])
+        new = (weight @ bad + PRIOR_ROWS * prior) / (weight @ cast + PRIOR_ROWS)
+        new[1] = np.minimum(new[1], MOST_FALSE_ALARMS)
+        new[0] = np.maximum(new[0], new[1])
         new_share = float(np.clip((counts * post).sum() / counts.sum(), 0.05, 0.99)) if counts.sum() else share
-        moved = abs(new - chances).max() + abs(new_share - share)
-        share, chances = new_share, new
+        moved = abs(new - calls).max() + abs(new_share - share)
+        share, calls = new_share, new
         if moved < 1e-10:
             break
-    return share, chances
+    return share, calls
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -127,12 +131,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     rows = materialize(measures_and_votes(docs, id_col, text_col), "votes")
     cols = [f"v_{r}" for r in RULES]
     # at most 3 ** 9 patterns, whatever the corpus
-    found = [tuple(r) for r in rows.groupBy(*cols).agg(F.count("*").alias("n")).collect()]
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rows = rows.withColumn("base_failed", failed)
+    found = [tuple(r) for r in rows.where("not base_failed").groupBy(*cols).agg(F.count("*").alias("n")).collect()]
     patterns = np.array([r[:-1] for r in found], float).reshape(-1, len(cols))
-    share, chances = estimate(patterns, np.array([r[-1] for r in found], float))
+    share, calls = estimate(patterns, np.array([r[-1] for r in found], float))
     odds = F.lit(float(np.log(share / (1 - share))))
-    for c, (bad, none, good) in zip(cols, np.log(chances[1] / chances[0])):
-        odds = odds + F.when(F.col(c) < 0, float(bad)).when(F.col(c) > 0, float(good)).otherwise(float(none))
+    for c, bad, good in zip(cols, np.log(calls[1] / calls[0]), np.log((1 - calls[1]) / (1 - calls[0]))):
+        odds = odds + F.when(F.col(c) < 0, float(bad)).when(F.col(c) > 0, float(good)).otherwise(0.0)
     rows = rows.withColumn("posterior", 1 / (1 + F.exp(-odds)))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("good", F.col("posterior") >= threshold)
+    return rows.withColumn("good", F.col("posterior") >= threshold)
