@@ -95,16 +95,17 @@ def _numbers(digests: pd.Series) -> np.ndarray:
 
 # ---- the operator -------------------------------------------------------------------------
 def digests(docs: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
-    """(id, sha) of every row's text, A-Z in lower case, as UTF-8; with_text adds those bytes."""
+    """(id, row_key, sha) of every row's text, A-Z in lower case, as UTF-8; with_text adds
+    those bytes. row_key, a hash of the unchanged text, tells rows of one id apart."""
 
     def run(batches):
         for b in batches:
-            norm = [(t or b"").translate(LOWER_AZ) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            cols = [b.column(0), pa.array([hashlib.sha256(t).hexdigest() for t in norm], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(norm, pa.binary())] if with_text else []), names=["id", "sha", "bytes"][: 2 + with_text])
+            norm = [(t or b"").translate(LOWER_AZ) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            cols = [b.column(0), b.column(1), pa.array([hashlib.sha256(t).hexdigest() for t in norm], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(norm, pa.binary())] if with_text else []), names=["id", "row_key", "sha", "bytes"][: 3 + with_text])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, sha string" + ", bytes binary" * with_text)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, "id long, row_key long, sha string" + ", bytes binary" * with_text)
 
 
 def build_snapshot(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +137,7 @@ def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, in_snapshot: str, id_col: str = "doc_id", text_col: str = "text", key_chars: int = 64) -> DataFrame:
-    """(id, keep_id, group_size, kept, sha) for every row of ``docs``.
+    """(id, keep_id, group_size, kept, sha, row_key) for every row of ``docs``.
 
     ``in_snapshot`` is a SQL condition on ``id``: rows that meet it form the immutable
     snapshot, all others the new batch. key_chars: hex digits of the digest that make the
@@ -163,14 +164,14 @@ def exact_dedup(docs: DataFrame, in_snapshot: str, id_col: str = "doc_id", text_
     plain = rows.join(groups, "key", "left")
     if bad is not None:
         plain = rows.join(bad.select("key"), "key", "left_anti").join(groups, "key", "left")
-    out = plain.select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "again", "sha")
+    out = plain.select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "again", "sha", "row_key")
     if bad is not None:
         # the bucket held different texts: the full digest and the bytes decide
         texts = digests(docs, id_col, text_col, with_text=True).withColumn("key", F.substring("sha", 1, key_chars)).join(bad.select("key"), "key", "left_semi")
         same = texts.groupBy("bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         split = texts.join(same, "bytes").withColumn("again", F.row_number().over(w) > 1)
-        out = out.union(split.select("id", "keep_id", "group_size", "again", "sha"))
-    return out.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("again")).alias("kept"), "sha")
+        out = out.union(split.select("id", "keep_id", "group_size", "again", "sha", "row_key"))
+    return out.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("again")).alias("kept"), "sha", "row_key")
 
 
 def _collided(docs, id_col, text_col, groups, key_chars):

@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, weak_rules
-from .common import table
+from . import exact_dedup, html_extract, mixing, packing, pii, quality_lm, simhash, suffix_dedup, url_filter, weak_rules
+from .common import md5_number, table
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace_pii(table(spark, sf_dir, "documents"), key="surrogate-key-1")
+    return out.select(F.col("id").alias("doc_id"), "text", "n_entities", "kinds")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that ``labels`` call good are the trusted text."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    out = quality_lm.classify(table(spark, sf_dir, "documents"), trusted)
+    return out.select(F.col("id").alias("doc_id"), "lang", "perplexity", "threshold", "kept")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +30,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SQL3 = f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {AZ})) AS text_sha256 FROM documents)
@@ -42,6 +59,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -78,5 +99,62 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_quality_rules, op5_best_fit_packing, op8_simhash, op10_mixing)}
-ORACLE_SQL = {"op3_exact_dedup": SQL3, "op10_mixing": SQL10}
+def _list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries over the hosts of ``pages``: put on, taken off and put on again by hash."""
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("h")).where("h is not null").distinct().withColumn("x", md5_number(F.concat("h", F.lit(":list"))))
+
+    def entry(where: str, kind: str, pattern: str, action: str, at: str, name: str) -> DataFrame:
+        return hosts.where(where).selectExpr(f"{name} AS list", f"{kind} AS kind", f"{pattern} AS pattern", f"'{action}' AS action", f"cast({at} AS int) AS at")
+
+    name = "elt(cast(x % 3 AS int) + 1, 'adult', 'malware', 'spam')"
+    kind = "CASE WHEN (x div 3) % 2 = 0 THEN 'host' ELSE 'domain' END"
+    return (
+        entry("x % 4 < 2", kind, "h", "add", "x % 200", name)
+        .union(entry("x % 8 < 2", kind, "h", "remove", "x % 200 + 20 + (x div 8) % 100", name))
+        .union(entry("x % 16 = 0", kind, "h", "add", "x % 200 + 180", name))
+        .union(entry("x % 8 = 3", "'prefix'", "concat(h, '/en')", "add", "100", "'locale'"))
+        .union(entry("h LIKE '%cheap-pills%' OR h LIKE '%spam-farm%'", "'domain'", "h", "add", "30", "'spam'"))
+    )
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are ``pages`` with a fetch day by hash of the page id."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", (md5_number(F.concat(F.col("page_id"), F.lit(":day"))) % 365).cast("int").alias("day"))
+    out = url_filter.evaluate(captures, _list_entries(pages), "page_id", "url", "day")
+    return out.select(F.col("id").alias("page_id"), "url", "host", F.col("fetched_at").alias("day"), "blocked", "n_active", "lists", "since")
+
+
+SQL9 = """
+WITH c AS (
+  SELECT page_id, url, nullif(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host,
+         regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\\-]*://[^/?#]*(/[^?#]*)', 1) AS path,
+         CAST(CAST('0x' || substr(md5(concat(page_id, ':day')), 1, 12) AS BIGINT) % 365 AS INTEGER) AS day
+  FROM pages),
+h AS (SELECT host AS h, CAST('0x' || substr(md5(concat(host, ':list')), 1, 12) AS BIGINT) AS x FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL) q),
+named AS (SELECT *, CASE x % 3 WHEN 0 THEN 'adult' WHEN 1 THEN 'malware' ELSE 'spam' END AS name,
+                 CASE WHEN (x // 3) % 2 = 0 THEN 'host' ELSE 'domain' END AS kd FROM h),
+e AS (
+  SELECT name AS list, kd AS kind, h AS pattern, 0 AS off, x % 200 AS day0 FROM named WHERE x % 4 < 2
+  UNION SELECT name, kd, h, 1, x % 200 + 20 + (x // 8) % 100 FROM named WHERE x % 8 < 2
+  UNION SELECT name, kd, h, 0, x % 200 + 180 FROM named WHERE x % 16 = 0
+  UNION SELECT 'locale', 'prefix', h || '/en', 0, 100 FROM named WHERE x % 8 = 3
+  UNION SELECT 'spam', 'domain', h, 0, 30 FROM named WHERE h LIKE '%cheap-pills%' OR h LIKE '%spam-farm%'),
+g AS (SELECT list, kind, pattern, day0, max(off) AS off FROM e GROUP BY list, kind, pattern, day0),
+iv AS (SELECT *, lead(day0) OVER (PARTITION BY list, kind, pattern ORDER BY day0) AS until FROM g),
+hit AS (
+  SELECT c.page_id, iv.list, iv.kind, iv.pattern, iv.day0 FROM c JOIN iv
+    ON iv.off = 0 AND c.day >= iv.day0 AND (iv.until IS NULL OR c.day < iv.until)
+   AND ((iv.kind = 'host' AND iv.pattern = c.host)
+     OR (iv.kind = 'domain' AND (iv.pattern = c.host OR c.host LIKE '%.' || iv.pattern))
+     OR (iv.kind = 'prefix' AND (c.host || c.path = iv.pattern OR c.host || c.path LIKE iv.pattern || '/%')))),
+f AS (SELECT page_id, count(DISTINCT list || ' ' || kind || ' ' || pattern) AS n_active,
+             string_agg(DISTINCT list, ',' ORDER BY list) AS lists, CAST(max(day0) AS INTEGER) AS since
+      FROM hit GROUP BY page_id)
+SELECT c.page_id, c.url, c.host, c.day, f.page_id IS NOT NULL AS blocked, coalesce(f.n_active, 0) AS n_active,
+       coalesce(f.lists, '') AS lists, f.since
+FROM c LEFT JOIN f ON c.page_id = f.page_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_quality_classifier, op3_exact_dedup, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_suffix_dedup, op8_simhash, op9_url_filter, op10_mixing)}
+ORACLE_SQL = {"op3_exact_dedup": SQL3, "op9_url_filter": SQL9, "op10_mixing": SQL10}

@@ -53,15 +53,15 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) with the fingerprint as a signed long."""
+    """(id, row_key, fp): a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            fp = np.array([fingerprint(t or b"", shingle) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["id", "row_key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, "id long, row_key long, fp long")
 
 
 # ---- BK-tree ------------------------------------------------------------------------------
@@ -201,7 +201,7 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, most: int = SHARD_ROWS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, most: int = SHARD_ROWS) -> DataFrame:
-    """(id, fp, component_id) for every row; component_id is the smallest id reachable."""
+    """(id, row_key, fp, component_id) for every row; component_id is the smallest id reachable."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     parts = connected_components(links(distinct, radius, most))
@@ -209,4 +209,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = materialize(named, "members")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     label = materialize(named.join(least, "component").select(F.col("fp").alias("f"), "component_id"), "labels")
-    return rows.join(label, F.col("fp") == F.col("f")).select("id", "fp", "component_id")
+    return rows.join(label, F.col("fp") == F.col("f")).select("id", "row_key", "fp", "component_id")
