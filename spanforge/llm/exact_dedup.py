@@ -180,7 +180,7 @@ def _collided(docs, id_col, text_col, groups, key_chars):
     The rows of groups come by a join that AQE may split; two salted steps of minimum and
     maximum, combined before each shuffle, then compare a whole bucket's bytes."""
     texts = digests(docs, id_col, text_col, with_text=True).withColumn("key", F.substring("sha", 1, key_chars))
-    texts = texts.join(groups.select("key"), "key", "left_semi").withColumn("salt", F.pmod(F.hash("id"), F.lit(64)))
+    texts = texts.join(groups.select("key").hint("merge"), "key", "left_semi").withColumn("salt", F.pmod(F.hash("id"), F.lit(64)))
     part = texts.select("key", "salt", "bytes").repartition("key", "salt").groupBy("key", "salt").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
     bad = part.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
     bad = materialize(bad, "collided")
