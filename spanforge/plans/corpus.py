@@ -44,7 +44,7 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), x -> x <> '')) AS w FROM conversations),
+@query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM conversations),
 j AS (SELECT a.conv_id, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn),
 r AS (SELECT conv_id, i / CAST(greatest(na + nb - i, 1) AS DOUBLE) AS j FROM j)
 SELECT conv_id, max(j) AS largest, max(j) < 0.8 AS diverse FROM r GROUP BY conv_id""", prelude=False)
@@ -263,8 +263,8 @@ GRAPH = """, ids AS (SELECT DISTINCT norm AS key, CAST('0x' || substr(md5(norm),
 mp AS (SELECT key, substr(key, 1, 1) AS value FROM ids WHERE x > 0 UNION SELECT key, 'initial-access' FROM ids WHERE x = 1)"""
 
 
-@query(GRAPH + """, ex AS (SELECT DISTINCT g.doc_id, t.norm FROM gold_rel g JOIN gold t ON t.doc_id = g.doc_id AND t.id = g.tail WHERE g.type = 'exploited_by'),
-r AS (SELECT g.doc_id, g.norm, g.id, mp.value, CASE WHEN ex.norm IS NOT NULL AND mp.value = 'initial-access' THEN 'exploitation' WHEN mp.value < 'M' THEN 'first' ELSE 'second' END AS phase FROM gold g JOIN mp ON mp.key = g.norm LEFT JOIN ex ON ex.doc_id = g.doc_id AND ex.norm = g.norm),
+@query(GRAPH + """, xt AS (SELECT DISTINCT g.doc_id, t.norm FROM gold_rel g JOIN gold t ON t.doc_id = g.doc_id AND t.id = g.tail WHERE g.type = 'exploited_by'),
+r AS (SELECT g.doc_id, g.norm, g.id, mp.value, CASE WHEN xt.norm IS NOT NULL AND mp.value = 'initial-access' THEN 'exploitation' WHEN mp.value < 'M' THEN 'first' ELSE 'second' END AS phase FROM gold g JOIN mp ON mp.key = g.norm LEFT JOIN xt ON xt.doc_id = g.doc_id AND xt.norm = g.norm),
 u AS (SELECT doc_id, 'implies' AS relation, norm AS head, value AS tail, id FROM r UNION ALL SELECT doc_id, 'belongs_to_phase', value, phase, id FROM r)
 SELECT doc_id, relation, head, tail, count(*) AS support, string_agg(DISTINCT id, ',' ORDER BY id) AS provenance FROM u GROUP BY doc_id, relation, head, tail""")
 def complete_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ class Annotations:
         nxt = {c: F.lead(c).over(w) for c in ("start", "end", "type", "id")}
         rows = m.select("doc_id", "start", "end", F.col("type").alias("head_type"), F.col("id").alias("head"), nxt["start"].alias("ts"), nxt["end"].alias("te"), nxt["type"].alias("tt"), nxt["id"].alias("tail"))
         rows = rows.where("head_type = 'Vulnerability' and tt <> 'Vulnerability' and ts - end <= 300")
-        kind = F.when(F.col("tt") == "Configuration", "affects").when(F.col("tt") == "Weakness", "has_weakness").otherwise("exploited_by")
+        kind = F.when(F.col("tt") == "Configuration", "affects").when(F.col("tt") == "Weakness", "instantiates").otherwise("exploited_by")
         return rows.select("doc_id", F.concat(F.lit("R"), F.col("start").cast("string")).alias("id"), kind.alias("type"), "head", "tail", F.col("start").alias("ev_start"), F.col("te").alias("ev_end"))
 
 
@@ -61,7 +61,7 @@ def _pred_sql(name: str, hit: int, most: int, cut: int, extra: int, only: int) -
 
 
 def _rel_sql(name: str, source: str) -> str:
-    return f"""{name} AS (SELECT doc_id, 'R' || s AS id, CASE tt WHEN 'Configuration' THEN 'affects' WHEN 'Weakness' THEN 'has_weakness' ELSE 'exploited_by' END AS type,
+    return f"""{name} AS (SELECT doc_id, 'R' || s AS id, CASE tt WHEN 'Configuration' THEN 'affects' WHEN 'Weakness' THEN 'instantiates' ELSE 'exploited_by' END AS type,
     id AS head, tail, s AS ev_start, te AS ev_end
   FROM (SELECT *, lead(s) OVER w AS ts, lead(e) OVER w AS te, lead(type) OVER w AS tt, lead(id) OVER w AS tail FROM {source} WINDOW w AS (PARTITION BY doc_id ORDER BY s)) q
   WHERE type = 'Vulnerability' AND tt <> 'Vulnerability' AND ts - e <= 300)"""

@@ -119,7 +119,7 @@ SELECT m.n AS n_mentions, m.ok AS ok_mentions, r.n AS n_relations, r.ok AS ok_re
 def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement with a smaller ontology of three types and two signatures."""
     a = Annotations(spark, sf_dir)
-    return metrics.consistency(a.pred, a.pred_rel, dim_entity_type(spark).where(F.col("type").isin(ENTITY_TYPES[:3])), dim_relation(spark).where("type in ('affects', 'has_weakness')"), [])
+    return metrics.consistency(a.pred, a.pred_rel, dim_entity_type(spark).where(F.col("type").isin(ENTITY_TYPES[:3])), dim_relation(spark).where("type in ('affects', 'instantiates')"), [])
 
 
 @query(""", g AS (SELECT doc_id, s, e, type, norm FROM gold WHERE norm IS NOT NULL), p AS (SELECT doc_id, s, e, type, coalesce(norm, '~') AS pn FROM pred),
@@ -153,7 +153,7 @@ def ambiguity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.reason_counts(metrics.evidence_reasons(a.pred_rel, a.pred, a.docs))
 
 
-@query(f""", {_ends_sql("pe", "pred_rel", "pred")}, m AS (SELECT count(*) AS n FROM pred), r AS (SELECT count(*) AS n, count(*) FILTER (WHERE type IN ('affects', 'has_weakness', 'exploited_by')) AS ok FROM pe)
+@query(f""", {_ends_sql("pe", "pred_rel", "pred")}, m AS (SELECT count(*) AS n FROM pred), r AS (SELECT count(*) AS n, count(*) FILTER (WHERE type IN ('affects', 'instantiates', 'exploited_by')) AS ok FROM pe)
 SELECT m.n AS n_mentions, m.n AS valid_mentions, r.n AS n_relations, r.ok AS valid_relations, r.n AS verifiable_evidence FROM m, r""")
 def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validity of raw predictions."""

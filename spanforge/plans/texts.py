@@ -53,7 +53,7 @@ def fill_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentence_sql(pattern: str) -> str:
-    return f"""WITH p AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '[^{pattern}]*[{pattern}]|[^{pattern}]+$'), x -> len(x) > 0) AS parts FROM documents)
+    return f"""WITH p AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '[^{pattern}]*[{pattern}]|[^{pattern}]+$'), lambda x: len(x) > 0) AS parts FROM documents)
 SELECT doc_id, CAST(len(parts) AS BIGINT) AS n, CAST(len(text) AS BIGINT) AS covered FROM p WHERE len(text) > 0"""
 
 

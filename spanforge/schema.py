@@ -14,13 +14,13 @@ DOCUMENT = T.StructType([
 ])
 
 # The closed vocabularies of mention types, and of relations with their ends.
-ENTITY_TYPES = ["Vulnerability", "Configuration", "Weakness", "AttackTechnique", "Tactic", "Phase"]
+ENTITY_TYPES = ["Vulnerability", "Configuration", "Weakness", "AttackTechnique", "AttackTactic", "KillChainPhase"]
 RELATION_SIGNATURES = [
     ("affects", "Vulnerability", "Configuration", "text"),
-    ("has_weakness", "Vulnerability", "Weakness", "text"),
+    ("instantiates", "Vulnerability", "Weakness", "text"),
     ("exploited_by", "Vulnerability", "AttackTechnique", "text"),
-    ("implies", "AttackTechnique", "Tactic", "mapping"),
-    ("belongs_to_phase", "Tactic", "Phase", "mapping"),
+    ("implies", "AttackTechnique", "AttackTactic", "mapping"),
+    ("belongs_to_phase", "AttackTactic", "KillChainPhase", "mapping"),
 ]
 
 
