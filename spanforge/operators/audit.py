@@ -119,17 +119,21 @@ def postprocess(mentions: DataFrame, relations: DataFrame, docs: DataFrame, sent
     r = r.join(F.broadcast(signatures.select("type", "head_type", "tail_type").withColumn("fits", F.lit(True))), ["type", "head_type", "tail_type"], "left").join(docs.select("doc_id", "text"), "doc_id", "left")
     ev = F.substr("text", (F.col("ev_start") + 1).cast("int"), (F.col("ev_end") - F.col("ev_start")).cast("int"))
     covers = (F.col("ev_start") <= F.least("head_start", "tail_start")) & (F.col("ev_end") >= F.greatest("head_end", "tail_end"))
-    again = F.row_number().over(Window.partitionBy("doc_id", "type", "head", "tail").orderBy(F.col("ev_end") - F.col("ev_start"), "id")) > 1
     checks = [
         (3, "missing_end", F.col("head_start").isNull() | F.col("tail_start").isNull() | (F.col("head") == F.col("tail"))), (4, "illegal_signature", F.col("fits").isNull()),
         (5, "evidence_misses_end", ~F.coalesce(covers, F.lit(False))), (6, "cross_sentence", (F.col("type") == "affects") & (F.col("head_k") != F.col("tail_k"))),
-        (7, "no_trigger", (F.col("type") == "exploited_by") & ~ev.rlike(trigger)), (7, "after_exploitation", (F.col("type") == "exploited_by") & ev.rlike(POST_EXPLOIT)), (8, "duplicate_relation", again),
+        (7, "no_trigger", (F.col("type") == "exploited_by") & ~ev.rlike(trigger)), (7, "after_exploitation", (F.col("type") == "exploited_by") & ev.rlike(POST_EXPLOIT)),
     ]
     reason = stage = None
     for n, name, cond in checks:
         reason = F.when(cond, name) if reason is None else reason.when(cond, name)
         stage = F.when(cond, n) if stage is None else stage.when(cond, n)
-    return m, r.withColumn("reason", reason).withColumn("stage", stage).select(*relations.columns, "reason", "stage")
+    r = r.withColumn("reason", reason).withColumn("stage", stage)
+    # of repeats among what is left the one with the shortest evidence stays
+    again = F.row_number().over(Window.partitionBy("doc_id", "type", "head", "tail").orderBy(F.col("reason").isNotNull(), F.col("ev_end") - F.col("ev_start"), "id")) > 1
+    repeat = F.col("reason").isNull() & again
+    r = r.withColumn("_again", repeat).withColumn("stage", F.when(F.col("_again"), 8).otherwise(F.col("stage"))).withColumn("reason", F.when(F.col("_again"), "duplicate_relation").otherwise(F.col("reason")))
+    return m, r.select(*relations.columns, "reason", "stage")
 
 
 def ablation(tagged: DataFrame, stages: int = 8) -> DataFrame:
