@@ -15,9 +15,10 @@ PAIRINGS = [("Vulnerability", "Configuration", "affects", None), ("Vulnerability
 
 
 def in_sentence(mentions: DataFrame, sents: DataFrame) -> DataFrame:
-    """Mentions with the sentence (k, s0, s1) in which they start."""
-    s = sents.select("doc_id", "k", F.col("start").alias("s0"), F.col("end").alias("s1"))
-    return mentions.join(s, "doc_id").where("start >= s0 and start < s1")
+    """Mentions with the sentence (k, s0, s1) in which they start. Sentences partition a text,
+    so it is the last one that begins at or before the mention: an as-of pass, no range join."""
+    marks = sents.select("doc_id", "start", F.struct("k", F.col("start").alias("s0"), F.col("end").alias("s1")).alias("_sent"))
+    return last_before(mentions, marks, "_sent").where("_sent is not null").select(*mentions.columns, "_sent.k", "_sent.s0", "_sent.s1")
 
 
 def last_before(rows: DataFrame, marks: DataFrame, value: str) -> DataFrame:

@@ -14,13 +14,16 @@ SENTENCE_ENDS = {"dot": r"[.\n。]", "mark": r"[.\n。!?！？]", "spaced": r"[.
 
 
 def scan(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """(doc_id, i, start, end, surface) of every match; the pattern has no groups of its own."""
-    both = rf"([\s\S]*?)({pattern})"
+    """(doc_id, i, start, end, surface) of every match; the pattern has no groups of its own.
+
+    The end of the text is an alternative, else a text's rest without a match would be tried
+    from each of its positions."""
+    both = rf"([\s\S]*?)({pattern}|\z)"
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(both), F.lit(1)).alias("p"), F.regexp_extract_all(text, F.lit(both), F.lit(2)).alias("w"))
     rows = docs.select("doc_id", F.posexplode(pairs).alias("i", "z")).select("doc_id", "i", F.col("z.p").alias("p"), F.col("z.w").alias("surface"))
     upto = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.char_length("p") + F.char_length("surface")).over(upto))
-    return rows.select("doc_id", "i", (F.col("end") - F.char_length("surface")).alias("start"), "end", "surface")
+    return rows.where("surface <> ''").select("doc_id", "i", (F.col("end") - F.char_length("surface")).alias("start"), "end", "surface")
 
 
 def scan_types(docs: DataFrame, patterns: dict[str, str], norm=None, text: str = "text") -> DataFrame:
