@@ -262,7 +262,7 @@ def test_packing(docs, empty):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("abAB.,'s!1 \n\t\x1c éÉİßσΣ́<|>") + ["<|endoftext|>", "don't", "中"]), max_size=30))
+@given(st.lists(st.sampled_from(list("abAB.,'s!1 \n\t\x1c éÉİßσΣ\u0301<|>中") + ["<|endoftext|>", "don't"]), max_size=30).map("".join))
 def test_word_tokens_equal_whole_text(t):
     tok = _tokenizer()
     assert np.frombuffer(packing.token_ids(packing.WordTokens(tok), t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
