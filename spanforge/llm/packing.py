@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CAPACITY = 2048
-ROWS_PER_BLOCK = 8192
+LEAST_BLOCK = 512
 #: Bound on what a worker remembers of words it has tokenised; beyond it the memory starts anew.
 KEPT_WORDS = 300_000
 
@@ -173,7 +173,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``parts`` (id, piece, start, length, crc) with sequence_id and offset."""
     parts = materialize(parts, "pieces")
     n = parts.count()
-    parts = parts.withColumn("block", F.pmod(F.hash("id", "piece"), F.lit(max(1, n // ROWS_PER_BLOCK))))
+    parts = parts.withColumn("block", F.pmod(F.hash("id", "piece"), F.lit(max(1, n // max(LEAST_BLOCK, int(n**0.5))))))
     counts = parts.groupBy("length", "block").agg(F.count("*").alias("n"))
     # at most ``capacity`` rows, whatever the corpus
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
