@@ -55,7 +55,7 @@ def test_pii(spark):
     rows = [
         (1, "mail ann.lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, call +1 (017) 555-7713."), (2, "call +1-017-555-7713 or ann.lee@mail.example.com"),
         (3, None), (4, ""), (5, "nothing here, 4.0. and 12"), (6, "card 4068516892505468 ip 132.201.103.247 and 8.8.8.8."), (7, 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"'),
-        (8, "Mrs Anna Petrova met Mr Petrova and Госпожа Иванова"), (5, "nothing here, 4.0. and 12"),
+        (8, "Mrs Anna Petrova met Mr Petrova and Госпожа Иванова"), (5, "nothing here, 4.0. and 12"), (9, "x" * 400_000 + " a@b.example.com"),
     ]
     out = pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
     got = {r["id"]: r["text"] for r in out}
@@ -65,6 +65,7 @@ def test_pii(spark):
     assert len({m.lower() for m in mails}) == 1 and mails[1].isupper() and mails[0] != "ann.lee@mail.example.com"
     assert re.sub(r"\D", "", re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1])[0]) == re.sub(r"\D", "", re.search(r"\+1-\d{3}-\d{3}-\d{4}", got[2])[0]) != "10175557713"
     assert re.fullmatch(r"card 4\d{15} ip (\d+\.){3}\d+ and (\d+\.){3}\d+\.", got[6]) and "4068516892505468" not in got[6] and "8.8.8.8" not in got[6]
+    assert got[9].startswith("x" * 400_000 + " ") and "a@b" not in got[9]
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[7]) and "f3ef4d" not in got[7]
     m = re.fullmatch(r"Mrs (\w+) (\w+) met Mr (\w+) and Госпожа ([А-Яа-я]+)", got[8])
     assert m and m[2] == m[3] and m[1] in pii.GIVEN["latin", "f"] and "Petrova" not in got[8] and "Иванова" not in got[8]
