@@ -29,7 +29,7 @@ from .common import materialize
 CAPACITY = 2048
 LEAST_BLOCK = 512
 #: Bound on what a worker remembers of words it has tokenised; beyond it the memory starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 class CapacityTree:
@@ -108,19 +108,32 @@ class WordTokens(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.encode, self.parts = lambda w: array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes(), {}
+        self.encode = lambda w: array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        # two generations each: what is still in use when one is full moves on to the next
+        self.older, self.parts, self.older_parts = {}, {}, {}
 
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
+            found = self.older_parts.get(text) or self.encode(text)
             if len(self.parts) > 2 * KEPT_WORDS:
-                self.parts.clear()
-            found = self.encode(text)
+                self.older_parts, self.parts = self.parts, {}
             if len(text) < 64:
                 self.parts[text] = found
         return found
 
     def __missing__(self, raw: bytes) -> bytes:
+        ids = self.older.get(raw)
+        if ids is None:
+            ids = self.tokenize(raw)
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+        if len(raw) < 64:
+            self[raw] = ids
+        return ids
+
+    def tokenize(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
         core = word.rstrip(self.MARKS)
         if core.isascii():
@@ -131,13 +144,21 @@ class WordTokens(dict):
             ids = self.part(core) + (self.part(tail) if tail else b"")
         else:
             ids = self.part(word)
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        if len(word) < 64:
-            self[raw] = ids
         return ids
 
 
+_WORDS: dict[str, WordTokens] = {}
+
+
+def _words(path: str) -> WordTokens:
+    """One tokenizer and word memory a worker process, whatever the number of its tasks."""
+    if path not in _WORDS:
+        from tokenizers import Tokenizer
+
+        _WORDS[path] = WordTokens(Tokenizer.from_file(path))
+    return _WORDS[path]
+
+
 def token_ids(words: WordTokens, raw: bytes) -> bytes:
     """Ids of a UTF-8 text; split() cuts at the six ASCII blanks only, all of which are blanks to the tokenizer."""
     return b"".join(map(words.__getitem__, raw.split()))
@@ -148,9 +169,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        words = WordTokens(Tokenizer.from_file(tokenizer_path))
+        words = _words(tokenizer_path)
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, raw in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
