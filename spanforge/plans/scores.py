@@ -200,7 +200,7 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(""", fp AS (SELECT p.type, p.surface, count(*) AS n FROM pred p LEFT JOIN gold g ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.type = p.type WHERE g.s IS NULL GROUP BY p.type, p.surface),
-k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, surface) AS rank FROM fp) SELECT type, surface, n, rank FROM k WHERE rank <= 20""")
+k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, surface) AS rank FROM fp) SELECT type, surface, n, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 20""")
 def frequent_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top false positives a type (a top-k report)."""
     a = Annotations(spark, sf_dir)
