@@ -14,18 +14,18 @@ import numpy as np
 def suffix_array(text) -> list[int]:
     """Start positions of the suffixes of a sequence of non-negative integers, in order."""
     n = len(text) + 1
-    symbols = [0, *(int(c) + 1 for c in text)]  # position 0 holds the bottom of all pointers
-    symbols.append(0)  # the sentinel, position n, is smaller than anything
-    # suffixes 1..n; group[i] is the number of the first place of i's group in ``order``
-    order = sorted(range(1, n + 1), key=symbols.__getitem__)
-    place, group = [0] * (n + 1), [0] * (n + 1)
-    size: dict[int, int] = {}
-    at = 0
-    for k, i in enumerate(order):
-        if k and symbols[order[k - 1]] != symbols[i]:
-            at = k
-        group[i], place[i] = at, k
-        size[at] = size.get(at, 0) + 1
+    # suffixes are numbered from 1; n is the sentinel's, which is smaller than any other, and 0
+    # the bottom of all pointers. group[i]: the first place of i's group in ``order``
+    symbols = np.zeros(n, np.int64)
+    symbols[:-1] = (np.frombuffer(text, np.uint8) if isinstance(text, bytes) else np.asarray(text, np.int64)) + np.int64(1)
+    by_symbol = np.argsort(symbols, kind="stable")
+    new = np.flatnonzero(np.diff(symbols[by_symbol], prepend=-1))
+    lengths = np.diff(np.append(new, n))
+    order = (by_symbol + 1).tolist()
+    places, firsts = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    places[by_symbol + 1], firsts[by_symbol + 1] = np.arange(n), np.repeat(new, lengths)
+    place, group = places.tolist(), firsts.tolist()
+    size = dict(zip(new.tolist(), lengths.tolist()))
     group[0] = -1
     prev = [0] * (n + 1)
     resolved = [False] * (n + 1)
@@ -87,21 +87,3 @@ def suffix_array(text) -> list[int]:
             j = prev[j]
     return [i - 1 for i in out[1:]]
 
-
-def lcp_array(text, sa: list[int]) -> np.ndarray:
-    """lcp[k]: common prefix length of the suffixes sa[k - 1] and sa[k] (lcp[0] = 0)."""
-    n = len(sa)
-    rank = [0] * n
-    for k, i in enumerate(sa):
-        rank[i] = k
-    out, h = [0] * n, 0
-    for i in range(n):
-        if rank[i]:
-            j = sa[rank[i] - 1]
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            out[rank[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    return np.array(out, np.int64)

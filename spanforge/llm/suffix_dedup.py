@@ -41,7 +41,7 @@ from .suffix_array import suffix_array
 
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1  # gram starts inside a window: one of them is its anchor
-MOST_CONTEXTS = 1000
+MOST_CONTEXTS = 12
 _CHUNK, _PIECE, _HELD = 1 << 18, 1 << 22, 2_000_000
 _POS_BITS = 44  # p: 16 bits that tell rows of one id apart, then the position
 _POS = (1 << _POS_BITS) - 1
@@ -341,7 +341,7 @@ def covered_windows(contexts: list[bytes], names: list[tuple[int, int]], counts:
         if len(members) > 1:  # a window with its gram in two places comes twice under one name
             out.extend(sorted(set(members))[1:])
 
-    for s in suffix_array(numbers.tolist()):
+    for s in suffix_array(numbers):
         name = where.get(s)
         if name is None:
             continue
