@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import exact_dedup, mixing, packing, quality_lm, simhash
+from spanforge.llm import exact_dedup, mixing, near_sets, packing, quality_lm
 from spanforge.llm.common import materialize, table
 
 
@@ -43,8 +43,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    out = simhash.near_duplicates(docs)
+    """Of each group of texts linked by a Jaccard ratio of 0.8 (words by five) the document with the smallest id stays."""
+    out = near_sets.near_duplicates(docs)
     return _without(docs, materialize(out.where("not (id <=> component_id)").select("id", "row_key"), "near"))
 
 

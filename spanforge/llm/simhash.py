@@ -34,21 +34,32 @@ SHARD_ROWS = 4096
 _CHUNK = 1 << 16
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits; a bit is 1 if set in over half of the shingles' XXH64."""
+def shingle_hashes(raw: bytes, shingle: int = SHINGLE):
+    """XXH64 of every shingle, in arrays of bounded size."""
     words = raw.translate(LOWER_AZ).split()
     if not words:
-        return 0
+        return
     text = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(text, SEED)
+        yield np.array([xxhash.xxh64_intdigest(text, SEED)], np.uint64)
+        return
     ends = list(accumulate(map((1).__add__, map(len, words))))  # one past the blank after each word
     hashed, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
     starts = [0, *ends[: n - 1]]
-    counts = np.zeros(64, np.int64)
     for k in range(0, n, _CHUNK):
-        h = np.array([hashed(text[a : b - 1], SEED) for a, b in zip(starts[k : k + _CHUNK], ends[k + shingle - 1 : k + shingle - 1 + _CHUNK])], ">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        yield np.array([hashed(text[a : b - 1], SEED) for a, b in zip(starts[k : k + _CHUNK], ends[k + shingle - 1 : k + shingle - 1 + _CHUNK])], np.uint64)
+
+
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """64 bits; a bit is 1 if set in over half of the shingles' XXH64."""
+    return of_hashes(shingle_hashes(raw, shingle))
+
+
+def of_hashes(parts) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
