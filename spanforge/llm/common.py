@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import components
+
 #: A word is a run of anything but the six ASCII blanks; ``bytes.split()`` cuts the same words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z only, on UTF-8 bytes.
@@ -54,25 +56,5 @@ def md5_number(key: Column) -> Column:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node reached.
 
-    Alternating large-star and small-star steps: each is one grouped minimum (combined
-    before the shuffle, so a hub costs one row a task) and one equi-join that AQE may split.
-    Every round is written to the shared folder; no link or component reaches the driver,
-    only the two sums that tell whether a round changed anything."""
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = materialize(e, "edges")
-    before = None
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        # large star: a neighbour above u goes to the minimum of u's neighbourhood
-        e = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours go to the smallest of them
-        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = e.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialize(small.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    nodes = e.select("u", "v").union(e.select("v", "v"))
-    return nodes.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    An error is raised if ``max_rounds`` do not suffice."""
+    return components(edges, a, b, max_rounds, lambda e: materialize(e, "edges"))

@@ -74,23 +74,30 @@ def near_members(docs: DataFrame, size: int = 5, text: str = "text") -> DataFram
     return s.withColumn("signature", F.xxhash64(F.array_sort("hashes"), "n"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component): smallest node reachable, by label propagation with shortcuts.
-
-    A round takes the smallest label among a node and its neighbours, then the label's own
-    label; every round is a table in the shared folder."""
-    both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    label = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("node"), "label"))
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100, save=stored) -> DataFrame:
+    """(node, component) for every node on an edge; component is the smallest node reached.
+
+    Alternating large-star and small-star steps until nothing changes: each is one grouped
+    minimum (combined before the shuffle, so a hub costs one row a task) and one equi-join that
+    AQE may split. Every round is a table in the shared folder; only the two sums that tell
+    whether a round changed anything reach the driver. Too few ``rounds`` raise an error."""
+    e = save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    before = None
     for _ in range(rounds):
-        seen = both.join(label.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("best")).withColumnRenamed("u", "node")
-        step = label.join(seen, "node").select("node", "label", F.least("label", "best").alias("new"))
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        nxt = stored(step.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("up", "new")).alias("new")))
-        moved = nxt.where("new <> label").take(1)
-        label = nxt.select("node", F.col("new").alias("label"))
-        if not moved:
-            break
-    return label.select("node", F.col("label").alias("component"))
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        # large star: a neighbour above u goes to the minimum of u's neighbourhood
+        e = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: u and its smaller neighbours go to the smallest of them
+        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        small = e.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = save(small.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            nodes = e.select("u", "v").union(e.select("v", "v"))
+            return nodes.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        before = now
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
 def duplicate_groups(docs: DataFrame, threshold: float = 0.75, size: int = 5, text: str = "text") -> DataFrame:
