@@ -280,8 +280,15 @@ def decode(nodes: list[Node], odds: np.ndarray) -> str:
     return "\n".join(out)
 
 
+def sample_pages(pages: DataFrame, html_col: str, max_pages: int = MAX_PAGES) -> DataFrame:
+    """(h): the first distinct pages by hash; only the hashes are made distinct over all pages."""
+    rows = pages.select(F.col(html_col).alias("h"), F.xxhash64(html_col).alias("k")).where("h is not null")
+    first = rows.select("k").distinct().orderBy("k").limit(max_pages)
+    return rows.join(F.broadcast(first), "k", "left_semi").dropDuplicates(["k", "h"]).orderBy("k", "h").limit(max_pages).select("h")
+
+
 def train(pages: DataFrame, id_col: str, html_col: str, max_pages: int = MAX_PAGES) -> dict:
-    sample = pages.select(F.col(html_col).alias("h")).where("h is not null").orderBy(F.xxhash64("h"), "h").limit(max_pages)
+    sample = sample_pages(pages, html_col, max_pages)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         xs, ys = [np.empty((0, N_TELLING + 13), np.float32)], [np.empty(0)]
