@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -28,13 +29,9 @@ from .common import materialize
 
 CAPACITY = 2048
 LEAST_BLOCK = 512
-#: Bound on what a worker remembers of words it has tokenised: two tables of this many and a portion's
-#: words, all shorter than LONG_WORD bytes.
-KEPT_WORDS, LONG_WORD = 200_000, 64
-#: Words that go through the tokenizer in one call.
-TOGETHER = 5000
-#: Bytes of text that are split into words at once.
-PORTION = 1 << 20
+#: Bound on what a worker remembers of words it has tokenised: four tables of this many words and parts
+#: of words, all shorter than LONG_WORD characters.
+KEPT_WORDS, LONG_WORD = 100_000, 64
 
 
 class CapacityTree:
@@ -102,53 +99,66 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFra
 
 
 # ---- tokens -------------------------------------------------------------------------------
-class WordTokens:
-    """Token ids of words as packed 32-bit numbers.
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 characters
+    for themselves, the other bytes numbered from U+0100."""
+    shown = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xFF and c != 0xAD]
+    hidden = [c for c in range(256) if c not in shown]
+    return {c: chr(c) for c in shown} | {c: chr(256 + k) for k, c in enumerate(hidden)}
+
+
+class WordTokens(dict):
+    """Token ids of a word as packed 32-bit numbers; unknown words go through the tokenizer.
 
     The tokenizer's pieces never span white space, so a text's ids are its words' ids in
-    order. The words of a portion of texts that are not in memory go through the tokenizer
-    together, one mark between two of them."""
+    order. A word of letters with trailing marks is looked up in two parts, which cut where
+    the tokenizer's own pattern cuts; its letters, in lower case and composed already, go to
+    the merge model directly."""
 
-    BETWEEN = "\0"  # a token of its own; no other text has the byte
+    MARKS = ".,;:!?#*$%&|<>()[]\"-_/"
+    SCRIPTS_END = "\u0530"  # Latin, Greek and Cyrillic: lower case of a letter is one letter, or is checked
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.cut = self.encode(self.BETWEEN)[0]
-        # two generations: what is still in use when one is full moves on to the next
-        self.words, self.older = {}, {}
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of UTF-8 texts; split() cuts at the six ASCII blanks only, all of which are blanks to the tokenizer."""
-        split = [t.split() for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.older, self.words = self.words, {}
-        words, new = self.words, []
-        for w in set().union(*split).difference(words):
-            if w in self.older:
-                words[w] = self.older[w]
-            else:
-                new.append(w)
-        long = {}
-        for w, ids in self._encoded(new):
-            (words if len(w) < LONG_WORD else long)[w] = ids
-        find = (words | long).__getitem__ if long else words.__getitem__
-        return [b"".join(map(find, parts)) for parts in split]
-
-    def _encoded(self, new: list[bytes]):
-        plain = [w for w in new if b"\0" not in w]
-        for w in new:
-            if b"\0" in w:
-                yield w, self.encode(w.decode("utf-8", "replace")).tobytes()
-        for k in range(0, len(plain), TOGETHER):
-            some = plain[k : k + TOGETHER]
-            ids = self.encode(b" \0 ".join(some).decode("utf-8", "replace"))
-            ends = np.append(4 * np.flatnonzero(ids == self.cut), 4 * len(ids))
-            starts = np.append(0, ends[:-1] + 4)
-            packed = ids.tobytes()
-            yield from ((w, packed[s:e]) for w, s, e in zip(some, starts.tolist(), ends.tolist()))
+        super().__init__()
+        self.tokenizer, self.merge, self.letters = tokenizer, tokenizer.model.tokenize, _byte_letters()
+        # two generations each: what is still in use when one is full moves on to the next
+        self.older, self.parts, self.older_parts = {}, {}, {}
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.merge(letters.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def part(self, text: str, make) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            found = self.older_parts.get(text) or make(text)
+            if len(self.parts) > KEPT_WORDS:
+                self.older_parts, self.parts = self.parts, {}
+            if len(text) < LONG_WORD:
+                self.parts[text] = found
+        return found
+
+    def __missing__(self, raw: bytes) -> bytes:
+        ids = self.older.get(raw)
+        if ids is None:
+            ids = self.tokenize(raw)
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+        if len(raw) < LONG_WORD:
+            self[raw] = ids
+        return ids
+
+    def tokenize(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        core = word.rstrip(self.MARKS)
+        low = core.lower() if core.isascii() else "".join(c.lower() for c in core)
+        if not core.isalpha() or not core.isascii() and not (low.isalpha() and max(core) < self.SCRIPTS_END and is_normalized("NFC", core)):
+            return self.part(word, self.encode)
+        tail = word[len(core):]
+        return self.part(low, self.merged) + (self.part(tail, self.encode) if tail else b"")
 
 
 _WORDS: dict[str, WordTokens] = {}
@@ -164,41 +174,28 @@ def _words(path: str) -> WordTokens:
 
 
 def token_ids(words: WordTokens, raw: bytes) -> bytes:
-    return words.of([raw])[0]
+    """Ids of a UTF-8 text; split() cuts at the six ASCII blanks only, all of which are blanks to the tokenizer."""
+    return b"".join(map(words.__getitem__, raw.split()))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, crc) of every document's tokens, end token included."""
     end = array("I", [end_id]).tobytes()
 
-    def portions(texts: pa.Array):
-        """Slices (first row, texts) of at most PORTION bytes, or one text."""
-        held, size, first = [], 0, 0
-        for i, t in enumerate(texts):
-            raw = t.as_py() or b""
-            if held and size + len(raw) > PORTION:
-                yield first, held
-                held, size, first = [], 0, i
-            held.append(raw)
-            size += len(raw)
-        if held:
-            yield first, held
-
     def run(batches):
         words = _words(tokenizer_path)
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for first, raws in portions(b.column(1).cast(pa.binary())):
-                for i, ids in enumerate(words.of(raws), first):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, s in enumerate(range(0, n, capacity)):
-                        part = ids[4 * s : 4 * (s + capacity)]
-                        at.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
+            for i, raw in enumerate(b.column(1).cast(pa.binary())):
+                ids = token_ids(words, raw.as_py() or b"") + end
+                n = len(ids) // 4
+                for k, s in enumerate(range(0, n, capacity)):
+                    part = ids[4 * s : 4 * (s + capacity)]
+                    at.append(i)
+                    piece.append(k)
+                    start.append(s)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64())))], names=["id", "piece", "start", "length", "crc"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
