@@ -146,7 +146,23 @@ def test_quality_held_out(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality_lm.classify(d, labels.where("quality = 1 and doc_id % 2 = 0")).toPandas()
     m = out.merge(labels.where("doc_id % 2 = 1").toPandas(), left_on="id", right_on="doc_id")
-    assert m[m["quality"] == 1]["kept"].mean() > 0.98 and m[m["quality"] == 0]["kept"].mean() < 0.7
+    assert m[m["quality"] == 1]["kept"].mean() > 0.98 and m[m["quality"] == 0]["kept"].mean() < 0.2
+
+
+def test_quality_threshold_is_the_language_quantile(spark, monkeypatch):
+    monkeypatch.setattr(quality_lm, "LEAST_HELD", 20)
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    trusted = labels.where("quality = 1")
+    p = quality_lm.perplexities(d, trusted).toPandas()
+    p["loss"] = -p["logp"] / p["size"].clip(lower=1)
+    held = p[p["held"] & (p["size"] > 0)]
+    own = {x: g["loss"].quantile(0.99) for x, g in held.groupby("lang") if len(g) >= 20}
+    assert 0 < len(own) < p["lang"].nunique()
+    limit = p["lang"].map(own).fillna(held["loss"].quantile(0.99)) + 2 * np.maximum(0, p["size"].clip(lower=1) ** -0.5 - 200**-0.5)
+    out = quality_lm.classify(d, trusted).toPandas().set_index("id")
+    near = (p["loss"] - limit).abs() < 1e-9  # a held document that is the quantile itself
+    assert (out["kept"].reindex(p["id"]).to_numpy() == (p["loss"] <= limit).to_numpy())[~near].all() and near.sum() < 8
+    assert np.allclose(np.log(out["threshold"].reindex(p["id"])), limit)
 
 
 # ---- 3 ----
@@ -463,6 +479,8 @@ def test_schedule_is_inverted(spark):
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
+    from .test_near_sets import survivors
+
     sf = DATA
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stage = corpus_pipeline.STAGES
@@ -471,8 +489,7 @@ def test_pipeline_against_brute_force(spark):
     two = stage[1][1](spark, spark.createDataFrame(one), sf).toPandas()
     assert set(two["doc_id"]) == {i for i, v in exact_brute(dict(zip(one["doc_id"], one["text"]))).items() if v[2]} and list(two.columns) == docs.columns
     three = stage[2][1](spark, spark.createDataFrame(two), sf).toPandas()
-    fp = {i: fp_brute(t) for i, t in zip(two["doc_id"], two["text"])}
-    assert set(three["doc_id"]) == {i for i, c in components_brute(fp).items() if i == c}
+    assert set(three["doc_id"]) == survivors(dict(zip(two["doc_id"], two["text"])))
     d3 = spark.createDataFrame(three)
     four = stage[3][1](spark, d3, sf).toPandas()
     copies = {r["id"]: r["copies"] for r in mixing.mix(d3).collect()}
