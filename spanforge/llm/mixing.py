@@ -7,7 +7,7 @@
 3. Each source has a weight schedule over training time (knots, linear in between). The
    schedule's integral is the cumulative token demand; a copy that lies at fraction u of its
    source's taken words trains at the time where the normalised integral reaches u.
-4. ``order_mix`` range-sorts the copies by that position.
+4. Documents (``by_position``) or single copies (``order_mix``) are range-sorted by position.
 
 Running sums run in two levels (blocks of the hash range, then inside a block), so the
 largest source is spread over many tasks.
@@ -76,9 +76,9 @@ def position_at(u: Column, place: Column, schedules=SCHEDULES) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
-    """(id, row_key, source, size, source_size, target, copies, taken, position) for every row.
+    """(id, row_key, source, size, source_size, target, copies, taken, positions) for every row.
 
-    position is that of the first copy (null when none is taken); ``order_mix`` gives all."""
+    positions: the training positions of its copies, from 0 to 1, ascending (empty when none is taken)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("row_key"))
     rows = materialize(rows, "sizes")
     n = rows.count()
@@ -102,13 +102,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("copies", F.least(whole + more, F.lit(cap).cast("long")))
     rows = rows.withColumn("u", F.when(F.col("source_size") > 0, middle / F.col("source_size")).otherwise(F.lit(0.0)))
     # copy c of a document lies at (c + u) / copies of its source's run
-    first = position_at(F.col("u") / F.greatest("copies", F.lit(1)), F.col("place"), schedules)
-    return rows.select("id", "row_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "u", "place", F.when(F.col("copies") > 0, first).alias("position"))
+    copy = lambda c: position_at((c + F.col("u")) / F.col("copies"), F.col("place"), schedules)
+    every = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")), copy)).otherwise(F.array().cast("array<double>"))
+    return rows.select("id", "row_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), every.alias("positions"))
 
 
-def order_mix(mixed: DataFrame, schedules=SCHEDULES, sort: bool = True) -> DataFrame:
+def by_position(mixed: DataFrame) -> DataFrame:
+    """``mixed`` range-sorted by the position of each document's first copy; documents without one come last."""
+    first = F.when(F.size("positions") > 0, F.element_at("positions", 1))
+    return mixed.orderBy(first.asc_nulls_last(), "id")
+
+
+def order_mix(mixed: DataFrame, sort: bool = True) -> DataFrame:
     """One row a copy (id, row_key, source, size, copy, position), range-sorted by position."""
-    rows = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    at = position_at((F.col("copy") + F.col("u")) / F.col("copies"), F.col("place"), schedules)
-    rows = rows.select("id", "row_key", "source", "size", "copy", at.alias("position"))
+    rows = mixed.select("id", "row_key", "source", "size", F.posexplode("positions").alias("copy", "position"))
     return rows.orderBy("position", "id", "copy") if sort else rows

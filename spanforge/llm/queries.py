@@ -69,8 +69,26 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    """Documents in the order of their training positions."""
+    out = mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
+    ends = (F.when(F.size("positions") > 0, F.element_at("positions", k)).alias(name) for k, name in ((1, "first_position"), (-1, "last_position")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", *ends)
+
+
+def _position_sql(u: str) -> str:
+    """The schedules' inverted integrals, as mixing.position_at has them."""
+    number = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+    cases = []
+    for k, knots in enumerate(mixing.SCHEDULES):
+        whens = []
+        for u0, u1, t0, w0, slope in mixing._demand(knots):
+            need = f"({u} - {number(u0)})"
+            x = f"{number(t0)} + 2 * {need} / ({number(w0)} + sqrt(greatest(0.0, {number(w0 * w0)} + {number(2 * slope)} * {need})))"
+            whens.append(f"WHEN {u} <= {number(u1)} THEN {x}")
+        whens[-1] = "ELSE " + whens[-1].split(" THEN ", 1)[1]
+        inner = f"CASE {' '.join(whens)} END" if len(whens) > 1 else whens[0][5:]
+        cases.append(f"WHEN place % {len(mixing.SCHEDULES)} = {k} THEN least({inner}, 1.0)")
+    return f"CASE {' '.join(cases)} END"
 
 
 SQL10 = """
@@ -90,15 +108,20 @@ s4 AS (SELECT a.source, a.fills_at, a.place,
        FROM s3 a),
 lv AS (SELECT level FROM s4 WHERE level <= fills_at ORDER BY fills_at, place LIMIT 1),
 t AS (SELECT source, source_size, place, least(most, (SELECT level FROM lv) * weight) AS target FROM s3),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.place,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size / 2.0::DOUBLE AS middle
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST((floor(rate) + CASE WHEN middle < target - floor(rate) * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM r
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN middle / source_size ELSE 0 END AS u,
+             CAST(floor(rate) + CASE WHEN middle < target - floor(rate) * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies
+      FROM r)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies,
+       CASE WHEN copies > 0 THEN """ + _position_sql("(u / copies)") + """ END AS first_position,
+       CASE WHEN copies > 0 THEN """ + _position_sql("((copies - 1 + u) / copies)") + """ END AS last_position
+FROM c
 """
 
+
 def _list_entries(pages: DataFrame) -> DataFrame:
     """Dated entries over the hosts of ``pages``: put on, taken off and put on again by hash."""
     hosts = pages.select(url_filter.host_of(F.col("url")).alias("h")).where("h is not null").distinct().withColumn("x", md5_number(F.concat("h", F.lit(":list"))))
