@@ -6,7 +6,9 @@ texts, two sets of ratio t share one of the first n - ceil(t n) + 1. Shingles th
 in a sample of the texts come last in that order; which ones do changes the cost, never the
 result. Candidates come in two steps, so that a large group of near copies makes no pair of
 each two: first every member of a prefix group with the group's head, then, where a group
-holds several components, the pairs across components.
+holds several components, the pairs across components. A bitmap of each set (a bit for each
+hash modulo BITS) bounds a pair's difference from below, so pairs that it rules out need no
+comparison of whole sets.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null and empty texts are
 equal to each other only; a null id never becomes a component id unless all ids of the
@@ -29,6 +31,7 @@ from .common import connected_components, materialize
 SHINGLE, THRESHOLD = 5, 0.8
 #: One text in SAMPLE tells which shingles are common: those in HOT sampled texts, at most MOST_HOT.
 SAMPLE, HOT, MOST_HOT = 8, 2, 1_000_000
+BITS = 2048
 
 
 def shingle_set(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -67,37 +70,49 @@ def _common(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     return np.sort(got.column("g").to_numpy().view(np.uint64))
 
 
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITS, np.uint8)
+    bits[hashes & np.uint64(BITS - 1)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def _prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
-    """(id, row_key, fp, sig, n, prefix): sig names the shingle set."""
+    """(id, row_key, fp, sig, n, prefix, bits): sig names the shingle set."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         last = sent.value
         for b in batches:
-            fp, sig, n, prefix = [], [], [], []
-            for t in b.column(2).cast(pa.binary()).to_pylist():
-                parts = list(simhash.shingle_hashes(t or b"", shingle))
+            fp, sig, n, prefix, bits = [], [], [], [], []
+            for t in b.column(2).cast(pa.binary()):
+                parts = list(simhash.shingle_hashes(t.as_py() or b"", shingle))
                 h = _distinct(parts)
                 fp.append(simhash.of_hashes(parts))
                 sig.append(xxhash.xxh64_intdigest(h.tobytes(), simhash.SEED))
                 n.append(len(h))
-                late = np.isin(h, last) if len(last) else np.zeros(len(h), bool)
+                late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
                 most = len(h) - math.ceil(threshold * len(h) - 1e-9) + 1 if len(h) else 0
                 prefix.append(np.concatenate([h[~late], h[late]])[:most])
+                bits.append(_bitmap(h))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, sig, n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, _lists(prefix)], names=["id", "row_key", "fp", "sig", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, _lists(prefix), _lists(bits)], names=["id", "row_key", "fp", "sig", "n", "prefix", "bits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, row_key long, fp long, sig long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, row_key long, fp long, sig long, n long, prefix array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of set names whose ratio reaches the threshold."""
-    asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    named = rows.select("sig", "row_key").join(asked, "sig").groupBy("sig").agg(F.min("row_key").alias("row_key"))
+    asked = lambda p: materialize(rows.join(p.select(F.col("a").alias("sig")).union(p.select("b")).distinct(), "sig").groupBy("sig").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits")), "asked")
+    one = asked(pairs)
+    side = lambda x, *c: one.select(F.col("sig").alias(x), *(F.col(k).alias(k + x) for k in c))
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    may = differ * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("na") + F.col("nb")) + 1e-6
+    left = materialize(pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(may).select("a", "b"), "left")
+    named = materialize(one.select("sig", "row_key").join(left.select(F.col("a").alias("sig")).union(left.select("b")).distinct(), "sig"), "named")
     texts = _texts(docs, text_col).join(named, "row_key").dropDuplicates(["sig"])
     sets = materialize(_sets(texts, "sig", shingle), "sets")
-    j = pairs.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("hb")), "b")
+    j = left.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
     return materialize(j.where(both >= F.lit(threshold) * (F.size("ha") + F.size("hb") - both) - 1e-9).select("a", "b"), "pairs")
 

@@ -11,7 +11,7 @@ def survivors(texts, threshold=0.8, size=5):
     words = {i: (t or "").lower().split() for i, t in texts.items()}
     sets = {i: {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for i, w in words.items()}
     comp = {i: i for i in texts}
-    links = [(i, j) for i in sets for j in sets if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9)]
+    links = [(i, j) for i in sets for j in sets if i < j and min(len(sets[i]), len(sets[j])) >= threshold * max(len(sets[i]), len(sets[j])) and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9)]
     for _ in texts:
         for i, j in links:
             comp[i] = comp[j] = min(comp[i], comp[j])
