@@ -8,6 +8,8 @@ order of groups; a second sweep, in ascending order, emits each group's suffixes
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 
@@ -25,7 +27,9 @@ def suffix_array(text) -> list[int]:
     places, firsts = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
     places[by_symbol + 1], firsts[by_symbol + 1] = np.arange(n), np.repeat(new, lengths)
     place, group = places.tolist(), firsts.tolist()
-    size = dict(zip(new.tolist(), lengths.tolist()))
+    size = [0] * (n + 1)
+    for at, length in zip(new.tolist(), lengths.tolist()):
+        size[at] = length
     group[0] = -1
     prev = [0] * (n + 1)
     resolved = [False] * (n + 1)
@@ -34,23 +38,35 @@ def suffix_array(text) -> list[int]:
     # ---- phase 1: groups in descending order ----
     while high > 0:
         low = group[order[high - 1]]
-        members = order[low:high]
-        mine = low
         groups_final.append(low)
-        for i in sorted(members):
+        if high - low == 1:  # most groups: one suffix, one pointer, one move
+            i = order[low]
+            j = i - 1
+            while j > 0 and group[j] >= low:
+                j = prev[j] if resolved[j] else j - 1
+            prev[i], resolved[i], high = j, True, low
+            if j and size[g := group[j]] > 1:
+                size[g] -= 1
+                end = g + size[g]
+                other, p = order[end], place[j]
+                order[end], order[p], place[other], place[j] = j, other, p, end
+                size[end], group[j] = 1, end
+            continue
+        pointed = []
+        for i in sorted(order[low:high]):
             j = i - 1
             # previous smaller suffix; pointers of processed suffixes shorten the walk
-            while j > 0 and group[j] >= mine:
+            while j > 0 and group[j] >= low:
                 j = prev[j] if resolved[j] else j - 1
-            prev[i] = j
-            resolved[i] = True
-        times: dict[int, int] = {}
-        for i in members:
-            if prev[i]:
-                times[prev[i]] = times.get(prev[i], 0) + 1
+            prev[i], resolved[i] = j, True
+            if j:
+                pointed.append(j)
         by_count: dict[int, list[int]] = {}
-        for j, k in times.items():
-            by_count.setdefault(k, []).append(j)
+        if len(set(pointed)) == len(pointed):
+            by_count[1] = pointed
+        else:
+            for j, k in Counter(pointed).items():
+                by_count.setdefault(k, []).append(j)
         for k in sorted(by_count, reverse=True):
             moved: dict[int, list[int]] = {}
             for j in by_count[k]:

@@ -20,10 +20,12 @@ all windows around it.
 
 Hashes only gather candidates and name contexts (128 bits); suffix arrays compare bytes.
 
+A document is named by its id i and a 64-bit hash k of its text.
+
 Edge cases: null and empty texts have no bytes; texts are read whole (long ones in pieces
-that overlap by 99 bytes); a null id comes before all others; rows of one id are told apart
-by a hash of the text, and rows that repeat both are one document with one result each; an
-empty table gives an empty result; further columns are ignored.
+that overlap by 99 bytes); a null id comes before all others; rows of one id (or without one)
+come in the order of their hashes, and rows that repeat id and text are one document with one
+result each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +44,7 @@ from .suffix_array import suffix_array
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1  # gram starts inside a window: one of them is its anchor
 MOST_CONTEXTS = 12
-_CHUNK, _PIECE, _HELD = 1 << 18, 1 << 22, 2_000_000
-_POS_BITS = 44  # p: 16 bits that tell rows of one id apart, then the position
-_POS = (1 << _POS_BITS) - 1
+_CHUNK, _PIECE, _HELD = 1 << 18, 1 << 22, 1_500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -154,55 +154,66 @@ def _rows(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names.split())
 
 
-def _settle(a, x, i, p, q):
+def _settle(a, x, i, k, p, q):
     """Sorts occurrences; returns (those of the firsts of each (a, x), spans of the others)."""
-    order = np.lexsort((p, i, x, a))
-    a, x, i, p, q = (c[order] for c in (a, x, i, p, q))
-    first = np.ones(len(a), bool)
+    order = np.lexsort((p, k, i, x, a))
+    a, x, i, k, p, q = (c[order] for c in (a, x, i, k, p, q))
+    first, again = np.ones(len(a), bool), np.zeros(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (x[1:] != x[:-1])
-    return tuple(c[first] for c in (a, x, i, p, q)), _spans(i[~first], p[~first], q[~first])
+    again[1:] = ~first[1:] & _same(i, k, p)  # a repeated row's occurrence covers nothing
+    rest = ~first & ~again
+    return tuple(c[first] for c in (a, x, i, k, p, q)), _spans(i[rest], k[rest], p[rest], q[rest])
+
 
+def _same(*columns):
+    out = True
+    for c in columns:
+        out = out & (c[1:] == c[:-1])
+    return out
 
-def _spans(i, p, q):
-    """(i, p of the start, end) that contexts cover; q holds their lengths left and right."""
-    start = p - (q >> 8)
-    return _merged(i, start, (p & _POS) + (q & 255))
 
+def _spans(i, k, p, q):
+    """(i, k, start, end) that contexts cover; q holds their lengths left and right of p."""
+    return _merged(i, k, p - (q >> 8), p + (q & 255))
 
-def _merged(i, start, end):
+
+def _merged(i, k, start, end):
     """Overlapping spans of one document made one."""
     if not len(i):
-        return i, start, end
-    order = np.lexsort((start, i))
-    i, start, end = i[order], start[order], end[order]
+        return i, k, start, end
+    order = np.lexsort((start, k, i))
+    i, k, start, end = (c[order] for c in (i, k, start, end))
     new = np.ones(len(i), bool)
-    same = (i[1:] == i[:-1]) & (start[1:] >> _POS_BITS == start[:-1] >> _POS_BITS)
     # spans come by start and have at most 169 bytes: looking one back is enough to join most
-    new[1:] = ~(same & ((start[1:] & _POS) <= end[:-1]))
+    new[1:] = ~(_same(i, k) & (start[1:] <= end[:-1]))
     at = np.flatnonzero(new)
-    return i[at], start[at], np.maximum.reduceat(end, at)
+    return i[at], k[at], start[at], np.maximum.reduceat(end, at)
+
+
+def _with_spans(firsts, spans):
+    """Batches of open occurrences, and of spans with q = -1, x their end, spread by a."""
+    yield _rows("a x i k p q", *firsts)
+    i, k, p, end = spans
+    if len(i):
+        yield _rows("a x i k p q", _mix((i * 31 + k + p).astype(np.uint64)).view(np.int64), end, i, k, p, np.full(len(i), -1, np.int32))
 
 
 def _occurrences(batches):
-    """Step 1: open occurrences (a, x, i, p, q), and spans with q = -1, x their end."""
+    """Step 1: open occurrences (a, x, i, k, p, q), and spans with q = -1, x their end."""
     held: list[tuple] = []
 
     def flush():
-        firsts, (i, p, end) = _settle(*(np.concatenate(c) for c in zip(*held)))
+        out = _settle(*(np.concatenate(c) for c in zip(*held)))
         held.clear()
-        yield _rows("a x i p q", *firsts)
-        if len(i):
-            spread = _mix((i * 31 + p).astype(np.uint64)).view(np.int64)
-            yield _rows("a x i p q", spread, end, i, p, np.full(len(i), -1, np.int32))
+        yield from _with_spans(*out)
 
     n = 0
     for b in batches:
-        ids, tags = (b.column(k).to_numpy() for k in (0, 1))
-        for data, first, last, number, offset in _laid_out((k, t) for k, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()) if t and len(t) >= WINDOW):
+        ids, keys = (b.column(c).to_numpy() for c in (0, 1))
+        for data, first, last, number, offset in _laid_out((r, t) for r, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()) if t and len(t) >= WINDOW):
             text, at, a, x, start, end = anchors(data, first, last)
-            k = number[text]
-            p = (tags[k] << _POS_BITS) + offset[text] + at - first[text]
-            held.append((a.view(np.int64), x.view(np.int64), ids[k], p, ((at - start << 8) + end - at).astype(np.int32)))
+            r = number[text]
+            held.append((a.view(np.int64), x.view(np.int64), ids[r], keys[r], offset[text] + at - first[text], ((at - start << 8) + end - at).astype(np.int32)))
             n += len(a)
             if n > _HELD:
                 yield from flush()
@@ -212,40 +223,43 @@ def _occurrences(batches):
 
 
 def _grouped(most: int):
-    """Step 2, over rows sorted by (a, x, i, p): (i, p, end, a, q) with q = -1 for settled
+    """Step 2, over rows sorted by (a, x, i, k, p): (i, k, p, end, a, q) with q = -1 for settled
     spans, 0 for open occurrences, 1 for open ones of a gram with over ``most`` of them."""
 
     def run(batches):
-        tail: tuple | None = None  # last (a, x) seen
+        tail: tuple | None = None  # the last row seen
         group, n_open, spilling = [], 0, False  # open occurrences of the gram that may go on
 
         def emit(parts, q):
-            i, p, a = (np.concatenate(c) for c in zip(*parts))
-            return _rows("i p end a q", i, p, np.zeros(len(i), np.int64), a, np.full(len(i), q, np.int32))
+            i, k, p, a = (np.concatenate(c) for c in zip(*parts))
+            return _rows("i k p end a q", i, k, p, np.zeros(len(i), np.int64), a, np.full(len(i), q, np.int32))
 
         for b in batches:
-            a, x, i, p, q = (b.column(k).to_numpy() for k in range(5))
+            a, x, i, k, p, q = (b.column(c).to_numpy() for c in range(6))
             span = q < 0
             if span.any():
-                yield _rows("i p end a q", i[span], p[span], x[span], a[span], q[span])
-                a, x, i, p, q = (c[~span] for c in (a, x, i, p, q))
+                yield _rows("i k p end a q", i[span], k[span], p[span], x[span], a[span], q[span])
+                a, x, i, k, p, q = (c[~span] for c in (a, x, i, k, p, q))
             if not len(a):
                 continue
-            new_a, new_x = np.ones(len(a), bool), np.ones(len(a), bool)
+            new_a, new_x, again = np.ones(len(a), bool), np.ones(len(a), bool), np.zeros(len(a), bool)
             new_a[1:] = a[1:] != a[:-1]
             new_x[1:] = new_a[1:] | (x[1:] != x[:-1])
+            again[1:] = ~new_x[1:] & _same(i, k, p)
             if tail is not None and a[0] == tail[0]:
                 new_a[0] = False
                 new_x[0] = x[0] != tail[1]
-            tail = (a[-1], x[-1])
-            if not new_x.all():
-                si, sp, se = _spans(i[~new_x], p[~new_x], q[~new_x])
-                yield _rows("i p end a q", si, sp, se, np.zeros(len(si), np.int64), np.full(len(si), -1, np.int32))
-            fa, fi, fp, fn = a[new_x], i[new_x], p[new_x], new_a[new_x]
+                again[0] = not new_x[0] and (i[0], k[0], p[0]) == tail[2:]
+            tail = (a[-1], x[-1], i[-1], k[-1], p[-1])
+            rest = ~new_x & ~again
+            if rest.any():
+                si, sk, sp, se = _spans(i[rest], k[rest], p[rest], q[rest])
+                yield _rows("i k p end a q", si, sk, sp, se, np.zeros(len(si), np.int64), np.full(len(si), -1, np.int32))
+            fa, fi, fk, fp, fn = a[new_x], i[new_x], k[new_x], p[new_x], new_a[new_x]
             cuts = np.flatnonzero(fn)
             if len(fa) and (not len(cuts) or cuts[0] > 0):  # goes on with the group before
                 e = cuts[0] if len(cuts) else len(fa)
-                group.append((fi[:e], fp[:e], fa[:e]))
+                group.append((fi[:e], fk[:e], fp[:e], fa[:e]))
                 n_open += e
             if len(cuts):
                 if group and (spilling or n_open > 1):
@@ -257,8 +271,8 @@ def _grouped(most: int):
                 many = inner[: cuts[-1] - cuts[0]]
                 for q_out, pick in ((0, (many > 1) & (many <= most)), (1, many > most)):
                     if pick.any():
-                        yield emit([(fi[whole][pick], fp[whole][pick], fa[whole][pick])], q_out)
-                group, n_open, spilling = [(fi[cuts[-1] :], fp[cuts[-1] :], fa[cuts[-1] :])], len(fa) - cuts[-1], False
+                        yield emit([tuple(c[whole][pick] for c in (fi, fk, fp, fa))], q_out)
+                group, n_open, spilling = [tuple(c[cuts[-1] :] for c in (fi, fk, fp, fa))], len(fa) - cuts[-1], False
             if n_open > most and group:
                 yield emit(group, 1)
                 group, spilling = [], True
@@ -269,16 +283,16 @@ def _grouped(most: int):
 
 
 def _first_seen(rows: DataFrame, most: int) -> DataFrame:
-    order = rows.repartition("a").sortWithinPartitions("a", "x", "i", "p")
-    return order.mapInArrow(_grouped(most), "i long, p long, end long, a long, q int")
+    order = rows.repartition("a").sortWithinPartitions("a", "x", "i", "k", "p")
+    return order.mapInArrow(_grouped(most), "i long, k long, p long, end long, a long, q int")
 
 
 def _own_windows(batches):
-    """Step 3: per open occurrence its own windows' bytes, (a, i, p, n, bytes), if it is not
-    hot; a hot one's windows (a, i, p, n = 0, bytes = window hash)."""
+    """Step 3: per open occurrence its own windows' bytes, (a, i, k, p, n, bytes), if it is not
+    hot; a hot one's windows (a, i, k, p, n = 0, x = window hash)."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
-        i, tag = (b.column(k).to_numpy() for k in (0, 1))
+        i, key = (b.column(k).to_numpy() for k in (0, 1))
         raws, wanted, grams, hots = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
         raws = [unpack.decompress(r) for r in raws]
         wanted, grams, hots = ([np.frombuffer(w, kind) for w in c] for c, kind in ((wanted, np.int64), (grams, np.int64), (hots, np.int8)))
@@ -308,10 +322,10 @@ def _own_windows(batches):
             lo = starts[np.arange(len(at)), own.argmax(1)]
             hi = starts[np.arange(len(at)), own.shape[1] - 1 - own[:, ::-1].argmax(1)]
             doc = number[text]
-            p = (tag[doc] << _POS_BITS) + offset[text] - first[text]
+            p = offset[text] - first[text]
             flat = data.tobytes()
             cold = np.flatnonzero(hot == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(a[cold]), pa.array(i[doc][cold]), pa.array((p + lo)[cold]), pa.array((hi - lo + 1)[cold].astype(np.int32)), pa.array([flat[s:e] for s, e in zip(lo[cold], hi[cold] + WINDOW)], pa.binary()), pa.nulls(len(cold), pa.int64())], names=["a", "i", "p", "n", "bytes", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[cold]), pa.array(i[doc][cold]), pa.array(key[doc][cold]), pa.array((p + lo)[cold]), pa.array((hi - lo + 1)[cold].astype(np.int32)), pa.array([flat[s:e] for s, e in zip(lo[cold], hi[cold] + WINDOW)], pa.binary()), pa.nulls(len(cold), pa.int64())], names=["a", "i", "k", "p", "n", "bytes", "x"])
             row, col = np.nonzero(own[hot != 0])
             if len(row):
                 back = np.flatnonzero(hot != 0)[row]
@@ -319,16 +333,16 @@ def _own_windows(batches):
                 s, once = np.unique(s, return_index=True)  # a window with its gram in two places comes twice
                 back = back[once]
                 x = h.of(s, s + WINDOW).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[back] ^ (x >> 7)), pa.array(i[doc][back]), pa.array(p[back] + s), pa.array(np.zeros(len(s), np.int32)), pa.nulls(len(s), pa.binary()), pa.array(x)], names=["a", "i", "p", "n", "bytes", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[back] ^ (x >> 7)), pa.array(i[doc][back]), pa.array(key[doc][back]), pa.array(p[back] + s), pa.array(np.zeros(len(s), np.int32)), pa.nulls(len(s), pa.binary()), pa.array(x)], names=["a", "i", "k", "p", "n", "bytes", "x"])
 
 
-def covered_windows(contexts: list[bytes], names: list[tuple[int, int]], counts: list[int]) -> list[tuple[int, int]]:
-    """Of the first ``counts[k]`` windows of each context those that are equal to an earlier
-    one, as (i, p); ``names[k]`` is (i, p) of context k's first window."""
+def covered_windows(contexts: list[bytes], names: list[tuple[int, int, int]], counts: list[int]) -> list[tuple[int, int, int]]:
+    """Of the first ``counts[c]`` windows of each context those that are equal to an earlier
+    one, as (i, k, p); ``names[c]`` is (i, k, p) of context c's first window."""
     flat, where, at = [], {}, 0
     for k, c in enumerate(contexts):
         for w in range(counts[k]):
-            where[at + w] = (names[k][0], names[k][1] + w)
+            where[at + w] = (*names[k][:2], names[k][2] + w)
         flat.append(c)
         at += len(c) + 1
     text = b"\x00".join(flat)
@@ -356,27 +370,27 @@ def covered_windows(contexts: list[bytes], names: list[tuple[int, int]], counts:
 
 
 def _by_suffix_array(batches):
-    """Step 3, over contexts sorted by gram: spans (i, p, end, a, q = -1)."""
+    """Step 3, over contexts sorted by gram: spans (i, k, p, end, a, q = -1)."""
     held: list[tuple] = []
     gram = None
 
     def close():
-        rows = covered_windows([r[3] for r in held], [(r[0], r[1]) for r in held], [r[2] for r in held]) if len(held) > 1 else []
+        rows = covered_windows([r[1] for r in held], [r[0] for r in held], [r[2] for r in held]) if len(held) > 1 else []
         held.clear()
         return rows
 
     def spans(found):
-        i, p = np.array(found, np.int64).reshape(-1, 2).T
-        i, start, end = _merged(i, p, (p & _POS) + WINDOW)
-        return _rows("i p end a q", i, start, end, np.zeros(len(i), np.int64), np.full(len(i), -1, np.int32))
+        i, k, p = np.array(found, np.int64).reshape(-1, 3).T
+        i, k, start, end = _merged(i, k, p, p + WINDOW)
+        return _rows("i k p end a q", i, k, start, end, np.zeros(len(i), np.int64), np.full(len(i), -1, np.int32))
 
     for b in batches:
         found = []
-        for a, i, p, n, c in zip(*(b.column(k).to_pylist() for k in range(5))):
+        for a, i, k, p, n, c in zip(*(b.column(c).to_pylist() for c in range(6))):
             if a != gram:
                 found += close()
                 gram = a
-            held.append((i, p, n, c))
+            held.append(((i, k, p), c, n))
         if found:
             yield spans(found)
     if found := close():
@@ -386,12 +400,9 @@ def _by_suffix_array(batches):
 def _local_firsts(batches):
     """Hot windows of a task, each its own context: as _occurrences gives them."""
     for b in batches:
-        a, i, p, x = (b.column(k).to_numpy() for k in range(4))
+        a, i, k, p, x = (b.column(c).to_numpy() for c in range(5))
         if len(a):
-            firsts, (i, p, end) = _settle(a, x, i, p, np.full(len(a), WINDOW, np.int32))
-            yield _rows("a x i p q", *firsts)
-            spread = _mix((i * 31 + p).astype(np.uint64)).view(np.int64)
-            yield _rows("a x i p q", spread, end, i, p, np.full(len(i), -1, np.int32))
+            yield from _with_spans(*_settle(a, x, i, k, p, np.full(len(a), WINDOW, np.int32)))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -400,9 +411,9 @@ def _packed(docs: DataFrame) -> DataFrame:
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack.compress(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["i", "tag", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack.compress(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["i", "k", "z"])
 
-    return docs.mapInArrow(run, "i long, tag long, z binary")
+    return docs.mapInArrow(run, "i long, k long, z binary")
 
 
 def _cut(batches):
@@ -433,41 +444,37 @@ def _cut(batches):
 _NO_ID = -(1 << 63)
 
 
-def dedup_spans(docs: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame:
-    """(i, p, end): covered spans; p holds the row's tag and the start."""
-    opened = materialize(_first_seen(docs.mapInArrow(_occurrences, "a long, x long, i long, p long, q int"), most), "occurrences")
-    tag = F.shiftright("p", _POS_BITS)
-    per_doc = opened.where("q >= 0").groupBy(F.col("i").alias("di"), tag.alias("dt")).agg(F.sort_array(F.collect_list(F.struct(F.col("p").bitwiseAND(_POS).alias("at"), "a", "q"))).alias("w"))
+def _flat(fields: dict[str, type]):
+    """Columns i, k, z and, of the list w of structs, each field's numbers as bytes."""
 
-    def flat(batches):
+    def run(batches):
         for b in batches:
             lists = b.column(3).to_pylist()
-            cols = [pa.array([np.array([r[f] for r in w], kind).tobytes() for w in lists], pa.binary()) for f, kind in (("at", np.int64), ("a", np.int64), ("q", np.int8))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["i", "tag", "z", "at", "a", "q"])
-
-    texts = _packed(docs).dropDuplicates(["i", "tag"]).join(per_doc.hint("merge"), (F.col("i") == F.col("di")) & (F.col("tag") == F.col("dt"))).select("i", "tag", "z", "w")
-    wide = texts.mapInArrow(flat, "i long, tag long, z binary, at binary, a binary, q binary")
-    windows = materialize(wide.mapInArrow(_own_windows, "a long, i long, p long, n int, bytes binary, x long"), "windows")
-    cold = windows.where("x is null").select("a", "i", "p", "n", "bytes").repartition("a").sortWithinPartitions("a")
-    by_array = cold.mapInArrow(_by_suffix_array, "i long, p long, end long, a long, q int")
-    hot = windows.where("x is not null").select("a", "i", "p", "x").mapInArrow(_local_firsts, "a long, x long, i long, p long, q int")
+            cols = [pa.array([None if w is None else np.array([r[f] for r in w], kind).tobytes() for w in lists], pa.binary()) for f, kind in fields.items()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["i", "k", "z", *fields])
+
+    return run
+
+
+def dedup_spans(docs: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame:
+    """(i, k, p, end): covered spans of documents (i, k, t)."""
+    opened = materialize(_first_seen(docs.mapInArrow(_occurrences, "a long, x long, i long, k long, p long, q int"), most), "occurrences")
+    per_doc = opened.where("q >= 0").groupBy(F.col("i").alias("di"), F.col("k").alias("dk")).agg(F.sort_array(F.collect_list(F.struct(F.col("p").alias("at"), "a", "q"))).alias("w"))
+    texts = _packed(docs).dropDuplicates(["i", "k"]).join(per_doc.hint("merge"), (F.col("i") == F.col("di")) & (F.col("k") == F.col("dk"))).select("i", "k", "z", "w")
+    wide = texts.mapInArrow(_flat({"at": np.int64, "a": np.int64, "q": np.int8}), "i long, k long, z binary, at binary, a binary, q binary")
+    windows = materialize(wide.mapInArrow(_own_windows, "a long, i long, k long, p long, n int, bytes binary, x long"), "windows")
+    cold = windows.where("x is null").select("a", "i", "k", "p", "n", "bytes").repartition("a").sortWithinPartitions("a")
+    by_array = cold.mapInArrow(_by_suffix_array, "i long, k long, p long, end long, a long, q int")
+    hot = windows.where("x is not null").select("a", "i", "k", "p", "x").mapInArrow(_local_firsts, "a long, x long, i long, k long, p long, q int")
     found = opened.where("q < 0").union(by_array).union(_first_seen(hot, 1 << 60).where("q < 0"))
-    return found.select("i", "p", "end")
+    return found.select("i", "k", "p", "end")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_CONTEXTS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("i"), F.xxhash64(text_col).bitwiseAND(0xFFFF).alias("tag"), F.col(text_col).cast("string").alias("t"))
-    found = dedup_spans(rows, most)
-    tag = F.shiftright("p", _POS_BITS)
-    per_doc = found.groupBy(F.col("i").alias("di"), tag.alias("dt")).agg(F.collect_list(F.struct(F.col("p").bitwiseAND(_POS).alias("s"), F.col("end").alias("e"))).alias("w"))
-
-    def flat(batches):
-        for b in batches:
-            lists = b.column(3).to_pylist()
-            cols = [pa.array([None if w is None else np.array([r[f] for r in w], np.int64).tobytes() for w in lists], pa.binary()) for f in ("s", "e")]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["i", "tag", "z", "s", "e"])
-
-    texts = _packed(rows).join(per_doc.hint("merge"), (F.col("i") == F.col("di")) & (F.col("tag") == F.col("dt")), "left").select("i", "tag", "z", "w")
-    out = texts.mapInArrow(flat, "i long, tag long, z binary, s binary, e binary").mapInArrow(_cut, "i long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("i"), F.xxhash64(text_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    per_doc = dedup_spans(rows, most).groupBy(F.col("i").alias("di"), F.col("k").alias("dk")).agg(F.collect_list(F.struct(F.col("p").alias("s"), F.col("end").alias("e"))).alias("w"))
+    texts = _packed(rows).join(per_doc.hint("merge"), (F.col("i") == F.col("di")) & (F.col("k") == F.col("dk")), "left").select("i", "k", "z", "w")
+    wide = texts.mapInArrow(_flat({"s": np.int64, "e": np.int64}), "i long, k long, z binary, s binary, e binary")
+    out = wide.mapInArrow(_cut, "i long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("i") != _NO_ID, F.col("i")).alias("id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -345,6 +345,23 @@ def test_suffix_dedup_random(spark, most):
     assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == repeats_brute(rows)
 
 
+@pytest.mark.parametrize("most", [1000, 1])
+def test_suffix_dedup_repeated_and_null_ids(spark, most):
+    """Rows of one id, or none, are documents of their own, in the order of their texts' hashes."""
+    rng = np.random.default_rng(11)
+    shared = ["".join(rng.choice(list("abcdef "), 161)) for _ in range(4)]
+    rows = [(k % 3 if k % 2 else None, shared[k % 4][: 120 + k % 40] + "".join(rng.choice(list("xyz"), k % 90)) + shared[(k + 1) % 4]) for k in range(60)]
+    rows += rows[:9] + [(5, None), (None, None), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = {(r["doc_id"], r["text"]): r["k"] for r in df.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, key[r]))
+    want = repeats_brute({n: r[1] or "" for n, r in enumerate(order)})
+    assert sum(v[1] > 0 for v in want.values()) > 20
+    expected = sorted(((r[0] is None, r[0] or 0), want[order.index(r)]) for r in rows)
+    got = sorted(((r["id"] is None, r["id"] or 0), (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in suffix_dedup.dedup(df, most=most).collect())
+    assert got == expected and all(v[1] <= v[0] for _, v in got)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array(s):
