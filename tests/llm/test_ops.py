@@ -72,6 +72,36 @@ def test_pii(spark):
     assert pii.replace_pii(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
 
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pii_persons_secrets_and_checks(spark):
+    """Distinct persons, secrets and numbers stay distinct, equal ones equal, over all texts."""
+    men = [f"{g} {s}" for s in ("Smith", "Baker") for g in ("John", "Peter", "James", "Thomas", "Michael", "Adam", "Hugo", "Emil", "Felix", "Carl", "Leon", "Oscar", "Paul", "Simon", "Victor", "Ivan", "Jonas", "Georg", "David", "Bruno")]
+    secrets = ["sk-" + "aB3" * 8, "sk-" + "Ab3" * 8]
+    rows = [(k, f"{'Mr ' if k % 2 else ''}{m} lives here. MR {m.upper()} too, and Mr {m.split()[1]}.") for k, m in enumerate(men)]
+    rows += [(100, "Mrs Anna Petrova met Mrs Olga Petrova and Dr Anna Petrova"), (101, f"{secrets[0]} {secrets[1]}"), (102, "card 4111 1111 1111 1111, IBAN GB82 WEST 1234 5698 7654 32."), (103, "Clara Jones, 12 Baker Street; Berliner Hauptstraße 5b and 7 rue de Rivoli 12")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1)).withColumn("canon", F.lit(2))
+    got = {r["id"]: r["text"] for r in pii.replace_pii(df.union(df.limit(3)), "k").collect()}
+    made = {}
+    for k, m in enumerate(men):
+        t = re.fullmatch(r"(?:Mr )?(\S+) (\S+) lives here\. MR (\S+) (\S+) too, and Mr (\S+)\.", got[k])
+        assert t and (t[3], t[4], t[5]) == (t[1].upper(), t[2].upper(), t[2]), got[k]
+        made[m] = (t[1], t[2])
+    assert len(set(made.values())) == len(men) and len({x[1] for x in made.values()}) == 2 and not {" ".join(x) for x in made.values()} & set(men)
+    a = re.fullmatch(r"Mrs (\S+) (\S+) met Mrs (\S+) (\S+) and Dr (\S+) (\S+)", got[100])
+    assert a[1] == a[5] != a[3] and a[2] == a[4] == a[6] and {a[1], a[3]} <= set(pii.GIVEN["latin", "f"])
+    x, y = got[101].split()
+    assert x != y and x not in secrets and re.fullmatch("sk-([a-z][A-Z][0-9]){8}", x) and re.fullmatch("sk-([A-Z][a-z][0-9]){8}", y)
+    c = re.fullmatch(r"card (4\d{3}(?: \d{4}){3}), IBAN (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d)\.", got[102])
+    assert c[1] != "4111 1111 1111 1111" and luhn(c[1].replace(" ", ""))
+    iban = c[2].replace(" ", "")
+    assert int("".join(str(int(ch, 36)) for ch in iban[4:] + iban[:4])) % 97 == 1 and "WEST" not in iban
+    assert "Jones" not in got[103] and "Baker" not in got[103] and "Hauptstraße 5" not in got[103] and "Rivoli" not in got[103]
+    assert re.search(r", \d\d \w+ Street; Berliner \w+straße \d", got[103]) and re.search(r" rue de \w+ \d\d$", got[103])
+
+
 def test_surrogates_stay_distinct(spark):
     ents = spark.range(800).select(F.lit("ssn").alias("kind"), F.format_string("%04d", "id").alias("canon"))
     out = pii.surrogates(ents, "k").toPandas()
