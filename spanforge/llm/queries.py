@@ -150,7 +150,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL9 = """
 WITH c AS (
-  SELECT page_id, url, nullif(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host,
+  SELECT page_id, url, nullif(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/:?#]+)', 1), '') AS host,
          regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\\-]*://[^/?#]*(/[^?#]*)', 1) AS path,
          CAST(CAST('0x' || substr(md5(concat(page_id, ':day')), 1, 12) AS BIGINT) % 365 AS INTEGER) AS day
   FROM pages),

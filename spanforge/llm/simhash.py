@@ -122,12 +122,8 @@ def shard_links(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
 
 
 def _masks(used: int, radius: int) -> list[int]:
-    """For the bits not in ``used``: the pairs out of radius + 2 blocks, each joined with used.
-
-    Too few bits left to cut: the shard is the whole of ``used``'s, in one piece."""
+    """For the bits not in ``used``: the pairs out of radius + 2 blocks, each joined with used."""
     bits = [b for b in range(64) if not used >> b & 1]
-    if len(bits) < radius + SAME:
-        return [used]
     blocks = [sum(1 << int(b) for b in part) for part in np.array_split(bits, radius + SAME)]
     return [used | blocks[i] | blocks[j] for i in range(len(blocks)) for j in range(i)]
 
@@ -151,7 +147,7 @@ def _linked(shards: DataFrame, radius: int, most: int) -> DataFrame:
 
     def run(batches):
         held: list[np.ndarray] = []  # the rows of the shard that may go on in the next batch
-        n, last, spilling = 0, None, False
+        n, last, spilling, limit = 0, None, False, most
 
         def close(parts):
             fp = np.concatenate(parts)
@@ -172,11 +168,13 @@ def _linked(shards: DataFrame, radius: int, most: int) -> DataFrame:
                         links += close(held)
                     held, n, spilling = [], 0, False
                 last = name
+                # too few bits left to cut: at most 2 ** 5 members, which stay together
+                limit = most if 64 - int(np.bitwise_count(mask[s : s + 1].view(np.uint64))[0]) >= radius + SAME else 1 << 32
                 if e - s == 1 and e < len(fp) and not n:
                     continue  # alone in its shard
                 n += e - s
                 held.append(fp[s:e])
-                if n > most:
+                if n > limit:
                     over += held
                     over_mask += [np.full(len(x), name[0]) for x in held]
                     held, spilling = [np.empty(0, np.uint64)], True

@@ -3,8 +3,9 @@
 List entries say when a pattern was put on or taken off a list. Per list and pattern they
 become validity intervals. A capture is looked up under its host, every parent domain and
 every path prefix, and an as-of join keeps the entries that were active at fetch time.
-Only DataFrame functions are used; the join is an equi-join on (kind, pattern) with the
-time as residual, so AQE can split a host that holds a third of all captures.
+Only DataFrame functions are used; the join is an equi-join on (kind, pattern, salt) with the
+time as residual: captures take one of ``SALTS`` salts by a hash of id and URL, the (far
+fewer) intervals all of them, so a host that holds a third of all captures is spread.
 
 Edge cases: a null or unparsable URL has no host and matches nothing; a null fetch time
 matches nothing; entries with null pattern or time are void; of entries of one pattern at
@@ -19,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Scheme, optional user info, host, optional port, path.
-HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
 PATH = r"^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
+SALTS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -52,9 +54,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "id", url_co
 
     lists: names of the lists with an active entry, sorted; since: the latest start."""
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at")).withColumn("host", host_of(F.col("url")))
-    keyed = c.where("host is not null and fetched_at is not null").withColumn("k", F.explode(lookup_keys(F.col("host"), F.lower("url")))).select("id", "url", "fetched_at", F.col("k.kind").alias("ck"), F.col("k.pattern").alias("cp"))
-    e = intervals(entries)
-    active = keyed.join(e, (F.col("ck") == F.col("kind")) & (F.col("cp") == F.col("pattern")) & (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until"))))
+    keyed = c.where("host is not null and fetched_at is not null").withColumn("k", F.explode(lookup_keys(F.col("host"), F.lower("url")))).select("id", "url", "fetched_at", F.col("k.kind").alias("ck"), F.col("k.pattern").alias("cp"), F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).alias("cs"))
+    e = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    active = keyed.join(e, (F.col("ck") == F.col("kind")) & (F.col("cp") == F.col("pattern")) & (F.col("cs") == F.col("salt")) & (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until"))))
     found = active.groupBy(F.col("id").alias("i"), F.col("url").alias("u"), F.col("fetched_at").alias("t")).agg(
         F.countDistinct("list", "kind", "pattern").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.max("since").alias("since"))
     out = c.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("url") == F.col("u")) & (F.col("fetched_at") == F.col("t")), "left")
