@@ -32,6 +32,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: One text in SAMPLE tells which shingles are common: those in HOT sampled texts, at most MOST_HOT.
 SAMPLE, HOT, MOST_HOT = 8, 2, 1_000_000
 BITS = 2048
+#: Texts whose sets a worker holds at once.
+TEXTS = 64
 
 
 def shingle_set(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -57,8 +59,10 @@ def _sets(texts: DataFrame, key: str, shingle: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], names=[key, "hashes"])
+            for k in range(0, b.num_rows, TEXTS):
+                part = b.slice(k, TEXTS)
+                sets = [shingle_set(t.as_py() or b"", shingle) for t in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], names=[key, "hashes"])
 
     return texts.select(key, "t").mapInArrow(run, f"{key} long, hashes array<long>")
 
