@@ -48,6 +48,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table (a few numbers each) that may be sent to every task.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored narrow table, marked for a broadcast join if its counted rows are at most
+    ``SMALL_ROWS``; a larger one is joined through the shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def md5_number(key: Column) -> Column:
     """48 bits of md5 as a long; SQL engines without xxhash can compute it too."""
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")

@@ -18,6 +18,7 @@ component are null.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, materialize
+from .common import connected_components, materialize, small
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: One text in SAMPLE tells which shingles are common: those in HOT sampled texts, at most MOST_HOT.
 SAMPLE, HOT, MOST_HOT = 8, 2, 1_000_000
-BITS = 2048
+BITS, FOLD = 2048, 8
+HEADS = 4
 #: Texts whose sets a worker holds at once.
 TEXTS = 64
 
@@ -108,13 +110,13 @@ def _prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, s
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of set names whose ratio reaches the threshold."""
     asked = lambda p: materialize(rows.join(p.select(F.col("a").alias("sig")).union(p.select("b")).distinct(), "sig").groupBy("sig").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits")), "asked")
-    one = asked(pairs)
+    one = small(asked(pairs))
     side = lambda x, *c: one.select(F.col("sig").alias(x), *(F.col(k).alias(k + x) for k in c))
     differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     may = differ * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("na") + F.col("nb")) + 1e-6
     left = materialize(pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(may).select("a", "b"), "left")
     named = materialize(one.select("sig", "row_key").join(left.select(F.col("a").alias("sig")).union(left.select("b")).distinct(), "sig"), "named")
-    texts = _texts(docs, text_col).join(named, "row_key").dropDuplicates(["sig"])
+    texts = _texts(docs, text_col).join(small(named), "row_key").dropDuplicates(["sig"])
     sets = materialize(_sets(texts, "sig", shingle), "sets")
     j = left.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
@@ -138,7 +140,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     check = lambda pairs: _verified(pairs, rows, docs, text_col, shingle, threshold)
 
     items = rows.select("sig", "n", F.posexplode("prefix").alias("pos", "g"))
-    heads = items.groupBy("g").agg(F.min("sig").alias("head"), F.max("sig").alias("last")).where("head < last").select("g", "head")
+    # groups of the same members take up to HEADS different heads, so that few components stay apart
+    turn = F.xxhash64("sig", F.pmod("g", F.lit(HEADS)))
+    heads = items.groupBy("g").agg(F.min_by("sig", turn).alias("head"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("g", "head")
     shared = materialize(items.join(heads, "g"), "shared")
     by_head = _candidates(shared.where("sig = head").distinct(), shared.where("sig <> head"), threshold, F.lit(True))
     one = rows.groupBy("fp").agg(F.min("sig").alias("sig"))
@@ -153,7 +157,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parted = materialize(shared.select("g", "sig", "n", "pos").join(part, F.col("sig") == F.col("node"), "left").select("g", "sig", "n", "pos", F.coalesce("component", "sig").alias("part")), "parted")
     mixed = parted.groupBy("g").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("g")
     open_ = materialize(parted.join(mixed, "g").distinct(), "open")
-    across = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.part") != F.col("y.part"))
+    # the bitmap folded to FOLD longs goes into the join itself
+    fold = [reduce(lambda a, b: a.bitwiseOR(b), [F.element_at("bits", k + 1) for k in range(j, BITS // 64, FOLD)]).alias(f"w{j}") for j in range(FOLD)]
+    asked = materialize(open_.select(F.col("sig").alias("s")).distinct(), "asked")
+    folded = materialize(rows.join(small(asked), F.col("sig") == F.col("s"), "left_semi").select(F.col("sig").alias("s"), *fold).distinct(), "folded")
+    open_ = open_.join(small(folded), F.col("sig") == F.col("s")).drop("s")
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.w{j}").bitwiseXOR(F.col(f"y.w{j}"))) for j in range(FOLD)])
+    across = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.part") != F.col("y.part")) & (differ * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("x.n") + F.col("y.n")) + 1e-6)
     second = materialize(_candidates(open_, open_, threshold, across).join(first, ["a", "b"], "left_anti"), "candidates")
     part = connected_components(found.union(check(second)))
 
