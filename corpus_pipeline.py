@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is
 written as Parquet and reread before the next one. All but the last return the columns of
 ``documents``.
+
+Edge cases: null and empty texts pass the quality stage (nothing speaks against them), are
+equal to each other in the duplicate stages, have no words for the mix, and are one end token
+in a sequence; rows that repeat id and text become one in the exact stage; a null id is kept
+like any other and never names a group; an empty table gives an empty result; further columns
+of the documents are carried through the first four stages.
 """
 
 from __future__ import annotations
@@ -12,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import exact_dedup, mixing, near_sets, packing, quality_lm
-from spanforge.llm.common import materialize, table
+from spanforge.llm.common import materialize, small, table
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows named by (id, row_key), a hash of the text."""
-    d = dropped.select(F.col("id").alias("_i"), F.col("row_key").alias("_k"))
+    """``docs`` less the rows named by the stored table (id, row_key), a hash of the text."""
+    d = small(dropped).select(F.col("id").alias("_i"), F.col("row_key").alias("_k"))
     return docs.join(d, docs["doc_id"].eqNullSafe(F.col("_i")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_anti")
 
 
@@ -33,7 +39,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     out = exact_dedup.exact_dedup(docs, f"id > {((lo or 0) + (hi or 0)) // 2}")
     out = materialize(out.select("id", "row_key", "kept"), "kept")
     rows = out.groupBy("id", "row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    left = _without(docs, rows.where("not kept"))
+    left = _without(docs, materialize(rows.where("not kept").select("id", "row_key"), "dropped"))
     again = rows.where("kept and n > 1")
     if not again.take(1):
         return left
