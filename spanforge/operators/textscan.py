@@ -136,15 +136,16 @@ def build_gazetteer(mentions: DataFrame, generic: list[str] = (), least: int = 3
     return surface.join(best, ["type", "key"]).select("type", "key", "surface", F.col("b.norm").alias("norm"), "n")
 
 
-def match_gazetteer(docs: DataFrame, gazetteer: DataFrame, max_words: int = 4, text: str = "text") -> DataFrame:
-    """(doc_id, start, end, type, surface, norm) of gazetteer keys of up to ``max_words``
-    letter-and-digit runs, guarded at word ends, longest first without overlap in a type.
+def match_gazetteer(docs: DataFrame, gazetteer: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, start, end, type, surface, norm) of gazetteer keys of letter-and-digit runs,
+    however many the longest key has, guarded at word ends, longest first without overlap in a type.
 
     Word n-grams meet the keys in a hash join; no pattern is run a term."""
     tok = scan(docs, r"[\p{L}\p{N}]+", text)
     w = Window.partitionBy("doc_id").orderBy("i")
+    max_words = gazetteer.agg(F.max(F.regexp_count("key", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0  # one number
     grams = None
-    for n in range(1, max_words + 1):
+    for n in range(1, max(1, max_words) + 1):
         part = tok.select("doc_id", "start", (F.lead("end", n - 1).over(w) if n > 1 else F.col("end")).alias("end")).where("end is not null")
         grams = part if grams is None else grams.union(part)
     cut = grams.join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id").select("doc_id", "start", "end", F.substr("_t", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("surface"))

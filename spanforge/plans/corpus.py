@@ -83,7 +83,7 @@ COUNTS = f""", ba AS ({_FULL.format(p="pred")}), bb AS ({_FULL.format(p="pred2")
 ct AS (SELECT 'a' AS method, doc_id, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM ba GROUP BY doc_id
   UNION ALL SELECT 'b', doc_id, count(*) FILTER (WHERE g AND p), count(*) FILTER (WHERE p AND NOT g), count(*) FILTER (WHERE g AND NOT p) FROM bb GROUP BY doc_id)"""
 BOOT = COUNTS + """, dk AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM (SELECT DISTINCT doc_id FROM ct) q), nn AS (SELECT count(*) AS n FROM dk),
-rd AS (SELECT r, unnest(range(0, (SELECT n FROM nn))) AS d FROM (SELECT unnest(range(0, 40)) AS r) q),
+rd AS (SELECT r, unnest(range(0, (SELECT n FROM nn))) AS d FROM (SELECT unnest(range(0, 1000)) AS r) q),
 dr AS (SELECT r, CAST('0x' || substr(md5(concat('0:', r, ':', d)), 1, 12) AS BIGINT) % (SELECT n FROM nn) AS k, count(*) AS t FROM rd GROUP BY 1, 2),
 sm AS (SELECT r, method, sum(tp * t) AS tp, sum(fp * t) AS fp, sum(fn * t) AS fn FROM dr JOIN dk ON dr.k = dk.k JOIN ct ON ct.doc_id = dk.doc_id GROUP BY r, method),
 f AS (SELECT r, method, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1 FROM sm)"""
@@ -92,7 +92,7 @@ f AS (SELECT r, method, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / CA
 @query(BOOT + " SELECT method, 'mention' AS metric, quantile_cont(f1, 0.025) AS low, quantile_cont(f1, 0.975) AS high FROM f GROUP BY method")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile intervals of two methods' F1 under the same draws."""
-    samples = stats.bootstrap(_method_counts(Annotations(spark, sf_dir)), 40)
+    samples = stats.bootstrap(_method_counts(Annotations(spark, sf_dir)))
     return stats.intervals(samples, 0.95).drop("mean")
 
 
@@ -100,19 +100,19 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'b' AS method, 'mention' AS metric, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, avg(CASE WHEN d > 0 THEN 1.0 WHEN d = 0 THEN 0.5 ELSE 0.0 END) AS p_greater, avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END) AS p_tie FROM d""")
 def bootstrap_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired differences."""
-    samples = stats.bootstrap(_method_counts(Annotations(spark, sf_dir)), 40)
+    samples = stats.bootstrap(_method_counts(Annotations(spark, sf_dir)))
     return stats.differences(samples, "a")
 
 
 @query(COUNTS + """, two AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.tp, 0) AS ta, coalesce(x.fp, 0) AS pa, coalesce(x.fn, 0) AS na, coalesce(y.tp, 0) AS tb, coalesce(y.fp, 0) AS pb, coalesce(y.fn, 0) AS nb
   FROM (SELECT * FROM ct WHERE method = 'a') x FULL JOIN (SELECT * FROM ct WHERE method = 'b') y ON x.doc_id = y.doc_id),
-tr AS (SELECT two.*, r, r > 0 AND CAST('0x' || substr(md5(concat('0:', r, ':', doc_id)), 1, 12) AS BIGINT) % 2 = 1 AS sw FROM two, (SELECT unnest(range(0, 41)) AS r) q),
+tr AS (SELECT two.*, r, r > 0 AND CAST('0x' || substr(md5(concat('0:', r, ':', doc_id)), 1, 12) AS BIGINT) % 2 = 1 AS sw FROM two, (SELECT unnest(range(0, 1001)) AS r) q),
 sm AS (SELECT r, sum(CASE WHEN sw THEN tb ELSE ta END) AS ta, sum(CASE WHEN sw THEN pb ELSE pa END) AS pa, sum(CASE WHEN sw THEN nb ELSE na END) AS na, sum(CASE WHEN sw THEN ta ELSE tb END) AS tb, sum(CASE WHEN sw THEN pa ELSE pb END) AS pb, sum(CASE WHEN sw THEN na ELSE nb END) AS nb FROM tr GROUP BY r),
 d AS (SELECT r, 2 * ta / CAST(2 * ta + pa + na AS DOUBLE) - 2 * tb / CAST(2 * tb + pb + nb AS DOUBLE) AS d FROM sm), o AS (SELECT d AS observed FROM d WHERE r = 0)
-SELECT 'mention' AS metric, observed, (count(*) FILTER (WHERE abs(d) >= abs(observed) - 1e-15) + 1) / CAST(41 AS DOUBLE) AS p_value FROM d, o WHERE r > 0 GROUP BY observed""")
+SELECT 'mention' AS metric, observed, (count(*) FILTER (WHERE abs(d) >= abs(observed) - 1e-15) + 1) / CAST(1001 AS DOUBLE) AS p_value FROM d, o WHERE r > 0 GROUP BY observed""")
 def randomization_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label swapping by document."""
-    return stats.randomization(_method_counts(Annotations(spark, sf_dir)), "a", "b", 40)
+    return stats.randomization(_method_counts(Annotations(spark, sf_dir)), "a", "b")
 
 
 def _repeats(a: Annotations) -> DataFrame:
@@ -182,7 +182,7 @@ def diverse_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT source AS group_id, count(*) AS n_docs, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS en, CAST(sum(CASE WHEN lang <> 'en' THEN 1 ELSE 0 END) AS BIGINT) AS other FROM documents GROUP BY source),
-t AS (SELECT g.*, trial, CAST('0x' || substr(md5(concat('0:', trial, ':', group_id)), 1, 12) AS BIGINT) AS h FROM g, (SELECT unnest(range(0, 50)) AS trial) q),
+t AS (SELECT g.*, trial, CAST('0x' || substr(md5(concat('0:', trial, ':', group_id)), 1, 12) AS BIGINT) AS h FROM g, (SELECT unnest(range(0, 200)) AS trial) q),
 u AS (SELECT *, sum(n_docs) OVER (PARTITION BY trial ORDER BY h, group_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n_docs) OVER (PARTITION BY trial) AS n FROM t),
 v AS (SELECT *, CASE WHEN upto <= 0.6 * n + 1e-9 THEN 'train' WHEN upto <= 0.8 * n + 1e-9 THEN 'dev' ELSE 'test' END AS split FROM u),
 w AS (SELECT trial, split, sum(n_docs) AS n_docs, sum(en) AS en, sum(other) AS other, CASE split WHEN 'train' THEN 0.6 ELSE 0.2 END AS share FROM v GROUP BY trial, split),
@@ -193,7 +193,7 @@ SELECT v.group_id, v.split FROM v JOIN b ON v.trial = b.trial""", prelude=False)
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources split 60/20/20, languages balanced."""
     g = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("group_id")).agg(F.count("*").alias("n_docs"), F.sum((F.col("lang") == "en").cast("long")).alias("en"), F.sum((F.col("lang") != "en").cast("long")).alias("other"))
-    return rank.stratified_split(g, {"train": 0.6, "dev": 0.2, "test": 0.2}, ["en", "other"], trials=50)
+    return rank.stratified_split(g, {"train": 0.6, "dev": 0.2, "test": 0.2}, ["en", "other"])
 
 
 @query()

@@ -38,7 +38,7 @@ def gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = a.splits.where("split <> 'test'").select("doc_id")
     g = textscan.build_gazetteer(a.gold.join(seen, "doc_id", "left_semi"))
     test = a.docs.select("doc_id", "text").join(seen, "doc_id", "left_anti")
-    found = textscan.match_gazetteer(test, g, max_words=1)
+    found = textscan.match_gazetteer(test, g)
     return metrics.micro(metrics.mention_counts(a.gold.join(seen, "doc_id", "left_anti"), found), [], "type")
 
 
