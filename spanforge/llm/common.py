@@ -52,10 +52,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 SMALL_ROWS = 500_000
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """A stored narrow table, marked for a broadcast join if its counted rows are at most
-    ``SMALL_ROWS``; a larger one is joined through the shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    ``rows``; a larger one is joined through the shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def md5_number(key: Column) -> Column:

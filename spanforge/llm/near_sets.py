@@ -110,7 +110,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, s
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of set names whose ratio reaches the threshold."""
     asked = lambda p: materialize(rows.join(p.select(F.col("a").alias("sig")).union(p.select("b")).distinct(), "sig").groupBy("sig").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits")), "asked")
-    one = small(asked(pairs))
+    one = small(asked(pairs), 50_000)  # some 300 bytes a row
     side = lambda x, *c: one.select(F.col("sig").alias(x), *(F.col(k).alias(k + x) for k in c))
     differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     may = differ * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("na") + F.col("nb")) + 1e-6
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fold = [reduce(lambda a, b: a.bitwiseOR(b), [F.element_at("bits", k + 1) for k in range(j, BITS // 64, FOLD)]).alias(f"w{j}") for j in range(FOLD)]
     asked = materialize(open_.select(F.col("sig").alias("s")).distinct(), "asked")
     folded = materialize(rows.join(small(asked), F.col("sig") == F.col("s"), "left_semi").select(F.col("sig").alias("s"), *fold).distinct(), "folded")
-    open_ = open_.join(small(folded), F.col("sig") == F.col("s")).drop("s")
+    open_ = open_.join(small(folded, 200_000), F.col("sig") == F.col("s")).drop("s")
     differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.w{j}").bitwiseXOR(F.col(f"y.w{j}"))) for j in range(FOLD)])
     across = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.part") != F.col("y.part")) & (differ * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("x.n") + F.col("y.n")) + 1e-6)
     second = materialize(_candidates(open_, open_, threshold, across).join(first, ["a", "b"], "left_anti"), "candidates")
