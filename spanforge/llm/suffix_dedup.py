@@ -339,32 +339,37 @@ def _own_windows(batches):
 def covered_windows(contexts: list[bytes], names: list[tuple[int, int, int]], counts: list[int]) -> list[tuple[int, int, int]]:
     """Of the first ``counts[c]`` windows of each context those that are equal to an earlier
     one, as (i, k, p); ``names[c]`` is (i, k, p) of context c's first window."""
-    flat, where, at = [], {}, 0
-    for k, c in enumerate(contexts):
-        for w in range(counts[k]):
-            where[at + w] = (*names[k][:2], names[k][2] + w)
-        flat.append(c)
-        at += len(c) + 1
-    text = b"\x00".join(flat)
+    text = b"\x00".join(contexts)
+    window_at, owner, at = [-1] * len(text), [], 0  # the number of the window at each place, the context of each window
+    first = []
+    for c, (context, n) in enumerate(zip(contexts, counts)):
+        first.append(len(owner))
+        window_at[at : at + n] = range(len(owner), len(owner) + n)
+        owner += [c] * n
+        at += len(context) + 1
     numbers = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-    cut = np.cumsum([len(c) + 1 for c in flat])[:-1] - 1
+    cut = np.cumsum([len(c) + 1 for c in contexts])[:-1] - 1
     numbers[cut] = 0  # between contexts: a symbol of no text
     out, last, members = [], None, []
 
+    def name(w):
+        i, k, p = names[owner[w]]
+        return i, k, p + w - first[owner[w]]
+
     def close():
         if len(members) > 1:  # a window with its gram in two places comes twice under one name
-            out.extend(sorted(set(members))[1:])
+            out.extend(sorted(set(map(name, members)))[1:])
 
     for s in suffix_array(numbers):
-        name = where.get(s)
-        if name is None:
+        w = window_at[s]
+        if w < 0:
             continue
         window = text[s : s + WINDOW]
         if window != last:
             close()
-            members, last = [name], window
+            members, last = [w], window
         else:
-            members.append(name)
+            members.append(w)
     close()
     return sorted(set(out))
 
