@@ -18,7 +18,7 @@ all windows around it.
    spreads them over all tasks.
 5. Covered spans meet their texts again by document.
 
-Hashes only gather candidates and name contexts (128 bits); suffix arrays compare bytes.
+Equal contexts are told by 64-bit hashes of gram and context; suffix arrays compare the bytes of the rest.
 
 A document is named by its id i and a 64-bit hash k of its text.
 
