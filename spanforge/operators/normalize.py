@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import span_is_exact
 
-# Nouns that describe a product and are no part of its name.
-DESCRIPTORS = ["appliance", "appliances", "device", "devices", "server", "servers", "software", "product", "products", "platform", "application", "applications", "component", "service", "services", "system", "systems", "library"]
+# Nouns that describe a product and are no part of its name. server(s), application(s), devices,
+# instance(s), data center; the others are our own.
+DESCRIPTORS = [
+    "server", "servers", "application", "applications", "devices", "instance", "instances", "data center",
+    "appliance", "appliances", "device", "software", "product", "products", "platform", "component", "service", "services", "system", "systems", "library",
+]
 
 
 def keep_ontology(mentions: DataFrame, relations: DataFrame, types: DataFrame, relation_types: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,39 +39,30 @@ def repair_products(mentions: DataFrame, vendors: list[str], product: str = "Con
     """Product mentions after repair, with the action taken; a mention ``A and B`` becomes
     two, an acronym or colon prefix is cut, and bare vendors and descriptors are dropped
     (action drop_*, rows stay). Other mentions pass with action keep."""
-    bare, nouns = {v.lower() for v in vendors}, set(DESCRIPTORS)
-    names = mentions.columns
-
-    def fix(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                s, at = row["surface"], row["start"]
-                if row["type"] != product:
-                    out.append(row | {"action": "keep"})
-                    continue
-                if s.strip().lower() in bare:
-                    out.append(row | {"action": "drop_vendor"})
-                    continue
-                if s.strip().lower() in nouns:
-                    out.append(row | {"action": "drop_descriptor"})
-                    continue
-                m = re.match(r"^(?:[A-Z]{2,6}\s+)?[^:]{0,40}:\s+(?=\S)", s)
-                action = "keep"
-                if m:
-                    s, at, action = s[m.end() :], at + m.end(), "cut_prefix"
-                m = re.search(r"\s+\([A-Z0-9]{2,8}\)$", s)
-                if m:
-                    s, action = s[: m.start()], "cut_acronym"
-                m = re.match(r"^(\S+(?: \S+){0,3}) and (\S+(?: \S+){0,3})$", s)
-                parts = [(0, m[1]), (m.start(2), m[2])] if m else [(0, s)]
-                for k, (o, part) in enumerate(parts):
-                    out.append(row | {"surface": part, "start": at + o, "end": at + o + len(part), "id": row["id"] + ("b" if k else ""), "action": "split" if m else action})
-            yield pd.DataFrame(out, columns=[*names, "action"])
-
-    from pyspark.sql import types as T
-
-    return mentions.mapInPandas(fix, T.StructType([*mentions.schema.fields, T.StructField("action", T.StringType())]))
+    whole = F.lower(F.regexp_replace("surface", r"^\s+|\s+$", ""))
+    mine = F.col("type") == product
+    drop = F.when(mine & whole.isin([v.lower() for v in vendors] or [None]), "drop_vendor").when(mine & whole.isin(DESCRIPTORS), "drop_descriptor")
+    names = [c for c in mentions.columns if c not in ("id", "surface", "start", "end")]
+    fix = mine & F.col("_drop").isNull()
+    rows = mentions.withColumn("_drop", drop)
+    rows = rows.withColumn("_pre", F.when(fix, F.regexp_extract("surface", r"^((?:[A-Z]{2,6}\s+)?[^:]{0,40}:\s+)\S", 1)).otherwise(""))
+    rows = rows.withColumn("_s", F.expr("substr(surface, length(_pre) + 1)"))
+    rows = rows.withColumn("_acr", F.when(fix, F.regexp_extract("_s", r"\s+\([A-Z0-9]{2,8}\)\z", 0)).otherwise(""))
+    rows = rows.withColumn("_s", F.expr("substr(_s, 1, length(_s) - length(_acr))"))
+    both = r"^(\S+(?: \S+){0,3}) and (\S+(?: \S+){0,3})\z"
+    left, right = F.regexp_extract("_s", both, 1), F.regexp_extract("_s", both, 2)
+    two = fix & (left != "")
+    one = F.struct(F.lit(0).alias("o"), F.col("_s").alias("t"))
+    parts = F.when(two, F.array(F.struct(F.lit(0).alias("o"), left.alias("t")), F.struct((F.char_length("_s") - F.char_length(right)).alias("o"), right.alias("t")))).otherwise(F.array(one))
+    action = F.coalesce("_drop", F.when(two, "split").when(F.col("_acr") != "", "cut_acronym").when(F.col("_pre") != "", "cut_prefix").otherwise("keep"))
+    out = rows.select(*names, "id", "start", "end", "_drop", "_pre", "_s", action.alias("action"), mine.alias("_mine"), F.posexplode(parts).alias("_k", "_z"))
+    start = F.col("start") + F.char_length("_pre") + F.col("_z.o")
+    done = {
+        "id": F.concat("id", F.when(F.col("_k") > 0, "b").otherwise("")), "surface": F.col("_z.t"), "start": F.when(F.col("_mine") & F.col("_drop").isNull(), start).otherwise(F.col("start")),
+        "end": F.when(F.col("_mine") & F.col("_drop").isNull(), start + F.char_length("_z.t")).otherwise(F.col("end")),
+    }
+    kinds = {f.name: f.dataType for f in mentions.schema}
+    return out.select(*(done.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in mentions.columns), "action")
 
 
 def ground(raw: DataFrame, docs: DataFrame, unique_only: list[str] = ("Configuration",)) -> DataFrame:
