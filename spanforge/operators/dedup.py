@@ -123,8 +123,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     """(doc_id, item_id, share): documents that hold at least ``threshold`` of the shingles of
     a benchmark item. Equal-key join on shingles; only the benchmark's own can match."""
     items = shingles(benchmark.select(F.col("item_id").alias("doc_id"), "text"), size)
-    b = items.select(F.col("doc_id").alias("item_id"), F.col("n").alias("n_item"), F.explode("hashes").alias("g"))
-    d = shingles(docs, size).select("doc_id", F.explode("hashes").alias("g"))
+    b = items.select(F.col("doc_id").alias("item_id"), F.col("n").alias("n_item"), F.explode_outer("hashes").alias("g"))
+    # explode infers a filter on the array, which is pushed below the words' projection and would
+    # split the text again for every shingle; explode_outer infers none, and the join drops nulls
+    d = shingles(docs, size).select("doc_id", F.explode_outer("hashes").alias("g"))
     hit = d.join(b, "g").groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("k"))
     return hit.select("doc_id", "item_id", (F.col("k") / F.col("n_item")).alias("share")).where(F.col("share") >= threshold)
 
