@@ -112,7 +112,15 @@ def explicit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.explicit_facts(a.gold, a.docs, _sents(a), "Vulnerability", "Weakness", "then|ing", "not")
 
 
-@query()
+@query(""", l0 AS (SELECT doc_id, unnest(range(0, len(x))) AS k, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) q),
+ln AS (SELECT doc_id, line, CAST(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS BIGINT) AS e FROM l0),
+hd AS (SELECT doc_id, e - len(line) AS s, ref, lead(e - len(line)) OVER (PARTITION BY doc_id ORDER BY e) AS nx
+  FROM (SELECT *, regexp_matches(line, '(?i)^\\s*#*\\s*(?:references|external links|sources|bibliography|further reading)\\s*:?\\s*$') AS ref FROM ln) q WHERE ref OR regexp_matches(line, '^\\s*(?:#+\\s*\\S|[A-Z][A-Za-z ]{2,60}:?\\s*$)')),
+bl AS (SELECT doc_id, e - len(line) AS s, e FROM ln WHERE regexp_matches(line, '^\\s*(?:[-*•]|\\d+[.)])\\s+\\S')
+  UNION ALL SELECT doc_id, e - len(line), e FROM ln WHERE (regexp_matches(line, '\\|.*\\|') OR regexp_matches(line, '\\t.*\\t')) AND len(line) <= 2000
+  UNION ALL SELECT hd.doc_id, hd.s, coalesce(nx, len(text)) FROM hd JOIN documents d ON d.doc_id = hd.doc_id WHERE ref),
+o AS (SELECT g.doc_id, g.s, g.e, g.id, bl.s AS bs, bl.e AS be, row_number() OVER (PARTITION BY g.doc_id, g.id ORDER BY bl.e - bl.s, bl.s, bl.e) AS r FROM gold g LEFT JOIN bl ON bl.doc_id = g.doc_id AND g.s >= bl.s AND g.s < bl.e)
+SELECT doc_id, s AS start, e AS "end", id, bs AS b_start, be AS b_end FROM o WHERE r = 1""")
 def smallest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest structural block around each gold mention."""
     a = Annotations(spark, sf_dir)
@@ -127,7 +135,14 @@ def anchored_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.anchored_backfill(seeds, _sents(a), a.docs, a.gold.where("type = 'Vulnerability'"), a.pred)
 
 
-@query()
+@query(SENTS + """, x AS (SELECT g.doc_id, g.id, g.surface, st.part AS ev FROM gold g JOIN st ON st.doc_id = g.doc_id AND g.s >= s0 AND g.s < s1
+  UNION ALL SELECT g.doc_id, g.id, g.surface, substr(text, greatest(1, g.s - 79), 200) FROM gold g JOIN documents d ON d.doc_id = g.doc_id),
+y AS (SELECT *, trim(ev, ' ') AS t, len(ev) AS n FROM x),
+z AS (SELECT *, CASE WHEN t = '' THEN CAST(-100 AS DOUBLE) ELSE CASE WHEN contains(ev, surface) THEN 50 ELSE 0 END - CASE WHEN starts_with(ev, ' ') OR (regexp_matches(t, '^\\p{Ll}') AND NOT starts_with(t, 'cpe:')) THEN 30 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '(?:[.!?。]|[.)]"|\\.''|\\]\\.)(?:\\r\\n|[\\n\\r\\x{85}\\x{2028}\\x{2029}])?$') THEN 20 WHEN ends_with(t, chr(10)) THEN 10 ELSE 0 END
+  + CASE WHEN n BETWEEN 50 AND 350 THEN 25 WHEN n > 500 THEN -20 ELSE 0 END + least(n, 350) * CAST(0.1 AS DOUBLE) END AS score FROM y),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY score DESC, n, ev DESC) AS r FROM z)
+SELECT doc_id, id, score, ev AS evidence FROM o WHERE r = 1""")
 def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most self-contained of a mention's line and sentence."""
     a = Annotations(spark, sf_dir)
@@ -261,7 +276,14 @@ def method_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.by_method(_findings(spark, a).withColumn("method", F.lit("pred")), totals)
 
 
-@query()
+@query(SENTS + f""", c AS (SELECT * FROM gold WHERE type = 'Configuration'), ev AS (SELECT r.*, substr(text, ev_start + 1, ev_end - ev_start) AS ev FROM gold_rel r JOIN documents d ON d.doc_id = r.doc_id),
+f AS (SELECT doc_id, 'release_in_surface' AS kind, id AS item_id FROM c WHERE regexp_matches(surface, '{audit.RELEASE}')
+  UNION ALL SELECT doc_id, 'generic_suffix', id FROM c WHERE regexp_matches(surface, 'ing$')
+  UNION ALL SELECT g.doc_id, 'id_not_in_sentence', g.id FROM gold g JOIN st ON st.doc_id = g.doc_id AND g.s >= s0 AND g.s < s1 WHERE g.type = 'Weakness' AND g.norm IS NOT NULL AND NOT contains(upper(part), upper(g.norm))
+  UNION ALL SELECT doc_id, 'long_evidence', id FROM gold_rel WHERE ev_end - ev_start > 250
+  UNION ALL SELECT r.doc_id, 'several_vulnerabilities', r.id FROM gold_rel r JOIN gold g ON g.doc_id = r.doc_id AND g.type = 'Vulnerability' AND g.s >= ev_start AND g.e <= ev_end WHERE r.type = 'exploited_by' GROUP BY r.doc_id, r.id HAVING count(DISTINCT coalesce(g.norm, g.surface)) > 1
+  UNION ALL SELECT doc_id, 'after_exploitation', id FROM ev WHERE type = 'exploited_by' AND regexp_matches(ev, '{audit.POST_EXPLOIT}'))
+SELECT doc_id, 'blocking' AS severity, kind, item_id FROM f""")
 def semantic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocking findings; products ending in -ing stand for generic suffixes."""
     a = Annotations(spark, sf_dir)
@@ -274,11 +296,14 @@ def informational_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.informational(Annotations(spark, sf_dir).gold)
 
 
-@query(DAMAGED + SENTS + """, mo AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, s, e ORDER BY id) AS rr FROM m), mk AS (SELECT mo.doc_id, mo.id, mo.s, mo.e, mo.type, st.k FROM mo JOIN st ON st.doc_id = mo.doc_id AND mo.s >= s0 AND mo.s < s1 WHERE rr = 1),
+POST = DAMAGED + SENTS + f""", mo AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, s, e ORDER BY id) AS rr FROM m), mk AS (SELECT mo.doc_id, mo.id, mo.s, mo.e, mo.type, st.k FROM mo JOIN st ON st.doc_id = mo.doc_id AND mo.s >= s0 AND mo.s < s1 WHERE rr = 1),
 x AS (SELECT r.*, h.s AS hs, h.e AS he, h.k AS hk, h.type AS ht, t.s AS ts, t.e AS te, t.k AS tk, t.type AS tt, sig.type AS fits, substr(text, ev_start + 1, ev_end - ev_start) AS ev FROM r JOIN documents d ON d.doc_id = r.doc_id
-  LEFT JOIN mk h ON h.doc_id = r.doc_id AND h.id = r.head LEFT JOIN mk t ON t.doc_id = r.doc_id AND t.id = r.tail LEFT JOIN sig ON sig.type = r.type AND sig.tt = t.type AND h.type = 'Vulnerability')
-SELECT coalesce(CASE WHEN hs IS NULL OR ts IS NULL THEN 'missing_end' WHEN fits IS NULL THEN 'illegal_signature' WHEN ev_start > least(hs, ts) OR ev_end < greatest(he, te) THEN 'evidence_misses_end'
-  WHEN type = 'affects' AND hk <> tk THEN 'cross_sentence' WHEN type = 'exploited_by' AND NOT regexp_matches(ev, 'then|ing') THEN 'no_trigger' END, 'kept') AS reason, type, count(*) AS n FROM x GROUP BY 1, 2""")
+  LEFT JOIN mk h ON h.doc_id = r.doc_id AND h.id = r.head LEFT JOIN mk t ON t.doc_id = r.doc_id AND t.id = r.tail LEFT JOIN sig ON sig.type = r.type AND sig.tt = t.type AND h.type = 'Vulnerability'),
+v AS (SELECT type, CASE WHEN hs IS NULL OR ts IS NULL THEN 'missing_end' WHEN fits IS NULL THEN 'illegal_signature' WHEN ev_start > least(hs, ts) OR ev_end < greatest(he, te) THEN 'evidence_misses_end'
+  WHEN type = 'affects' AND hk <> tk THEN 'cross_sentence' WHEN type = 'exploited_by' AND NOT regexp_matches(ev, 'then|ing') THEN 'no_trigger' WHEN type = 'exploited_by' AND regexp_matches(ev, '{audit.POST_EXPLOIT}') THEN 'after_exploitation' END AS reason FROM x)"""
+
+
+@query(POST + " SELECT coalesce(reason, 'kept') AS reason, type, count(*) AS n FROM v GROUP BY 1, 2")
 def postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations by the rule that rejected them."""
     a = Annotations(spark, sf_dir)
@@ -287,7 +312,8 @@ def postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason"), "type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(POST + """, t AS (SELECT type, CASE reason WHEN 'missing_end' THEN 3 WHEN 'illegal_signature' THEN 4 WHEN 'evidence_misses_end' THEN 5 WHEN 'cross_sentence' THEN 6 ELSE 7 END AS given, reason FROM v), a AS (SELECT CAST(unnest(range(0, 9)) AS INTEGER) AS stage)
+SELECT stage, type, count(*) AS n FROM t, a WHERE reason IS NULL OR given > stage GROUP BY stage, type""")
 def postprocess_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6: survivors after each stage."""
     a = Annotations(spark, sf_dir)
@@ -306,8 +332,7 @@ def verify_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.verify_evidence(m.withColumn("ev_start", F.col("s0")).withColumn("ev_end", F.col("s1")), a.docs)
 
 
-@query(""", l AS (SELECT doc_id, id, CASE WHEN s % 2 = 0 THEN 'KEEP' ELSE 'REVISE' END AS decision FROM gold WHERE s % 3 > 0)
-SELECT g.doc_id, g.id, 'no_product_id' AS flags, l.decision, l.decision IS NULL AS blocks FROM gold g LEFT JOIN l ON l.doc_id = g.doc_id AND l.id = g.id WHERE g.type = 'Configuration'""")
+@query(""" SELECT doc_id, id, 'no_product_id' AS flags, CASE WHEN s % 3 = 0 THEN NULL WHEN s % 2 = 0 THEN 'KEEP' ELSE 'REVISE' END AS decision, s % 3 = 0 AS blocks FROM gold WHERE type = 'Configuration'""")
 def boundary_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8: product mentions against a ledger."""
     a = Annotations(spark, sf_dir)
@@ -332,14 +357,28 @@ def _catalogue(a: Annotations):
     return items, heads, feed
 
 
-@query()
+_KEY = "substr({x}, 1, 2) || ':' || {x}"
+CAT = f""", ci AS (SELECT doc_id, id, surface, CASE WHEN len(surface) % 2 = 0 THEN 'a:' ELSE 'o:' END AS part, CAST('0x' || substr(md5(concat('c', doc_id, id)), 1, 12) AS BIGINT) % 10 AS z FROM gold WHERE type = 'Configuration'),
+it AS (SELECT *, CASE WHEN z > 0 THEN part || {_KEY.format(x="lower(surface)")} END AS fam FROM ci),
+lk AS (SELECT doc_id, tail AS id, concat(doc_id, '-', head) AS record FROM gold_rel WHERE type = 'affects'),
+fd AS (SELECT record, CASE z WHEN 2 THEN 'h:' || {_KEY.format(x="lower(surface)")} WHEN 3 THEN part || {_KEY.format(x="lower(reverse(surface))")} ELSE part || {_KEY.format(x="lower(surface)")} END AS fam FROM lk JOIN ci ON ci.doc_id = lk.doc_id AND ci.id = lk.id WHERE z <> 1),
+th AS (SELECT DISTINCT lk.doc_id, lk.id, fd.fam FROM lk JOIN fd ON fd.record = lk.record), nl AS (SELECT doc_id, id, count(*) AS n FROM lk GROUP BY doc_id, id),
+pc AS (SELECT it.doc_id, it.id, it.surface, it.z, it.fam, count(th.fam) AS nt, bool_or(th.fam = it.fam) AS same, bool_or(substr(th.fam, 3) = substr(it.fam, 3)) AS near FROM it LEFT JOIN th ON th.doc_id = it.doc_id AND th.id = it.id GROUP BY it.doc_id, it.id, it.surface, it.z, it.fam),
+fi AS (SELECT pc.doc_id, pc.id, surface, z, CASE WHEN z = 0 THEN 'cpe:broken' ELSE 'cpe:2.3:' || fam || ':*:*:*:*:*:*:*:*' END AS norm, CASE WHEN fam IS NULL THEN 'invalid_id' WHEN nl.n IS NULL THEN 'no_linked_record' WHEN nt = 0 THEN 'no_record_products' WHEN same THEN 'validated' WHEN near THEN 'part_mismatch'
+  WHEN fam IN (SELECT fam FROM fd) THEN 'known_but_not_linked' ELSE 'family_not_linked' END AS status FROM pc LEFT JOIN nl ON nl.doc_id = pc.doc_id AND nl.id = pc.id)"""
+
+
+@query(CAT + " SELECT doc_id, id, norm, CASE WHEN z = 5 THEN 'validated_by_decision' ELSE status END AS status FROM fi")
 def catalogue_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product mentions against the products of their records."""
     items, links, feed = _catalogue(Annotations(spark, sf_dir))
     return corrections.catalogue_check(items.select("doc_id", "id", "norm"), links, feed, items.where("z = 5").select("doc_id", "id", F.lit("KEEP").alias("decision")))
 
 
-@query()
+@query(CAT + """, dp AS (SELECT DISTINCT lk.doc_id, fd.fam FROM lk JOIN fd ON fd.record = lk.record),
+j AS (SELECT it.doc_id, it.id, 'cpe:2.3:' || dp.fam || ':*:*:*:*:*:*:*:*' AS criteria, CASE WHEN substr(it.fam, 1, 1) = substr(dp.fam, 1, 1) THEN 0.12e0 ELSE 0e0 END + CASE WHEN substr(it.fam, 3, 2) = substr(dp.fam, 3, 2) THEN 0.28e0 ELSE 0e0 END
+  + 0.6e0 * (1 - levenshtein(substr(it.fam, 6), substr(dp.fam, 6)) / CAST(greatest(len(it.fam), len(dp.fam)) - 5 AS DOUBLE)) AS score FROM it JOIN dp ON dp.doc_id = it.doc_id WHERE it.fam IS NOT NULL),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, id ORDER BY score DESC, criteria) AS INTEGER) AS rank FROM j) SELECT doc_id, id, criteria, score, rank FROM o WHERE rank <= 12""")
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of the document's records by similarity."""
     items, links, feed = _catalogue(Annotations(spark, sf_dir))
@@ -347,17 +386,21 @@ def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.ranked_candidates(items, items.select("doc_id", "id").join(docs_products, "doc_id"))
 
 
-@query()
+@query(CAT + """, y AS (SELECT DISTINCT fam, CAST('0x' || substr(md5(record), 1, 12) AS BIGINT) % 5 + 2019 AS y FROM fd WHERE fam IN (SELECT fam FROM it WHERE fam IS NOT NULL))
+SELECT fam, string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) AS years FROM y GROUP BY fam""")
 def family_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years (by record hash) in which wanted families occur."""
     from ..functions.text import product_family
 
     items, _, feed = _catalogue(Annotations(spark, sf_dir))
     years = feed.select((keyed_number(F.col("record")) % 5 + 2019).cast("int").alias("year"), "criteria")
-    return corrections.family_presence(items.select(product_family(F.col("norm")).alias("fam")).where("fam is not null"), years)
+    found = corrections.family_presence(items.select(product_family(F.col("norm")).alias("fam")).where("fam is not null"), years)
+    return found.select("fam", F.array_join("years", ",").alias("years"))
 
 
-@query()
+@query(CAT + """, h AS (SELECT 'r1' AS rule_id, doc_id, id FROM fi WHERE status = 'part_mismatch' UNION ALL SELECT 'r2', doc_id, id FROM fi WHERE status = 'invalid_id' UNION ALL SELECT 'r3', doc_id, id FROM fi WHERE surface = 'Ention'),
+r(rule_id, expected) AS (VALUES ('r1', 1), ('r2', 5), ('r3', 2)), n AS (SELECT r.rule_id, expected, count(h.id) AS n FROM r LEFT JOIN h ON h.rule_id = r.rule_id GROUP BY r.rule_id, expected)
+SELECT rule_id, CAST(doc_id AS VARCHAR) AS item FROM h UNION ALL SELECT rule_id, 'count ' || n FROM n WHERE n <> expected UNION ALL SELECT min(rule_id), concat('claimed_twice ', doc_id, '/', id) FROM h GROUP BY doc_id, id HAVING count(*) > 1""")
 def rule_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hand-written rules expanded over the catalogue's findings, with violations."""
     a = Annotations(spark, sf_dir)
@@ -368,8 +411,8 @@ def rule_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("rule_id", F.col("doc_id").cast("string").alias("item")).union(wrong.select("rule_id", F.concat_ws(" ", "problem", "detail")))
 
 
-CORR = """, d AS (SELECT doc_id, id, s, CASE WHEN s % 9 = 0 THEN 'REJECT' ELSE 'REVISE' END AS action, CASE WHEN s % 7 = 0 THEN 'OTHER' ELSE norm END AS old_norm, norm || '-X' AS new_norm, s % 4 = 0 AS cut FROM gold WHERE s % 3 = 0 AND norm IS NOT NULL),
-j AS (SELECT g.*, d.action, d.cut, d.action IS NOT NULL AND d.old_norm = g.norm AS ok, d.new_norm FROM gold g LEFT JOIN d ON d.doc_id = g.doc_id AND d.id = g.id)"""
+# an item's id is unique in its document, so decisions derived from mentions need no join
+CORR = """, j AS (SELECT *, CASE WHEN s % 9 = 0 THEN 'REJECT' ELSE 'REVISE' END AS action, s % 4 = 0 AS cut, norm || '-X' AS new_norm, s % 3 = 0 AND norm IS NOT NULL AND s % 7 <> 0 AS ok FROM gold)"""
 
 
 @query(CORR + """ SELECT doc_id, id, CASE WHEN ok AND cut THEN substr(surface, 1, len(surface) - 1) ELSE surface END AS surface, CASE WHEN ok THEN new_norm ELSE norm END AS norm, s AS from_, CASE WHEN ok AND cut THEN e - 1 ELSE e END AS to_ FROM j WHERE NOT (ok AND action = 'REJECT') OR ok IS NULL""")
@@ -400,7 +443,10 @@ def ontology_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("mention").alias("item"), "type", "n").union(r.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("relation"), "type", "n"))
 
 
-@query()
+@query(""", b AS (SELECT p.*, string_split(text, surface) AS parts FROM pred p JOIN documents d ON d.doc_id = p.doc_id WHERE s % 20 = 0),
+r AS (SELECT doc_id, id, type, surface, unnest(range(0, len(parts) - 1)) AS k, unnest(parts[:len(parts) - 1]) AS piece FROM b WHERE type <> 'Configuration' OR len(parts) = 2),
+o AS (SELECT *, CAST(sum(len(piece)) OVER (PARTITION BY doc_id, id ORDER BY k) + k * len(surface) AS BIGINT) AS a FROM r)
+SELECT doc_id, id, s AS from_, e AS to_, type FROM pred WHERE s % 20 > 0 UNION ALL SELECT doc_id, id, a, a + len(surface), type FROM o""")
 def grounded_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: mentions whose offsets were lost found again at all their occurrences."""
     a = Annotations(spark, sf_dir)
@@ -439,7 +485,12 @@ def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.contract_issues(r, m, dim_relation(spark)).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(""", w0 AS (SELECT g.type, substr(text, s + 1, e - s + 14) AS x FROM gold g JOIN documents d ON d.doc_id = g.doc_id),
+w1 AS (SELECT type, x, regexp_replace(x, '(?i)(?:\\s+(?:the|and|of|in))+\\s*$', '') AS c FROM w0), w2 AS (SELECT type, CASE WHEN type = 'Configuration' AND c <> '' THEN c ELSE x END AS x FROM w1),
+w3 AS (SELECT *, regexp_extract(x, '^((?:[A-Z]{2,6}\\s+)?[^:]{0,40}:\\s+)\\S', 1) AS pre FROM w2), w4 AS (SELECT *, substr(x, len(pre) + 1) AS y FROM w3),
+w5 AS (SELECT *, regexp_extract(y, '\\s+\\([A-Z0-9]{2,8}\\)$') AS acr FROM w4), w6 AS (SELECT *, substr(y, 1, len(y) - len(acr)) AS z FROM w5),
+w7 AS (SELECT type, CASE WHEN type <> 'Configuration' THEN 'keep' WHEN lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) = 'thention' THEN 'drop_vendor' WHEN regexp_matches(z, '^\\S+(?: \\S+){0,3} and \\S+(?: \\S+){0,3}$') THEN 'split' WHEN acr <> '' THEN 'cut_acronym' WHEN pre <> '' THEN 'cut_prefix' ELSE 'keep' END AS action FROM w6)
+SELECT type, action, CAST(sum(CASE WHEN action = 'split' THEN 2 ELSE 1 END) AS BIGINT) AS n FROM w7 GROUP BY type, action""")
 def product_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product surfaces trimmed and repaired, actions counted; the product is the
     mention with the word after it."""
@@ -450,7 +501,10 @@ def product_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.repair_products(trimmed, ["thention"]).groupBy("type", "action").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(""", ph AS (SELECT * FROM (VALUES ('Vulnerability'), ('Configuration')) t(type), (VALUES ('tion'), ('ing'), ('ention')) p(phrase)),
+x AS (SELECT g.doc_id, g.id, g.type, surface, phrase, nullif(strpos(lower(surface), phrase), 0) AS pos FROM gold g LEFT JOIN ph ON ph.type = g.type),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos NULLS LAST, len(phrase) DESC) AS r FROM x)
+SELECT type, CASE WHEN pos IS NULL THEN surface ELSE substr(surface, pos, len(phrase)) END AS core, count(*) AS n FROM o WHERE r = 1 GROUP BY 1, 2""")
 def core_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surfaces reduced to listed phrases."""
     a = Annotations(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number
 from ..operators import dedup, graph, integrity, metrics, rank, stats
-from .fixtures import Annotations, table
+from .fixtures import SPLITS, Annotations, table
 from .registry import query
 
 
@@ -19,26 +19,44 @@ def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(a.docs, a.splits)
 
 
-@query()
+def _shingle_sql(name: str, source: str, key: str) -> str:
+    """CTE of distinct five-word shingles a text."""
+    return rf"""{name}_w AS (SELECT {key} AS k, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w FROM {source}),
+{name} AS (SELECT k, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM {name}_w)"""
+
+
+# one row a shingle set, under its smallest id; pairs of sets by their common shingles
+PAIRS = _shingle_sql("sh", "documents", "doc_id") + """,
+sg AS (SELECT k, len(g) AS n, g, min(k) OVER (PARTITION BY md5(array_to_string(list_sort(g), chr(10))), len(g)) AS rep FROM sh),
+ix AS (SELECT k, n, unnest(g) AS g FROM sg WHERE k = rep),
+cm AS (SELECT x.k AS a, y.k AS b, x.n AS na, y.n AS nb, count(*) AS c FROM ix x JOIN ix y ON x.g = y.g AND x.k < y.k GROUP BY 1, 2, 3, 4),
+np AS (SELECT a, b, c / CAST(na + nb - c AS DOUBLE) AS jaccard FROM cm WHERE c >= 0.75 * (na + nb - c))"""
+GROUPS = f"""WITH RECURSIVE {PAIRS}, ed AS (SELECT a, b FROM np UNION ALL SELECT b, a FROM np UNION ALL SELECT rep, k FROM sg WHERE k <> rep UNION ALL SELECT k, rep FROM sg WHERE k <> rep),
+rc(k, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT ed.b, rc.m FROM rc JOIN ed ON ed.a = rc.k), gr AS (SELECT k AS doc_id, min(m) AS group_id FROM rc GROUP BY k)"""
+
+
+@query(f"WITH {PAIRS} SELECT * FROM np", prelude=False)
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate pairs of different shingle sets."""
     return dedup.near_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(GROUPS + " SELECT * FROM gr", prelude=False)
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitive duplicate groups."""
     return dedup.duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(f"{GROUPS}, {SPLITS} SELECT group_id, count(*) AS n_docs, count(DISTINCT split) AS n_splits FROM gr JOIN splits ON splits.doc_id = gr.doc_id GROUP BY group_id HAVING count(DISTINCT split) > 1", prelude=False)
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate groups that span splits."""
     a = Annotations(spark, sf_dir)
     return dedup.leakage(a.docs.select("doc_id", "text"), a.splits)
 
 
-@query()
+@query(f"""WITH {_shingle_sql("sh", "documents", "doc_id")}, {_shingle_sql("bs", "benchmark", "item_id")},
+d AS (SELECT k AS doc_id, unnest(g) AS g FROM sh), b AS (SELECT k AS item_id, len(g) AS n, unnest(g) AS g FROM bs)
+SELECT doc_id, item_id, count(*) / CAST(n AS DOUBLE) AS share FROM d JOIN b ON d.g = b.g GROUP BY doc_id, item_id, n HAVING count(*) / CAST(n AS DOUBLE) >= 0.5""", prelude=False)
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item's shingles."""
     return dedup.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -67,6 +67,8 @@ def _rel_sql(name: str, source: str) -> str:
   WHERE type = 'Vulnerability' AND tt <> 'Vulnerability' AND ts - e <= 300)"""
 
 
+SPLITS = """splits AS (SELECT doc_id, CASE WHEN x < 3 THEN 'train' WHEN x = 3 THEN 'dev' ELSE 'test' END AS split
+  FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) % 5 AS x FROM documents) q)"""
 #: CTEs tok, gold, pred, pred2, gold_rel, pred_rel, pred2_rel and splits, columns as above with s and e for start and end.
 PRELUDE = f"""WITH ex AS (
   SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(p) AS p, unnest(m) AS surface
@@ -83,6 +85,5 @@ gold AS (SELECT doc_id, s, e, type, surface, norm, id FROM tok WHERE h % 10 < 3)
 {_rel_sql("gold_rel", "gold")},
 {_rel_sql("pred_rel", "pred")},
 {_rel_sql("pred2_rel", "pred2")},
-splits AS (SELECT doc_id, CASE WHEN x < 3 THEN 'train' WHEN x = 3 THEN 'dev' ELSE 'test' END AS split
-  FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) % 5 AS x FROM documents) q)
+{SPLITS}
 """

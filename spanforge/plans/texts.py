@@ -9,6 +9,7 @@ from ..functions.text import span_is_exact
 from ..operators import chunk, metrics, textscan
 from .fixtures import WORDS, Annotations, table
 from .registry import query
+from .scores import PRF
 
 
 @query(""" SELECT doc_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS start_sum, CAST(sum(e) AS BIGINT) AS end_sum, count(*) AS n_exact FROM tok GROUP BY doc_id""")
@@ -31,7 +32,13 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textscan.build_gazetteer(a.gold.join(a.splits.where("split <> 'test'"), "doc_id"))
 
 
-@query()
+@query(""", gs AS (SELECT gold.*, lower(surface) AS key FROM gold JOIN splits ON gold.doc_id = splits.doc_id WHERE split <> 'test'), gz AS (SELECT DISTINCT type, key FROM gs),
+gt AS (SELECT gold.* FROM gold JOIN splits ON gold.doc_id = splits.doc_id WHERE split = 'test'),
+tx AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(p) AS p, unnest(m) AS w FROM (SELECT d.doc_id, regexp_extract_all(text, '([\\s\\S]*?)([\\p{L}\\p{N}]+)', 1) AS p, regexp_extract_all(text, '([\\s\\S]*?)([\\p{L}\\p{N}]+)', 2) AS m FROM documents d JOIN splits ON d.doc_id = splits.doc_id WHERE split = 'test') q),
+ty AS (SELECT doc_id, lower(w) AS key, len(w) AS n, CAST(sum(len(p) + len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM tx), fo AS (SELECT doc_id, e - n AS s, e, type FROM ty JOIN gz ON gz.key = ty.key),
+b AS (SELECT doc_id, s, e, type, bool_or(src = 0) AS g, bool_or(src = 1) AS p FROM (SELECT DISTINCT doc_id, s, e, type, 0 AS src FROM gt UNION ALL SELECT DISTINCT doc_id, s, e, type, 1 FROM fo) u GROUP BY doc_id, s, e, type),
+c AS (SELECT coalesce(type, 'ALL') AS type, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM b GROUP BY GROUPING SETS ((), (type)))
+SELECT type, tp, fp, fn, """ + PRF + " FROM c")
 def gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gazetteer matches on test documents, scored against their gold."""
     a = Annotations(spark, sf_dir)
@@ -200,7 +207,14 @@ def window_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.inventory(chunk.stride_windows(a.docs), a.docs, a.splits)
 
 
-@query()
+@query(WIN + """, dw AS (SELECT doc_id, s, e, CASE WHEN s - coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000000) > 30 THEN 1 ELSE 0 END AS nw FROM gold),
+dr AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM dw),
+rn AS (SELECT doc_id, min(s) AS r0, max(e) AS r1 FROM dr GROUP BY doc_id, run HAVING count(*) >= 5 AND max(e) - min(s) >= 100),
+ir AS (SELECT g.doc_id, g.s FROM (SELECT DISTINCT doc_id, s FROM gold) g JOIN rn ON rn.doc_id = g.doc_id AND g.s >= r0 AND g.s < r1),
+j AS (SELECT win.*, s, row_number() OVER (PARTITION BY win.doc_id, w ORDER BY s) - 1 AS k FROM win JOIN ir ON ir.doc_id = win.doc_id AND s >= w_start AND s < w_end),
+cu AS (SELECT doc_id, w, w_start, w_end, w_start AS cut FROM win UNION SELECT doc_id, w, w_start, w_end, s FROM j WHERE k % 3 = 0 AND s > w_start),
+o AS (SELECT *, lead(cut) OVER q AS nx, row_number() OVER q - 1 AS piece FROM cu WINDOW q AS (PARTITION BY doc_id, w ORDER BY cut))
+SELECT doc_id, w, piece, CASE WHEN piece > 0 THEN greatest(w_start, cut - 100) ELSE w_start END AS w_start, coalesce(nx, w_end) AS w_end FROM o""")
 def dense_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows cut where mentions are dense."""
     a = Annotations(spark, sf_dir)
