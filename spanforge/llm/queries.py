@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, mixing, packing, pii, quality_lm, simhash, suffix_dedup, url_filter, weak_rules
+from . import exact_dedup, hard_negatives, html_extract, mixing, packing, pii, quality_lm, simhash, suffix_dedup, token_align, url_filter, warc, weak_rules
 from .common import md5_number, table
 
 
@@ -179,5 +179,62 @@ SELECT c.page_id, c.url, c.host, c.day, f.page_id IS NOT NULL AS blocked, coales
 FROM c LEFT JOIN f ON c.page_id = f.page_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_quality_classifier, op3_exact_dedup, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_suffix_dedup, op8_simhash, op9_url_filter, op10_mixing)}
-ORACLE_SQL = {"op3_exact_dedup": SQL3, "op9_url_filter": SQL9, "op10_mixing": SQL10}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector is an anchor; every 7th has the next label instead of its own."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantized(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding")
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+SQL11 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS r
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+       AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    out = token_align.align(table(spark, sf_dir, "documents"), a, b)
+    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to bundles, and what is read back from them."""
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL13 = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (5 * (3 - k % 4))) & 31 AS INTEGER) + 1, 1), '' ORDER BY k) AS b32
+      FROM (SELECT DISTINCT h FROM d) x, range(32) r(k) GROUP BY h),
+g AS (SELECT page_id, html, h, min(page_id) OVER (PARTITION BY html) AS first_id FROM d)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, b32 AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM g JOIN q ON q.h = g.h
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii_surrogates, op2_quality_classifier, op3_exact_dedup, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_suffix_dedup,
+        op8_simhash, op9_url_filter, op10_mixing, op11_hard_negatives, op12_token_alignment, op13_warc,
+    )
+}
+ORACLE_SQL = {"op3_exact_dedup": SQL3, "op9_url_filter": SQL9, "op10_mixing": SQL10, "op11_hard_negatives": SQL11, "op13_warc": SQL13}
