@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir, small
 
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 1 << 28
-#: Copies of one row that are written by one task.
-COPIES = 1000
+#: Copies of one row that are written by one task; raw bytes that a reading task gets.
+COPIES, TASK_BYTES = 1000, 1 << 27
 # Numbers of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -221,6 +221,12 @@ def write(pages: DataFrame, folder: str | None = None, frame_bytes: int = FRAME_
     return materialize(with_roles(pages, **columns).mapInArrow(run, INDEX), "index")
 
 
+def _tasks(index: DataFrame) -> int:
+    """Reading tasks by the bytes to read: names of frames are so narrow that their own size tells nothing."""
+    size = index.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0
+    return max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
 def _page(name: str | None) -> int | None:
     word = name.strip("<>").split(":")[2] if name else "None"
     return None if word == "None" else int(word)
@@ -253,8 +259,9 @@ def read(spark: SparkSession, index: DataFrame) -> DataFrame:
 
     paths = index.select("path").distinct()
     todo = paths.mapInArrow(frames, "path string, frame int")
+    tasks = _tasks(index)
     schema = "page_id long, record_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    return todo.repartition("path", "frame").sortWithinPartitions("path", "frame").mapInArrow(records, schema)
+    return todo.repartition(tasks, "path", "frame").sortWithinPartitions("path", "frame").mapInArrow(records, schema)
 
 
 def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -272,4 +279,4 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[], []], (pa.string(), pa.binary()))], names=["record_id", "record"])
 
     found = index.join(wanted.select("record_id").distinct(), "record_id", "left_semi").select("record_id", "path", "frame", "offset", "length")
-    return found.repartition("path", "frame").sortWithinPartitions("path", "frame").mapInArrow(run, "record_id string, record binary")
+    return found.repartition(_tasks(found), "path", "frame").sortWithinPartitions("path", "frame").mapInArrow(run, "record_id string, record binary")
