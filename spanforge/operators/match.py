@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_id
+from .sweep import nearest_spans, overlap_join
 from .textscan import islands
 
 SPAN = ["doc_id", "start", "end", "type"]
@@ -26,25 +29,13 @@ def exact_match(gold: DataFrame, pred: DataFrame, extra: list[str] = ()) -> Data
     return both.select(*keys, F.coalesce("in_gold", F.lit(False)).alias("in_gold"), F.coalesce("in_pred", F.lit(False)).alias("in_pred"))
 
 
-def _overlap() -> Column:
-    return F.greatest("g_start", "p_start") < F.least("g_end", "p_end")
-
-
-def overlap_pairs(gold: DataFrame, pred: DataFrame, extra: list[str] = (), same_type: bool = True, bucket: int | None = None) -> DataFrame:
-    """Pairs of overlapping spans of one document (and type), with their Jaccard ratio.
-
-    bucket: width of offset buckets for documents with very many mentions; both sides are
-    spread over the buckets that they touch and pairs are taken in the first common one."""
+def overlap_pairs(gold: DataFrame, pred: DataFrame, extra: list[str] = (), same_type: bool = True) -> DataFrame:
+    """Pairs of overlapping spans of one document (and type), with their Jaccard ratio."""
     keys = [*extra, "doc_id", *(["type"] if same_type else [])]
-    g = distinct_spans(gold, extra).select(*keys, *([] if same_type else [F.col("type").alias("g_type")]), F.col("start").alias("g_start"), F.col("end").alias("g_end"))
-    p = distinct_spans(pred, extra).select(*keys, *([] if same_type else [F.col("type").alias("p_type")]), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    g, p = g.where("g_end > g_start"), p.where("p_end > p_start")
-    if bucket:
-        g = g.withColumn("b", F.explode(F.sequence(F.floor(F.col("g_start") / bucket), F.floor((F.col("g_end") - 1) / bucket))))
-        p = p.withColumn("b", F.explode(F.sequence(F.floor(F.col("p_start") / bucket), F.floor((F.col("p_end") - 1) / bucket))))
-        j = g.join(p, [*keys, "b"]).where(_overlap() & (F.col("b") == F.floor(F.greatest("g_start", "p_start") / bucket))).drop("b")
-    else:
-        j = g.join(p, keys).where(_overlap())
+    j = overlap_join(distinct_spans(gold, extra), distinct_spans(pred, extra), keys)
+    for side, name in (("l", "g"), ("r", "p")):
+        for c in ("start", "end", *([] if same_type else ["type"])):
+            j = j.withColumnRenamed(f"{side}_{c}", f"{name}_{c}")
     inter = F.least("g_end", "p_end") - F.greatest("g_start", "p_start")
     return j.withColumn("jaccard", inter / (F.greatest("g_end", "p_end") - F.least("g_start", "p_start")))
 
@@ -53,37 +44,60 @@ def _sweep(gold: list, pred: list) -> int:
     """Pairs of a maximum matching of overlapping intervals.
 
     The interval with the smallest end on either side is matched with the open opposite
-    neighbour of smallest end; the neighbours left all reach over that end, so nothing is lost."""
-    both = sorted([(e, s, 0) for s, e in gold] + [(e, s, 1) for s, e in pred])
-    open_ = [sorted((e, s) for s, e in side) for side in (gold, pred)]
-    used, n = set(), 0
-    for e, s, side in both:
-        if (side, s, e) in used:
+    neighbour of smallest end; the neighbours left all reach over that end, so nothing is lost.
+    Two heaps hold what has begun before the end reached, by end."""
+    sides = [sorted(gold), sorted(pred)]
+    at, begun, used, n = [0, 0], [[], []], [set(), set()], 0
+    for e, s, side, k in sorted((e, s, side, k) for side in (0, 1) for k, (s, e) in enumerate(sides[side])):
+        if k in used[side]:
             continue
-        used.add((side, s, e))
-        for oe, os in open_[1 - side]:
-            if (1 - side, os, oe) not in used and max(s, os) < min(e, oe):
-                used.add((1 - side, os, oe))
-                n += 1
-                break
+        used[side].add(k)
+        other, heap = 1 - side, begun[1 - side]
+        while at[other] < len(sides[other]) and sides[other][at[other]][0] < e:
+            heapq.heappush(heap, (sides[other][at[other]][1], at[other]))
+            at[other] += 1
+        while heap and heap[0][1] in used[other]:
+            heapq.heappop(heap)
+        if heap and heap[0][0] > s:
+            used[other].add(heapq.heappop(heap)[1])
+            n += 1
     return n
 
 
 def _augment(gold: list, pred: list, threshold: float) -> int:
     """Pairs of a maximum matching where the spans' Jaccard ratio reaches the threshold."""
-    near = [[k for k, (a, b) in enumerate(pred) if max(s, a) < min(e, b) and (min(e, b) - max(s, a)) >= threshold * (max(e, b) - min(s, a))] for s, e in gold]
+    gold, pred, active, at, near = sorted(gold), sorted(pred), [], 0, []
+    for s, e in gold:
+        while at < len(pred) and pred[at][0] < e:
+            active.append(at)
+            at += 1
+        active = [k for k in active if pred[k][1] > s]
+        near.append([k for k in active if pred[k][0] < e and (min(e, pred[k][1]) - max(s, pred[k][0])) >= threshold * (max(e, pred[k][1]) - min(s, pred[k][0]))])
     mate: dict[int, int] = {}
-
-    def place(g: int, seen: set) -> bool:
-        for k in near[g]:
-            if k not in seen:
-                seen.add(k)
-                if k not in mate or place(mate[k], seen):
-                    mate[k] = g
-                    return True
+    taken: dict[int, int] = {}
+
+    def place(root: int) -> bool:
+        reached, path = {}, [(root, iter(near[root]))]
+        while path:
+            g, left = path[-1]
+            for k in left:
+                if k in reached:
+                    continue
+                reached[k] = g
+                if k in mate:
+                    path.append((mate[k], iter(near[mate[k]])))
+                    break
+                while True:  # the chain of spans that led here moves on by one
+                    g, before = reached[k], taken.get(reached[k])
+                    mate[k], taken[g] = g, k
+                    if g == root:
+                        return True
+                    k = before
+            else:
+                path.pop()
         return False
 
-    return sum(place(g, set()) for g in range(len(gold)))
+    return sum(map(place, range(len(gold))))
 
 
 def matched_counts(gold: DataFrame, pred: DataFrame, extra: list[str] = (), threshold: float | None = None) -> DataFrame:
@@ -137,16 +151,27 @@ def facts(relations: DataFrame, mentions: DataFrame, extra: list[str] = ()) -> D
 
 def contained(mentions: DataFrame, spans: DataFrame, span_keys: list[str]) -> DataFrame:
     """Per span (its keys) and mention type, the mentions that lie inside."""
-    s = spans.select(*span_keys, F.col("start").alias("s0"), F.col("end").alias("e0"))
-    j = s.join(mentions.select("doc_id", "start", "end", "type"), "doc_id").where("start >= s0 and end <= e0")
-    return j.groupBy(*span_keys, "type").agg(F.count("*").alias("n"))
+    s = spans.select("doc_id", "start", "end", F.struct(*span_keys).alias("span"))
+    j = overlap_join(s, mentions.select("doc_id", "start", "end", "type"), ["doc_id"], touching=True)
+    j = j.where("r_start >= l_start and r_end <= l_end")
+    return j.groupBy("l_span", "r_type").agg(F.count("*").alias("n")).select("l_span.*", F.col("r_type").alias("type"), "n")
 
 
 def nearest(emitted: DataFrame, gold: DataFrame) -> DataFrame:
     """Per emitted span the gold span of its document and type with the smallest sum of
-    offset differences; null without one."""
-    g = gold.select("doc_id", "type", F.col("start").alias("g_start"), F.col("end").alias("g_end"))
-    j = emitted.select(*SPAN).join(g, ["doc_id", "type"], "left")
-    cost = F.abs(F.col("start") - F.col("g_start")) + F.abs(F.col("end") - F.col("g_end"))
-    best = F.min(F.when(F.col("g_start").isNotNull(), F.struct(cost.alias("cost"), "g_start", "g_end"))).alias("b")
-    return j.groupBy(*SPAN).agg(best).select(*SPAN, F.col("b.cost").alias("cost"), F.col("b.g_start").alias("g_start"), F.col("b.g_end").alias("g_end"))
+    offset differences; null without one.
+
+    Exact hits are settled by a join; the others of a document go through one sweep."""
+    e, g = distinct_spans(emitted), distinct_spans(gold)
+    hit = e.join(g, SPAN, "left_semi").select(*SPAN, F.lit(0).cast("long").alias("cost"), F.col("start").cast("long").alias("g_start"), F.col("end").cast("long").alias("g_end"))
+    names = [*SPAN, "cost", "g_start", "g_end"]
+
+    def near(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = nearest_spans(list(zip(left["start"], left["end"])), list(zip(right["start"], right["end"]))) if len(right) else [(None,) * 3] * len(left)
+        cost, start, end = (pd.array(c, dtype="Int64") for c in zip(*found)) if found else ([], [], [])
+        return left.assign(cost=cost, g_start=start, g_end=end)[names]
+
+    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in SPAN), "cost long, g_start long, g_end long"])
+    rest = e.join(g, SPAN, "left_anti")
+    return hit.union(rest.groupBy("doc_id", "type").cogroup(g.groupBy("doc_id", "type")).applyInPandas(near, schema))

@@ -62,7 +62,7 @@ FROM j GROUP BY type""")
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs of a type, and those with Jaccard of a half or more."""
     a = Annotations(spark, sf_dir)
-    j = match.overlap_pairs(a.gold, a.pred, bucket=4096)
+    j = match.overlap_pairs(a.gold, a.pred)
     return j.groupBy("type").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("jaccard") >= 0.5).alias("n_half"))
 
 
