@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .link import last_before
+from .sweep import overlap_join
+
 MAX_CHARS, OVERLAP = 3000, 400
 #: Where a window may end, best first among equals by position: the latest in its second half.
 BREAKS = ("\n\n", "\n", "。", ". ")
@@ -64,19 +67,42 @@ def stride_windows(docs: DataFrame, length: int = MAX_CHARS, stride: int = MAX_C
     return rows.select("doc_id", "w", (F.col("w") * stride).alias("w_start"), F.least("n", F.col("w") * stride + length).alias("w_end"))
 
 
-def split_dense(wins: DataFrame, mentions: DataFrame, runs: DataFrame, most: int = 20, seam: int = 100) -> DataFrame:
-    """Windows that hold a dense run are cut so that no piece has over ``most`` of the
-    run's mentions; cuts fall on mention starts, pieces overlap by ``seam``, all is covered."""
-    m = mentions.select("doc_id", "start").distinct()
-    in_run = m.join(runs.select("doc_id", F.col("start").alias("r0"), F.col("end").alias("r1")), "doc_id").where("start >= r0 and start < r1")
-    w = wins.select("doc_id", "w", "w_start", "w_end")
-    j = w.join(in_run, "doc_id").where("start >= w_start and start < w_end")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "w").orderBy("start")) - 1
-    cuts = j.withColumn("k", rank).where((F.col("k") % most == 0) & (F.col("start") > F.col("w_start"))).select("doc_id", "w", "w_start", "w_end", F.col("start").alias("cut"))
+def split_dense(wins: DataFrame, mentions: DataFrame, runs: DataFrame, most: int = 20, seam: int = 100, records: DataFrame | None = None) -> DataFrame:
+    """Windows that hold a dense run are cut into pieces that begin at most ``most`` of the
+    run's mentions each, as even as can be; pieces reach ``seam`` over inner cuts on both sides,
+    all is covered.
+
+    A cut falls on the start of a piece's first mention, or, with ``records`` (doc_id, start), on
+    the last record border that lies between it and the mention before; a record that holds both
+    moves the cut back to where it begins, so that no record is split while its mentions fit."""
+    w = wins.select("doc_id", "w", F.col("w_start").cast("long").alias("w_start"), F.col("w_end").cast("long").alias("w_end"))
+    m = mentions.select("doc_id", F.col("start").cast("long").alias("start")).distinct().withColumn("end", F.col("start") + 1)
+    r = runs.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    in_run = overlap_join(m, r, ["doc_id"]).select("doc_id", F.col("l_start").alias("start"), F.col("l_end").alias("end"), F.col("r_start").alias("run"))
+    spans = w.select("doc_id", F.col("w_start").alias("start"), F.col("w_end").alias("end"), "w")
+    j = overlap_join(in_run, spans, ["doc_id"]).select("doc_id", F.col("r_w").alias("w"), F.col("r_start").alias("w_start"), F.col("r_end").alias("w_end"), F.col("l_run").alias("run"), F.col("l_start").alias("start"))
+    by_run = Window.partitionBy("doc_id", "w", "run")
+    if records is None:
+        j = j.withColumn("border", F.col("start")).withColumn("size", F.lit(1))
+    else:  # whole records are dealt out instead of mentions
+        j = last_before(j, records.select("doc_id", F.col("start").cast("long").alias("start"), F.col("start").cast("long").alias("border")), "border")
+        j = j.withColumn("border", F.greatest(F.coalesce("border", F.col("w_start")), F.col("w_start")))
+        j = j.groupBy("doc_id", "w", "w_start", "w_end", "run", "border").agg(F.count("*").alias("size"), F.min("start").alias("start"))
+    before = F.sum("size").over(by_run.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    j = j.withColumn("k", before).withColumn("n", F.sum("size").over(by_run)).withColumn("fit", F.max("size").over(by_run))
+    pieces = F.ceil(F.col("n") / most)
+    each = F.ceil(F.col("n") / pieces)
+    if records is not None:  # a piece takes whole records: room for the largest one is left, unless it fills a piece alone
+        each = F.greatest(F.lit(1), F.least(each, most - F.col("fit") + 1))
+    part = F.floor(F.col("k") / each)
+    first = F.row_number().over(Window.partitionBy("doc_id", "w", "run", "part").orderBy("start"))
+    cuts = j.withColumn("part", part).withColumn("first", first).where((F.col("first") == 1) & (F.col("part") > 0) & (F.col("border") > F.col("w_start")))
+    cuts = cuts.select("doc_id", "w", "w_start", "w_end", F.col("border").alias("cut"))
     starts = w.withColumn("cut", F.col("w_start")).unionByName(cuts).distinct()
     by = Window.partitionBy("doc_id", "w").orderBy("cut")
     out = starts.withColumn("next", F.lead("cut").over(by)).withColumn("piece", F.row_number().over(by) - 1)
-    return out.select("doc_id", "w", "piece", F.greatest("w_start", F.col("cut") - F.when(F.col("piece") > 0, seam).otherwise(0)).alias("w_start"), F.coalesce("next", "w_end").alias("w_end"))
+    lo = F.greatest("w_start", F.col("cut") - F.when(F.col("piece") > 0, seam).otherwise(0))
+    return out.select("doc_id", "w", "piece", lo.alias("w_start"), F.least("w_end", F.coalesce(F.col("next") + seam, F.col("w_end"))).alias("w_end"))
 
 
 def ownership(wins: DataFrame) -> DataFrame:

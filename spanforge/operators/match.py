@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,14 +165,34 @@ def nearest(emitted: DataFrame, gold: DataFrame) -> DataFrame:
     Exact hits are settled by a join; the others of a document go through one sweep."""
     e, g = distinct_spans(emitted), distinct_spans(gold)
     hit = e.join(g, SPAN, "left_semi").select(*SPAN, F.lit(0).cast("long").alias("cost"), F.col("start").cast("long").alias("g_start"), F.col("end").cast("long").alias("g_end"))
-    names = [*SPAN, "cost", "g_start", "g_end"]
-
-    def near(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = nearest_spans(list(zip(left["start"], left["end"])), list(zip(right["start"], right["end"]))) if len(right) else [(None,) * 3] * len(left)
-        cost, start, end = (pd.array(c, dtype="Int64") for c in zip(*found)) if found else ([], [], [])
-        return left.assign(cost=cost, g_start=start, g_end=end)[names]
-
-    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in SPAN), "cost long, g_start long, g_end long"])
-    rest = e.join(g, SPAN, "left_anti")
-    return hit.union(rest.groupBy("doc_id", "type").cogroup(g.groupBy("doc_id", "type")).applyInPandas(near, schema))
+    kinds = {f.name: f.dataType for f in e.schema}
+
+    def near(batches):
+        now, queries, spans = None, [], []
+
+        def found():
+            best = nearest_spans(queries, spans) if spans else [(None,) * 3] * len(queries)
+            return [(*now, *q, *b) for q, b in zip(queries, best)]
+
+        for b in batches:
+            rows = []
+            for d, t, s, e, is_gold in zip(*(c.to_pylist() for c in b.columns)):
+                if (d, t) != now:
+                    rows += found() if queries else []
+                    now, queries, spans = (d, t), [], []
+                (spans if is_gold else queries).append((s, e))
+            yield out(b.schema, rows)
+            last = b.schema
+        if queries:
+            yield out(last, found())
+
+    def out(given, rows):
+        types = [given.field("doc_id").type, given.field("type").type, *[pa.int64()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=["doc_id", "type", "start", "end", "cost", "g_start", "g_end"])
+
+    cols = ["doc_id", "type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")]
+    both = e.join(g, SPAN, "left_anti").select(*cols, F.lit(False).alias("is_gold")).union(g.select(*cols, F.lit(True)))
+    both = both.repartition("doc_id", "type").sortWithinPartitions("doc_id", "type")
+    schema = f"doc_id {kinds['doc_id'].simpleString()}, type {kinds['type'].simpleString()}, start long, end long, cost long, g_start long, g_end long"
+    rest = both.mapInArrow(near, schema).select(*(F.col(c).cast(kinds[c]).alias(c) for c in SPAN), "cost", "g_start", "g_end")
+    return hit.union(rest)

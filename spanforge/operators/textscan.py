@@ -78,10 +78,13 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def smallest_block(mentions: DataFrame, block_rows: DataFrame) -> DataFrame:
     """Every mention with the shortest block that holds its start (null if none)."""
-    b = block_rows.select(F.col("doc_id").alias("bd"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    j = mentions.join(b, (F.col("doc_id") == F.col("bd")) & (F.col("start") >= F.col("b_start")) & (F.col("start") < F.col("b_end")), "left")
-    best = F.min(F.when(F.col("b_start").isNotNull(), F.struct((F.col("b_end") - F.col("b_start")).alias("len"), "b_start", "b_end")))
-    return j.groupBy(*mentions.columns).agg(best.alias("b")).select(*mentions.columns, "b.b_start", "b.b_end")
+    from .sweep import overlap_join
+
+    at = mentions.select("doc_id", "start", (F.col("start") + 1).alias("end"), F.col("start").alias("s")).distinct()
+    j = overlap_join(at, block_rows.select("doc_id", "start", "end"), ["doc_id"])
+    best = F.min(F.struct((F.col("r_end") - F.col("r_start")).alias("len"), F.col("r_start").alias("b_start"), F.col("r_end").alias("b_end")))
+    per = j.groupBy(F.col("doc_id"), F.col("l_s").alias("start")).agg(best.alias("b")).select("doc_id", "start", "b.b_start", "b.b_end")
+    return mentions.distinct().join(per, ["doc_id", "start"], "left").select(*mentions.columns, "b_start", "b_end")
 
 
 def dense_runs(mentions: DataFrame, gap: int = 120, least: int = 25, span: int = 1000) -> DataFrame:
@@ -137,48 +140,15 @@ def build_gazetteer(mentions: DataFrame, generic: list[str] = (), least: int = 3
 
 
 def match_gazetteer(docs: DataFrame, gazetteer: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, start, end, type, surface, norm) of gazetteer keys of letter-and-digit runs,
-    however many the longest key has, guarded at word ends, longest first without overlap in a type.
-
-    Word n-grams meet the keys in a hash join; no pattern is run a term."""
-    tok = scan(docs, r"[\p{L}\p{N}]+", text)
-    w = Window.partitionBy("doc_id").orderBy("i")
-    max_words = gazetteer.agg(F.max(F.regexp_count("key", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0  # one number
-    grams = None
-    for n in range(1, max(1, max_words) + 1):
-        part = tok.select("doc_id", "start", (F.lead("end", n - 1).over(w) if n > 1 else F.col("end")).alias("end")).where("end is not null")
-        grams = part if grams is None else grams.union(part)
-    cut = grams.join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id").select("doc_id", "start", "end", F.substr("_t", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("surface"))
-    hits = cut.withColumn("key", F.lower("surface")).join(gazetteer.select("type", "key", "norm"), "key")
-    hits = hits.withColumn("shorter", F.col("start") - F.col("end")).select("doc_id", "start", "end", "type", "surface", "norm", "key", "shorter")
-    return greedy_non_overlap(hits, ["doc_id", "type"], ["shorter", "key", "start"]).select("doc_id", "start", "end", "type", "surface", "norm")
-
-
-def abbreviations(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Corpus dictionary (short, long, n_docs, n_long) of ``Long Form (SF)`` pairs.
+    """(doc_id, start, end, type, surface, norm) of gazetteer keys, guarded where a key begins or
+    ends with a letter or digit, longest first without overlap in a type.
 
-    The letters of the short form are aligned with the words before the bracket from right
-    to left; n_long counts the long forms that compete for a short form."""
-    found = scan(docs, r"(?:[A-Za-z][\w\-]* ){1,8}\([A-Z][A-Za-z0-9]{1,9}\)", text)
+    Keys may hold any signs; one automaton reads a text once for all of them."""
+    from .terms import term_hits
 
-    @F.pandas_udf("string")
-    def align(surfaces: pd.Series) -> pd.Series:
-        def one(s: str) -> str | None:
-            long, short = s.rsplit("(", 1)
-            words, letters = long.split(), short.rstrip(")").lower()
-            at = len(letters) - 1
-            for k in range(len(words) - 1, -1, -1):
-                if at >= 0 and words[k][0].lower() == letters[at]:
-                    at -= 1
-                    if at < 0:
-                        return " ".join(words[k:])
-            return None
-
-        return surfaces.map(one)
-
-    pairs = found.select("doc_id", F.regexp_extract("surface", r"\(([^()]*)\)$", 1).alias("short"), align("surface").alias("long")).where("long is not null")
-    out = pairs.groupBy("short", F.lower("long").alias("long")).agg(F.countDistinct("doc_id").alias("n_docs"))
-    return out.withColumn("n_long", F.count("*").over(Window.partitionBy("short")))
+    hits = term_hits(docs, gazetteer, text).join(gazetteer.select("type", "key", "norm"), "key")
+    hits = hits.withColumn("shorter", F.col("start") - F.col("end")).select("doc_id", "start", "end", "type", "surface", "norm", "key", "shorter")
+    return greedy_non_overlap(hits, ["doc_id", "type"], ["shorter", "key", "start"]).select("doc_id", "start", "end", "type", "surface", "norm")
 
 
 def snippets(mentions: DataFrame, docs: DataFrame, reach: int = 180, most: int = 2, text: str = "text") -> DataFrame:

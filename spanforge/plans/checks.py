@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number
-from ..operators import audit, chunk, corrections, errors, link, metrics, normalize, textscan
+from ..operators import audit, chunk, corrections, errors, facts, link, metrics, normalize, textscan
 from ..operators.match import distinct_spans, nearest, with_ends
 from ..schema import dim_entity_type, dim_relation
 from ..sources.tables import mention_inventory
@@ -112,6 +112,27 @@ def explicit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.explicit_facts(a.gold, a.docs, _sents(a), "Vulnerability", "Weakness", "then|ing", "not")
 
 
+GOVERNED = [(" of ", " • CVE-2021-44228 "), (" to ", " • note "), (" and ", " actors have exploited the following CVEs [T1190] here: "), (" in ", " Exploit Public-Facing Application T1190 ")]
+_governed = "text"
+for _old, _new in GOVERNED:
+    _governed = f"replace({_governed}, '{_old}', '{_new}')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_governed} AS text FROM documents), ma AS (SELECT doc_id, '([\\s\\S]*?)(actors have exploited the following CVEs \\[T1190\\] here:|• CVE-2021-44228|•|Exploit Public-Facing Application T1190|\\.)' AS pt, text FROM d),
+x AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(p) AS p, unnest(m) AS m FROM (SELECT doc_id, regexp_extract_all(text, pt, 1) AS p, regexp_extract_all(text, pt, 2) AS m FROM ma) q),
+t AS (SELECT doc_id, m, CAST(sum(len(p) + len(m)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM x),
+k AS (SELECT doc_id, m, e - len(m) AS s, e, min(CASE WHEN m = '.' THEN e END) OVER (PARTITION BY doc_id ORDER BY e ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM t),
+j AS (SELECT h.doc_id, h.s AS hs, h.e AS he, b.s, b.e, b.m, lag(b.s) OVER q AS before FROM k h JOIN k b ON h.doc_id = b.doc_id AND h.m LIKE 'actors%' AND b.m LIKE '•%' AND b.s >= h.e AND b.s < h.e + 1999 WINDOW q AS (PARTITION BY h.doc_id, h.s ORDER BY b.s)),
+z AS (SELECT *, max(CASE WHEN m = '•' OR (before IS NULL AND s - he > 80) OR s - before > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, hs ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ended FROM j)
+SELECT doc_id, 'CVE-2021-44228' AS item, e - 14 AS item_start, e AS item_end, 'T1190' AS scope, he - 12 AS scope_start, he - 7 AS scope_end, hs AS ev_start, e AS ev_end, 1 AS shape FROM z WHERE ended = 0
+UNION ALL SELECT r.doc_id, 'CVE-2021-44228', b.e - 14, b.e, 'T1190', r.e - 5, r.e, r.s, r.stop, 2 FROM k r JOIN k b ON b.doc_id = r.doc_id AND r.m LIKE 'Exploit%' AND b.m LIKE '%44228' AND b.e - 14 >= r.e AND b.e <= r.stop AND r.stop - r.s <= 800""", prelude=False)
+def governed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in the bullets under a heading and in the sentence of a named row, in documents whose
+    commonest words stand for bullets, headings and rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_governed).alias("text"))
+    return facts.listed(docs).withColumn("shape", F.lit(1)).union(facts.named_rows(docs).withColumn("shape", F.lit(2)))
+
+
 @query(""", l0 AS (SELECT doc_id, unnest(range(0, len(x))) AS k, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) q),
 ln AS (SELECT doc_id, line, CAST(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS BIGINT) AS e FROM l0),
 hd AS (SELECT doc_id, e - len(line) AS s, ref, lead(e - len(line)) OVER (PARTITION BY doc_id ORDER BY e) AS nx
@@ -282,7 +303,7 @@ f AS (SELECT doc_id, 'release_in_surface' AS kind, id AS item_id FROM c WHERE re
   UNION ALL SELECT g.doc_id, 'id_not_in_sentence', g.id FROM gold g JOIN st ON st.doc_id = g.doc_id AND g.s >= s0 AND g.s < s1 WHERE g.type = 'Weakness' AND g.norm IS NOT NULL AND NOT contains(upper(part), upper(g.norm))
   UNION ALL SELECT doc_id, 'long_evidence', id FROM gold_rel WHERE ev_end - ev_start > 250
   UNION ALL SELECT r.doc_id, 'several_vulnerabilities', r.id FROM gold_rel r JOIN gold g ON g.doc_id = r.doc_id AND g.type = 'Vulnerability' AND g.s >= ev_start AND g.e <= ev_end WHERE r.type = 'exploited_by' GROUP BY r.doc_id, r.id HAVING count(DISTINCT coalesce(g.norm, g.surface)) > 1
-  UNION ALL SELECT doc_id, 'after_exploitation', id FROM ev WHERE type = 'exploited_by' AND regexp_matches(ev, '{audit.POST_EXPLOIT}'))
+  UNION ALL SELECT doc_id, 'after_exploitation', id FROM ev WHERE type = 'exploited_by' AND regexp_matches(ev, '{audit.AFTER_EXPLOIT}') AND regexp_matches(ev, '{audit.LATER_ACTIVITY}'))
 SELECT doc_id, 'blocking' AS severity, kind, item_id FROM f""")
 def semantic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocking findings; products ending in -ing stand for generic suffixes."""
@@ -300,7 +321,7 @@ POST = DAMAGED + SENTS + f""", mo AS (SELECT *, row_number() OVER (PARTITION BY
 x AS (SELECT r.*, h.s AS hs, h.e AS he, h.k AS hk, h.type AS ht, t.s AS ts, t.e AS te, t.k AS tk, t.type AS tt, sig.type AS fits, substr(text, ev_start + 1, ev_end - ev_start) AS ev FROM r JOIN documents d ON d.doc_id = r.doc_id
   LEFT JOIN mk h ON h.doc_id = r.doc_id AND h.id = r.head LEFT JOIN mk t ON t.doc_id = r.doc_id AND t.id = r.tail LEFT JOIN sig ON sig.type = r.type AND sig.tt = t.type AND h.type = 'Vulnerability'),
 v AS (SELECT type, CASE WHEN hs IS NULL OR ts IS NULL THEN 'missing_end' WHEN fits IS NULL THEN 'illegal_signature' WHEN ev_start > least(hs, ts) OR ev_end < greatest(he, te) THEN 'evidence_misses_end'
-  WHEN type = 'affects' AND hk <> tk THEN 'cross_sentence' WHEN type = 'exploited_by' AND NOT regexp_matches(ev, 'then|ing') THEN 'no_trigger' WHEN type = 'exploited_by' AND regexp_matches(ev, '{audit.POST_EXPLOIT}') THEN 'after_exploitation' END AS reason FROM x)"""
+  WHEN type = 'affects' AND hk <> tk THEN 'cross_sentence' WHEN type = 'exploited_by' AND NOT regexp_matches(ev, 'then|ing') THEN 'no_trigger' WHEN type = 'exploited_by' AND regexp_matches(ev, '{audit.AFTER_EXPLOIT}') AND regexp_matches(ev, '{audit.LATER_ACTIVITY}') THEN 'after_exploitation' END AS reason FROM x)"""
 
 
 @query(POST + " SELECT coalesce(reason, 'kept') AS reason, type, count(*) AS n FROM v GROUP BY 1, 2")
@@ -375,12 +396,10 @@ def catalogue_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.catalogue_check(items.select("doc_id", "id", "norm"), links, feed, items.where("z = 5").select("doc_id", "id", F.lit("KEEP").alias("decision")))
 
 
-@query(CAT + """, dp AS (SELECT DISTINCT lk.doc_id, fd.fam FROM lk JOIN fd ON fd.record = lk.record),
-j AS (SELECT it.doc_id, it.id, 'cpe:2.3:' || dp.fam || ':*:*:*:*:*:*:*:*' AS criteria, CASE WHEN substr(it.fam, 1, 1) = substr(dp.fam, 1, 1) THEN 0.12e0 ELSE 0e0 END + CASE WHEN substr(it.fam, 3, 2) = substr(dp.fam, 3, 2) THEN 0.28e0 ELSE 0e0 END
-  + 0.6e0 * (1 - levenshtein(substr(it.fam, 6), substr(dp.fam, 6)) / CAST(greatest(len(it.fam), len(dp.fam)) - 5 AS DOUBLE)) AS score FROM it JOIN dp ON dp.doc_id = it.doc_id WHERE it.fam IS NOT NULL),
-o AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, id ORDER BY score DESC, criteria) AS INTEGER) AS rank FROM j) SELECT doc_id, id, criteria, score, rank FROM o WHERE rank <= 12""")
+@query()
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of the document's records by similarity."""
+    """Products of the document's records by similarity. Matching blocks have no SQL form;
+    tests hold the operator against all pairs."""
     items, links, feed = _catalogue(Annotations(spark, sf_dir))
     docs_products = links.join(feed, "record").select("doc_id", "criteria").distinct()
     return corrections.ranked_candidates(items, items.select("doc_id", "id").join(docs_products, "doc_id"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import span_is_exact
-from ..operators import chunk, metrics, textscan
+from ..operators import chunk, metrics, terms, textscan
 from .fixtures import WORDS, Annotations, table
 from .registry import query
 from .scores import PRF
@@ -34,7 +34,7 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(""", gs AS (SELECT gold.*, lower(surface) AS key FROM gold JOIN splits ON gold.doc_id = splits.doc_id WHERE split <> 'test'), gz AS (SELECT DISTINCT type, key FROM gs),
 gt AS (SELECT gold.* FROM gold JOIN splits ON gold.doc_id = splits.doc_id WHERE split = 'test'),
-tx AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(p) AS p, unnest(m) AS w FROM (SELECT d.doc_id, regexp_extract_all(text, '([\\s\\S]*?)([\\p{L}\\p{N}]+)', 1) AS p, regexp_extract_all(text, '([\\s\\S]*?)([\\p{L}\\p{N}]+)', 2) AS m FROM documents d JOIN splits ON d.doc_id = splits.doc_id WHERE split = 'test') q),
+tx AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(p) AS p, unnest(m) AS w FROM (SELECT d.doc_id, regexp_extract_all(text, '([\\s\\S]*?)([\\p{L}\\p{N}_]+)', 1) AS p, regexp_extract_all(text, '([\\s\\S]*?)([\\p{L}\\p{N}_]+)', 2) AS m FROM documents d JOIN splits ON d.doc_id = splits.doc_id WHERE split = 'test') q),
 ty AS (SELECT doc_id, lower(w) AS key, len(w) AS n, CAST(sum(len(p) + len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM tx), fo AS (SELECT doc_id, e - n AS s, e, type FROM ty JOIN gz ON gz.key = ty.key),
 b AS (SELECT doc_id, s, e, type, bool_or(src = 0) AS g, bool_or(src = 1) AS p FROM (SELECT DISTINCT doc_id, s, e, type, 0 AS src FROM gt UNION ALL SELECT DISTINCT doc_id, s, e, type, 1 FROM fo) u GROUP BY doc_id, s, e, type),
 c AS (SELECT coalesce(type, 'ALL') AS type, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM b GROUP BY GROUPING SETS ((), (type)))
@@ -49,6 +49,23 @@ def gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.micro(metrics.mention_counts(a.gold.join(seen, "doc_id", "left_anti"), found), [], "type")
 
 
+@query(""", gp AS (SELECT gold.doc_id, s, e, surface, lead(s) OVER q AS s2, lead(e) OVER q AS e2 FROM gold JOIN splits ON gold.doc_id = splits.doc_id WHERE split <> 'test' WINDOW q AS (PARTITION BY gold.doc_id ORDER BY s)),
+ky AS (SELECT DISTINCT lower(surface) AS w1, lower(substr(text, s + 1, e2 - s)) AS key FROM gp JOIN documents d ON d.doc_id = gp.doc_id WHERE s2 - e BETWEEN 1 AND 3),
+hi AS (SELECT key, t.doc_id FROM tok t JOIN splits ON t.doc_id = splits.doc_id AND split = 'test' JOIN documents d ON d.doc_id = t.doc_id JOIN ky ON lower(t.surface) = w1 AND lower(substr(text, s + 1, len(key))) = key
+  WHERE NOT regexp_matches(substr(text, s, CASE WHEN s = 0 THEN 0 ELSE 1 END), '[\\p{L}\\p{N}_]') AND NOT regexp_matches(substr(text, s + 1 + len(key), 1), '[\\p{L}\\p{N}_]'))
+SELECT key, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM hi GROUP BY key""")
+def gazetteer_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of neighbouring gold mentions with what stands between them, in test documents."""
+    a = Annotations(spark, sf_dir)
+    seen = a.splits.where("split <> 'test'").select("doc_id")
+    docs = a.docs.select("doc_id", "text")
+    w = Window.partitionBy("doc_id").orderBy("start")
+    pairs = a.gold.join(seen, "doc_id", "left_semi").select("doc_id", "start", "end", F.lead("start").over(w).alias("s2"), F.lead("end").over(w).alias("e2")).where("s2 - end between 1 and 3")
+    keys = pairs.join(docs, "doc_id").select(F.lower(F.substr("text", (F.col("start") + 1).cast("int"), (F.col("e2") - F.col("start")).cast("int"))).alias("key"))
+    hits = terms.term_hits(docs.join(seen, "doc_id", "left_anti"), keys)
+    return hits.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
 @query(""", x AS (SELECT t.* FROM tok t LEFT JOIN pred p ON p.doc_id = t.doc_id AND p.s = t.s AND p.e = t.e AND p.type = t.type WHERE p.s IS NULL AND t.h % 10 < 3),
 u AS (SELECT doc_id, type FROM pred UNION ALL SELECT doc_id, type FROM x)
 SELECT type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM u GROUP BY type""")
@@ -123,8 +140,11 @@ def context_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus's abbreviation dictionary."""
-    return textscan.abbreviations(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The abbreviation dictionary of the documents in capitals, with a definition after every
+    two long words that only a blank parts: long form first, and short form first before a comma."""
+    two = "([A-Z])([A-Z]{3,}) ([A-Z])([A-Z]{3,})"
+    defined = F.regexp_replace(F.regexp_replace(F.upper("text"), f"{two},", "$1$3 ($1$2 $3$4),"), f"{two} ", "$1$2 $3$4 ($1$3) ")
+    return terms.abbreviations(table(spark, sf_dir, "documents").select("doc_id", defined.alias("text")))
 
 
 # ---- windows -----------------------------------------------------------------------------
@@ -210,11 +230,11 @@ def window_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WIN + """, dw AS (SELECT doc_id, s, e, CASE WHEN s - coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000000) > 30 THEN 1 ELSE 0 END AS nw FROM gold),
 dr AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM dw),
 rn AS (SELECT doc_id, min(s) AS r0, max(e) AS r1 FROM dr GROUP BY doc_id, run HAVING count(*) >= 5 AND max(e) - min(s) >= 100),
-ir AS (SELECT g.doc_id, g.s FROM (SELECT DISTINCT doc_id, s FROM gold) g JOIN rn ON rn.doc_id = g.doc_id AND g.s >= r0 AND g.s < r1),
-j AS (SELECT win.*, s, row_number() OVER (PARTITION BY win.doc_id, w ORDER BY s) - 1 AS k FROM win JOIN ir ON ir.doc_id = win.doc_id AND s >= w_start AND s < w_end),
-cu AS (SELECT doc_id, w, w_start, w_end, w_start AS cut FROM win UNION SELECT doc_id, w, w_start, w_end, s FROM j WHERE k % 3 = 0 AND s > w_start),
+ir AS (SELECT g.doc_id, g.s, r0 FROM (SELECT DISTINCT doc_id, s FROM gold) g JOIN rn ON rn.doc_id = g.doc_id AND g.s >= r0 AND g.s < r1),
+j AS (SELECT win.*, s, row_number() OVER (PARTITION BY win.doc_id, w, r0 ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY win.doc_id, w, r0) AS n FROM win JOIN ir ON ir.doc_id = win.doc_id AND s >= w_start AND s < w_end),
+cu AS (SELECT doc_id, w, w_start, w_end, w_start AS cut FROM win UNION SELECT doc_id, w, w_start, w_end, s FROM j WHERE k > 0 AND k % CAST(ceil(n / ceil(n / 3.0)) AS BIGINT) = 0 AND s > w_start),
 o AS (SELECT *, lead(cut) OVER q AS nx, row_number() OVER q - 1 AS piece FROM cu WINDOW q AS (PARTITION BY doc_id, w ORDER BY cut))
-SELECT doc_id, w, piece, CASE WHEN piece > 0 THEN greatest(w_start, cut - 100) ELSE w_start END AS w_start, coalesce(nx, w_end) AS w_end FROM o""")
+SELECT doc_id, w, piece, CASE WHEN piece > 0 THEN greatest(w_start, cut - 100) ELSE w_start END AS w_start, CAST(least(w_end, coalesce(nx + 100, w_end)) AS BIGINT) AS w_end FROM o""")
 def dense_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows cut where mentions are dense."""
     a = Annotations(spark, sf_dir)
