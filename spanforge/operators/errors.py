@@ -27,6 +27,18 @@ def taxonomy(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return rows.union(spurious).union(ids).groupBy("kind", "type").agg(F.count("*").alias("n"))
 
 
+def cross_facts(gold_rel: DataFrame, gold: DataFrame, pred_rel: DataFrame, pred: DataFrame) -> DataFrame:
+    """(type, n_spurious, n_cross): spurious relations, and those of them whose head and tail are
+    both ends of gold relations of the type in the document, though of different ones."""
+    keys = ["doc_id", "type", *(f"{e}_{c}" for e in ("head", "tail") for c in ("start", "end", "type"))]
+    g, p = (with_ends(r, m).select(*keys).distinct() for r, m in ((gold_rel, gold), (pred_rel, pred)))
+    out = p.join(g, keys, "left_anti")
+    for e in ("head", "tail"):
+        ends = ["doc_id", "type", f"{e}_start", f"{e}_end", f"{e}_type"]
+        out = out.join(g.select(*ends).distinct().withColumn(f"known_{e}", F.lit(True)), ends, "left")
+    return out.groupBy("type").agg(F.count("*").alias("n_spurious"), F.count_if(F.col("known_head") & F.col("known_tail")).alias("n_cross"))
+
+
 def routing(gold_rel, gold, raw_rel, raw, final_rel) -> DataFrame:
     """Missed gold relations by where they were lost: dropped after prediction, both ends
     present, one missing, none present."""

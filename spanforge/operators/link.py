@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import span_distance
+from .sweep import overlap_join
 
 # Trigger words of exploitation, and what negates them.
 EXPLOIT_TERMS = r"(?i)(?<![A-Za-z])(?:exploit(?:ed|ing|s|ation)?|leverag(?:e|ed|ing)|trigger(?:ed|ing|s)?)(?![A-Za-z])|利用|漏洞利用|触发"
@@ -85,6 +86,35 @@ def reanchor(relations: DataFrame, mentions: DataFrame, end: str) -> DataFrame:
     return out.withColumn("moved", F.col("other").isNotNull()).withColumn(end, F.coalesce("other", end)).drop("other").select(*relations.columns, "moved")
 
 
+def reanchor_pairs(relations: DataFrame, mentions: DataFrame) -> DataFrame:
+    """J10 for both ends: a relation moves to the one pair of equivalent mentions (same type and
+    id, or same surface without an id) inside its evidence that is closer than its own ends and
+    than any other pair; with several closest pairs it stays.
+
+    The closest pair is found in one ordered pass over the evidence's mentions, and pairs at
+    that distance by a sweep, so no evidence is searched pair by pair."""
+    key = F.concat_ws(":", "type", F.when(F.trim("norm") != "", F.concat(F.lit("="), F.lower("norm"))).otherwise(F.lower(F.trim("surface"))))
+    m = mentions.select("doc_id", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), key.alias("key"))
+    r = relations.select("doc_id", F.col("id").alias("rel"), F.col("ev_start").cast("long").alias("start"), F.col("ev_end").cast("long").alias("end"), "head", "tail")
+    for end in ("head", "tail"):
+        own = m.select("doc_id", F.col("id").alias(end), F.col("start").alias(f"{end}_s"), F.col("end").alias(f"{end}_e"), F.col("key").alias(f"{end}_key"))
+        r = r.join(own, ["doc_id", end])
+    r = r.where("head_key <> tail_key").withColumn("mine", span_distance(F.col("head_s"), F.col("head_e"), F.col("tail_s"), F.col("tail_e")))
+    j = overlap_join(r.select("doc_id", "start", "end", "rel", "head_key", "tail_key", "mine"), m, ["doc_id"]).where("r_start >= l_start and r_end <= l_end and r_key in (l_head_key, l_tail_key)")
+    c = j.select("doc_id", F.col("l_rel").alias("rel"), F.col("l_mine").alias("mine"), (F.col("r_key") == F.col("l_head_key")).alias("is_head"), F.col("r_id").alias("m"), F.col("r_start").alias("start"), F.col("r_end").alias("end"))
+    w = Window.partitionBy("doc_id", "rel").orderBy("start", "end", "m").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.when(F.col("is_head"), F.max(F.when(~F.col("is_head"), F.col("end"))).over(w)).otherwise(F.max(F.when(F.col("is_head"), F.col("end"))).over(w))
+    gap = F.when(reach.isNotNull(), F.greatest(F.lit(0), F.col("start") - reach))
+    best = c.withColumn("gap", gap).groupBy("doc_id", "rel", "mine").agg(F.min("gap").alias("best")).where("best < mine")
+    near = c.join(best.select("doc_id", "rel", "best"), ["doc_id", "rel"])
+    sides = [near.where(F.col("is_head") == side).select("doc_id", "rel", "start", (F.col("end") + F.col("best")).alias("end"), "m") for side in (True, False)]
+    pairs = overlap_join(*sides, ["doc_id", "rel"], touching=True)
+    one = pairs.groupBy("doc_id", "rel").agg(F.count("*").alias("n"), F.min("l_m").alias("new_head"), F.min("r_m").alias("new_tail")).where("n = 1")
+    out = relations.join(one.select("doc_id", F.col("rel").alias("id"), "new_head", "new_tail"), ["doc_id", "id"], "left")
+    out = out.withColumn("moved", F.col("new_head").isNotNull()).withColumn("head", F.coalesce("new_head", "head")).withColumn("tail", F.coalesce("new_tail", "tail"))
+    return out.select(*relations.columns, "moved")
+
+
 def evidence_interval(with_ends: DataFrame, docs: DataFrame, evidence: str = "evidence", longest: int = 1200) -> DataFrame:
     """(iv_start, iv_end) of a relation's evidence.
 

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number
+from .order import global_rank
 
 
 def leaderboard(candidates: DataFrame, top: int) -> DataFrame:
     """Rank by reward, precision, shorter text, id; the first ``top`` are selected."""
-    w = Window.orderBy(F.desc("reward"), F.desc("precision"), F.char_length("text"), "candidate_id")
-    return candidates.withColumn("rank", F.row_number().over(w)).withColumn("decision", F.when(F.col("rank") <= top, "selected").otherwise("dropped"))
+    ranked = global_rank(candidates, [F.desc("reward"), F.desc("precision"), F.char_length("text"), "candidate_id"])
+    return ranked.withColumn("decision", F.when(F.col("rank") <= top, "selected").otherwise("dropped"))
 
 
 def final_choice(candidates: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def confidence_bounds(log: DataFrame, c: float = 1.0) -> DataFrame:
     """Per candidate of an evaluation log (candidate_id, tp, fp, fn, n) the reward (F1 of
     the sums) and reward + c sqrt(ln t / n), t being all evaluations; infinity when unseen."""
     s = log.groupBy("candidate_id").agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn", "n")))
-    t = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row a candidate
+    t = F.lit(log.agg(F.sum("n")).first()[0] or 0)  # one number
     reward = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") == 0, 0.0).otherwise(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
     bound = F.when(F.col("n") == 0, F.lit(float("inf"))).otherwise(reward + c * F.sqrt(F.log(F.greatest(t, F.lit(1))) / F.col("n")))
     return s.select("candidate_id", "n", reward.alias("reward"), bound.alias("bound"))
@@ -35,15 +36,14 @@ def error_windows(counts: DataFrame, boundary: DataFrame, kind: str) -> DataFram
     c = counts.where(F.col("type") == kind).groupBy("doc_id", "w").agg(F.sum("fn").alias("missed"), F.sum("fp").alias("spurious"))
     b = boundary.where(F.col("type") == kind).groupBy("doc_id", "w").agg(F.count("*").alias("boundary"))
     rows = c.join(b, ["doc_id", "w"], "left").na.fill(0).where("missed + spurious > 0")
-    w = Window.orderBy(F.desc("missed"), F.desc("boundary"), F.desc("spurious"), "doc_id", "w")
-    return rows.withColumn("rank", F.row_number().over(w))
+    return global_rank(rows, [F.desc("missed"), F.desc("boundary"), F.desc("spurious"), "doc_id", "w"])
 
 
 def ranked_records(records: DataFrame, gates: dict[str, Column], order: list[Column]) -> DataFrame:
     """T5: records ranked inside those that pass every gate; failed gates are listed."""
     failed = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in gates.items())))
     rows = records.withColumn("failed", failed).withColumn("feasible", F.size("failed") == 0)
-    return rows.withColumn("rank", F.when(F.col("feasible"), F.row_number().over(Window.partitionBy("feasible").orderBy(*order))))
+    return global_rank(rows.where("feasible"), order).unionByName(rows.where("not feasible"), allowMissingColumns=True)
 
 
 def diverse_examples(errors: DataFrame, keys: list[str], limit: int = 4) -> DataFrame:
@@ -115,8 +115,8 @@ def quota_batch(positives: DataFrame, features: DataFrame, k: int, turn: int, se
     moves on with every turn; the rest covers features."""
     most = (3 * k) // 4
     n = positives.count()
-    w = Window.orderBy(keyed_number(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string"))), "doc_id")
-    ring = positives.select("doc_id").withColumn("_k", F.row_number().over(w) - 1)
+    place = keyed_number(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string")))
+    ring = global_rank(positives.select("doc_id"), [place, "doc_id"]).withColumn("_k", F.col("rank") - 1)
     part = ring.where(F.pmod(F.col("_k") - turn * most, F.lit(max(n, 1))) < most).select("doc_id")
     rest = coverage_batch(features.join(part, "doc_id", "left_anti"), k - min(most, n))
     return part.withColumn("part", F.lit("positive")).union(rest.select("doc_id", F.lit("coverage")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number, ratio
+from .order import global_rank
 
 
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -16,16 +17,14 @@ def bootstrap(counts: DataFrame, replicates: int = 1000, seed: str = "0") -> Dat
     """(replicate, method, metric, f1): documents drawn with replacement, the same draws
     for all methods.
 
-    counts: (method, metric, doc_id, tp, fp, fn). The documents are numbered; draw d of
+    counts: (method, metric, doc_id, tp, fp, fn). The documents are numbered by ranges; draw d of
     replicate r is a keyed hash of (seed, r, d). Draws are counted per document first, so
     the join carries at most replicates x documents rows, summed before they are shuffled."""
     spark = counts.sparkSession
     docs = counts.select("doc_id").distinct()
     n = docs.count()
-    from pyspark.sql import Window
-
-    numbered = docs.withColumn("k", F.row_number().over(Window.orderBy("doc_id")) - 1)
-    draws = spark.range(0, replicates).withColumnRenamed("id", "replicate").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
+    numbered = global_rank(docs, ["doc_id"]).select("doc_id", (F.col("rank") - 1).cast("long").alias("k"))
+    draws = spark.range(0, replicates * n).selectExpr(f"id div {max(n, 1)} as replicate", f"id % {max(n, 1)} as d")
     key = F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("d").cast("string"))
     times = draws.select("replicate", (keyed_number(key) % max(n, 1)).alias("k")).groupBy("replicate", "k").agg(F.count("*").alias("t"))
     drawn = times.join(numbered, "k").select("replicate", "doc_id", "t").join(counts, "doc_id")

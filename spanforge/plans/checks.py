@@ -112,6 +112,76 @@ def explicit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.explicit_facts(a.gold, a.docs, _sents(a), "Vulnerability", "Weakness", "then|ing", "not")
 
 
+def _shifted(a: Annotations) -> DataFrame:
+    """Predicted relations with the last mention of the same type and id as their tail."""
+    far = a.pred.where("norm is not null").groupBy("doc_id", "type", "norm").agg(F.max("start").alias("far"))
+    t = a.pred.select("doc_id", F.col("id").alias("tail"), F.col("type").alias("mt"), "norm").join(far.withColumnRenamed("type", "mt"), ["doc_id", "mt", "norm"], "left")
+    r = a.pred_rel.join(t.select("doc_id", "tail", "far"), ["doc_id", "tail"])
+    return r.withColumn("tail", F.coalesce(F.concat(F.lit("E"), F.col("far").cast("string")), "tail")).select(*a.pred_rel.columns)
+
+
+@query(f"""{ENDS}, g AS (SELECT DISTINCT doc_id, type, hs, he, ht, ts, te, tt FROM ge), x AS (SELECT DISTINCT doc_id, type, hs, he, ht, ts, te, tt FROM pe EXCEPT SELECT * FROM g),
+y AS (SELECT x.*, EXISTS (SELECT 1 FROM g WHERE g.doc_id = x.doc_id AND g.type = x.type AND g.hs = x.hs AND g.he = x.he AND g.ht = x.ht) AND EXISTS (SELECT 1 FROM g WHERE g.doc_id = x.doc_id AND g.type = x.type AND g.ts = x.ts AND g.te = x.te AND g.tt = x.tt) AS both_known FROM x)
+SELECT type, count(*) AS n_spurious, count(*) FILTER (WHERE both_known) AS n_cross FROM y GROUP BY type""")
+def cross_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spurious relations between the ends of different gold facts."""
+    a = Annotations(spark, sf_dir)
+    return errors.cross_facts(a.gold_rel, a.gold, a.pred_rel, a.pred)
+
+
+@query(f""", far AS (SELECT doc_id, type, norm, max(s) AS s FROM pred WHERE norm IS NOT NULL GROUP BY doc_id, type, norm),
+shifted AS (SELECT r.doc_id, r.id, r.type, r.head, coalesce('E' || far.s, r.tail) AS tail, r.ev_start, r.ev_end FROM pred_rel r JOIN pred t ON t.doc_id = r.doc_id AND t.id = r.tail LEFT JOIN far ON far.doc_id = t.doc_id AND far.type = t.type AND far.norm = t.norm),
+{_ends_sql("pe", "shifted", "pred")}, q AS (SELECT *, ev_start - 3000 AS a, ev_end + 3000 AS b, greatest(0, greatest(hs, ts) - least(he, te)) AS mine, ht || ':' || coalesce('=' || lower(hn), lower(substr(text, hs + 1, he - hs))) AS hk, tt || ':' || coalesce('=' || lower(tn), lower(substr(text, ts + 1, te - ts))) AS tk FROM pe JOIN documents d ON d.doc_id = pe.doc_id),
+k AS (SELECT *, type || ':' || coalesce('=' || lower(norm), lower(surface)) AS key FROM pred),
+c AS (SELECT q.doc_id, q.id, mine, h.id AS h, t.id AS t, greatest(0, greatest(h.s, t.s) - least(h.e, t.e)) AS dist FROM q JOIN k h ON h.doc_id = q.doc_id AND h.key = hk AND h.s >= a AND h.e <= b JOIN k t ON t.doc_id = q.doc_id AND t.key = tk AND t.s >= a AND t.e <= b WHERE h.id <> t.id),
+f AS (SELECT *, min(dist) OVER (PARTITION BY doc_id, id) AS best FROM c),
+o AS (SELECT doc_id, id, min(h) AS h, min(t) AS t FROM f WHERE dist = best AND best < mine GROUP BY doc_id, id HAVING count(*) = 1)
+SELECT r.doc_id, r.id, coalesce(o.h, r.head) AS head, coalesce(o.t, r.tail) AS tail, o.h IS NOT NULL AS moved FROM shifted r LEFT JOIN o ON o.doc_id = r.doc_id AND o.id = r.id""")
+def closest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations whose tail was moved on, brought back to the closest pair in wide evidence."""
+    a = Annotations(spark, sf_dir)
+    r = _shifted(a).withColumn("ev_start", F.col("ev_start") - 3000).withColumn("ev_end", F.col("ev_end") + 3000)
+    return link.reanchor_pairs(r, a.pred).select("doc_id", "id", "head", "tail", "moved")
+
+
+@query(f""", two AS (SELECT doc_id, 'A' || id AS id, type, head, tail, ev_start, ev_end FROM pred_rel UNION ALL SELECT doc_id, 'B' || id, type, head, tail, ev_start, ev_end - 1 FROM pred2_rel),
+{_ends_sql("be", "two", "pred")}, o AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id, type, hs, ts ORDER BY greatest(0, greatest(hs, ts) - least(he, te)), ev_end - ev_start, id) AS r FROM be)
+SELECT doc_id, id FROM o WHERE r = 1""")
+def preferred_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two methods' relations with the same ends the one with the shorter evidence."""
+    a = Annotations(spark, sf_dir)
+    one, two = (r.withColumn("id", F.concat(F.lit(k), "id")) for r, k in ((a.pred_rel, "A"), (a.pred2_rel.withColumn("ev_end", F.col("ev_end") - 1), "B")))
+    return link.prefer(with_ends(one.unionByName(two), a.pred)).select("doc_id", "id")
+
+
+@query(f"""{ENDS}, s AS (SELECT DISTINCT doc_id, ev_start - 400 AS a, ev_end + 400 AS b, hn FROM pe WHERE hn IS NOT NULL)
+SELECT DISTINCT g.doc_id, g.id, g.type FROM gold g JOIN s ON s.doc_id = g.doc_id AND s.hn = g.norm AND g.s >= a AND g.e <= b LEFT JOIN pred p ON p.doc_id = g.doc_id AND p.s = g.s AND p.e = g.e AND p.type = g.type WHERE p.s IS NULL""")
+def recovered_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold mentions with the id of a relation's head inside its wide evidence that were not predicted."""
+    a = Annotations(spark, sf_dir)
+    ev = with_ends(a.pred_rel, a.pred).where("head_norm is not null").select("doc_id", (F.col("ev_start") - 400).alias("ev_start"), (F.col("ev_end") + 400).alias("ev_end"), F.col("head_norm").alias("norm"))
+    return link.recover(ev, a.gold, a.pred).select("doc_id", "id", "type")
+
+
+@query(""", h AS (SELECT doc_id, s, type = 'Vulnerability' AS scope FROM gold WHERE type IN ('Vulnerability', 'Weakness')), r AS (SELECT doc_id, s, surface FROM gold WHERE type = 'AttackTechnique'),
+m AS (SELECT g.doc_id, g.id, g.s FROM gold g ASOF JOIN h ON h.doc_id = g.doc_id AND g.s >= h.s WHERE g.type = 'Configuration' AND h.scope)
+SELECT m.doc_id, m.id, r.surface AS record FROM m ASOF LEFT JOIN r ON r.doc_id = m.doc_id AND m.s >= r.s""")
+def scoped_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11: products in the scope of a vulnerability, which a weakness ends, with the last technique."""
+    a = Annotations(spark, sf_dir)
+    marks = a.gold.where("type in ('Vulnerability', 'Weakness')").select("doc_id", "start", (F.col("type") == "Vulnerability").alias("scope"))
+    records = a.gold.where("type = 'AttackTechnique'").select("doc_id", "start", F.col("surface").alias("record"))
+    return link.scoped(a.gold.where("type = 'Configuration'"), marks, records).select("doc_id", "id", "record")
+
+
+@query(f"""{ENDS} SELECT type, count(*) AS n, CAST(sum(greatest(he, te) - least(hs, ts)) AS BIGINT) AS chars FROM pe GROUP BY type""")
+def relation_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters between the outer borders of relations' ends."""
+    a = Annotations(spark, sf_dir)
+    hulls = chunk.relation_hull(with_ends(a.pred_rel, a.pred))
+    return hulls.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("hull_end") - F.col("hull_start")).alias("chars"))
+
+
 GOVERNED = [(" of ", " • CVE-2021-44228 "), (" to ", " • note "), (" and ", " actors have exploited the following CVEs [T1190] here: "), (" in ", " Exploit Public-Facing Application T1190 ")]
 _governed = "text"
 for _old, _new in GOVERNED:

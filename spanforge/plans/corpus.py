@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number
-from ..operators import dedup, graph, integrity, metrics, rank, stats
+from ..operators import dedup, graph, integrity, match, metrics, rank, stats
 from .fixtures import SPLITS, Annotations, table
 from .registry import query
 
@@ -163,6 +163,52 @@ def guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- rankings and samples ---------------------------------------------------------------
+@query(f""", x AS (SELECT doc_id, s // 2600 AS w, type, g, p FROM (SELECT doc_id, s, e, type, bool_or(src = 0) AS g, bool_or(src = 1) AS p FROM (SELECT DISTINCT doc_id, s, e, type, 0 AS src FROM gold UNION ALL SELECT DISTINCT doc_id, s, e, type, 1 FROM pred) u GROUP BY doc_id, s, e, type) q WHERE type = 'Weakness'),
+c AS (SELECT doc_id, w, count(*) FILTER (WHERE g AND NOT p) AS missed, count(*) FILTER (WHERE p AND NOT g) AS spurious FROM x GROUP BY doc_id, w),
+n AS (SELECT g.doc_id, g.s // 2600 AS w, count(*) AS boundary FROM gold g JOIN pred p ON p.doc_id = g.doc_id AND p.type = g.type AND greatest(p.s, g.s) < least(p.e, g.e) AND (p.s <> g.s OR p.e <> g.e) WHERE g.type = 'Weakness' GROUP BY 1, 2)
+SELECT c.doc_id, c.w, missed, spurious, coalesce(boundary, 0) AS boundary, CAST(row_number() OVER (ORDER BY missed DESC, coalesce(boundary, 0) DESC, spurious DESC, c.doc_id, c.w) AS INTEGER) AS rank
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id AND n.w = c.w WHERE missed + spurious > 0""")
+def error_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: stretches of 2,600 characters by their errors in weaknesses."""
+    a = Annotations(spark, sf_dir)
+    w = F.expr("start div 2600")
+    counts = match.exact_match(a.gold, a.pred).select("doc_id", w.alias("w"), "type", (F.col("in_gold") & ~F.col("in_pred")).cast("long").alias("fn"), (F.col("in_pred") & ~F.col("in_gold")).cast("long").alias("fp"))
+    near = match.overlap_pairs(a.gold, a.pred).where("g_start <> p_start or g_end <> p_end").select("doc_id", F.expr("g_start div 2600").alias("w"), "type")
+    return rank.error_windows(counts, near, "Weakness").select("doc_id", "w", "missed", "spurious", "boundary", "rank")
+
+
+@query(COUNTS + """, g AS (SELECT *, tp >= 5 AS a, fp * 5 <= tp AS b FROM ct WHERE method = 'a')
+SELECT doc_id, CASE WHEN a AND b THEN '' WHEN a THEN 'precise' WHEN b THEN 'enough' ELSE 'enough,precise' END AS failed,
+  CASE WHEN a AND b THEN CAST(row_number() OVER (PARTITION BY a AND b ORDER BY tp DESC, fp, doc_id) AS INTEGER) END AS rank FROM g""")
+def ranked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: documents ranked inside those that pass both gates."""
+    c = _method_counts(Annotations(spark, sf_dir)).where("method = 'a'")
+    out = rank.ranked_records(c, {"enough": F.col("tp") >= 5, "precise": F.col("fp") * 5 <= F.col("tp")}, [F.desc("tp"), F.col("fp"), F.col("doc_id")])
+    return out.select("doc_id", F.array_join("failed", ",").alias("failed"), "rank")
+
+
+@query(""", n AS (SELECT d.doc_id, count(r.id) AS n FROM documents d LEFT JOIN gold_rel r ON r.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, n AS n_relations FROM n ORDER BY (n > 0) DESC, doc_id LIMIT 25""")
+def relations_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 documents, those with relations first (a top-k report)."""
+    a = Annotations(spark, sf_dir)
+    n = a.gold_rel.groupBy("doc_id").agg(F.count("*").alias("n_relations"))
+    s = a.docs.select("doc_id").join(n, "doc_id", "left").na.fill(0).withColumn("seq", F.col("doc_id"))
+    return rank.relations_first(s, 25).select("doc_id", "n_relations")
+
+
+_FAMILY = "concat('aa', lpad(cast({div} % 100 as {text}), 2, '0'), '-', lpad(cast({half} % 1000 as {text}), 3, '0'), case when doc_id % 2 = 0 then 'a' else 'b' end)"
+
+
+@query(f""", k AS (SELECT {_FAMILY.format(div="(doc_id // 2000)", half="(doc_id // 2)", text="varchar")} AS key, split FROM splits), u AS (SELECT 'id' AS kind, key, split FROM k UNION ALL SELECT 'family', substr(key, 1, 8), split FROM k)
+SELECT kind, key, count(DISTINCT split) AS n_splits FROM u GROUP BY kind, key HAVING count(DISTINCT split) > 1""")
+def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of two ids that fall into different splits."""
+    a = Annotations(spark, sf_dir)
+    named = a.splits.select(F.expr(_FAMILY.format(div="(doc_id div 2000)", half="(doc_id div 2)", text="string")).alias("doc_id"), "split")
+    return dedup.split_overlap(named)
+
+
 @query("""WITH c AS (SELECT source AS candidate_id, avg(n_chars) AS reward, count(*) / 10.0 AS precision, min(lang) AS text FROM documents GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY reward DESC, precision DESC, len(text), candidate_id) AS rank FROM c)
 SELECT candidate_id, CAST(rank AS INTEGER) AS rank, CASE WHEN rank <= 5 THEN 'selected' ELSE 'dropped' END AS decision FROM k""", prelude=False)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number
+from ..operators.dedup import stored
 from ..operators.textscan import scan
 
 WORDS = "[A-Za-z]{6,}"
@@ -26,6 +27,7 @@ class Annotations:
         tok = scan(self.docs.select("doc_id", "text"), WORDS).withColumn("h", keyed_number(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("start").cast("string"))))
         kind = F.element_at(F.array(*[F.lit(t) for t in ("Vulnerability", "Configuration", "Weakness", "AttackTechnique")]), (F.expr("h div 16") % 4 + 1).cast("int"))
         tok = tok.withColumn("type", kind).withColumn("norm", F.when(F.expr("h div 64") % 10 < 9, F.upper("surface")))
+        tok = stored(tok)  # texts are scanned once, however often a query asks for its mentions
         self.tokens = tok
         is_gold = F.col("h") % 10 < 3
         cols = ["doc_id", "start", "end", "type", "surface", "norm", "id"]
