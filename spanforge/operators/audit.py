@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_product_id, product_version, span_is_exact
+from ..functions.text import canonical_cve, is_product_id, product_version, span_is_exact
 from .link import EXPLOIT_TERMS, in_sentence
 from .match import with_ends
 
@@ -108,16 +108,63 @@ def review_queue(findings: DataFrame, splits: DataFrame) -> DataFrame:
     return j.groupBy("split", "doc_id", "item_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ";").alias("kinds"), F.min_by("severity", "g").alias("severity"), F.count("*").alias("n"))
 
 
-def postprocess(mentions: DataFrame, relations: DataFrame, docs: DataFrame, sents: DataFrame, signatures: DataFrame, product: str = "Configuration", trigger: str = EXPLOIT_TERMS) -> tuple[DataFrame, DataFrame]:
+# What an attack leads to, which is no weakness.
+CONSEQUENCES = [
+    "remote code execution", "rce", "arbitrary code execution", "code execution", "privilege escalation", "elevation of privilege", "denial of service",
+    "information disclosure", "information exposure",
+]
+
+
+def id_gates() -> list[tuple[str, Column]]:
+    """Q6: mentions that their surface or id rules out, by reason."""
+    kind, surface = F.col("type"), F.trim("surface")
+    return [
+        ("vulnerability_without_id", (kind == "Vulnerability") & canonical_cve(surface).isNull()), ("tactic_as_technique", (kind == "AttackTechnique") & surface.rlike(r"(?i)^TA\d{4}$")),
+        ("consequence_as_weakness", (kind == "Weakness") & F.lower(surface).isin(CONSEQUENCES)), ("weakness_without_id", (kind == "Weakness") & F.col("norm").isNull()),
+    ]
+
+
+def add_facts(mentions: DataFrame, relations: DataFrame, facts: DataFrame, docs: DataFrame, relation: str = "exploited_by", head: str = "Vulnerability", tail: str = "AttackTechnique") -> DataFrame:
+    """Q6: relations (doc_id, id, type, head, tail, ev_start, ev_end) that explicit facts (as of
+    exploit_facts) add to tagged ones: both ends are surviving mentions at the facts' spans, no
+    surviving relation joins them, and the evidence tells of no later activity."""
+    m = mentions.where("reason is null")
+    f = facts.select("doc_id", "item_start", "item_end", "scope_start", "scope_end", "ev_start", "ev_end")
+    for kind, end, span in ((head, "head", "item"), (tail, "tail", "scope")):
+        own = m.where(F.col("type") == kind).select("doc_id", F.col("id").alias(end), F.col("start").alias(f"{span}_start"), F.col("end").alias(f"{span}_end"))
+        f = f.join(own, ["doc_id", f"{span}_start", f"{span}_end"])
+    had = relations.where(F.col("reason").isNull() & (F.col("type") == relation)).select("doc_id", "head", "tail")
+    f = f.join(had, ["doc_id", "head", "tail"], "left_anti").join(docs.select("doc_id", "text"), "doc_id")
+    f = f.where(~after_exploitation(F.substr("text", (F.col("ev_start") + 1).cast("int"), (F.col("ev_end") - F.col("ev_start")).cast("int"))))
+    once = f.groupBy("doc_id", "head", "tail").agg(F.min(F.struct((F.col("ev_end") - F.col("ev_start")).alias("n"), "ev_start", "ev_end")).alias("e"))
+    return once.select("doc_id", F.concat_ws("-", F.lit("X"), "head", "tail").alias("id"), F.lit(relation).alias("type"), "head", "tail", "e.ev_start", "e.ev_end")
+
+
+def drop_orphans(mentions: DataFrame, relations: DataFrame, product: str = "Configuration", relation: str = "affects") -> DataFrame:
+    """Q6: surviving products at the tail of no surviving ``relation`` get a reason, at stage 10."""
+    used = relations.where(F.col("type") == relation).select("doc_id", F.col("tail").alias("id")).distinct().withColumn("_used", F.lit(True))
+    m = mentions.join(used, ["doc_id", "id"], "left")
+    orphan = F.col("reason").isNull() & (F.col("type") == product) & F.col("_used").isNull()
+    m = m.withColumn("stage", F.when(orphan, 10).otherwise(F.col("stage"))).withColumn("reason", F.when(orphan, "product_without_relation").otherwise(F.col("reason")))
+    return m.select(*mentions.columns)
+
+
+def postprocess(mentions: DataFrame, relations: DataFrame, docs: DataFrame, sents: DataFrame, signatures: DataFrame, product: str = "Configuration", trigger: str = EXPLOIT_TERMS, gates: list[tuple[str, Column]] = ()) -> tuple[DataFrame, DataFrame]:
     """Q6: mentions and relations with a ``reason`` (null for survivors) and the ``stage`` that
     gave it. Rows are tagged, never dropped, so every stage can be scored again.
 
-    Stages: 1 types, 2 repeated mentions, 3 ends, 4 signature, 5 evidence, 6 sentence locality
+    gates: (reason, condition) on mentions, as of id_gates. add_facts and drop_orphans go on
+    from here. Stages: 1 types and gates, 2 repeated mentions, 3 ends, 4 signature, 5 evidence, 6 sentence locality
     of affects, 7 trigger and sequence of exploited_by, 8 repeats."""
     known = signatures.select(F.explode(F.array("head_type", "tail_type")).alias("type")).distinct().withColumn("known", F.lit(True))
     m = mentions.join(F.broadcast(known), "type", "left")
-    first = F.row_number().over(Window.partitionBy("doc_id", "type", "start", "end").orderBy("id"))
-    m = m.withColumn("reason", F.when(F.col("known").isNull(), "illegal_type").when(first > 1, "duplicate_mention")).withColumn("stage", F.when(F.col("reason") == "illegal_type", 1).when(F.col("reason") == "duplicate_mention", 2)).drop("known")
+    gate = F.when(F.col("known").isNull(), "illegal_type")
+    for name, cond in gates:
+        gate = gate.when(cond, name)
+    m = m.withColumn("_gate", gate)
+    first = F.row_number().over(Window.partitionBy("doc_id", "type", "start", "end").orderBy(F.col("_gate").isNotNull(), "id"))
+    m = m.withColumn("_first", first).withColumn("reason", F.when(F.col("_gate").isNotNull(), F.col("_gate")).when(F.col("_first") > 1, "duplicate_mention"))
+    m = m.withColumn("stage", F.when(F.col("_gate").isNotNull(), 1).when(F.col("_first") > 1, 2)).drop("known", "_gate", "_first")
     ok = m.where("reason is null")
     s = in_sentence(ok, sents).select("doc_id", "id", "start", "end", "type", "k")
     r = relations

@@ -1,11 +1,13 @@
-"""Cleaning of mention and relation tables, and of raw model output."""
+"""Cleaning of mention and relation tables, and of raw model output."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import span_is_exact
+from ..functions.text import canonical_cwe, span_is_exact
+from .link import last_before
+from .textscan import scan, sentences
 
 # Nouns that describe a product and are no part of its name. server(s), application(s), devices,
 # instance(s), data center; the others are our own.
@@ -150,3 +152,21 @@ def contract_issues(relations: DataFrame, mentions: DataFrame, signatures: DataF
         F.when(legal & ((F.col("head_t") != F.col("want_head")) | (F.col("tail_t") != F.col("want_tail"))), "wrong_arguments"),
         F.when(misses("head"), "evidence_misses_head"), F.when(misses("tail"), "evidence_misses_tail"))
     return r.select("doc_id", "id", F.explode(F.array_compact(issues)).alias("issue"))
+
+
+def local_ids(mentions: DataFrame, docs: DataFrame, kind: str = "Weakness", pattern: str = r"(?i)CWE-\s*\d+", canonical=canonical_cwe, own: bool = True) -> DataFrame:
+    """Mentions of ``kind`` keep their id only if the text around them states it, from the last
+    sentence mark before the mention to the first one after it; else the id is cleared.
+
+    own: an id in the surface itself stands first. Ids are scanned once and meet mentions by
+    document and id; where they lie is told by the numbers of sentences."""
+    sents = sentences(docs, "mark").select("doc_id", "start", "k")
+    said = last_before(scan(docs, pattern).select("doc_id", "start", canonical(F.col("surface")).alias("said")), sents, "k").select("doc_id", "said", "k").distinct()
+    rest, mine = mentions.where(F.col("type") != kind), mentions.where(F.col("type") == kind)
+    at = last_before(mine.withColumn("_id", canonical(F.col("norm"))), sents.withColumnRenamed("k", "_k0"), "_k0")
+    at = last_before(at.withColumn("_s", F.col("start")).withColumn("start", F.col("end")), sents.withColumnRenamed("k", "_k1"), "_k1").withColumn("start", F.col("_s"))
+    keys = ["doc_id", "id", "start", "end"]
+    near = at.join(said, (at["doc_id"] == said["doc_id"]) & (F.col("_id") == F.col("said")) & F.col("k").between(F.col("_k0"), F.col("_k1")), "left_semi").select(*keys).distinct().withColumn("_near", F.lit(True))
+    out = at.join(near, keys, "left").withColumn("_own", canonical(F.regexp_extract("surface", pattern, 0)) if own else F.lit(None).cast("string"))
+    out = out.withColumn("norm", F.coalesce("_own", F.when(F.col("_near"), F.col("_id"))))
+    return rest.unionByName(out.select(*mentions.columns))

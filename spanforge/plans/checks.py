@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number
@@ -10,7 +10,7 @@ from ..operators import audit, chunk, corrections, errors, facts, link, metrics,
 from ..operators.match import distinct_spans, nearest, with_ends
 from ..schema import dim_entity_type, dim_relation
 from ..sources.tables import mention_inventory
-from .fixtures import Annotations, table
+from .fixtures import WORDS, Annotations, table
 from .registry import query
 from .scores import ENDS, _ends_sql
 
@@ -403,6 +403,45 @@ def postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason"), "type").agg(F.count("*").alias("n"))
 
 
+@query(DAMAGED + SENTS + f"""{ENDS}, mg AS (SELECT *, type = 'Weakness' AND norm IS NULL AS gated FROM m), mo AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, s, e ORDER BY gated, id) AS rr FROM mg),
+mk AS (SELECT mo.doc_id, mo.id, mo.s, mo.e, mo.type, st.k FROM mo JOIN st ON st.doc_id = mo.doc_id AND mo.s >= s0 AND mo.s < s1 WHERE rr = 1 AND NOT gated),
+x AS (SELECT r.*, h.s AS hs, h.e AS he, h.k AS hk, h.type AS ht, t.s AS ts, t.e AS te, t.k AS tk, t.type AS tt, sig.type AS fits, substr(text, ev_start + 1, ev_end - ev_start) AS ev FROM r JOIN documents d ON d.doc_id = r.doc_id
+  LEFT JOIN mk h ON h.doc_id = r.doc_id AND h.id = r.head LEFT JOIN mk t ON t.doc_id = r.doc_id AND t.id = r.tail LEFT JOIN sig ON sig.type = r.type AND sig.tt = t.type AND h.type = 'Vulnerability'),
+v AS (SELECT doc_id, head, tail, type, CASE WHEN hs IS NULL OR ts IS NULL THEN 'missing_end' WHEN fits IS NULL THEN 'illegal_signature' WHEN ev_start > least(hs, ts) OR ev_end < greatest(he, te) THEN 'evidence_misses_end'
+  WHEN type = 'affects' AND hk <> tk THEN 'cross_sentence' WHEN type = 'exploited_by' AND NOT regexp_matches(ev, 'then|ing') THEN 'no_trigger' WHEN type = 'exploited_by' AND regexp_matches(ev, '{audit.AFTER_EXPLOIT}') AND regexp_matches(ev, '{audit.LATER_ACTIVITY}') THEN 'after_exploitation' END AS reason FROM x),
+ad AS (SELECT DISTINCT g.doc_id, h.id AS head, t.id AS tail FROM ge g JOIN mk h ON h.doc_id = g.doc_id AND h.s = hs AND h.e = he AND h.type = 'Vulnerability' JOIN mk t ON t.doc_id = g.doc_id AND t.s = ts AND t.e = te AND t.type = 'AttackTechnique'
+  LEFT JOIN v ON v.doc_id = g.doc_id AND v.type = 'exploited_by' AND v.head = h.id AND v.tail = t.id AND v.reason IS NULL WHERE v.doc_id IS NULL),
+us AS (SELECT DISTINCT doc_id, tail FROM v WHERE type = 'affects' AND reason IS NULL),
+al AS (SELECT 'mention' AS part, mo.type, CASE WHEN gated THEN 'weakness_without_id' WHEN rr > 1 THEN 'duplicate_mention' WHEN mo.type = 'Configuration' AND us.tail IS NULL THEN 'product_without_relation' ELSE 'kept' END AS reason FROM mo LEFT JOIN us ON us.doc_id = mo.doc_id AND us.tail = mo.id
+  UNION ALL SELECT 'relation', type, coalesce(reason, 'kept') FROM v UNION ALL SELECT 'relation', 'exploited_by', 'added' FROM ad)
+SELECT part, type, reason, count(*) AS n FROM al GROUP BY part, type, reason""")
+def postprocess_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6: post-processing with a gate on ids, relations that explicit facts add, and products that
+    are left without a relation."""
+    a = Annotations(spark, sf_dir)
+    m, r = _damaged(a)
+    gates = [("weakness_without_id", (F.col("type") == "Weakness") & F.col("norm").isNull())]
+    m, r = audit.postprocess(m, r, a.docs, _sents(a), dim_relation(spark), trigger="then|ing", gates=gates)
+    ends = with_ends(a.gold_rel.where("type = 'exploited_by'"), a.gold)
+    stated = ends.select("doc_id", F.col("head_start").alias("item_start"), F.col("head_end").alias("item_end"), F.col("tail_start").alias("scope_start"), F.col("tail_end").alias("scope_end"), "ev_start", "ev_end")
+    added = audit.add_facts(m, r, stated, a.docs)
+    left = audit.drop_orphans(m, r.where("reason is null").select("doc_id", "type", "tail").unionByName(added.select("doc_id", "type", "tail")))
+    why = lambda df, part: df.select(F.lit(part).alias("part"), "type", F.coalesce("reason", F.lit("kept")).alias("reason"))
+    every = why(left, "mention").union(why(r, "relation")).union(added.select(F.lit("relation"), "type", F.lit("added")))
+    return every.groupBy("part", "type", "reason").agg(F.count("*").alias("n"))
+
+
+@query(SENTS.replace(".\\n。", ".\\n。!?！？") + """, w AS (SELECT doc_id, id, s, e, lead(norm) OVER (PARTITION BY doc_id ORDER BY s) AS norm FROM gold WHERE type = 'Weakness'),
+tk AS (SELECT DISTINCT t.doc_id, upper(t.surface) AS said, st.k FROM tok t ASOF JOIN st ON st.doc_id = t.doc_id AND t.s >= st.s0),
+w0 AS (SELECT w.*, st.k AS k0 FROM w ASOF JOIN st ON st.doc_id = w.doc_id AND w.s >= st.s0), w1 AS (SELECT w0.*, st.k AS k1 FROM w0 ASOF JOIN st ON st.doc_id = w0.doc_id AND w0.e >= st.s0)
+SELECT doc_id, id, CASE WHEN EXISTS (SELECT 1 FROM tk WHERE tk.doc_id = w1.doc_id AND tk.said = w1.norm AND tk.k BETWEEN k0 AND k1) THEN norm END AS norm FROM w1""")
+def local_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weaknesses with the next one's id, which stays if the sentence states it."""
+    a = Annotations(spark, sf_dir)
+    w = a.gold.where("type = 'Weakness'").withColumn("norm", F.lead("norm").over(Window.partitionBy("doc_id").orderBy("start")))
+    return normalize.local_ids(w, a.docs.select("doc_id", "text"), pattern=WORDS, canonical=F.upper, own=False).select("doc_id", "id", "norm")
+
+
 @query(POST + """, t AS (SELECT type, CASE reason WHEN 'missing_end' THEN 3 WHEN 'illegal_signature' THEN 4 WHEN 'evidence_misses_end' THEN 5 WHEN 'cross_sentence' THEN 6 ELSE 7 END AS given, reason FROM v), a AS (SELECT CAST(unnest(range(0, 9)) AS INTEGER) AS stage)
 SELECT stage, type, count(*) AS n FROM t, a WHERE reason IS NULL OR given > stage GROUP BY stage, type""")
 def postprocess_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,3 +169,39 @@ def test_after_exploitation(spark):
     rows = [("After exploiting the flaw they kept persistence", True), ("After exploitation nothing else", False), ("exploited it and then gained credentials", True), ("lateral movement was seen", False), ("following the exploit, C2", True)]
     df = spark.createDataFrame(rows, "t string, want boolean")
     assert df.where(audit.after_exploitation(F.col("t")) != F.col("want")).count() == 0
+
+
+# ---- Q6, P7 ----
+def test_postprocess_gates_additions_and_orphans(spark):
+    from spanforge.schema import dim_relation
+
+    text = "CVE-2021-1111 hits Acme Web. They exploited CVE-2021-2222 (T1203). TA0001 and RCE, XSS. Lone Tool."
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+
+    def at(i, s, kind, norm=None):
+        return (1, i, text.index(s), text.index(s) + len(s), kind, s, norm)
+
+    rows = [at("E1", "CVE-2021-1111", "Vulnerability"), at("E2", "Acme Web", "Configuration"), at("E3", "CVE-2021-2222", "Vulnerability"), at("E4", "T1203", "AttackTechnique"), at("E5", "TA0001", "AttackTechnique"), at("E6", "RCE", "Weakness", "CWE-94"), at("E7", "XSS", "Weakness"), at("E8", "Lone Tool", "Configuration"), at("E9", "Lone", "Vulnerability")]
+    m = spark.createDataFrame(rows, "doc_id int, id string, start int, end int, type string, surface string, norm string")
+    r = spark.createDataFrame([(1, "R1", "affects", "E1", "E2", 0, 28), (1, "R2", "affects", "E9", "E8", 0, len(text))], "doc_id int, id string, type string, head string, tail string, ev_start int, ev_end int")
+    m, r = audit.postprocess(m, r, docs, textscan.sentences(docs, "spaced"), dim_relation(spark), gates=audit.id_gates())
+    added = audit.add_facts(m, r, facts.exploit_facts(docs), docs)
+    assert [(x["type"], x["head"], x["tail"]) for x in added.collect()] == [("exploited_by", "E3", "E4")]
+    assert {x["id"]: x["reason"] for x in r.collect()} == {"R1": None, "R2": "missing_end"}
+    m = audit.drop_orphans(m, r.where("reason is null"))
+    assert {x["id"]: x["reason"] for x in m.collect()} == {
+        "E1": None, "E2": None, "E3": None, "E4": None, "E5": "tactic_as_technique", "E6": "consequence_as_weakness", "E7": "weakness_without_id", "E8": "product_without_relation", "E9": "vulnerability_without_id",
+    }
+    once_more = audit.add_facts(m, r.unionByName(added.selectExpr("doc_id", "id", "type", "head", "tail", "ev_start", "ev_end", "cast(null as string) reason", "cast(null as int) stage")), facts.exploit_facts(docs), docs)
+    assert once_more.count() == 0
+
+
+def test_local_ids(spark):
+    from spanforge.operators import normalize
+
+    text = "Injection is CWE- 79! Overflow here. CWE-120 there; CWE-89 flaw"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    cases = [("Injection", "CWE-79", "CWE-79"), ("Overflow", "CWE-120", None), ("there", "cwe-120", "CWE-120"), ("CWE-89 flaw", "CWE-1", "CWE-89"), ("flaw", None, None)]
+    rows = [(1, f"E{k}", text.index(s), text.index(s) + len(s), "Weakness", s, n) for k, (s, n, _) in enumerate(cases)] + [(1, "P", 0, 3, "Configuration", "Inj", "kept")]
+    got = {r["id"]: r["norm"] for r in normalize.local_ids(spark.createDataFrame(rows, "doc_id int, id string, start int, end int, type string, surface string, norm string"), docs).collect()}
+    assert got == {f"E{k}": want for k, (_, _, want) in enumerate(cases)} | {"P": "kept"}
