@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 from .textscan import shingles
 
 
-def _shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; for local runs without one, the warehouse."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/stages"
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; for local masters without one, the warehouse.
+
+    On a cluster a warehouse that names no store is a folder of each machine, which others do not
+    see: an error says so."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        where = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and (where.startswith("file:") or "://" not in where):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return where.rstrip("/") + "/stages"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cuts lineage with a table in the folder that all executors share."""
-    path = f"{_shared(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number
+from .dedup import stored
 from .order import global_rank
 
 
@@ -91,22 +92,60 @@ def stratified_split(groups: DataFrame, sizes: dict[str, float], strata: list[st
     return rows.join(F.broadcast(best.select("trial")), "trial").select("group_id", "split")
 
 
+#: Documents whose gain is counted again together, and upper bounds that the driver holds at first.
+RECOUNT, HEAD = 32, 1024
+
+
+def _recount(features: DataFrame, docs: list, chosen: list, need: int) -> dict:
+    """Gains of some documents: their features that the chosen ones hold fewer than ``need`` times."""
+    mine = features.where(F.col("doc_id").isin(docs))
+    have = features.where(F.col("doc_id").isin(chosen)).groupBy("f").agg(F.count("*").alias("have")).where(F.col("have") >= need)
+    left = mine.join(have, "f", "left_anti") if chosen else mine
+    return {r["doc_id"]: r["n"] for r in left.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+
+
 def coverage_batch(features: DataFrame, k: int, need: int = 1) -> DataFrame:
-    """Up to k documents that greedily cover features, each wanted ``need`` times.
-
-    features: (doc_id, f). k rounds on the driver side (k <= 20), each a grouped count of the
-    features still wanted; only the chosen document's id comes back."""
-    chosen: list = []
-    for _ in range(k):
-        have = features.where(F.col("doc_id").isin(chosen or [None])).groupBy("f").agg(F.count("*").alias("have"))
-        open_ = features.join(F.broadcast(have), "f", "left").where(F.coalesce("have", F.lit(0)) < need).where(~F.col("doc_id").isin(chosen) if chosen else F.lit(True))
-        best = open_.groupBy("doc_id").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "doc_id").limit(1).collect()
-        if not best:
-            break
-        chosen.append(best[0]["doc_id"])
-    kind = features.schema["doc_id"].dataType
+    """Up to k documents that greedily cover features, each wanted ``need`` times; the
+    largest gain first, ties by id.
+
+    features: (doc_id, f), a row once. Gains only fall as features are covered, so an older gain
+    bounds a newer one: all gains are counted once, and afterwards only documents at the top of
+    the bounds are counted again, until the best of them is not below the next bound."""
     from pyspark.sql import types as T
 
+    totals = stored(features.groupBy("doc_id").agg(F.count("*").alias("n")))
+    order, size, chosen, bound, fresh = (F.desc("n"), F.col("doc_id")), 0, [], {}, set()
+
+    def top() -> list:
+        """Bounds, largest first; more of the table is read when few of it are left above its end."""
+        nonlocal size
+        while True:
+            rows = sorted(((-n, d) for d, n in bound.items()))
+            if size and (len(bound) + len(chosen) < size or rows and rows[0] <= last[0]):
+                return rows
+            size = max(HEAD, 8 * size)
+            for r in totals.orderBy(*order).limit(size).collect():
+                last[:] = [(-r["n"], r["doc_id"])]
+                if r["doc_id"] not in bound and r["doc_id"] not in chosen:
+                    bound[r["doc_id"]] = r["n"]
+            if not last:
+                return []
+
+    last: list = []
+    while len(chosen) < k:
+        rows = top()
+        if not rows or rows[0][0] == 0:
+            break
+        if rows[0][1] in fresh:  # counted against all that is chosen, and first of all bounds
+            chosen.append(rows[0][1])
+            del bound[rows[0][1]]
+            fresh = set()
+            continue
+        again = [d for _, d in rows if d not in fresh][:RECOUNT]
+        gains = _recount(features, again, chosen, need)
+        bound.update({d: gains.get(d, 0) for d in again})
+        fresh |= set(again)
+    kind = features.schema["doc_id"].dataType
     return features.sparkSession.createDataFrame([(k, d) for k, d in enumerate(chosen)], T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("doc_id", kind)]))
 
 

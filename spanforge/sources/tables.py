@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import DOCUMENT
+from .records import read_records
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -76,21 +77,25 @@ def read_window_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """(record, criteria) of vulnerability feeds, one JSON file (or .gz) a year, in either of
-    the two record shapes; criteria are collected at any depth.
-
-    A .gz file is one task to unpack; its records are dealt out before they are searched."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    both = "vulnerabilities array<struct<cve:string>>, CVE_Items array<struct<cve:string,configurations:string>>"
-    p = raw.select("file", F.from_json("value", both).alias("p"))
-    new = p.select("file", F.explode("p.vulnerabilities").alias("r")).select("file", F.get_json_object("r.cve", "$.id").alias("record"), F.col("r.cve").alias("body"))
-    old = p.select("file", F.explode("p.CVE_Items").alias("r")).select("file", F.get_json_object("r.cve", "$.CVE_data_meta.ID").alias("record"), F.col("r.configurations").alias("body"))
-    rows = new.union(old)
+    """(file, record, year, criteria) of vulnerability feeds, one JSON file (or .gz) a year, in
+    either of the two record shapes; criteria are collected at any depth of the configurations.
+
+    Records are streamed out of a file one by one; ``partitions`` deals them out before they are
+    searched. Files that break off give the records before the break, see unreadable_feeds."""
+    rows = read_records(spark, path, ["vulnerabilities", "CVE_Items"]).where("record is not null").drop("error")
     rows = rows.repartition(partitions) if partitions else rows
-    found = F.regexp_extract_all("body", F.lit(r'"(?:criteria|cpe23Uri)"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    year = F.regexp_extract("record", r"^CVE-(\d{4})-", 1)
+    get = lambda *paths: F.coalesce(*(F.get_json_object("record", p) for p in paths))
+    name = F.upper(F.trim(get("$.cve.id", "$.id", "$.cve.CVE_data_meta.ID")))
+    body = get("$.cve.configurations", "$.configurations")
+    found = F.regexp_extract_all(body, F.lit(r'"(?:criteria|cpe23Uri)"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    rows = rows.select("file", F.when(name.rlike(r"^CVE-\d{4}-\d{4,}$"), name).alias("record"), F.explode(found).alias("c")).where("record is not null")
     # a JSON string escapes backslashes, which product ids use before colons
-    return rows.select("file", "record", year.alias("year"), F.explode(found).alias("c")).select("file", "record", "year", F.replace("c", F.lit("\\\\"), F.lit("\\")).alias("criteria")).distinct()
+    return rows.select("file", "record", F.regexp_extract("record", r"^CVE-(\d{4})-", 1).alias("year"), F.replace("c", F.lit("\\\\"), F.lit("\\")).alias("criteria")).distinct()
+
+
+def unreadable_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """(file, error) of feed files that cannot be read to their end."""
+    return read_records(spark, path, ["vulnerabilities", "CVE_Items"]).where("error is not null").select("file", "error")
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
