@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import components
+from ..operators.dedup import components, shared_folder
 
 #: A word is a run of anything but the six ASCII blanks; ``bytes.split()`` cuts the same words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
     Where the setting is absent, a local master gets a temporary folder (tests); a cluster
-    uses its warehouse, never a machine-local path."""
+    uses its warehouse if that names a store, and raises an error otherwise."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir")
     if where:
@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         except NameError:
             _local = tempfile.mkdtemp(prefix="spark-shared-")
             return _local
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    return shared_folder(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
