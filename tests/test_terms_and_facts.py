@@ -89,37 +89,35 @@ def test_abbreviations(spark):
 HEAD = "Cyber threat actors have exploited the following CVEs to gain access [T1190] in networks:"
 
 
-def found(spark, text):
-    rows = facts.exploit_facts(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
-    for r in rows:
+FACTS = [
+    (f"{HEAD} • CVE-2021-44228 log • CVE- 2020-1111 x • other • CVE-2019-2222", [("CVE-2020-1111", "T1190", 1), ("CVE-2021-44228", "T1190", 1)]),
+    (f"{HEAD} {'far ' * 25}• CVE-2021-44228", []),  # too far from the heading
+    (f"{HEAD} • CVE-2021-44228 {'far ' * 130}• CVE-2020-1111", [("CVE-2021-44228", "T1190", 1)]),  # a gap ends the list
+    (f"{HEAD}• CVE-2021-44228", []),  # no bullet of its own
+    (f"{HEAD} • CVE-2021-44228 and {HEAD} • CVE-2020-1111", [("CVE-2020-1111", "T1190", 1), ("CVE-2020-1111", "T1190", 1), ("CVE-2021-44228", "T1190", 1)]),
+    ("Exploit Public-Facing Application T1190 They used CVE-2021-1111, CVE-2021-2222. CVE-2021-3333.", [("CVE-2021-1111", "T1190", 2), ("CVE-2021-2222", "T1190", 2)]),
+    ("Exploit Public- Facing Application T1190 no end CVE-2021-1111, CVE-2021-2222", []),
+    (f"Exploit Public-Facing Application T1190 {'long ' * 160}CVE-2021-1111, CVE-2021-2222.", []),
+    ("They exploited CVE-2021-1111 (T1203). Other words.", [("CVE-2021-1111", "T1203", 3)]),
+    ("They never exploited CVE-2021-1111 (T1203).", []),
+    ("They exploited CVE-2021-1111 and CVE-2021-2222 (T1203).", []),
+    ("They exploited CVE-2021-1111 (T1059).", []),
+    ("They saw CVE-2021-1111 (T1203).", []),
+    (f"They exploited CVE-2021-1111 {'and so on ' * 20}(T1203).", []),
+    ("- exploited CVE-2021-1111, no\n- exploited CVE-2021-2222 by T1068\nthe end", [("CVE-2021-2222", "T1068", 3)]),
+    ("nothing", []), ("", []),
+]
+
+
+def test_exploit_facts(spark):
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(FACTS)] + [(99, None)], "doc_id int, text string")
+    got = {k: [] for k in range(len(FACTS))}
+    for r in facts.exploit_facts(docs).collect():
+        text = FACTS[r["doc_id"]][0]
         assert re.sub(r"\s", "", text[r["item_start"] : r["item_end"]]).upper() == r["item"] and text[r["scope_start"] : r["scope_end"]].upper() == r["scope"]
         assert r["ev_start"] <= min(r["item_start"], r["scope_start"]) and r["ev_end"] >= r["item_end"]
-    return sorted((r["item"], r["scope"], r["shape"]) for r in rows)
-
-
-@pytest.mark.parametrize(
-    "text, want",
-    [
-        (f"{HEAD} • CVE-2021-44228 log • CVE- 2020-1111 x • other • CVE-2019-2222", [("CVE-2020-1111", "T1190", 1), ("CVE-2021-44228", "T1190", 1)]),
-        (f"{HEAD} {'far ' * 25}• CVE-2021-44228", []),  # too far from the heading
-        (f"{HEAD} • CVE-2021-44228 {'far ' * 130}• CVE-2020-1111", [("CVE-2021-44228", "T1190", 1)]),  # a gap ends the list
-        (f"{HEAD}• CVE-2021-44228", []),  # no bullet of its own
-        (f"{HEAD} • CVE-2021-44228 and {HEAD} • CVE-2020-1111", [("CVE-2020-1111", "T1190", 1), ("CVE-2020-1111", "T1190", 1), ("CVE-2021-44228", "T1190", 1)]),
-        ("Exploit Public-Facing Application T1190 They used CVE-2021-1111, CVE-2021-2222. CVE-2021-3333.", [("CVE-2021-1111", "T1190", 2), ("CVE-2021-2222", "T1190", 2)]),
-        ("Exploit Public- Facing Application T1190 no end CVE-2021-1111, CVE-2021-2222", []),
-        (f"Exploit Public-Facing Application T1190 {'long ' * 160}CVE-2021-1111, CVE-2021-2222.", []),
-        ("They exploited CVE-2021-1111 (T1203). Other words.", [("CVE-2021-1111", "T1203", 3)]),
-        ("They never exploited CVE-2021-1111 (T1203).", []),
-        ("They exploited CVE-2021-1111 and CVE-2021-2222 (T1203).", []),
-        ("They exploited CVE-2021-1111 (T1059).", []),
-        ("They saw CVE-2021-1111 (T1203).", []),
-        (f"They exploited CVE-2021-1111 {'and so on ' * 20}(T1203).", []),
-        ("- exploited CVE-2021-1111, no\n- exploited CVE-2021-2222 by T1068\nthe end", [("CVE-2021-2222", "T1068", 3)]),
-        ("nothing", []), ("", []),
-    ],
-)
-def test_exploit_facts(spark, text, want):
-    assert found(spark, text) == want
+        got[r["doc_id"]].append((r["item"], r["scope"], r["shape"]))
+    assert [sorted(x) for x in got.values()] == [want for _, want in FACTS]
 
 
 # ---- J16 ----
