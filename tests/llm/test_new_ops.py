@@ -138,7 +138,7 @@ def aligned_brute(texts):
 ODD = [None, "", " ", "  ", "a ", "\n", " \t x\r\n", "literal ▁ sign", "<|endoftext|> <s> </s> <unk> <0x41>", "\0 nul", "漢字かな交じり文 😀😀 é", "x" * 3000, " " * 2000, "ab\n cd\n\n  ef", "it's 'll we've", "same words here " * 400]
 
 
-@pytest.mark.parametrize("head", [token_align.HEAD_PAIRS, 200, 1, 0])
+@pytest.mark.parametrize("head", [token_align.HEAD_PAIRS, 200, 0])
 def test_token_alignment(spark, head):
     rng = random.Random(2)
     words = ["the", "zyx", "alignment", "über", "42", "don't", "—", "naïve", "<s>", "qq"]
