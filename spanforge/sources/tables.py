@@ -88,7 +88,7 @@ def read_feed(spark: SparkSession, path: str, partitions: int | None = None) ->
     name = F.upper(F.trim(get("$.cve.id", "$.id", "$.cve.CVE_data_meta.ID")))
     body = get("$.cve.configurations", "$.configurations")
     found = F.regexp_extract_all(body, F.lit(r'"(?:criteria|cpe23Uri)"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    rows = rows.select("file", F.when(name.rlike(r"^CVE-\d{4}-\d{4,}$"), name).alias("record"), F.explode(found).alias("c")).where("record is not null")
+    rows = rows.select("file", F.when(name.rlike(r"^CVE-\d{4}-\d+$"), name).alias("record"), F.explode(found).alias("c")).where("record is not null")
     # a JSON string escapes backslashes, which product ids use before colons
     return rows.select("file", "record", F.regexp_extract("record", r"^CVE-(\d{4})-", 1).alias("year"), F.replace("c", F.lit("\\\\"), F.lit("\\")).alias("criteria")).distinct()
 
