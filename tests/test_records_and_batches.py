@@ -77,3 +77,43 @@ def test_lazy_cover(spark, monkeypatch, head, batch, need):
     assert got == greedy(features, 6, need)
     assert sum(counted) < 6 * 120 / 2, "far fewer gains are counted than by counting all of them at every pick"
     assert rank.coverage_batch(df.limit(0), 3).count() == 0
+
+
+def test_anchored_backfill(spark):
+    from spanforge.operators import link, textscan
+
+    rng = random.Random(12)
+    texts, anchors, seeds, existing = {}, [], [], []
+    for d in range(25):
+        words = rng.choices(["aa", "aab", "b", "b aa", "CVE", "x"], k=rng.randint(3, 25))
+        texts[d] = " ".join(w + rng.choice(["", "", ".", "\n"]) for w in words)
+        anchors += [(d, k) for k in range(len(texts[d])) if texts[d].startswith("CVE", k)]
+        seeds += [(d, s) for s in rng.sample(["aa", "aab", "b aa", "b", "zz"], 3)]
+        s = rng.randint(0, len(texts[d]) - 1)
+        existing += [(d, s, s + 2)]
+    want = set()
+    for d, text in texts.items():
+        cuts = [0, *[k + 1 for k, c in enumerate(text) if c in ".\n"], len(text)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if not any(a == d and lo <= k < hi for a, k in anchors):
+                continue
+            hits = [(-len(s), lo + text[lo:hi].index(s), s) for e, s in seeds if e == d and s in text[lo:hi]]
+            hits = [(n, a, s) for n, a, s in hits if not any(e == d and a < y and a - n > x for e, x, y in existing)]
+            taken = []
+            for n, a, s in sorted(hits):
+                if all(a - n <= x or a >= y for x, y in taken):
+                    taken.append((a, a - n))
+                    want.add((d, a, a - n, s))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = link.anchored_backfill(spark.createDataFrame(seeds, "doc_id int, surface string"), textscan.sentences(docs, "dot"), docs, spark.createDataFrame(anchors, "doc_id int, start int"), spark.createDataFrame(existing, "doc_id int, start int, end int"))
+    assert {(r["doc_id"], r["start"], r["end"], r["surface"]) for r in got.collect()} == want and len(want) > 10
+
+
+def test_quota_batch(spark):
+    positives = spark.createDataFrame([(d,) for d in range(20)], "doc_id int")
+    features = spark.createDataFrame([(d, f"f{d % 9}") for d in range(60)], "doc_id int, f string")
+    turns = [{r["doc_id"]: r["part"] for r in rank.quota_batch(positives, features, 8, t).collect()} for t in range(4)]
+    for t in turns:
+        assert len(t) == 8 and sum(p == "positive" for p in t.values()) == 6 and all(d < 20 for d, p in t.items() if p == "positive")
+    first = [{d for d, p in t.items() if p == "positive"} for t in turns]
+    assert not first[0] & first[1] and len(set().union(*first)) == 20, "turns go around the ring"
