@@ -115,10 +115,19 @@ def ownership(wins: DataFrame) -> DataFrame:
 
 
 def owned(spans: DataFrame, wins: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """Every span with the one window that owns its middle."""
-    w = wins.select(F.col("doc_id").alias("wd"), "w", "own_lo2", "own_hi2")
-    middle = F.col(start) + F.col(end)
-    return spans.join(w, (F.col("doc_id") == F.col("wd")) & (middle >= F.col("own_lo2")) & (middle < F.col("own_hi2"))).drop("wd", "own_lo2", "own_hi2")
+    """Every span with the one window that owns its middle (``wins`` from ``ownership``).
+
+    Regions partition a text, so the owner is the last one that begins at or before the middle:
+    an as-of pass, no range join. Spans without offsets have no owner."""
+    rows = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select("doc_id", (F.col(start) + F.col(end)).cast("long").alias("start"), F.struct(*spans.columns).alias("_row"))
+    marks = wins.where("own_lo2 < own_hi2").select("doc_id", F.col("own_lo2").cast("long").alias("start"), F.struct("w", "own_hi2").alias("_own"))
+    return last_before(rows, marks, "_own").where(F.col("start") < F.col("_own.own_hi2")).select("_row.*", "_own.w")
+
+
+def owned_predictions(predictions: DataFrame, wins: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """Of what every window predicted (doc_id, w, .., document offsets) the rows that lie in
+    the window's own region; what it saw of its neighbours' regions goes."""
+    return owned(predictions.withColumnRenamed("w", "_by"), wins, start, end).where("_by = w").drop("_by")
 
 
 def relation_hull(relations_with_ends: DataFrame) -> DataFrame:
@@ -128,17 +137,23 @@ def relation_hull(relations_with_ends: DataFrame) -> DataFrame:
     return relations_with_ends.withColumn("hull_start", F.when(both, lo).otherwise(F.col("ev_start"))).withColumn("hull_end", F.when(both, hi).otherwise(F.col("ev_end")))
 
 
+def _in_windows(rows: DataFrame, wins: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows with every window that their closed span touches: a sweep a document."""
+    spans = rows.select("doc_id", F.col(start).alias("start"), F.col(end).alias("end"), F.struct(*rows.columns).alias("row"))
+    w = wins.select("doc_id", F.col("w_start").alias("start"), F.col("w_end").alias("end"), "w")
+    j = overlap_join(spans, w, ["doc_id"], touching=True)
+    return j.select("l_row.*", F.col("r_w").alias("w"), F.col("r_start").alias("w_start"), F.col("r_end").alias("w_end"))
+
+
 def project_mentions(mentions: DataFrame, wins: DataFrame) -> DataFrame:
     """Mentions that lie in a window, with offsets relative to it."""
-    w = wins.select("doc_id", "w", "w_start", "w_end")
-    j = mentions.join(w, "doc_id").where("start >= w_start and end <= w_end")
+    j = _in_windows(mentions, wins, "start", "end").where("start >= w_start and end <= w_end")
     return j.withColumn("start", F.col("start") - F.col("w_start")).withColumn("end", F.col("end") - F.col("w_start")).drop("w_start", "w_end")
 
 
 def project_evidence(relations: DataFrame, wins: DataFrame) -> DataFrame:
     """Evidence clipped to each window that it touches, flagged where it was cut."""
-    w = wins.select("doc_id", "w", "w_start", "w_end")
-    j = relations.join(w, "doc_id").where("ev_start < w_end and ev_end > w_start")
+    j = _in_windows(relations, wins, "ev_start", "ev_end").where("ev_start < w_end and ev_end > w_start")
     lo, hi = F.greatest("ev_start", "w_start"), F.least("ev_end", "w_end")
     j = j.withColumn("truncated", (lo > F.col("ev_start")) | (hi < F.col("ev_end")))
     return j.withColumn("_lo", lo - F.col("w_start")).withColumn("ev_end", hi - F.col("w_start")).withColumn("ev_start", F.col("_lo")).drop("_lo", "w_start", "w_end")

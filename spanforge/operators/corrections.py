@@ -114,31 +114,56 @@ def expand_rules(rules: DataFrame, findings: DataFrame, keys: list[str]) -> tupl
 
 
 def apply_decisions(mentions: DataFrame, relations: DataFrame, decisions: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
-    """Mentions and relations after the decisions, what was quarantined, and violations.
-
-    decisions: (doc_id, id, action KEEP / REVISE / REJECT, old_norm, new_norm, new_start, new_end).
-    A decision whose item is neither old nor already new, or whose new span is no slice of the
-    text, is a violation and changes nothing; running twice changes nothing more. Rejected
-    mentions take their relations with them."""
-    d = decisions.select("doc_id", "id", "action", "old_norm", "new_norm", "new_start", "new_end")
-    n = F.count("*").over(Window.partitionBy("doc_id", "id"))
-    d = d.withColumn("_n", n)
-    j = mentions.join(d, ["doc_id", "id"], "left").join(docs.select("doc_id", F.char_length("text").alias("_len"), F.col("text").alias("_t")), "doc_id", "left")
-    known = F.col("action").isNull() | F.col("norm").eqNullSafe(F.col("old_norm")) | F.col("norm").eqNullSafe(F.col("new_norm"))
-    fits = F.col("new_start").isNull() | ((F.col("new_start") >= 0) & (F.col("new_end") > F.col("new_start")) & (F.col("new_end") <= F.col("_len")))
-    good = known & fits & (F.coalesce("_n", F.lit(1)) == 1)
-    j = j.withColumn("_good", F.coalesce(good, F.lit(False)))
-    revise = (F.col("action") == "REVISE") & F.col("_good")
-    new_surface = F.substr("_t", (F.col("new_start") + 1).cast("int"), (F.col("new_end") - F.col("new_start")).cast("int"))
+    """Mentions and relations after the decisions, what was quarantined of both (relations
+    with the reason), and violations (doc_id, id, action, problem).
+
+    decisions: (doc_id, id, action KEEP / REVISE / REJECT, old_norm, new_norm, new_start, new_end),
+    and if wanted old_start, old_end, old_surface and new_surface. Violations change nothing:
+    several decisions on one item; an item that is not there (a rejected one may be gone); one
+    whose id, or whose span and surface where they are given, are neither the old nor the new
+    ones; a new span that lies outside the text or does not read new_surface. Running twice
+    changes nothing more. Rejected mentions take their relations with them."""
+    optional = [c for c in ("old_start", "old_end", "old_surface", "new_surface") if c in decisions.columns]
+    d = decisions.select("doc_id", "id", "action", "old_norm", "new_norm", "new_start", "new_end", *optional)
+    for c in {"old_start", "old_end", "old_surface", "new_surface"} - set(optional):
+        d = d.withColumn(c, F.lit(None).cast("string" if c.endswith("surface") else "int"))
+    d = d.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "id")))
+    # only texts that a new span is cut from meet the decisions
+    spans = d.where("new_start is not null").select("doc_id", "new_start", "new_end").distinct()
+    cut = F.when((F.col("new_start") >= 0) & (F.col("new_end") > F.col("new_start")) & (F.col("new_end") <= F.char_length("text")), F.substr("text", (F.col("new_start") + 1).cast("int"), (F.col("new_end") - F.col("new_start")).cast("int")))
+    spans = spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "new_start", "new_end", cut.alias("_cut"))
+    d = d.join(spans, ["doc_id", "new_start", "new_end"], "left")
+    j = mentions.join(d, ["doc_id", "id"], "left")
+    known = F.col("norm").eqNullSafe(F.col("old_norm")) | F.col("norm").eqNullSafe(F.coalesce("new_norm", "old_norm"))
+
+    def stands(which: str) -> Column:
+        """The mention is where, and reads as, the decision says; what is not stated fits."""
+        fits = F.lit(True)
+        for c in ("start", "end", "surface"):
+            fits = fits & (F.col(f"{which}_{c}").isNull() | (F.col(c) == F.col(f"{which}_{c}")))
+        return fits
+
+    # a span that moves is where it was or where it goes; without a new one, only where it was
+    placed = stands("old") | (F.col("new_start").isNotNull() & stands("new"))
+    fits = F.col("new_start").isNull() | (F.col("_cut").isNotNull() & (F.col("new_surface").isNull() | (F.col("_cut") == F.col("new_surface"))))
+    why = F.when(F.col("_n") > 1, "decided_twice").when(~F.coalesce(known, F.lit(False)), "other_id").when(~F.coalesce(placed, F.lit(False)), "other_span").when(~F.coalesce(fits, F.lit(False)), "no_slice")
+    j = j.withColumn("_why", F.when(F.col("action").isNotNull(), why))
+    good = F.col("action").isNotNull() & F.col("_why").isNull()
+    revise, reject = good & (F.col("action") == "REVISE"), good & (F.col("action") == "REJECT")
     moved = revise & F.col("new_start").isNotNull()
     fixed = {
-        "norm": F.when(revise, F.coalesce("new_norm", "norm")).otherwise(F.col("norm")), "surface": F.when(moved, new_surface).otherwise(F.col("surface")),
+        "norm": F.when(revise, F.coalesce("new_norm", "norm")).otherwise(F.col("norm")), "surface": F.when(moved, F.col("_cut")).otherwise(F.col("surface")),
         "start": F.when(moved, F.col("new_start")).otherwise(F.col("start")), "end": F.when(moved, F.col("new_end")).otherwise(F.col("end")),
     }
-    reject = (F.col("action") == "REJECT") & F.col("_good")
     kept = j.where(~F.coalesce(reject, F.lit(False))).select(*[fixed.get(c, F.col(c)).alias(c) for c in mentions.columns]).distinct()
     gone = j.where(reject).select(*mentions.columns).distinct()
     ids = gone.select("doc_id", F.col("id").alias("x")).distinct()
-    touch = relations.join(ids, "doc_id").where("head = x or tail = x").select("doc_id", F.col("id").alias("id")).distinct()
-    bad = j.where("action is not null and not _good").select("doc_id", "id", "action").distinct()
-    return {"mentions": kept, "relations": relations.join(touch, ["doc_id", "id"], "left_anti").select(*relations.columns), "quarantine": gone, "violations": bad}
+    ends = relations.select("doc_id", "id", F.explode(F.array_distinct(F.array("head", "tail"))).alias("x"))
+    touch = ends.join(ids, ["doc_id", "x"]).groupBy("doc_id", "id").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("_x"))
+    torn = relations.join(touch, ["doc_id", "id"]).select(*relations.columns, F.concat(F.lit("rejected end: "), "_x").alias("reason"))
+    bad = j.where("_why is not null").select("doc_id", "id", "action", F.col("_why").alias("problem"))
+    absent = d.join(mentions.select("doc_id", "id"), ["doc_id", "id"], "left_anti").select("doc_id", "id", "action", F.when(F.col("_n") > 1, "decided_twice").when(F.col("action") != "REJECT", "no_item").alias("problem")).where("problem is not null")
+    return {
+        "mentions": kept, "relations": relations.join(touch, ["doc_id", "id"], "left_anti").select(*relations.columns),
+        "quarantine": gone, "quarantined_relations": torn, "violations": bad.union(absent).distinct(),
+    }

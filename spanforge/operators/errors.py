@@ -42,8 +42,8 @@ def cross_facts(gold_rel: DataFrame, gold: DataFrame, pred_rel: DataFrame, pred:
 def routing(gold_rel, gold, raw_rel, raw, final_rel) -> DataFrame:
     """Missed gold relations by where they were lost: dropped after prediction, both ends
     present, one missing, none present."""
-    keys = ["doc_id", "type", "head_start", "head_end", "tail_start", "tail_end"]
-    g = with_ends(gold_rel, gold).select(*keys, "head_type", "tail_type").distinct()
+    keys = ["doc_id", "type", *(f"{e}_{c}" for e in ("head", "tail") for c in ("start", "end", "type"))]
+    g = with_ends(gold_rel, gold).select(*keys).distinct()
     lost = g.join(with_ends(final_rel, raw).select(*keys), keys, "left_anti")
     lost = lost.join(with_ends(raw_rel, raw).select(*keys).distinct().withColumn("in_raw", F.lit(True)), keys, "left")
     for end in ("head", "tail"):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_id, prf, ratio, span_is_exact
+from . import chunk
 from .match import SPAN, contained, exact_match, facts, matched_counts, with_ends
 
 COUNTS = ["tp", "fp", "fn"]
@@ -50,8 +51,8 @@ def _compare(gold: DataFrame, pred: DataFrame, keys: list[str], group: list[str]
 
 
 def relation_counts(gold_rel, gold, pred_rel, pred, extra: list[str] = ()) -> DataFrame:
-    """A4: strict relations on (head span, type, tail span)."""
-    keys = [*extra, "doc_id", "head_start", "head_end", "type", "tail_start", "tail_end"]
+    """A4: strict relations on (head span and type, relation type, tail span and type)."""
+    keys = [*extra, "doc_id", "head_start", "head_end", "head_type", "type", "tail_start", "tail_end", "tail_type"]
     return _compare(with_ends(gold_rel, gold, extra), with_ends(pred_rel, pred, extra), keys, [*extra, "doc_id", "type"])
 
 
@@ -148,17 +149,67 @@ def raw_quality(docs, mentions, relations, types, signatures) -> DataFrame:
 def conditional_recall(gold_rel, gold, pred_rel, pred) -> DataFrame:
     """Recall of gold relations among those whose two ends were predicted, by type."""
     g = with_ends(gold_rel, gold).select("doc_id", "type", "head_start", "head_end", "head_type", "tail_start", "tail_end", "tail_type").distinct()
-    p = with_ends(pred_rel, pred).select("doc_id", "type", "head_start", "head_end", "tail_start", "tail_end").distinct().withColumn("hit", F.lit(True))
+    p = with_ends(pred_rel, pred).select(*g.columns).distinct().withColumn("hit", F.lit(True))
     spans = pred.select(*SPAN).distinct()
     for end in ("head", "tail"):
         s = spans.select("doc_id", F.col("start").alias(f"{end}_start"), F.col("end").alias(f"{end}_end"), F.col("type").alias(f"{end}_type")).withColumn(f"has_{end}", F.lit(True))
         g = g.join(s, ["doc_id", f"{end}_start", f"{end}_end", f"{end}_type"], "left")
-    g = g.join(p, ["doc_id", "type", "head_start", "head_end", "tail_start", "tail_end"], "left")
+    g = g.join(p, [c for c in p.columns if c != "hit"], "left")
     both = F.col("has_head").isNotNull() & F.col("has_tail").isNotNull()
     out = g.groupBy("type").agg(F.count("*").alias("n_gold"), F.count_if(both).alias("n_available"), F.count_if(both & F.col("hit").isNotNull()).alias("n_found"), F.count_if(~both).alias("n_end_missing"))
     return out.withColumn("recall", ratio(F.col("n_found"), F.col("n_available")))
 
 
+def _by_label(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counts (type, tp, fp, fn, ..) for every label of a closed vocabulary, with support; the
+    ratios are null where neither side has the label."""
+    n = [c for c in counts.columns if c != "type"]
+    full = F.broadcast(labels.select("type").distinct()).join(counts, "type", "left").na.fill(0, n)
+    some = F.col("tp") + F.col("fp") + F.col("fn") > 0
+    ratios = [F.when(some, c).alias(name) for c, name in zip(prf(F.col("tp"), F.col("fp"), F.col("fn")), ("precision", "recall", "f1"))]
+    return full.select("type", *n, *ratios, (F.col("tp") + F.col("fn")).alias("gold_support"), (F.col("tp") + F.col("fp")).alias("predicted_support"), some.alias("applicable"))
+
+
+def window_mention_scores(gold: DataFrame, predicted: DataFrame, regions: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Strict mention scores by label, every window being scored on its own region only.
+
+    predicted: what each window gave (doc_id, w, .., document offsets); regions: windows from
+    ``chunk.ownership``. Beside the scores: gold and predicted support, matches that only a
+    one-to-one match of Jaccard >= threshold finds (boundary_only), and right ids among strict
+    hits whose gold has an id. Labels without support have null ratios."""
+    g, p = chunk.owned(gold, regions), chunk.owned_predictions(predicted, regions)
+    counts = micro(mention_counts(g, p, ["w"]), ["type"]).select("type", *COUNTS)
+    near = overlap_counts(g, p, ["w"], threshold).groupBy("type").agg(F.sum("tp").alias("_near"))
+    ids = normalization_accuracy(g, p, ["w"]).groupBy("type").agg(F.sum("n_found").alias("norm_total"), F.sum("n_right").alias("norm_right"))
+    both = counts.join(near, "type", "left").join(ids, "type", "left").na.fill(0)
+    both = both.withColumn("boundary_only", F.greatest(F.lit(0), F.col("_near") - F.col("tp"))).drop("_near")
+    return _by_label(both, labels).withColumn("norm_accuracy", F.when(F.col("norm_total") > 0, F.col("norm_right") / F.col("norm_total")))
+
+
+def window_relation_scores(gold_rel: DataFrame, gold: DataFrame, predicted_rel: DataFrame, predicted: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same for relations on (head span and type, relation type, tail span and type).
+
+    A relation belongs to the window that owns the middle of the hull of its ends, or of its
+    evidence where an end is unknown; as in all relation scores, those without two known ends are
+    no facts and count nowhere. predicted_rel:
+    (doc_id, w, type, head, tail, ev_start, ev_end), ends being ids of ``predicted``, the mentions
+    that were given to all windows."""
+    ends = [f"{e}_{c}" for e in ("head", "tail") for c in ("start", "end", "type")]
+    keys = ["w", "doc_id", "type", *ends]
+
+    def sided(rel: DataFrame, mentions: DataFrame) -> DataFrame:
+        m = mentions.select("doc_id", "id", "start", "end", "type").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "id").orderBy(F.desc("start"), F.desc("end")))).where("_r = 1")
+        for e in ("head", "tail"):
+            rel = rel.join(m.select("doc_id", F.col("id").alias(e), F.col("start").alias(f"{e}_start"), F.col("end").alias(f"{e}_end"), F.col("type").alias(f"{e}_type")), ["doc_id", e], "left")
+        return chunk.relation_hull(rel)
+
+    g = chunk.owned(sided(gold_rel, gold), regions, "hull_start", "hull_end").dropna(subset=ends).select(*keys).distinct()
+    p = chunk.owned_predictions(sided(predicted_rel, predicted), regions, "hull_start", "hull_end")
+    p = p.dropna(subset=ends).select(*keys).distinct()
+    both = g.withColumn("in_gold", F.lit(True)).join(p.withColumn("in_pred", F.lit(True)), keys, "full_outer").na.fill(False, ["in_gold", "in_pred"])
+    return _by_label(_tally(both, ["type"]), labels)
+
+
 def negative_documents(docs, gold_rel, pred_rel) -> DataFrame:
     """Documents without gold relations, those with predicted ones, and their rate."""
     neg = docs.select("doc_id").join(gold_rel.select("doc_id"), "doc_id", "left_anti")

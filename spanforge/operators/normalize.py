@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_cwe, span_is_exact
 from .link import last_before
+from .sweep import overlap_join
 from .textscan import scan, sentences
 
 # Nouns that describe a product and are no part of its name. server(s), application(s), devices,
@@ -116,8 +117,8 @@ def clean_records(raw: DataFrame, docs: DataFrame, types: DataFrame) -> tuple[Da
     why = F.when(F.col("_k").isNull(), "bad_type").when(~F.coalesce(inside, F.lit(False)), "bad_offsets").when(~exact, "text_mismatch").when(first > 1, "duplicate")
     j = j.withColumn("why", why)
     clean = j.where("why is null").select(*raw.columns)
-    a, b = (clean.select("doc_id", "type", F.col("start").alias(f"s{k}"), F.col("end").alias(f"e{k}")) for k in (1, 2))
-    pairs = a.join(b, ["doc_id", "type"]).where("s1 < e2 and s2 < e1 and (s1 < s2 or (s1 = s2 and e1 < e2))").groupBy("doc_id").agg(F.count("*").alias("overlapping_pairs"))
+    spans = clean.select("doc_id", "type", "start", "end")
+    pairs = overlap_join(spans, spans, ["doc_id", "type"]).where("l_start < r_start or (l_start = r_start and l_end < r_end)").groupBy("doc_id").agg(F.count("*").alias("overlapping_pairs"))
     counts = j.groupBy("doc_id").agg(*(F.count_if(F.col("why") == x).alias(x) for x in ("bad_type", "bad_offsets", "text_mismatch", "duplicate")), F.count_if(F.col("why").isNull()).alias("clean"))
     return clean, counts.join(pairs, "doc_id", "left").na.fill(0, ["overlapping_pairs"])
 

@@ -555,6 +555,27 @@ def corrected_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice["mentions"].select("doc_id", "id", "surface", "norm", F.col("start").alias("from_"), F.col("end").alias("to_"))
 
 
+@query(""", d AS (SELECT doc_id, id, s, e, norm, CASE WHEN s % 9 = 0 THEN 'REJECT' ELSE 'REVISE' END AS action,
+  CASE WHEN s % 7 = 0 THEN 'other_id' WHEN s % 5 = 0 THEN 'other_span' WHEN s % 9 <> 0 AND s % 4 = 0 AND s % 11 = 0 THEN 'no_slice' END AS problem FROM gold WHERE s % 3 = 0 AND norm IS NOT NULL),
+x AS (SELECT r.doc_id, r.id, string_agg(DISTINCT d.id, ',' ORDER BY d.id) AS ends FROM gold_rel r JOIN d ON d.doc_id = r.doc_id AND d.id IN (r.head, r.tail) WHERE action = 'REJECT' AND problem IS NULL GROUP BY r.doc_id, r.id)
+SELECT r.doc_id, r.id, CASE WHEN x.id IS NULL THEN 'kept' ELSE concat('rejected end: ', ends) END AS outcome FROM gold_rel r LEFT JOIN x ON x.doc_id = r.doc_id AND x.id = r.id
+UNION ALL SELECT doc_id, id, problem FROM d WHERE problem IS NOT NULL UNION ALL SELECT doc_id, 'none', 'no_item' FROM documents""")
+def corrected_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations kept or quarantined with a rejected end, and the violations: wrong old ids,
+    wrong old spans, new surfaces that the text does not read, items that are not there."""
+    a = Annotations(spark, sf_dir)
+    s = F.col("start")
+    cut = (s % 4 == 0) & (s % 9 != 0)
+    d = a.gold.where("start % 3 = 0 and norm is not null").select(
+        "doc_id", "id", F.when(s % 9 == 0, "REJECT").otherwise("REVISE").alias("action"), F.when(s % 7 == 0, "OTHER").otherwise(F.col("norm")).alias("old_norm"), F.concat("norm", F.lit("-X")).alias("new_norm"),
+        F.when(s % 5 == 0, s + 1).otherwise(s).alias("old_start"), F.col("end").alias("old_end"), F.col("surface").alias("old_surface"), F.when(cut, s).alias("new_start"), F.when(cut, F.col("end") - 1).alias("new_end"),
+        F.when(cut, F.concat(F.expr("substr(surface, 1, length(surface) - 1)"), F.when(s % 11 == 0, "?").otherwise(""))).alias("new_surface"))
+    lost = a.docs.select("doc_id", F.lit("none").alias("id"), F.lit("KEEP").alias("action"))
+    out = corrections.apply_decisions(a.gold, a.gold_rel, d.unionByName(lost, allowMissingColumns=True), a.docs)
+    kept = out["relations"].select("doc_id", "id", F.lit("kept").alias("outcome"))
+    return kept.union(out["quarantined_relations"].select("doc_id", "id", "reason")).union(out["violations"].select("doc_id", "id", "problem"))
+
+
 @query(""" SELECT type, surface, norm, count(*) AS n, string_agg(DISTINCT CAST(doc_id AS VARCHAR), '|' ORDER BY CAST(doc_id AS VARCHAR)) AS documents FROM gold GROUP BY type, surface, norm""")
 def mention_inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory of surfaces."""

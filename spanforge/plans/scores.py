@@ -74,7 +74,7 @@ def _ends_sql(name: str, rel: str, m: str) -> str:
 ENDS = f", {_ends_sql('ge', 'gold_rel', 'gold')}, {_ends_sql('pe', 'pred_rel', 'pred')}"
 
 
-@query(f"""{ENDS}, b AS ({_full("doc_id, hs, he, type, ts, te", "ge", "pe")}),
+@query(f"""{ENDS}, b AS ({_full("doc_id, hs, he, ht, type, ts, te, tt", "ge", "pe")}),
 c AS (SELECT coalesce(type, 'ALL') AS type, {_SUMS} FROM b GROUP BY GROUPING SETS ((), (type)))
 SELECT type, tp, fp, fn, {PRF} FROM c""")
 def relation_strict(spark: SparkSession, sf_dir: str) -> DataFrame:

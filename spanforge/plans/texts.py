@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import span_is_exact
 from ..operators import chunk, metrics, terms, textscan
+from ..schema import ENTITY_TYPES, RELATION_SIGNATURES, dim_entity_type, dim_relation
 from .fixtures import WORDS, Annotations, table
 from .registry import query
-from .scores import PRF
+from .scores import ENDS, PRF
 
 
 @query(""" SELECT doc_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS start_sum, CAST(sum(e) AS BIGINT) AS end_sum, count(*) AS n_exact FROM tok GROUP BY doc_id""")
@@ -218,6 +219,43 @@ def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("applicable", F.col("support") > 0).withColumn("recall", F.when(F.col("support") > 0, F.col("tp") / F.col("support")))
 
 
+@query(WIN + f""", go AS (SELECT gold.*, w FROM gold JOIN own ON gold.doc_id = own.doc_id AND s + e >= lo AND s + e < hi),
+po AS (SELECT pred.*, w FROM pred JOIN own ON pred.doc_id = own.doc_id AND s + e >= lo AND s + e < hi AND s >= w_start AND e <= w_end),
+b AS (SELECT doc_id, w, s, e, type, bool_or(src = 0) AS g, bool_or(src = 1) AS p FROM (SELECT DISTINCT doc_id, w, s, e, type, 0 AS src FROM go UNION ALL SELECT DISTINCT doc_id, w, s, e, type, 1 FROM po) u GROUP BY doc_id, w, s, e, type),
+c AS (SELECT type, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM b GROUP BY type),
+nr AS (SELECT g.type, count(*) AS near FROM go g JOIN po p ON p.doc_id = g.doc_id AND p.w = g.w AND p.type = g.type AND greatest(g.s, p.s) < least(g.e, p.e) AND 2 * (least(g.e, p.e) - greatest(g.s, p.s)) >= greatest(g.e, p.e) - least(g.s, p.s) GROUP BY g.type),
+ni AS (SELECT g.type, count(*) AS norm_total, count(*) FILTER (WHERE p.norm = g.norm) AS norm_right FROM go g JOIN po p ON p.doc_id = g.doc_id AND p.w = g.w AND p.s = g.s AND p.e = g.e AND p.type = g.type WHERE g.norm IS NOT NULL GROUP BY g.type),
+lb(type) AS (VALUES {", ".join(f"('{t}')" for t in ENTITY_TYPES)}),
+f AS (SELECT lb.type, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(norm_total, 0) AS norm_total, coalesce(norm_right, 0) AS norm_right, coalesce(near, 0) AS near FROM lb LEFT JOIN c ON c.type = lb.type LEFT JOIN nr ON nr.type = lb.type LEFT JOIN ni ON ni.type = lb.type),
+x AS (SELECT *, {PRF} FROM f)
+SELECT type, tp, fp, fn, norm_total, norm_right, greatest(0, near - tp) AS boundary_only, CASE WHEN tp + fp + fn > 0 THEN precision END AS precision, CASE WHEN tp + fp + fn > 0 THEN recall END AS recall, CASE WHEN tp + fp + fn > 0 THEN f1 END AS f1,
+ tp + fn AS gold_support, tp + fp AS predicted_support, tp + fp + fn > 0 AS applicable, CASE WHEN norm_total > 0 THEN norm_right / CAST(norm_total AS DOUBLE) END AS norm_accuracy FROM x""")
+def window_mention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window's predictions scored on the region that it owns, by label."""
+    a = Annotations(spark, sf_dir)
+    w = chunk.stride_windows(a.docs)
+    regions = chunk.ownership(w)
+    given = chunk.to_document(chunk.project_mentions(a.pred, w), w)
+    return metrics.window_mention_scores(a.gold, given, regions, dim_entity_type(spark))
+
+
+@query(WIN + f"""{ENDS}, r AS (SELECT *, CASE WHEN s0 % 11 = 0 THEN NULL ELSE te END AS te2 FROM (SELECT *, hs AS s0 FROM pe) q),
+go AS (SELECT ge.*, w FROM ge JOIN own ON ge.doc_id = own.doc_id AND hs + te >= lo AND hs + te < hi),
+po AS (SELECT r.*, w FROM r JOIN own ON r.doc_id = own.doc_id AND ev_start + ev_end >= lo AND ev_start + ev_end < hi AND ev_start >= w_start AND ev_end <= w_end),
+b AS (SELECT doc_id, w, hs, he, type, ts, te, bool_or(src = 0) AS g, bool_or(src = 1) AS p FROM (SELECT DISTINCT doc_id, w, hs, he, type, ts, te, 0 AS src FROM go UNION ALL SELECT DISTINCT doc_id, w, hs, he, type, ts, te, 1 FROM po WHERE te2 IS NOT NULL) u GROUP BY doc_id, w, hs, he, type, ts, te),
+c AS (SELECT type, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM b GROUP BY type),
+lb(type) AS (VALUES {", ".join(f"('{t}')" for t, *_ in RELATION_SIGNATURES)}),
+f AS (SELECT lb.type, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM lb LEFT JOIN c ON c.type = lb.type), x AS (SELECT *, {PRF} FROM f)
+SELECT type, tp, fp, fn, CASE WHEN tp + fp + fn > 0 THEN precision END AS precision, CASE WHEN tp + fp + fn > 0 THEN recall END AS recall, CASE WHEN tp + fp + fn > 0 THEN f1 END AS f1, tp + fn AS gold_support, tp + fp AS predicted_support, tp + fp + fn > 0 AS applicable FROM x""")
+def window_relation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for relations by the hull of their ends; one in eleven has an unknown tail."""
+    a = Annotations(spark, sf_dir)
+    w = chunk.stride_windows(a.docs)
+    given = chunk.project_evidence(a.pred_rel.withColumn("tail", F.when(F.col("ev_start") % 11 == 0, F.lit("?")).otherwise(F.col("tail"))), w).where("not truncated")
+    moved = given.join(w.select("doc_id", "w", "w_start"), ["doc_id", "w"]).withColumn("ev_start", F.col("ev_start") + F.col("w_start")).withColumn("ev_end", F.col("ev_end") + F.col("w_start"))
+    return metrics.window_relation_scores(a.gold_rel, a.gold, moved, a.pred, chunk.ownership(w), dim_relation(spark))
+
+
 @query(WIN + """, l AS (SELECT win.doc_id, w_start, concat(w_start, ':', w_end, ':', sha256(substr(text, w_start + 1, w_end - w_start))) AS line FROM win JOIN documents d ON d.doc_id = win.doc_id),
 p AS (SELECT doc_id, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY w_start)) AS d FROM l GROUP BY doc_id)
 SELECT split, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_windows, CAST(sum(CAST('0x' || substr(d, 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM p JOIN splits ON p.doc_id = splits.doc_id GROUP BY split""")
