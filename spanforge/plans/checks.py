@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number
-from ..operators import audit, chunk, corrections, errors, facts, link, metrics, normalize, textscan
+from ..operators import audit, chunk, corrections, errors, evidence, facts, legacy, link, metrics, normalize, textscan
 from ..operators.match import distinct_spans, nearest, with_ends
 from ..schema import dim_entity_type, dim_relation
 from ..sources.tables import mention_inventory
@@ -659,3 +659,38 @@ def core_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = Annotations(spark, sf_dir)
     phrases = spark.createDataFrame([(t, p) for t in ("Vulnerability", "Configuration") for p in ("tion", "ing", "ention")], "type string, phrase string")
     return normalize.core_phrases(a.gold, phrases).groupBy("type", "core").agg(F.count("*").alias("n"))
+
+
+_PHRASES = ", ".join(f"'{p}'" for p in legacy.METHODS)
+_GENERIC = ", ".join(f"'{p}'" for p in legacy.GENERIC)
+
+
+@query(f""", rw AS (SELECT *, CASE WHEN type IN ('Vulnerability', 'Configuration') AND s % 5 = 0 THEN NULL WHEN type = 'Configuration' AND lower(surface) IN ({_GENERIC}) THEN NULL
+    WHEN type = 'Weakness' THEN coalesce((SELECT substr(surface, -q.p2[1], q.p2[2]) FROM (SELECT max([-strpos(lower(surface), p), len(p)]) AS p2 FROM unnest([{_PHRASES}]) u(p) WHERE contains(lower(surface), p)) q), surface) WHEN type = 'AttackTechnique' THEN upper(surface) ELSE surface END AS core FROM gold),
+fd AS (SELECT rw.*, CASE WHEN strpos(text, core) > 0 THEN strpos(text, core) ELSE strpos(lower(text), lower(core)) END - 1 AS pos FROM rw JOIN documents d ON d.doc_id = rw.doc_id WHERE core IS NOT NULL),
+cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos, len(core), type ORDER BY s, id) AS r FROM fd) q WHERE r = 1),
+lr AS (SELECT gr.doc_id, gr.id, gr.type FROM gold_rel gr JOIN cl h ON h.doc_id = gr.doc_id AND h.id = gr.head JOIN cl t ON t.doc_id = gr.doc_id AND t.id = gr.tail WHERE gr.type IN ('affects', 'instantiates'))
+SELECT cl.doc_id, id, cl.type, substr(text, pos + 1, len(core)) AS surface, pos AS from_ FROM cl JOIN documents d ON d.doc_id = cl.doc_id UNION ALL SELECT doc_id, id, type, 'relation', 0 FROM lr""")
+def legacy_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions with articles, versions, category nouns and long descriptions around them,
+    cleaned and put at the first place of what is left; relations that still fit. Where a version
+    hid the category noun, one reduction leaves a surface that the text lacks: such products go."""
+    a = Annotations(spark, sf_dir)
+    s, long = F.col("surface"), F.col("start") % 5 == 0
+    raw = (
+        F.when(F.col("type") == "Configuration", F.concat(F.lit("the  "), s, F.when(long, " application 1.2.3").otherwise(" 4.0")))
+        .when(F.col("type") == "Weakness", F.concat(s, F.lit(" flaw."))).when((F.col("type") == "Vulnerability") & long, F.concat(s, F.lit(" is an issue that was told at length")))
+        .when(F.col("type") == "AttackTechnique", F.upper(s)).otherwise(s)
+    )
+    m, r = legacy.legacy_clean(a.gold.withColumn("surface", raw), a.gold_rel, a.docs, spark.createDataFrame(legacy.SIGNATURES, "type string, head_type string, tail_type string"))
+    cols = ["doc_id", "id", "type"]
+    return m.select(*cols, "surface", F.col("start").cast("long").alias("from_")).union(r.select(*cols, F.lit("relation"), F.lit(0).cast("long")))
+
+
+@query()
+def healed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Healed evidence of every product mention; its relations' spans were cut by three
+    characters at both ends."""
+    a = Annotations(spark, sf_dir)
+    cut = a.gold_rel.withColumn("ev_start", F.col("ev_start") + 3).withColumn("ev_end", F.col("ev_end") - 3)
+    return evidence.evidence_of(a.gold, cut, a.docs)
