@@ -246,6 +246,25 @@ def frequent_false_positives(gold, pred, most: int = 20) -> DataFrame:
     return fp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def document_scores(docs, gold, pred, kind: str = "Configuration") -> DataFrame:
+    """Per document strict counts of one type; recall and F1 are null without gold."""
+    c = mention_counts(gold.where(F.col("type") == kind), pred.where(F.col("type") == kind)).select("doc_id", *COUNTS)
+    out = docs.select("doc_id").join(c, "doc_id", "left").na.fill(0, COUNTS).withColumn("n_gold", F.col("tp") + F.col("fn"))
+    _, recall, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return out.select("doc_id", "n_gold", *COUNTS, F.when(F.col("n_gold") > 0, recall).alias("recall"), F.when(F.col("n_gold") > 0, f1).alias("f1"))
+
+
+def corpus_sizes(docs, wins, mentions, splits, text: str = "text") -> DataFrame:
+    """Per split documents, characters, windows, the most windows of a document, mentions,
+    and mentions as windows see them (once in each window that holds them)."""
+    per = docs.select("doc_id", F.coalesce(F.char_length(text), F.lit(0)).alias("n_chars"))
+    seen = chunk.project_mentions(mentions.select("doc_id", "start", "end"), wins)
+    for rows, name in ((wins, "n_windows"), (mentions, "n_mentions"), (seen, "n_window_mentions")):
+        per = per.join(rows.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").na.fill(0, [name])
+    sums = [F.sum(c).alias(c) for c in ("n_chars", "n_windows", "n_mentions", "n_window_mentions")]
+    return per.join(splits.select("doc_id", "split"), "doc_id").groupBy("split").agg(F.count("*").alias("n_docs"), *sums, F.max("n_windows").alias("most_windows"))
+
+
 def recall_by_depth(gold, pred, docs, parts: int = 3) -> DataFrame:
     """Strict recall by where in the text a mention's middle lies (1 .. parts)."""
     n = docs.select("doc_id", F.char_length("text").alias("_n"))

@@ -17,9 +17,12 @@ def leaderboard(candidates: DataFrame, top: int) -> DataFrame:
 
 
 def final_choice(candidates: DataFrame) -> DataFrame:
-    """The best eligible candidate by objective, micro F1, precision, shorter text, id."""
-    best = candidates.where("eligible").orderBy(F.desc("objective_f1"), F.desc("micro_f1"), F.desc("precision"), F.char_length("text"), "candidate_id").limit(1)
-    return best
+    """The best eligible candidate by objective, micro F1, precision, shorter text, id; an
+    error when none is eligible. Null scores come last."""
+    down = [F.coalesce(-F.col(c), F.lit(float("inf"))).alias(c) for c in ("objective_f1", "micro_f1", "precision")]
+    order = F.struct(*down, F.coalesce(F.char_length("text"), F.lit(0)).alias("n"), "candidate_id")
+    best = candidates.where("eligible").agg(F.min_by(F.struct(*candidates.columns), order).alias("b"))
+    return best.select(F.when(F.col("b").isNull(), F.raise_error(F.lit("no candidate is eligible"))).otherwise(F.col("b")).alias("b")).select("b.*")
 
 
 def confidence_bounds(log: DataFrame, c: float = 1.0) -> DataFrame:

@@ -81,3 +81,26 @@ def guardrails(by_type: DataFrame, baseline: str, target: str, most_drop: float
     return j.groupBy("method").agg(
         F.bool_and(F.col("gain") >= -most_drop).alias("keeps_f1"), F.bool_and(F.col("recall") >= least_recall).alias("keeps_recall"),
         F.bool_and(F.when(F.col("type") == target, F.col("gain") >= least_gain).otherwise(True)).alias("gains"), F.min("gain").alias("worst"))
+
+
+def paired_gates(runs: DataFrame, baseline: str, rules: DataFrame, share: float = 2 / 3) -> DataFrame:
+    """Per method and metric of repeated runs (method, metric, repeat, score) the mean,
+    population deviation and paired gains on the baseline, and whether the metric's rule holds.
+
+    rules: (metric, least_gain, floor, large_drop, most_large_drops), null values asking nothing. A
+    rule holds if the mean gain reaches least_gain, gains are positive (at a least_gain of 0: not
+    negative) in at least ``share`` of the repeats and in one, the mean reaches the floor, and at
+    most so many repeats fall by over large_drop. A metric without a rule holds; a repeat that
+    the baseline lacks has no gain and counts as not positive."""
+    tiny = 1e-12
+    base = runs.where(F.col("method") == baseline).groupBy("metric", "repeat").agg(F.avg("score").alias("base"))
+    j = runs.join(base, ["metric", "repeat"], "left").join(F.broadcast(rules), "metric", "left").withColumn("gain", F.col("score") - F.col("base"))
+    positive = F.when(F.col("least_gain") == 0, F.col("gain") >= -tiny).otherwise(F.col("gain") > 0)
+    of_rule = ["least_gain", "floor", "large_drop", "most_large_drops"]
+    out = j.groupBy("method", "metric", *of_rule).agg(
+        F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"), F.avg("gain").alias("gain"),
+        F.count_if(positive).alias("n_positive"), F.count_if(F.col("gain") < -F.col("large_drop")).alias("n_large_drop"))
+    enough = F.col("n_positive") >= F.greatest(F.lit(1), F.ceil(F.col("n") * share - tiny))
+    gains = F.when(F.col("least_gain").isNotNull(), F.coalesce((F.col("gain") + tiny >= F.col("least_gain")) & enough, F.lit(False))).otherwise(True)
+    holds = F.when(F.col("floor").isNotNull(), F.col("mean") + tiny >= F.col("floor")).otherwise(True) & F.when(F.col("most_large_drops").isNotNull(), F.col("n_large_drop") <= F.col("most_large_drops")).otherwise(True)
+    return out.select("method", "metric", "n", "mean", "deviation", "gain", "n_positive", "n_large_drop", gains.alias("gains"), holds.alias("holds"), (gains & holds).alias("passes"))

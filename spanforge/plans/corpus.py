@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import keyed_number
-from ..operators import dedup, graph, integrity, match, metrics, rank, stats
+from ..operators import chunk, dedup, graph, integrity, match, metrics, predictors, rank, stats, textscan
+from ..schema import dim_entity_type, dim_relation
 from .fixtures import SPLITS, Annotations, table
 from .registry import query
+from .scores import PRF
+from .texts import WIN
 
 
 @query(""" SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS digest, count(*) AS n_docs, count(DISTINCT split) AS n_splits, min(documents.doc_id) AS first_doc
@@ -162,6 +167,78 @@ def guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.guardrails(by_type, "a", "Weakness", least_recall=0.5)
 
 
+@query(COUNTS + """, u AS (SELECT method, split, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ct JOIN splits ON ct.doc_id = splits.doc_id GROUP BY method, split),
+s AS (SELECT method, split, 'precision' AS metric, tp / CAST(tp + fp AS DOUBLE) AS score FROM u UNION ALL SELECT method, split, 'recall', tp / CAST(tp + fn AS DOUBLE) FROM u UNION ALL SELECT method, split, 'f1', 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) FROM u),
+k(metric, lg, fl, ld, ml) AS (VALUES ('precision', CAST(NULL AS DOUBLE), 0.5, 0.001, 0), ('recall', 0.0, 0.9, NULL, NULL)),
+g AS (SELECT x.*, x.score - y.score AS gain, lg, fl, ld, ml FROM s x JOIN s y ON x.split = y.split AND x.metric = y.metric AND y.method = 'b' LEFT JOIN k ON k.metric = x.metric),
+q AS (SELECT method, metric, lg, fl, ml, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS deviation, avg(gain) AS gain, count(*) FILTER (WHERE CASE WHEN lg = 0 THEN gain >= -1e-12 ELSE gain > 0 END) AS n_positive, count(*) FILTER (WHERE gain < -ld) AS n_large_drop FROM g GROUP BY ALL),
+z AS (SELECT *, CASE WHEN lg IS NULL THEN true ELSE gain + 1e-12 >= lg AND n_positive >= 2 END AS gains, (fl IS NULL OR mean >= fl) AND (ml IS NULL OR n_large_drop <= ml) AS holds FROM q)
+SELECT method, metric, n, mean, deviation, gain, n_positive, n_large_drop, gains, holds, gains AND holds AS passes FROM z""")
+def paired_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scores of two methods over three repeats, gated by paired gains, floors
+    and large drops."""
+    a = Annotations(spark, sf_dir)
+    c = _method_counts(a).join(a.splits, "doc_id").groupBy("method", F.col("split").alias("repeat")).agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn")))
+    scores = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), e.alias("score")) for m, e in (("precision", F.col("tp") / (F.col("tp") + F.col("fp"))), ("recall", F.col("tp") / (F.col("tp") + F.col("fn"))), ("f1", 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))))))
+    rules = spark.createDataFrame([("precision", None, 0.5, 0.001, 0), ("recall", 0.0, 0.9, None, None)], "metric string, least_gain double, floor double, large_drop double, most_large_drops int")
+    return stats.paired_gates(c.select("method", "repeat", scores.alias("z")).select("method", "repeat", "z.*"), "b", rules)
+
+
+@query(""", b AS (SELECT doc_id, s, e, bool_or(src = 0) AS g, bool_or(src = 1) AS p FROM (SELECT DISTINCT doc_id, s, e, 0 AS src FROM gold WHERE type = 'Configuration' UNION ALL SELECT DISTINCT doc_id, s, e, 1 FROM pred WHERE type = 'Configuration') u GROUP BY doc_id, s, e),
+c AS (SELECT d.doc_id, count(*) FILTER (WHERE g) AS n_gold, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT *, CASE WHEN n_gold > 0 THEN tp / CAST(n_gold AS DOUBLE) END AS recall, CASE WHEN n_gold > 0 THEN 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1 FROM c""")
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product scores of every document."""
+    a = Annotations(spark, sf_dir)
+    return metrics.document_scores(a.docs, a.gold, a.pred)
+
+
+@query(WIN + """, v AS (SELECT gold.doc_id, count(*) AS n FROM gold JOIN win ON gold.doc_id = win.doc_id AND s >= w_start AND e <= w_end GROUP BY gold.doc_id),
+m AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id), ww AS (SELECT doc_id, count(*) AS n FROM win GROUP BY doc_id)
+SELECT split, count(*) AS n_docs, CAST(sum(len(text)) AS BIGINT) AS n_chars, CAST(sum(ww.n) AS BIGINT) AS n_windows, CAST(sum(coalesce(m.n, 0)) AS BIGINT) AS n_mentions, CAST(sum(coalesce(v.n, 0)) AS BIGINT) AS n_window_mentions, max(ww.n) AS most_windows
+FROM documents d JOIN splits ON splits.doc_id = d.doc_id LEFT JOIN ww ON ww.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY split""")
+def corpus_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, characters, windows and mentions by split."""
+    a = Annotations(spark, sf_dir)
+    return metrics.corpus_sizes(a.docs, chunk.stride_windows(a.docs), a.gold, a.splits)
+
+
+def _typed(tok: str) -> str:
+    return f"CASE WHEN len({tok}) >= 14 THEN 'Unlisted' WHEN len({tok}) % 2 = 0 THEN 'Configuration' ELSE 'Weakness' END"
+
+
+@query(f""", pr AS (SELECT 'long' AS method, doc_id, s, e, {_typed("surface")} AS type FROM tok WHERE len(surface) >= 9 UNION ALL SELECT 'longer', doc_id, s, e, {_typed("surface")} FROM tok WHERE len(surface) >= 11),
+k AS (SELECT DISTINCT method, doc_id, s, e, type FROM pr WHERE type <> 'Unlisted'), gg AS (SELECT DISTINCT method, gold.doc_id, s, e, type FROM gold, (VALUES ('long'), ('longer')) m(method)),
+b AS (SELECT method, doc_id, s, e, type, bool_or(src = 0) AS g, bool_or(src = 1) AS p FROM (SELECT *, 0 AS src FROM gg UNION ALL SELECT *, 1 FROM k) u GROUP BY method, doc_id, s, e, type),
+c AS (SELECT method, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM b GROUP BY method)
+SELECT method, tp, fp, fn, {PRF} FROM c""")
+def predictor_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two registered predictors, run on the train documents and then on all, where only
+    those without results are predicted; scored by method."""
+    a = Annotations(spark, sf_dir)
+
+    def words(least: int):
+        def predict(docs: DataFrame):
+            m = textscan.scan(docs.select("doc_id", "text"), f"[A-Za-z]{{{least},}}")
+            n = F.char_length("surface")
+            kind = F.when(n >= 14, "Unlisted").when(n % 2 == 0, "Configuration").otherwise("Weakness")
+            return m.select("doc_id", "start", "end", "surface", kind.alias("type"), F.concat(F.lit("E"), F.col("start").cast("string")).alias("id")), None
+
+        return predict
+
+    known = predictors.Predictors(dim_entity_type(spark), dim_relation(spark))
+    known.register("long", words(9))
+    known.register("longer", words(11))
+    folder = f"{dedup.shared_folder(spark)}/{uuid.uuid4().hex}"
+    out = None
+    for name in known.names():
+        known.run(name, a.docs.join(a.splits.where("split = 'train'"), "doc_id", "left_semi"), folder)
+        m, _ = known.run(name, a.docs, folder)
+        out = m if out is None else out.unionByName(m)
+    gold = a.gold.withColumn("method", F.explode(F.array(*(F.lit(n) for n in known.names()))))
+    return metrics.micro(metrics.mention_counts(gold, out, ["method"]), ["method"])
+
+
 # ---- rankings and samples ---------------------------------------------------------------
 @query(f""", x AS (SELECT doc_id, s // 2600 AS w, type, g, p FROM (SELECT doc_id, s, e, type, bool_or(src = 0) AS g, bool_or(src = 1) AS p FROM (SELECT DISTINCT doc_id, s, e, type, 0 AS src FROM gold UNION ALL SELECT DISTINCT doc_id, s, e, type, 1 FROM pred) u GROUP BY doc_id, s, e, type) q WHERE type = 'Weakness'),
 c AS (SELECT doc_id, w, count(*) FILTER (WHERE g AND NOT p) AS missed, count(*) FILTER (WHERE p AND NOT g) AS spurious FROM x GROUP BY doc_id, w),
