@@ -61,19 +61,45 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", "k", (end - F.char_length("line")).alias("start"), end.alias("end"), "line")
 
 
+# Signs that begin an item inside a line, and the longest table row.
+BULLETS, LONGEST_ROW = "\u2022\u2023\u25e6\u25aa\u25cf\uf077\uf0a7\uf0b7", 2000
+
+
+def list_items(line_rows: DataFrame) -> DataFrame:
+    """(doc_id, start, end) of the items of list lines: from a sign or number at the line's
+    begin, and from every sign after a blank, to the next one or the line's end. Blank items are
+    none; a sign that no blank follows is none."""
+    pieces = F.split("line", rf"(?<!\S)(?=[{BULLETS}]\s)", -1)
+    rows = line_rows.where(F.col("line").rlike(rf"^\s*(?:[-*]|\d+[.)])\s+|(?<!\S)[{BULLETS}]\s")).select("doc_id", F.col("start").alias("_at"), F.posexplode(pieces).alias("_k", "_p"))
+    upto = Window.partitionBy("doc_id", "_at").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.col("_at") + F.sum(F.char_length("_p")).over(upto)).withColumn("start", F.col("end") - F.char_length("_p"))
+    item = (F.col("_k") > 0) | F.col("_p").rlike(rf"^\s*(?:[-*{BULLETS}]|\d+[.)])\s+")
+    return rows.where(item & F.col("_p").rlike(r"\S")).select("doc_id", "start", "end")
+
+
+def is_table_row(line: Column) -> Column:
+    """At most 2,000 characters, cut by two pipes and more, or else by tabs, into two filled cells and more."""
+    def filled(sign: str) -> Column:
+        return F.size(F.filter(F.split(line, sign, -1), lambda c: c.rlike(r"\S")))
+
+    pipes = F.char_length(line) - F.char_length(F.replace(line, F.lit("|"), F.lit("")))
+    return (F.char_length(line) <= LONGEST_ROW) & F.when(pipes >= 2, filled(r"\|") >= 2).otherwise(line.contains("\t") & (filled("\t") >= 2))
+
+
 def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, start, end, kind): bullet lines, table rows (two pipes or tabs, at most
-    2,000 characters) and reference zones, from such a heading to the next heading or the end."""
+    """(doc_id, start, end, kind): list items, table rows that are no list lines, and
+    reference zones, from such a heading to the next heading or the end."""
     ln = lines(docs, text)
-    bullet = ln.where(F.col("line").rlike(r"^\s*(?:[-*•]|\d+[.)])\s+\S"))
-    row = ln.where((F.col("line").rlike(r"\|.*\|") | F.col("line").rlike(r"\t.*\t")) & (F.char_length("line") <= 2000))
+    items = list_items(ln)
+    marked = F.col("line").rlike(rf"^\s*(?:[-*]|\d+[.)])\s+|(?<!\S)[{BULLETS}]\s")
+    row = ln.where(~marked & is_table_row(F.col("line")))
     heading = F.col("line").rlike(r"^\s*(?:#+\s*\S|[A-Z][A-Za-z ]{2,60}:?\s*$)")
     reference = F.col("line").rlike(r"(?i)^\s*#*\s*(?:references|external links|sources|bibliography|further reading)\s*:?\s*$")
     w = Window.partitionBy("doc_id").orderBy("start")
     heads = ln.where(heading | reference).withColumn("ref", reference).withColumn("next", F.lead("start").over(w))
     n = docs.select("doc_id", F.char_length(text).cast("long").alias("n"))
     zone = heads.where("ref").join(n, "doc_id").select("doc_id", "start", F.coalesce("next", "n").alias("end"), F.lit("references").alias("kind"))
-    return bullet.select("doc_id", "start", "end", F.lit("list").alias("kind")).union(row.select("doc_id", "start", "end", F.lit("table").alias("kind"))).union(zone)
+    return items.select("doc_id", "start", "end", F.lit("list").alias("kind")).union(row.select("doc_id", "start", "end", F.lit("table").alias("kind"))).union(zone)
 
 
 def smallest_block(mentions: DataFrame, block_rows: DataFrame) -> DataFrame:

@@ -96,6 +96,16 @@ def sentences_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
+@query("""WITH x AS (SELECT doc_id, unnest(string_split(replace(text, ', ', ' • '), chr(10))) AS line FROM documents),
+y AS (SELECT doc_id, line, regexp_matches(line, '^\\s*(?:[-*]|\\d+[.)])\\s+') AS marked, (len(line) - len(replace(line, ' • ', ''))) // 3 AS n, strpos(line, ' • ') AS first FROM x)
+SELECT doc_id, CAST(sum(n + CASE WHEN marked THEN 1 ELSE 0 END) AS BIGINT) AS n, CAST(sum(len(line) - CASE WHEN marked THEN 0 ELSE first END) AS BIGINT) AS chars FROM y WHERE n > 0 OR marked GROUP BY doc_id""", prelude=False)
+def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of list lines, commas being made signs inside lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(", "), F.lit(" • ")).alias("text"))
+    b = textscan.blocks(docs).where("kind = 'list'")
+    return b.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
 @query("""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT doc_id, count(*) AS n FROM x WHERE len(line) <= 2000 AND len(line) - len(replace(line, '|', '')) >= 2 GROUP BY doc_id""", prelude=False)
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,3 +166,31 @@ def test_evidence_of_products(spark):
     r = spark.createDataFrame([(1, "R1", "affects", "V", "E1", text.index("he flaw"), text.index("tool")), (1, "R2", "affects", "V", "E1", 0, 3)], R)
     got = {x["id"]: (x["evidence"], x["source"]) for x in evidence.evidence_of(m, r, docs).collect()}
     assert got == {"E1": ("The flaw hits Acme (a tool of many uses)", "affects"), "E2": ("Beta is safe.", "sentence")}
+
+
+def test_list_items_and_table_rows(spark):
+    from spanforge.operators import textscan
+
+    rng = random.Random(5)
+    pieces = ["•", "• ", " • ", "● ", "- ", "1. ", "12) ", "word", " ", "\t", "|", "| a ", "x.", "\n", "\n", "\n  "]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(120)] + ["", "a | " + "b" * 2100 + " | c", "a\tb", "a\t ", "| |", "x | y | "]
+    signs = textscan.BULLETS
+    want = set()
+    for d, text in enumerate(texts):
+        at = 0
+        for line in text.split("\n"):
+            body = line.lstrip(" \t")
+            digits = len(body) - len(body.lstrip("0123456789"))
+            head = 1 if body[:1] and body[0] in "-*" + signs else digits + 1 if digits and body[digits : digits + 1] and body[digits] in ".)" else 0
+            inner = [k for k, c in enumerate(line) if c in signs and (k == 0 or line[k - 1] in " \t") and line[k + 1 : k + 2] in (" ", "\t") and line[k + 1 : k + 2]]
+            marks = sorted({*inner, *([0] if head and body[head : head + 1] in (" ", "\t") and body[head : head + 1] else [])})
+            for s, e in zip(marks, [*marks[1:], len(line)]):
+                if line[s:e].strip(" \t"):
+                    want.add((d, at + s, at + e, "list"))
+            cells = line.split("|") if line.count("|") >= 2 else line.split("\t") if "\t" in line else []
+            if not marks and len(line) <= 2000 and sum(bool(c.strip(" \t")) for c in cells) >= 2:
+                want.add((d, at, at + len(line), "table"))
+            at += len(line) + 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {tuple(r) for r in textscan.blocks(docs).where("kind <> 'references'").collect()}
+    assert got == want and {k for *_, k in want} == {"list", "table"}
