@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_cve, is_product_id, product_version, span_is_exact
 from .link import EXPLOIT_TERMS, in_sentence
-from .match import with_ends
+from .sweep import overlap_join
 
 # Own pattern, not a fixed value: a release number or a numbered build in a product's surface.
 RELEASE = r"(?i)\b\d+(\.\d+)+\b|\b(v|ver|version|rel|release|build|patch|sp)[ .:_-]?\d+\b"
@@ -25,6 +25,13 @@ def finding(rows: DataFrame, severity: str, kind: str, item: Column) -> DataFram
     return rows.select("doc_id", F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), item.cast("string").alias("item_id"))
 
 
+def tagged(rows: DataFrame, severity: str, checks: list[tuple[str, Column]]) -> DataFrame:
+    """Findings of all checks (kind, condition) on a table in one pass over it."""
+    kinds = F.array_compact(F.array(*(F.when(cond, kind) for kind, cond in checks)))
+    # explode would infer a filter that evaluates the conditions a second time
+    return rows.select("doc_id", F.lit(severity).alias("severity"), F.explode_outer(kinds).alias("kind"), F.col("id").cast("string").alias("item_id")).where("kind is not null")
+
+
 def rules(parts: list[DataFrame]) -> DataFrame:
     """Findings of all rules in one table (doc_id, severity, kind, item_id)."""
     out = parts[0]
@@ -35,25 +42,28 @@ def rules(parts: list[DataFrame]) -> DataFrame:
 
 def structural(docs: DataFrame, mentions: DataFrame, relations: DataFrame, signatures: DataFrame, need_id: list[str] = ()) -> DataFrame:
     """Q1: hard errors: bad spans, repeated spans, missing ids, dangling and self relations,
-    wrong signatures, repeated relations, evidence that misses an end, orphans."""
-    m = mentions.join(docs.select("doc_id", "text"), "doc_id", "left")
-    bad = finding(m.where(~span_is_exact(F.col("text"), F.col("start").cast("int"), F.col("end").cast("int"), F.col("surface"))), "hard", "invalid_span", F.col("id"))
-    again = mentions.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "type", "start", "end").orderBy("id"))).where("_r > 1")
-    no_id = mentions.where(F.col("type").isin(list(need_id)) & F.col("norm").isNull()) if need_id else mentions.limit(0)
-    ids = mentions.select("doc_id", "id").distinct()
-    loose = [relations.join(ids.withColumnRenamed("id", end), ["doc_id", end], "left_anti") for end in ("head", "tail")]
-    r = with_ends(relations, mentions)
-    sig = F.broadcast(signatures.select("type", "head_type", "tail_type"))
-    misses = r.where((F.col("ev_start") > F.least("head_start", "tail_start")) | (F.col("ev_end") < F.greatest("head_end", "tail_end")))
-    twice = relations.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "type", "head", "tail").orderBy("id"))).where("_r > 1")
-    used = relations.select("doc_id", F.col("head").alias("id")).union(relations.select("doc_id", "tail"))
-    orphan = mentions.join(used, ["doc_id", "id"], "left_anti").where(F.col("type").isin(list(need_id)) if need_id else F.lit(False))
-    return rules([
-        bad, finding(again, "hard", "duplicate_span", F.col("id")), finding(no_id, "hard", "missing_id", F.col("id")),
-        finding(loose[0], "hard", "dangling_head", F.col("id")), finding(loose[1], "hard", "dangling_tail", F.col("id")),
-        finding(relations.where("head = tail"), "hard", "self_relation", F.col("id")), finding(r.join(sig, ["type", "head_type", "tail_type"], "left_anti"), "hard", "bad_signature", F.col("id")),
-        finding(twice, "hard", "duplicate_relation", F.col("id")), finding(misses, "hard", "evidence_misses_end", F.col("id")), finding(orphan, "hard", "orphan", F.col("id")),
+    wrong signatures, repeated relations, evidence that misses an end, orphans. One pass over the
+    mentions and one over the relations tags each row with all that is wrong with it."""
+    known = F.col("type").isin(list(need_id)) if need_id else F.lit(False)
+    used = relations.select("doc_id", F.col("head").alias("id")).union(relations.select("doc_id", "tail")).distinct().withColumn("_used", F.lit(True))
+    m = mentions.join(docs.select("doc_id", "text"), "doc_id", "left").join(used, ["doc_id", "id"], "left")
+    m = m.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "type", "start", "end").orderBy("id")))
+    exact = span_is_exact(F.col("text"), F.col("start").cast("int"), F.col("end").cast("int"), F.col("surface"))
+    of_mentions = tagged(m, "hard", [("invalid_span", ~exact), ("duplicate_span", F.col("_r") > 1), ("missing_id", known & F.col("norm").isNull()), ("orphan", known & F.col("_used").isNull())])
+    # of mentions that share an id the last one (by span) stands
+    ends = mentions.groupBy("doc_id", "id").agg(F.max(F.struct("start", "end", "type")).alias("e"))
+    r = relations.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "type", "head", "tail").orderBy("id")))
+    for end in ("head", "tail"):
+        r = r.join(ends.select("doc_id", F.col("id").alias(end), F.col("e").alias(f"_{end}")), ["doc_id", end], "left")
+    fits = signatures.select("type", F.col("head_type").alias("_ht"), F.col("tail_type").alias("_tt")).distinct().withColumn("_fits", F.lit(True))
+    r = r.withColumn("_ht", F.col("_head.type")).withColumn("_tt", F.col("_tail.type")).join(F.broadcast(fits), ["type", "_ht", "_tt"], "left")
+    whole = F.col("_head").isNotNull() & F.col("_tail").isNotNull()
+    misses = (F.col("ev_start") > F.least("_head.start", "_tail.start")) | (F.col("ev_end") < F.greatest("_head.end", "_tail.end"))
+    of_relations = tagged(r, "hard", [
+        ("dangling_head", F.col("_head").isNull()), ("dangling_tail", F.col("_tail").isNull()), ("self_relation", F.col("head") == F.col("tail")),
+        ("bad_signature", whole & F.col("_fits").isNull()), ("duplicate_relation", F.col("_r") > 1), ("evidence_misses_end", whole & misses),
     ])
+    return rules([of_mentions, of_relations])
 
 
 def semantic(docs: DataFrame, mentions: DataFrame, relations: DataFrame, sents: DataFrame, product: str = "Configuration", weakness: str = "Weakness", release: str = RELEASE, generic: str | None = None, longest: int = 800, allowed: list[str] = ()) -> DataFrame:
@@ -64,17 +74,17 @@ def semantic(docs: DataFrame, mentions: DataFrame, relations: DataFrame, sents:
     text = docs.select("doc_id", "text")
     w = in_sentence(mentions.where((F.col("type") == weakness) & F.col("norm").isNotNull()), sents).join(text, "doc_id")
     sentence = F.upper(F.substr("text", (F.col("s0") + 1).cast("int"), (F.col("s1") - F.col("s0")).cast("int")))
-    r = relations.join(text, "doc_id").withColumn("ev", F.substr("text", (F.col("ev_start") + 1).cast("int"), (F.col("ev_end") - F.col("ev_start")).cast("int")))
+    r = relations.join(text, "doc_id", "left").withColumn("ev", F.substr("text", (F.col("ev_start") + 1).cast("int"), (F.col("ev_end") - F.col("ev_start")).cast("int")))
     heads = mentions.where("type = 'Vulnerability'").select("doc_id", F.coalesce("norm", "surface").alias("v"), "start", "end")
-    many = relations.where("type = 'exploited_by'").join(heads, "doc_id").where("start >= ev_start and end <= ev_end").groupBy("doc_id", "id").agg(F.countDistinct("v").alias("n")).where("n > 1")
+    spans = relations.where("type = 'exploited_by'").select("doc_id", "id", F.col("ev_start").alias("start"), F.col("ev_end").alias("end"))
+    inside = overlap_join(spans, heads, ["doc_id"]).where("r_start >= l_start and r_end <= l_end")
+    many = inside.groupBy("doc_id", F.col("l_id").alias("id")).agg(F.countDistinct("r_v").alias("n")).where("n > 1")
+    versioned = ~F.coalesce(product_version(F.col("norm")), F.lit("*")).isin("*", "-")
+    of_products = [("release_in_surface", F.col("surface").rlike(release)), ("versioned_id", versioned)] + ([("generic_suffix", F.col("surface").rlike(generic))] if generic else [])
+    of_relations = [("long_evidence", F.col("ev_end") - F.col("ev_start") > longest), ("after_exploitation", (F.col("type") == "exploited_by") & after_exploitation(F.col("ev")))]
     return rules([
-        finding(p.where(F.col("surface").rlike(release)), "blocking", "release_in_surface", F.col("id")),
-        finding(p.where(F.col("surface").rlike(generic)) if generic else p.limit(0), "blocking", "generic_suffix", F.col("id")),
-        finding(p.where(~F.coalesce(product_version(F.col("norm")), F.lit("*")).isin("*", "-")), "blocking", "versioned_id", F.col("id")),
-        finding(w.where(~sentence.contains(F.upper("norm"))), "blocking", "id_not_in_sentence", F.col("id")),
-        finding(relations.where(F.col("ev_end") - F.col("ev_start") > longest), "blocking", "long_evidence", F.col("id")),
-        finding(many, "blocking", "several_vulnerabilities", F.col("id")),
-        finding(r.where((F.col("type") == "exploited_by") & after_exploitation(F.col("ev"))), "blocking", "after_exploitation", F.col("id")),
+        tagged(p, "blocking", of_products), finding(w.where(~sentence.contains(F.upper("norm"))), "blocking", "id_not_in_sentence", F.col("id")),
+        finding(many, "blocking", "several_vulnerabilities", F.col("id")), tagged(r, "blocking", of_relations),
     ])
 
 

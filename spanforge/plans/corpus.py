@@ -119,6 +119,12 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.intervals(samples, 0.95).drop("mean")
 
 
+@query()
+def bootstrap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals by binomial splits over ranges of documents, without a row for every draw."""
+    return stats.intervals(stats.bootstrap_ranges(_method_counts(Annotations(spark, sf_dir))), 0.95)
+
+
 @query(BOOT + """, d AS (SELECT x.r, x.f1 - y.f1 AS d FROM f x JOIN f y ON x.r = y.r AND x.method = 'a' AND y.method = 'b')
 SELECT 'b' AS method, 'mention' AS metric, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, avg(CASE WHEN d > 0 THEN 1.0 WHEN d = 0 THEN 0.5 ELSE 0.0 END) AS p_greater, avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END) AS p_tie FROM d""")
 def bootstrap_differences(spark: SparkSession, sf_dir: str) -> DataFrame:

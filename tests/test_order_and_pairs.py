@@ -64,3 +64,31 @@ def test_cross_facts(spark):
     pred = spark.createDataFrame([(1, "R1", "affects", "E0", "E1", 0, 90), (1, "R2", "affects", "E0", "E3", 0, 90), (1, "R3", "affects", "E4", "E1", 0, 90), (1, "R4", "other", "E0", "E3", 0, 90)], R)
     got = {r["type"]: (r["n_spurious"], r["n_cross"]) for r in errors.cross_facts(gold, m, pred, m).collect()}
     assert got == {"affects": (2, 1), "other": (1, 0)}
+
+
+def test_bootstrap_by_ranges(spark):
+    from spanforge.operators import stats
+
+    rng = random.Random(5)
+    rows = [(m, "f", d if d < 299 else None, rng.randint(0, 5), rng.randint(0, 3), rng.randint(0, 3)) for d in range(300) for m in "ab"]
+    rows += [(m, "n", d if d < 299 else None, 1, 0, 0) for d in range(300) for m in "ab"]
+    c = spark.createDataFrame(rows, "method string, metric string, doc_id int, tp int, fp int, fn int")
+    one = stats.bootstrap_ranges(c, 400, per_range=16)
+    got = {(r["replicate"], r["method"], r["metric"]): (r["tp"], r["fp"], r["fn"]) for r in one.collect()}
+    assert len(got) == 1600 and all(v == (300, 0, 0) for k, v in got.items() if k[2] == "n"), "the draws of a replicate sum to the documents"
+    again = stats.bootstrap_ranges(c.repartition(5, "tp"), 400, per_range=16)
+    assert {(r["replicate"], r["method"], r["metric"]): (r["tp"], r["fp"], r["fn"]) for r in again.collect()} == got, "partitions do not matter"
+    # mean and deviation of a drawn sum are those of sampling with replacement
+    x = [t for m, q, _, t, _, _ in rows if m == "a" and q == "f"]
+    mean = sum(x) / 300
+    dev = (sum((v - mean) ** 2 for v in x)) ** 0.5
+    sums = [v[0] for k, v in got.items() if k[1:] == ("a", "f")]
+    mid = sum(sums) / len(sums)
+    assert abs(mid - sum(x)) < 4 * dev / 20 and 0.85 < (sum((v - mid) ** 2 for v in sums) / len(sums)) ** 0.5 / dev < 1.15
+    plain = {r["method"]: r for r in stats.intervals(stats.bootstrap(c.where("metric = 'f' and doc_id is not null"), 400)).collect()}
+    tree = {r["method"]: r for r in stats.intervals(one.where("metric = 'f'")).collect()}
+    for m in "ab":
+        assert abs(plain[m]["low"] - tree[m]["low"]) < 0.012 and abs(plain[m]["high"] - tree[m]["high"]) < 0.012
+    same = stats.bootstrap_ranges(c.where("method = 'a'").union(c.where("method = 'a'").withColumn("method", F.lit("b"))), 30, per_range=16)
+    assert {r["p_tie"] for r in stats.differences(same, "a").collect()} == {1.0}, "the draws are shared"
+    assert stats.bootstrap_ranges(c.limit(0), 10).count() == 0
