@@ -2,7 +2,9 @@
 
 Entities (mail addresses, phone and card numbers, IP addresses, IBANs, social security
 numbers, secrets, street addresses, and names after a form of address or with a known given
-name) are found by one pattern in one pass. Mentions of one entity share a canonical form,
+name, capitalised or in capitals) are found by one pattern in one pass. Second given names and particles go with their
+name; four numbers after a word such as ``version`` are no address; mails of a domain share a
+domain. Mentions of one entity share a canonical form,
 whatever their punctuation; each distinct entity gets a surrogate from a keyed hash: letters
 become letters of the same script and case, digits digits, octets octets; card and IBAN
 numbers that pass their check get surrogates that pass it.
@@ -52,19 +54,35 @@ STREET_ENDS = "straße|strasse|weg|platz|gasse"
 STREET_STARTS = "Calle|Avenida|Rue|rue|Via|Viale"
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
 # Further given names that are detected, by gender.
-MORE = {"f": ["Anna", "Mary", "Sarah", "Marie", "Emma", "Carmen"], "m": ["John", "Peter", "James", "Thomas", "Michael", "Hans", "José", "Pierre"]}
+MORE = {
+    "f": [
+        "Anna", "Anne", "Mary", "Sarah", "Marie", "Emma", "Emily", "Carmen", "Sofia", "Isabel", "Lucia", "Ana", "Susan", "Linda", "Karen", "Jessica", "Jennifer", "Elizabeth", "Patricia", "Barbara",
+        "Ingrid", "Katarina", "Natalia", "Fatima", "Aisha", "Amina", "Leila", "Priya", "Mei", "Yuki",
+    ],
+    "m": [
+        "John", "Peter", "James", "Thomas", "Michael", "Robert", "William", "Richard", "Joseph", "Charles", "Daniel", "Matthew", "Andrew", "Hans", "Stefan", "Andreas", "José", "Juan", "Luis", "Carlos",
+        "Miguel", "Pedro", "Pierre", "Giovanni", "Luca", "Ahmed", "Mohammed", "Ali", "Omar", "Ravi", "Raj", "Amit", "Wei", "Kenji", "Hiroshi",
+    ],
+}
+#: Words between given name and surname that belong to neither.
+PARTICLES = "von|van|de|da|di|del|della|der|den|la|le|ter|dos|bin|al"
 KNOWN = {g: sorted({n for (_, x), names in GIVEN.items() if x == g for n in names} | set(MORE[g])) for g in "fm"}
 _KNOWN = "|".join(KNOWN["f"] + KNOWN["m"])
+_SURNAME = rf"(?:(?:{PARTICLES}) ){{0,2}}(?:[dDlLO]['’])?{_NAME}"
+#: A second given name or an initial.
+_MIDDLE = rf"(?: (?:(?:{_KNOWN})(?=[ \-])|\p{{Lu}}\.))?"
+_HEX = "[0-9A-Fa-f]{1,4}"
 TYPES = {
     "email": r"(?<![.%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{2,}+",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[\-_][A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
-    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ip": r"(?<!\.)(?<![Vv]ersion )(?<![Rr]elease )(?<![Bb]uild )(?<!\b[vV])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ipv6": rf"(?<![:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|{_HEX}:(?::{_HEX}){{2,6}})(?![\p{{L}}\p{{N}}:])",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!-)\d(?:[ \-]?\d){12,18}(?![\d\-])",
     "phone": r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?!\d)|\+\d{8,15}(?!\d)",
     "address": rf"\d{{1,5}} {_NAME}(?: {_NAME})? (?:{STREETS})\b|\p{{Lu}}\p{{L}}*?(?:{STREET_ENDS}) \d{{1,4}}(?!\d)|(?:{STREET_STARTS}) (?:de |del |la |des ){{0,2}}{_NAME},? \d{{1,4}}(?!\d)",
-    "name": rf"(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\b\.? {_NAME}(?: {_NAME})?|(?:{_KNOWN}) {_NAME})",
+    "name": rf"(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\b\.? (?:{_NAME}{_MIDDLE} {_SURNAME}|{_SURNAME})|(?:{_KNOWN}){_MIDDLE} {_SURNAME}|(?:{_KNOWN.upper()}) \p{{Lu}}{{3,}}+(?![\p{{L}}\p{{N}}]))",
 }
 #: Inside a word nothing begins, but for a number after letters.
 PATTERN = r"(?:(?<![\p{L}\p{N}_])|(?<=\p{L})(?=\d))(?:" + "|".join(TYPES.values()) + ")"
@@ -88,7 +106,7 @@ def _canonical(kind: Column, m: Column) -> Column:
         F.when(kind == "email", F.lower(m))
         .when(kind.isin("card", "ssn", "phone"), F.regexp_replace(m, r"\D", ""))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "address", F.lower(m))
+        .when(kind.isin("address", "ipv6"), F.lower(m))
         .otherwise(m)
     )
 
@@ -108,6 +126,7 @@ def mentions(scanned: DataFrame) -> DataFrame:
     found = found.withColumn("kind", _type(F.col("raw")))
     is_name = F.col("kind") == "name"
     bare = F.substr("raw", F.length(_title(F.col("raw"))) + F.lit(1))
+    bare = F.trim(F.regexp_replace(bare, rf"(?:(?:^| )(?:{PARTICLES})(?= ))+", ""))
     given = F.when(is_name & bare.contains(" "), F.lower(F.substring_index(bare, " ", 1)))
     known = {g: [n.lower() for n in names] for g, names in KNOWN.items()}
     gender = F.when(F.col("raw").rlike(rf"^(?:{TITLES_F})\b"), "f").when(F.col("raw").rlike(rf"^(?:{TITLES_M})\b"), "m").when(given.isin(known["f"]), "f").when(given.isin(known["m"]), "m")
@@ -197,7 +216,10 @@ def _surrogate(key: str) -> Column:
     h = F.concat(*(F.sha2(F.concat_ws("|", F.lit(str(k)), *parts), 256) for k in range(2)))
     octets = F.array_join(F.transform(F.split(canon, r"\."), lambda c, i: (_nibble(h, i) % 254 + 1).cast("string")), ".")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    mail = F.concat(_same_format(local, h), F.lit("@"), _same_format(F.regexp_extract(domain, r"^([^.]*)", 1), F.reverse(h)), F.regexp_extract(domain, r"^[^.]*(.*)$", 1))
+    # mails of one domain stay together; where many short names use the supply up, the domain gives way
+    of_domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain, F.floor(attempt / 8).cast("string")), 256)
+    mail = F.concat(_same_format(local, h), F.lit("@"), _same_format(F.regexp_extract(domain, r"^([^.]*)", 1), of_domain), F.regexp_extract(domain, r"^[^.]*(.*)$", 1))
+    groups = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), _nibble(h, i) % 16 + F.lit(1), F.lit(1))).otherwise(c)), "")
     # a phone number keeps its country code, a card number the network digit, an IBAN country
     phone = F.when(F.length(canon) > 10, F.concat(F.substr(canon, F.lit(1), F.length(canon) - F.lit(10)), _same_format(F.substr(canon, F.length(canon) - F.lit(9)), h))).otherwise(_same_format(canon, h))
     card = _checked_card(canon, F.concat(F.substring(canon, 1, 1), _same_format(F.substring(canon, 2, 100), h)))
@@ -217,7 +239,7 @@ def _surrogate(key: str) -> Column:
     address = F.concat(_same_format(F.regexp_extract(canon, r"(\d+)", 1), h), F.lit("|"), surname)
     prefix = F.regexp_extract(canon, r"^(AKIA|ASIA|gh[pousr]_|sk[\-_])?", 0)
     secret = F.when(canon.rlike("^[0-9a-f]+$"), _same_format(canon, h, "0123456789abcdef")).when(canon.rlike("^[0-9A-F]+$"), _same_format(canon, h, "0123456789ABCDEF")).otherwise(F.concat(prefix, _same_format(F.substr(canon, F.length(prefix) + F.lit(1)), h)))
-    made = {"email": mail, "ip": octets, "phone": phone, "card": card, "iban": iban, "name": surname, "given": given, "address": address, "secret": secret}
+    made = {"email": mail, "ip": octets, "ipv6": groups, "phone": phone, "card": card, "iban": iban, "name": surname, "given": given, "address": address, "secret": secret}
     out = _same_format(canon, h)
     for name, column in made.items():
         out = F.when(kind == name, column).otherwise(out)
@@ -260,7 +282,7 @@ def _in_format(raw: Column, kind: Column, surrogate: Column, given: Column) -> C
 
     digits = F.array_join(F.transform(chars, laid), "")
     upper = (raw == F.upper(raw)) & (raw != F.lower(raw))
-    cased = F.when(upper & (kind == "email"), F.upper(surrogate)).otherwise(surrogate)
+    cased = F.when(upper & kind.isin("email", "ipv6"), F.upper(surrogate)).otherwise(surrogate)
     title = _title(raw)
     surname = F.initcap(surrogate)
     name = F.when(given.isNotNull(), F.concat(given, F.lit(" "), surname)).otherwise(surname)

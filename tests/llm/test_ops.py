@@ -102,6 +102,28 @@ def test_pii_persons_secrets_and_checks(spark):
     assert re.search(r", \d\d \w+ Street; Berliner \w+straße \d", got[103]) and re.search(r" rue de \w+ \d\d$", got[103])
 
 
+def test_pii_more_forms(spark):
+    """Names in several parts, particles, capitals, mails of one domain, IPv6; versions stay."""
+    rows = [
+        (1, "Ravi Kumar spoke to Wei Zhang."), (2, "Mary Anne Jones-Lee met John Q. Public."), (3, "Mr. Marco d'Arc and Dr. von Berg, then Anna van der Meer."), (4, "ADAM SMITH and Adam Smith; ANNA IS here"),
+        (5, "from 2001:db8::ff00:42:8329 and 2001:DB8::FF00:42:8329, fe80:0:0:0:1:2:3:4; std::cout at 12:30:45, a::b"), (6, "version 1.2.3.4, v1.2.3.4, Release 10.0.0.1 but 10.0.0.1"),
+        (7, "ann@corp.example.com, bob@corp.example.com, cid@other.example.com"), (8, " ".join(f"{c}@x.example.com" for c in "abcdefghijklmnopqrstuvwxyz")),
+    ]
+    got = {r["id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert re.fullmatch(r"(\w+) (\w+) spoke to (\w+) (\w+)\.", got[1]) and not {"Ravi", "Kumar", "Wei", "Zhang"} & set(re.findall(r"\w+", got[1]))
+    assert re.fullmatch(r"\S+ \S+ met \S+ \S+\.", got[2]) and not re.search("Mary|Anne|Jones|Lee|Public|Q\\.", got[2])
+    assert re.fullmatch(r"Mr\. \S+ \S+ and Dr\. \S+, then \S+ \S+\.", got[3]) and not re.search("Marco|Arc|Berg|Meer", got[3])
+    a = re.fullmatch(r"([A-Z]+ [A-Z]+) and (\w+ \w+); ANNA IS here", got[4])
+    assert a and a[1] == a[2].upper() != "ADAM SMITH"
+    v = re.fullmatch(r"from (\S+) and (\S+), (\S+); std::cout at 12:30:45, a::b", got[5])
+    assert v and v[1].upper() == v[2] and re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}", v[1]) and "8329" not in v[1] and v[3] != "fe80:0:0:0:1:2:3:4"
+    assert re.fullmatch(r"version 1\.2\.3\.4, v1\.2\.3\.4, Release 10\.0\.0\.1 but (?!10\.0\.0\.1)\S+", got[6])
+    d = [m.split("@")[1] for m in got[7].split(", ")]
+    assert d[0] == d[1] != d[2] and d[0] != "corp.example.com"
+    mails = got[8].split(" ")
+    assert len(set(mails)) == 26 and not set(mails) & set(rows[7][1].split(" "))
+
+
 def test_surrogates_stay_distinct(spark):
     ents = spark.range(800).select(F.lit("ssn").alias("kind"), F.format_string("%04d", "id").alias("canon"))
     out = pii.surrogates(ents, "k").toPandas()
