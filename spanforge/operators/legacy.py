@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedup import stored
+
 # Closed vocabularies of two types, phrases of security methods, generic product
 # terms, and the words that go at the ends of surfaces.
 TACTICS = [
@@ -77,12 +79,18 @@ def _placed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (doc_id, .., surface) with the surface as the text has it first: as written, else in
     any case; start and end follow. Rows whose surface the text lacks go. A surface is sought once
     a document, and texts leave with the search."""
-    want = rows.select("doc_id", "surface").distinct().join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
-    exact = F.expr("locate(surface, _t)")
-    # named by lambdas, so that a text is searched once in each way
-    places = F.transform(F.array(exact), lambda k: F.when(k > 0, k).otherwise(F.expr("locate(lower(surface), lower(_t))")))
-    found = F.transform(places, lambda k: F.struct(k.alias("at"), F.substr("_t", k, F.char_length("surface")).alias("found")))
-    want = want.select("doc_id", "surface", F.explode(found).alias("_z")).where("_z.at > 0").select("doc_id", "surface", F.col("_z.at").alias("_at"), F.col("_z.found").alias("_found"))
+    rows = stored(rows)  # reduced once, read for the search and for what it finds
+    want = rows.select("doc_id", "surface").distinct().groupBy("doc_id").agg(F.collect_list("surface").alias("_s")).join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
+
+    def place(s: Column, text: Column, low: Column) -> Column:
+        # named by lambdas, so that a text is searched once in each way
+        exact = F.transform(F.array(F.call_function("locate", s, text)), lambda k: F.when(k > 0, k).otherwise(F.call_function("locate", F.lower(s), low)))
+        return F.element_at(F.transform(exact, lambda k: F.struct(s.alias("surface"), k.alias("_at"), F.substr(text, k, F.char_length(s)).alias("_found"))), 1)
+
+    # one row a document, whose text is put in small letters once
+    places = F.flatten(F.transform(F.array(F.lower("_t")), lambda low: F.transform("_s", lambda s: place(s, F.col("_t"), low))))
+    # explode would infer a filter that searches a second time
+    want = want.select("doc_id", F.explode_outer(places).alias("_z")).select("doc_id", "_z.*").where("_at > 0")
     j = rows.drop("start", "end").join(want, ["doc_id", "surface"]).withColumn("start", F.col("_at") - 1).withColumn("surface", F.col("_found"))
     return j.withColumn("end", F.col("start") + F.char_length("surface")).drop("_at", "_found")
 
@@ -101,7 +109,7 @@ def legacy_clean(mentions: DataFrame, relations: DataFrame, docs: DataFrame, sig
         m = _placed(with_core(m, phrases, generic), docs)
     first = F.row_number().over(Window.partitionBy("doc_id", "start", "end", "type").orderBy("_old", "id"))
     kinds = {f.name: f.dataType for f in mentions.schema}
-    m = m.withColumn("_r", first).where("_r = 1").select(*(F.col(c).cast(kinds[c]).alias(c) for c in mentions.columns))
+    m = stored(m.withColumn("_r", first).where("_r = 1").select(*(F.col(c).cast(kinds[c]).alias(c) for c in mentions.columns)))
     ids = m.select("doc_id", "id", "type").dropDuplicates(["doc_id", "id"])
     r = relations.where("head <> tail")
     for end in ("head", "tail"):
