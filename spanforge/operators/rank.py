@@ -95,8 +95,9 @@ def stratified_split(groups: DataFrame, sizes: dict[str, float], strata: list[st
     return rows.join(F.broadcast(best.select("trial")), "trial").select("group_id", "split")
 
 
-#: Documents whose gain is counted again together, and upper bounds that the driver holds at first.
-RECOUNT, HEAD = 32, 1024
+#: Documents whose gain is counted again together, upper bounds that the driver holds at first, and
+#: recounts of one pick after which all gains are counted in one pass.
+RECOUNT, HEAD, RECOUNTS = 32, 1024, 4
 
 
 def _recount(features: DataFrame, docs: list, chosen: list, need: int) -> dict:
@@ -107,13 +108,24 @@ def _recount(features: DataFrame, docs: list, chosen: list, need: int) -> dict:
     return {r["doc_id"]: r["n"] for r in left.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
 
 
+def _largest(features: DataFrame, chosen: list, need: int) -> tuple | None:
+    """(-gain, doc_id) of the best document that is not chosen, by one grouped count of all gains."""
+    mine = F.col("doc_id").isin(chosen)
+    covered = features.where(mine).groupBy("f").agg(F.count("*").alias("have")).where(F.col("have") >= need).select("f")
+    left = features.where(~mine).join(covered, "f", "left_anti") if chosen else features
+    best = left.groupBy("doc_id").agg((-F.count("*")).alias("n")).agg(F.min(F.struct("n", "doc_id")).alias("b")).first()["b"]
+    return best and (best["n"], best["doc_id"])
+
+
 def coverage_batch(features: DataFrame, k: int, need: int = 1) -> DataFrame:
     """Up to k documents that greedily cover features, each wanted ``need`` times; the
     largest gain first, ties by id.
 
     features: (doc_id, f), a row once. Gains only fall as features are covered, so an older gain
     bounds a newer one: all gains are counted once, and afterwards only documents at the top of
-    the bounds are counted again, until the best of them is not below the next bound."""
+    the bounds are counted again, until the best of them is not below the next bound. Where many documents have like features their
+    bounds fall together; once a pick has taken ``RECOUNTS`` recounts, it and all later picks are one
+    grouped pass each, of which one row reaches the driver."""
     from pyspark.sql import types as T
 
     totals = stored(features.groupBy("doc_id").agg(F.count("*").alias("n")))
@@ -135,19 +147,27 @@ def coverage_batch(features: DataFrame, k: int, need: int = 1) -> DataFrame:
                 return []
 
     last: list = []
+    recounts = 0
     while len(chosen) < k:
+        if recounts >= RECOUNTS:
+            best = _largest(features, chosen, need)
+            if best is None:
+                break
+            chosen.append(best[1])
+            continue
         rows = top()
         if not rows or rows[0][0] == 0:
             break
         if rows[0][1] in fresh:  # counted against all that is chosen, and first of all bounds
             chosen.append(rows[0][1])
             del bound[rows[0][1]]
-            fresh = set()
+            fresh, recounts = set(), 0
             continue
         again = [d for _, d in rows if d not in fresh][:RECOUNT]
         gains = _recount(features, again, chosen, need)
         bound.update({d: gains.get(d, 0) for d in again})
         fresh |= set(again)
+        recounts += 1
     kind = features.schema["doc_id"].dataType
     return features.sparkSession.createDataFrame([(k, d) for k, d in enumerate(chosen)], T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("doc_id", kind)]))
 
@@ -159,6 +179,6 @@ def quota_batch(positives: DataFrame, features: DataFrame, k: int, turn: int, se
     n = positives.count()
     place = keyed_number(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string")))
     ring = global_rank(positives.select("doc_id"), [place, "doc_id"]).withColumn("_k", F.col("rank") - 1)
-    part = ring.where(F.pmod(F.col("_k") - turn * most, F.lit(max(n, 1))) < most).select("doc_id")
-    rest = coverage_batch(features.join(part, "doc_id", "left_anti"), k - min(most, n))
+    part = stored(ring.where(F.pmod(F.col("_k") - turn * most, F.lit(max(n, 1))) < most).select("doc_id"))
+    rest = coverage_batch(stored(features.join(part, "doc_id", "left_anti")), k - min(most, n))
     return part.withColumn("part", F.lit("positive")).union(rest.select("doc_id", F.lit("coverage")))
