@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_cwe, span_is_exact
+from .dedup import stored
 from .link import last_before
 from .sweep import overlap_join
 from .textscan import scan, sentences
@@ -113,9 +114,11 @@ def clean_records(raw: DataFrame, docs: DataFrame, types: DataFrame) -> tuple[Da
     j = raw.join(F.broadcast(types.select("type").withColumn("_k", F.lit(True))), "type", "left").join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
     inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.char_length("_t"))
     exact = span_is_exact(F.col("_t"), F.col("start").cast("int"), F.col("end").cast("int"), F.col("surface"))
+    # spans are checked where they meet the text, so that no text goes on to further exchanges
+    why = F.when(F.col("_k").isNull(), "bad_type").when(~F.coalesce(inside, F.lit(False)), "bad_offsets").when(~exact, "text_mismatch")
+    j = j.select(*raw.columns, why.alias("_why"))
     first = F.row_number().over(Window.partitionBy(*SPAN).orderBy("id"))
-    why = F.when(F.col("_k").isNull(), "bad_type").when(~F.coalesce(inside, F.lit(False)), "bad_offsets").when(~exact, "text_mismatch").when(first > 1, "duplicate")
-    j = j.withColumn("why", why)
+    j = stored(j.withColumn("why", F.when(F.col("_why").isNotNull(), F.col("_why")).when(first > 1, "duplicate")).drop("_why"))
     clean = j.where("why is null").select(*raw.columns)
     spans = clean.select("doc_id", "type", "start", "end")
     pairs = overlap_join(spans, spans, ["doc_id", "type"]).where("l_start < r_start or (l_start = r_start and l_end < r_end)").groupBy("doc_id").agg(F.count("*").alias("overlapping_pairs"))
