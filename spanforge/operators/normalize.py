@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_cwe, span_is_exact
+from ..functions.text import canonical_cwe, piece_span_is_exact, pieces
 from .dedup import stored
 from .link import last_before
 from .sweep import overlap_join
@@ -72,10 +72,11 @@ def repair_products(mentions: DataFrame, vendors: list[str], product: str = "Con
 def ground(raw: DataFrame, docs: DataFrame, unique_only: list[str] = ("Configuration",)) -> DataFrame:
     """P10: mentions at verified offsets; where those are wrong, at every occurrence of the
     surface (as written, else in any case); a type of ``unique_only`` only if there is one."""
-    j = raw.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
-    ok = span_is_exact(F.col("_t"), F.col("start").cast("int"), F.col("end").cast("int"), F.col("surface"))
-    good = j.where(ok).select(*raw.columns)
-    rest = j.where(~ok & (F.col("surface") != ""))
+    ok = piece_span_is_exact(F.col("_parts"), F.col("start").cast("int"), F.col("end").cast("int"), F.col("surface"))
+    told = stored(raw.join(docs.select("doc_id", pieces(F.col("text")).alias("_parts")), "doc_id").select(*raw.columns, ok.alias("_ok")))
+    good = told.where("_ok").select(*raw.columns)
+    # only what has to be sought meets whole texts
+    rest = told.where("not _ok and surface <> ''").drop("_ok").join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
     quoted = F.concat(F.lit("\\Q"), F.replace("surface", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     rest = rest.withColumn("_p", F.when(F.col("_t").contains(F.col("surface")), quoted).otherwise(F.concat(F.lit("(?i)"), quoted)))
     parts = F.split("_t", F.col("_p"), -1)
@@ -111,9 +112,9 @@ def clean_records(raw: DataFrame, docs: DataFrame, types: DataFrame) -> tuple[Da
     offsets, text mismatch, duplicates, overlapping pairs of a type among the clean."""
     from .match import SPAN
 
-    j = raw.join(F.broadcast(types.select("type").withColumn("_k", F.lit(True))), "type", "left").join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
-    inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.char_length("_t"))
-    exact = span_is_exact(F.col("_t"), F.col("start").cast("int"), F.col("end").cast("int"), F.col("surface"))
+    j = raw.join(F.broadcast(types.select("type").withColumn("_k", F.lit(True))), "type", "left").join(docs.select("doc_id", F.char_length("text").alias("_n"), pieces(F.col("text")).alias("_t")), "doc_id")
+    inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.col("_n"))
+    exact = piece_span_is_exact(F.col("_t"), F.col("start").cast("int"), F.col("end").cast("int"), F.col("surface"))
     # spans are checked where they meet the text, so that no text goes on to further exchanges
     why = F.when(F.col("_k").isNull(), "bad_type").when(~F.coalesce(inside, F.lit(False)), "bad_offsets").when(~exact, "text_mismatch")
     j = j.select(*raw.columns, why.alias("_why"))

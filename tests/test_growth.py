@@ -6,7 +6,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from spanforge.functions import text
 from spanforge.operators import audit, legacy, normalize, rank, textscan
 from spanforge.plans import queries
 from spanforge.schema import dim_entity_type, dim_relation
@@ -64,6 +66,17 @@ def test_scan_without_exchange(spark, pattern):
     assert not [p for p in nodes(rows._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Window"]
 
 
+def test_pieces_of_a_text(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["\U0001f600", "é", "a", "\n", "\r"], k=n)) for n in (0, 1, 255, 256, 257, 512, 1500)]
+    rows = [(t, s, e) for t in texts for s, e in ((rng.randint(-2, 1600), rng.randint(-2, 1600)) for _ in range(40))]
+    df = spark.createDataFrame(rows, "t string, s int, e int").select("t", "s", "e", text.cut(text.pieces(F.col("t")), F.col("s"), F.col("e") - F.col("s")).alias("c"))
+    df = df.withColumn("same", text.piece_span_is_exact(text.pieces(F.col("t")), F.col("s"), F.col("e"), F.col("c")))
+    for r in df.collect():
+        assert r["c"] == (r["t"][r["s"] : r["e"]] if 0 <= r["s"] <= r["e"] else None)
+        assert r["same"] == (0 <= r["s"] < r["e"] <= len(r["t"]))
+
+
 def test_cover_of_like_documents(spark, monkeypatch):
     """All gains fall to nothing after two picks; the bounds of all others stay."""
     df = spark.createDataFrame([(d, f) for d in range(2000) for f in range(3)], "doc_id int, f int").persist()
