@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import text
+from spanforge.llm import quality_lm
 from spanforge.operators import audit, legacy, normalize, rank, textscan
 from spanforge.plans import queries
 from spanforge.schema import dim_entity_type, dim_relation
@@ -114,3 +115,9 @@ def against_sql(spark, tmp_path, name, texts):
 def test_governed_headings_begin_where_they_are_planted(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "governed_facts", ["The threat and of it. A cyber threat and of that.", "x and of y."])
     assert got == want and len(want) == 4
+
+
+def test_quality_model_takes_all_trusted_rows(spark):
+    docs = spark.range(50_400).selectExpr("id as doc_id", "'en' as lang", "'some words' as text")
+    want = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0).count()
+    assert quality_lm.perplexities(docs, docs.select("doc_id")).where("held").count() == want > 12_000
