@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,23 +19,114 @@ def _f1(tp: Column, fp: Column, fn: Column) -> Column:
     return ratio(2 * tp, 2 * tp + fp + fn)
 
 
+#: Draws that a task holds at once, and draws of all replicates that meet one block of documents.
+DRAWS, BLOCK_DRAWS = 1 << 20, 16_000_000
+
+
 def bootstrap(counts: DataFrame, replicates: int = 1000, seed: str = "0") -> DataFrame:
     """(replicate, method, metric, f1): documents drawn with replacement, the same draws
     for all methods.
 
     counts: (method, metric, doc_id, tp, fp, fn). The documents are numbered by ranges; draw d of
-    replicate r is a keyed hash of (seed, r, d). Draws are counted per document first, so
-    the join carries at most replicates x documents rows, summed before they are shuffled."""
+    replicate r is a keyed hash of (seed, r, d). No draw is a row: a task draws for one replicate
+    at a time and sends each block of documents the places drawn in it, two bytes a draw; a block
+    meets the draws of all replicates once, and only sums leave it."""
     spark = counts.sparkSession
+    kinds = {c: counts.schema[c].dataType.simpleString() for c in ("method", "metric")}
     docs = counts.select("doc_id").distinct()
     n = docs.count()
     numbered = global_rank(docs, ["doc_id"]).select("doc_id", (F.col("rank") - 1).cast("long").alias("k"))
-    draws = spark.range(0, replicates * n).selectExpr(f"id div {max(n, 1)} as replicate", f"id % {max(n, 1)} as d")
-    key = F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("d").cast("string"))
-    times = draws.select("replicate", (keyed_number(key) % max(n, 1)).alias("k")).groupBy("replicate", "k").agg(F.count("*").alias("t"))
-    drawn = times.join(numbered, "k").select("replicate", "doc_id", "t").join(counts, "doc_id")
-    sums = drawn.groupBy("replicate", "method", "metric").agg(*(F.sum(F.col(c) * F.col("t")).alias(c) for c in ("tp", "fp", "fn")))
-    return sums.select("replicate", "method", "metric", _f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+    block = max(1, min(1 << 16, BLOCK_DRAWS // max(replicates, 1)))
+    parts = -(-n // DRAWS)
+
+    def draw(batches):
+        for batch in batches:
+            for unit in batch["id"].to_pylist():
+                r, part = divmod(unit, parts)
+                k = md5_numbers(f"{seed}:{r}:".encode(), part * DRAWS, min(n, (part + 1) * DRAWS)) % n
+                at, place = np.divmod(k, block)
+                place = place.astype("<u2")[np.argsort(at, kind="stable")]
+                ends = np.cumsum(np.bincount(at))
+                hit = [(b, place[e - m : e].tobytes()) for b, (e, m) in enumerate(zip(ends, np.diff(ends, prepend=0))) if m]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in hit], pa.int64()), pa.array([r] * len(hit), pa.int64()), pa.array([x for _, x in hit], pa.binary())], names=["_b", "replicate", "places"])
+
+    def sums(rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or drawn.empty:
+            return pd.DataFrame({c: [] for c in names})
+        cells = rows.groupby(["method", "metric"], dropna=False, sort=True)
+        cell, keys = cells.ngroup().to_numpy(), list(cells.size().index)
+        values = np.zeros((block, len(keys) * 4))
+        for i, v in enumerate((np.ones(len(rows)), *(rows[c].fillna(0).to_numpy(float) for c in ("tp", "fp", "fn")))):
+            np.add.at(values, (rows["_k"].to_numpy(), cell * 4 + i), v)
+        out = np.stack([np.bincount(np.frombuffer(x, "<u2"), minlength=block) @ values for x in drawn["places"]])
+        return pd.concat([pd.DataFrame({"replicate": drawn["replicate"], "method": m, "metric": q, **{c: out[:, i * 4 + j] for j, c in enumerate(names[3:])}}) for i, (m, q) in enumerate(keys)])
+
+    names = ["replicate", "method", "metric", "t", "tp", "fp", "fn"]
+    units = replicates * parts
+    tasks = max(1, min(units, spark.sparkContext.defaultParallelism + replicates * n // (16 * DRAWS)))
+    draws = spark.range(0, units, 1, tasks).mapInArrow(draw, "_b long, replicate long, places binary")
+    held = counts.join(numbered, "doc_id").select("method", "metric", F.expr(f"k div {block}").alias("_b"), (F.col("k") % block).alias("_k"), *(F.col(c).cast("double").alias(c) for c in ("tp", "fp", "fn")))
+    schema = f"replicate long, method {kinds['method']}, metric {kinds['metric']}, t double, tp double, fp double, fn double"
+    met = held.groupBy("_b").cogroup(draws.groupBy("_b")).applyInPandas(sums, schema)
+    total = met.groupBy("replicate", "method", "metric").agg(*(F.sum(c).alias(c) for c in names[3:])).where("t > 0")
+    return total.select("replicate", "method", "metric", _f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+
+
+# The shifts and sine constants of MD5 (RFC 1321), and its state at the start.
+_SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_STATE = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_LANES = 1 << 15
+
+
+def md5_numbers(prefix: bytes, lo: int, hi: int) -> np.ndarray:
+    """keyed_number of ``prefix`` and each decimal number from lo to below hi: the first 48 bits of
+    the MD5, for thousands of numbers a step."""
+    if len(prefix) + len(str(hi)) > 55:  # more than one block of MD5
+        return np.array([int.from_bytes(hashlib.md5(prefix + b"%d" % d).digest()[:6], "big") for d in range(lo, hi)], np.int64)
+    out = [np.empty(0, np.int64)]
+    while lo < hi:
+        end = min(hi, lo + _LANES, 10 ** len(str(lo)))  # as many digits each
+        out.append(_md5_lanes(prefix, lo, end))
+        lo = end
+    return np.concatenate(out)
+
+
+def _md5_lanes(prefix: bytes, lo: int, end: int) -> np.ndarray:
+    width, d = len(str(lo)), np.arange(lo, end)
+    size = len(prefix) + width
+    block = np.zeros((64, end - lo), np.uint8)
+    block[: len(prefix)] = np.frombuffer(prefix, np.uint8)[:, None]
+    for j in range(width):
+        block[len(prefix) + j] = d // 10 ** (width - 1 - j) % 10 + 48
+    block[size] = 0x80
+    block[56], block[57] = size * 8 & 255, size * 8 >> 8
+    words = [np.ascontiguousarray(block[4 * i : 4 * i + 4].T).view("<u4").ravel() for i in range(16)]
+    a, b, c, e = (np.full(end - lo, x, np.uint32) for x in _STATE)
+    f = np.empty(end - lo, np.uint32)
+    for i in range(64):
+        if i < 16:
+            g = i
+            np.bitwise_xor(c, e, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, e, out=f)
+        elif i < 32:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, e, out=f), np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, e, out=f)
+        else:
+            g = 7 * i % 16
+            np.invert(e, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        f += a
+        f += words[g]
+        f += np.uint32(_SINES[i])
+        np.left_shift(f, _SHIFTS[i], out=a)
+        np.right_shift(f, 32 - _SHIFTS[i], out=f)
+        a |= f
+        a += b
+        a, b, c, e = e, a, b, c
+    a, b = a + np.uint32(_STATE[0]), b + np.uint32(_STATE[1])
+    return a.byteswap().astype(np.int64) << 16 | (b.byteswap() >> 16).astype(np.int64)
 
 
 def bootstrap_ranges(counts: DataFrame, replicates: int = 1000, seed: int = 0, per_range: int = 65536) -> DataFrame:

@@ -1,5 +1,6 @@
 """Work that grows with the input, on plans and on inputs that once made it grow faster."""
 
+import hashlib
 import os
 import random
 import re
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text
 from spanforge.llm import quality_lm
-from spanforge.operators import audit, legacy, normalize, rank, textscan
+from spanforge.operators import audit, legacy, normalize, rank, stats, textscan
 from spanforge.plans import queries
 from spanforge.schema import dim_entity_type, dim_relation
 
@@ -121,3 +122,32 @@ def test_quality_model_takes_all_trusted_rows(spark):
     docs = spark.range(50_400).selectExpr("id as doc_id", "'en' as lang", "'some words' as text")
     want = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0).count()
     assert quality_lm.perplexities(docs, docs.select("doc_id")).where("held").count() == want > 12_000
+
+
+@pytest.mark.parametrize("prefix", [b"0:17:", b"x" * 45 + b":3:", b"s" * 80])
+def test_draws_are_the_keyed_hashes(prefix):
+    for lo, hi in ((0, 1205), (9990, 10010), (5, 5)):
+        want = [int(hashlib.md5(prefix + str(d).encode()).hexdigest()[:12], 16) for d in range(lo, hi)]
+        assert stats.md5_numbers(prefix, lo, hi).tolist() == want
+
+
+def test_bootstrap_has_no_row_for_a_draw(spark, monkeypatch):
+    """Several portions of draws and blocks of documents; rows that add up, a null id, a rare metric."""
+    rng = random.Random(5)
+    rows = [(m, "f", d, *(rng.randint(0, 4) for _ in range(3))) for m in "ab" for d in [None, *range(38)] for _ in range(1 + (d == 3))] + [("a", "rare", 7, 1, 0, 2)]
+    c = spark.createDataFrame(rows, "method string, metric string, doc_id int, tp int, fp int, fn int")
+    monkeypatch.setattr(stats, "DRAWS", 11)
+    monkeypatch.setattr(stats, "BLOCK_DRAWS", 20 * 8)
+    df = stats.bootstrap(c, 20, "s")
+    want = {}
+    for r in range(20):
+        sums = {}
+        for d in range(39):
+            k = int(hashlib.md5(f"s:{r}:{d}".encode()).hexdigest()[:12], 16) % 39  # 0 is the null id
+            for m, q, doc, *n in rows:
+                if doc is not None and doc + 1 == k:
+                    sums[m, q] = [x + y for x, y in zip(sums.get((m, q), (0, 0, 0)), n)]
+        want |= {(r, m, q): 2 * tp / max(1, 2 * tp + fp + fn) for (m, q), (tp, fp, fn) in sums.items()}
+    got = {(x["replicate"], x["method"], x["metric"]): x["f1"] for x in df.collect()}
+    assert got == pytest.approx(want) and 40 < len(want) < 60
+    assert sum(int(str(p.numElements())) for p in nodes(df._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Range") <= 20 * 4
