@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import product_family
+from .dedup import stored
 
 
 def catalogue_check(items: DataFrame, links: DataFrame, feed: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
@@ -66,14 +67,14 @@ def ranked_candidates(items: DataFrame, candidates: DataFrame, most: int = 12) -
 
     A bound from shared characters comes first: the best of an item by bound are scored, and of
     the others only those whose bound reaches the item's last place. Equal pairs of families are
-    scored once."""
+    scored once. Rows with their bounds, and those scored first, are tables, as both are read twice."""
     i = items.select("doc_id", "id", product_family(F.col("norm")).alias("a")).where("a is not null")
     c = candidates.select("doc_id", "id", "criteria", product_family(F.col("criteria")).alias("b")).where("b is not null")
     j = i.join(c, ["doc_id", "id"]).distinct()
     pa, pb = F.split("a", ":", 3), F.split("b", ":", 3)
     bound = F.when(pa[0] == pb[0], 0.12).otherwise(0.0) + 0.28 * _most(pa[1], pb[1]) + 0.6 * _most(pa[2], pb[2]) + 1e-4
     pairs = j.select("a", "b").distinct().withColumn("bound", bound)
-    j = j.join(pairs, ["a", "b"])
+    j = stored(j.join(pairs, ["a", "b"]))
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -84,7 +85,7 @@ def ranked_candidates(items: DataFrame, candidates: DataFrame, most: int = 12) -
 
     w = Window.partitionBy("doc_id", "id")
     j = j.withColumn("_k", F.row_number().over(w.orderBy(F.desc("bound"), "criteria")))
-    first = scored(j.where(F.col("_k") <= most))
+    first = stored(scored(j.where(F.col("_k") <= most)))
     last = first.groupBy("doc_id", "id").agg(F.min("score").alias("last"))
     more = scored(j.where(F.col("_k") > most).join(last, ["doc_id", "id"]).where("bound >= last").drop("last"))
     ranked = first.unionByName(more).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "criteria")))

@@ -151,3 +151,11 @@ def test_bootstrap_has_no_row_for_a_draw(spark, monkeypatch):
     got = {(x["replicate"], x["method"], x["metric"]): x["f1"] for x in df.collect()}
     assert got == pytest.approx(want) and 40 < len(want) < 60
     assert sum(int(str(p.numElements())) for p in nodes(df._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Range") <= 20 * 4
+
+
+def test_product_ids_are_split_once(spark):
+    ids = ["cpe:2.3:a:v\\\\:x:p:1.0:*:*:*:*:*:*:*", "CPE:2.3:H:V:P:-:*:*:*:*:*:*:*", "cpe:2.3:a:-:p:1:*:*:*:*:*:*:*", "cpe:2.3:a", "", None]
+    df = spark.createDataFrame([(x,) for x in ids], "x string").select(text.product_family(F.col("x")).alias("f"), text.product_version(F.col("x")).alias("v"), text.is_product_id(F.col("x")).alias("ok"))
+    assert [tuple(r) for r in df.collect()] == [("a:v\\\\:x:p", "1.0", True), ("h:v:p", "-", True)] + [(None, None, False)] * 4
+    family = spark.range(1).select(text.product_family(F.lit("cpe")).alias("f"))
+    assert str(family._jdf.queryExecution().analyzed()).count("split(") == 1
