@@ -4,8 +4,10 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,22 @@ def test_product_ids_are_split_once(spark):
     assert [tuple(r) for r in df.collect()] == [("a:v\\\\:x:p", "1.0", True), ("h:v:p", "-", True)] + [(None, None, False)] * 4
     family = spark.range(1).select(text.product_family(F.lit("cpe")).alias("f"))
     assert str(family._jdf.queryExecution().analyzed()).count("split(") == 1
+
+
+@pytest.mark.parametrize("step", [quality_lm._counts, quality_lm._present])
+def test_quality_steps_hold_little(step):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("some words, AND 12\n", k=2000)) for _ in range(2400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2400)), pa.array([f"l{k % 6}" if k % 7 else None for k in range(2400)]), pa.array(texts)], names=["id", "lang", "t"])
+    tracemalloc.start()
+    got = {}
+    for out in step([batch]):
+        for lang, gram in zip(*(out.column(c).to_pylist() for c in (0, 1))):
+            got.setdefault(lang, set()).add(gram)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {}
+    for k, t in enumerate(texts):
+        gram, first, end = quality_lm._grams([t])
+        want.setdefault(f"l{k % 6}" if k % 7 else "", set()).update(gram[first[0] : end[0]].tolist())
+    assert got == want and peak < 100e6
