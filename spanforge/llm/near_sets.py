@@ -36,6 +36,8 @@ BITS, FOLD = 2048, 8
 HEADS = 4
 #: Texts whose sets a worker holds at once.
 TEXTS = 64
+#: Rows of prefixes and bit maps in a batch.
+PREFIXES = 256
 
 
 def shingle_set(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -82,13 +84,10 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
-    """(id, row_key, fp, sig, n, prefix, bits): sig names the shingle set."""
-    sent = docs.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches):
-        last = sent.value
-        for b in batches:
+def _prefix_rows(batches, last: np.ndarray, shingle: int, threshold: float):
+    for whole in batches:
+        for at in range(0, whole.num_rows, PREFIXES):
+            b = whole.slice(at, PREFIXES)
             fp, sig, n, prefix, bits = [], [], [], [], []
             for t in b.column(2).cast(pa.binary()):
                 parts = list(simhash.shingle_hashes(t.as_py() or b"", shingle))
@@ -103,6 +102,14 @@ def _prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, s
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, sig, n)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, _lists(prefix), _lists(bits)], names=["id", "row_key", "fp", "sig", "n", "prefix", "bits"])
 
+
+def _prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
+    """(id, row_key, fp, sig, n, prefix, bits): sig names the shingle set."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        return _prefix_rows(batches, sent.value, shingle, threshold)
+
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, "id long, row_key long, fp long, sig long, n long, prefix array<long>, bits array<long>")
 

@@ -7,12 +7,13 @@ import re
 import tracemalloc
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import text
-from spanforge.llm import quality_lm
+from spanforge.llm import near_sets, quality_lm
 from spanforge.operators import audit, legacy, normalize, rank, stats, textscan
 from spanforge.plans import queries
 from spanforge.schema import dim_entity_type, dim_relation
@@ -180,3 +181,14 @@ def test_quality_steps_hold_little(step):
         gram, first, end = quality_lm._grams([t])
         want.setdefault(f"l{k % 6}" if k % 7 else "", set()).update(gram[first[0] : end[0]].tolist())
     assert got == want and peak < 100e6
+
+
+def test_prefixes_leave_in_small_batches():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(range(700)), pa.array([f"a b c d e f {k} g h i j" if k % 5 else None for k in range(700)])], names=["id", "row_key", "t"])
+    out = list(near_sets._prefix_rows([batch], np.empty(0, np.uint64), 5, 0.8))
+    assert [b.num_rows for b in out] == [256, 256, 188]
+    assert [k for b in out for k in b["id"].to_pylist()] == list(range(700))
+    for b in out:
+        for k, n, prefix in zip(b["id"].to_pylist(), b["n"].to_pylist(), b["prefix"].to_pylist()):
+            h = near_sets.shingle_set((batch["t"][k].as_py() or "").encode(), 5).view(np.int64).tolist()
+            assert n == len(h) and prefix == h[: n - -(-n * 4 // 5) + 1 if n else 0]
