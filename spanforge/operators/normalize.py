@@ -9,7 +9,7 @@ from ..functions.text import canonical_cwe, piece_span_is_exact, pieces
 from .dedup import stored
 from .link import last_before
 from .sweep import overlap_join
-from .textscan import scan, sentences
+from .textscan import scan_in_sentences, sentences
 
 # Nouns that describe a product and are no part of its name. server(s), application(s), devices,
 # instance(s), data center; the others are our own.
@@ -165,13 +165,14 @@ def local_ids(mentions: DataFrame, docs: DataFrame, kind: str = "Weakness", patt
 
     own: an id in the surface itself stands first. Ids are scanned once and meet mentions by
     document and id; where they lie is told by the numbers of sentences."""
-    sents = sentences(docs, "mark").select("doc_id", "start", "k")
-    said = last_before(scan(docs, pattern).select("doc_id", "start", canonical(F.col("surface")).alias("said")), sents, "k").select("doc_id", "said", "k").distinct()
+    sents = stored(sentences(docs, "mark").select("doc_id", "start", "k"))
+    said = scan_in_sentences(docs, pattern, "mark").select("doc_id", canonical(F.col("surface")).alias("said"), "k")
     rest, mine = mentions.where(F.col("type") != kind), mentions.where(F.col("type") == kind)
-    at = last_before(mine.withColumn("_id", canonical(F.col("norm"))), sents.withColumnRenamed("k", "_k0"), "_k0")
-    at = last_before(at.withColumn("_s", F.col("start")).withColumn("start", F.col("end")), sents.withColumnRenamed("k", "_k1"), "_k1").withColumn("start", F.col("_s"))
+    # sentences meet spans and ids alone
     keys = ["doc_id", "id", "start", "end"]
-    near = at.join(said, (at["doc_id"] == said["doc_id"]) & (F.col("_id") == F.col("said")) & F.col("k").between(F.col("_k0"), F.col("_k1")), "left_semi").select(*keys).distinct().withColumn("_near", F.lit(True))
-    out = at.join(near, keys, "left").withColumn("_own", canonical(F.regexp_extract("surface", pattern, 0)) if own else F.lit(None).cast("string"))
+    at = last_before(mine.select(*keys, canonical(F.col("norm")).alias("_id")).where("_id is not null").distinct(), sents.withColumnRenamed("k", "_k0"), "_k0")
+    at = last_before(at.withColumn("_s", F.col("start")).withColumn("start", F.col("end")), sents.withColumnRenamed("k", "_k1"), "_k1").withColumn("start", F.col("_s"))
+    near = at.join(said, (at["doc_id"] == said["doc_id"]) & (F.col("_id") == F.col("said")) & F.col("k").between(F.col("_k0"), F.col("_k1")), "left_semi").select(*keys, "_id").distinct().withColumn("_near", F.lit(True))
+    out = mine.withColumn("_id", canonical(F.col("norm"))).join(near, [*keys, "_id"], "left").withColumn("_own", canonical(F.regexp_extract("surface", pattern, 0)) if own else F.lit(None).cast("string"))
     out = out.withColumn("norm", F.coalesce("_own", F.when(F.col("_near"), F.col("_id"))))
     return rest.unionByName(out.select(*mentions.columns))
