@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, materialize, small
+from .common import bounded_batches, connected_components, materialize, small
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: One text in SAMPLE tells which shingles are common: those in HOT sampled texts, at most MOST_HOT.
@@ -74,7 +74,8 @@ def _sets(texts: DataFrame, key: str, shingle: int) -> DataFrame:
 def _common(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     some = _texts(docs, text_col).where(F.pmod("row_key", F.lit(SAMPLE)) == 0)
     counts = _sets(some, "row_key", shingle).select(F.explode("hashes").alias("g")).groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= HOT)
-    got = counts.orderBy(F.desc("c"), "g").limit(MOST_HOT).select("g").toArrow()
+    with bounded_batches(docs.sparkSession):
+        got = counts.orderBy(F.desc("c"), "g").limit(MOST_HOT).select("g").toArrow()
     return np.sort(got.column("g").to_numpy().view(np.uint64))
 
 

@@ -1,10 +1,11 @@
 """The near-duplicate stage of the pipeline against brute-force Jaccard ratios."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from spanforge.llm import near_sets
+from spanforge.llm import common, near_sets
 
 
 def survivors(texts, threshold=0.8, size=5):
@@ -37,3 +38,18 @@ def test_near_stage_reaches_the_ratio(spark, monkeypatch, hot):
     kept = corpus_pipeline.near_duplicates(spark, docs, "").toPandas()
     assert set(kept["doc_id"]) == want
     assert near_sets.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_batches_of_whole_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 16)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    rows = spark.range(400, numPartitions=1).selectExpr("repeat('x', 4000) AS text").mapInArrow(sizes, "n long, size long")
+    got = common.materialize(rows, "sizes").toPandas()
+    assert got["n"].sum() == 400 and got["size"].max() < 4 << 16  # one batch of 1.6 MB otherwise
+    assert spark.conf.get(name) == before
