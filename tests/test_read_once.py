@@ -36,3 +36,12 @@ def test_window_scores_read_predictions_once(spark, counted):
     assert (got["Weakness"]["tp"], got["Weakness"]["fp"], got["Weakness"]["fn"]) == (98, 0, 0)
     assert got["Weakness"]["boundary_only"] == 0 and got["Weakness"]["norm_accuracy"] == 1
     assert made.value - before == n
+
+
+def test_closest_pairs_read_relations_once(spark, counted):
+    rows = [(1, 0, 4, "Vulnerability", "aaaa", "A", "E0"), (1, 10, 14, "Weakness", "bbbb", "B", "E10"), (1, 900, 904, "Weakness", "bbbb", "B", "E900")]
+    mentions = spark.createDataFrame(rows, MENTION)
+    rel, made = counted(spark.createDataFrame([(1, "R0", "instantiates", "E0", "E900", 0, 1000)], "doc_id long, id string, type string, head string, tail string, ev_start long, ev_end long"))
+    got = link.reanchor_pairs(rel, mentions).collect()
+    assert [(x["head"], x["tail"], x["moved"]) for x in got] == [("E0", "E10", True)]
+    assert made.value == 1
