@@ -74,10 +74,12 @@ class Predictors:
         if name not in self._known:
             raise KeyError(f"no predictor {name}; there are {', '.join(self.names())}")
         mentions, relations = self._known[name](docs)
-        if relations is None:
+        none = relations is None
+        if none:
             kind = docs.schema["doc_id"].dataType.simpleString()
             relations = docs.sparkSession.createDataFrame([], f"doc_id {kind}, id string, type string, head string, tail string, ev_start long, ev_end long")
         m, r = keep_ontology(mentions, relations, self.types, self.relation_types)
+        r = relations if none else r  # without relations there are no ends to look up: the predictor need not run for them
         return m.withColumn("method", F.lit(name)), r.withColumn("method", F.lit(name))
 
     def predict_all(self, docs: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -25,6 +25,22 @@ def counted(spark):
     return count
 
 
+def test_a_predictor_without_relations_runs_once_a_document(spark, counted, tmp_path):
+    docs = spark.createDataFrame([(k, "x") for k in range(9)], "doc_id long, text string")
+    seen = []
+
+    def predict(rows):
+        rows, made = counted(rows)
+        seen.append(made)
+        return rows.selectExpr("doc_id", "0L AS start", "1L AS end", "text AS surface", "if(doc_id < 7, 'Weakness', 'Unlisted') AS type", "'E0' AS id"), None
+
+    known = predictors.Predictors(dim_entity_type(spark), dim_relation(spark))
+    known.register("one", predict)
+    m, r = known.run("one", docs, f"{tmp_path}/{uuid.uuid4().hex}")
+    assert m.count() == 7 and r.count() == 0 and "method" in r.columns
+    assert seen[0].value == 9
+
+
 def test_window_scores_read_predictions_once(spark, counted):
     docs = spark.createDataFrame([(1, "x" * 5000)], "doc_id long, text string")
     gold = spark.createDataFrame([(1, s, s + 8, "Weakness", "x" * 8, "X", f"E{s}") for s in range(0, 4900, 50)], MENTION)
