@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from difflib import SequenceMatcher
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import product_family
-from .dedup import stored
+from .textscan import OUT
 
 
 def catalogue_check(items: DataFrame, links: DataFrame, feed: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
@@ -37,16 +40,18 @@ def catalogue_check(items: DataFrame, links: DataFrame, feed: DataFrame, decisio
     return per.select("doc_id", "id", "norm", status.alias("status"))
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """At most so many characters of two strings can be in matching blocks: those that both have."""
-    n = lambda s, c: F.char_length(s) - F.char_length(F.replace(s, c, F.lit("")))
-    return F.aggregate(F.transform(F.array_distinct(F.split(a, "")), lambda c: F.when(c == "", 0).otherwise(F.least(n(a, c), n(b, c)))), F.lit(0), lambda x, y: x + y)
-
-
-def _most(a: Column, b: Column) -> Column:
-    """Upper bound of the block ratio of two strings."""
-    both = F.char_length(a) + F.char_length(b)
-    return F.when(both > 0, 2.0 * _shared(a, b) / both).otherwise(1.0)
+def _most(a: list[str], b: list[str]) -> np.ndarray:
+    """Upper bounds of the block ratios of strings a (rows) and b: at most so many characters can be in matching blocks as both have."""
+    signs = {c: k for k, c in enumerate(sorted(set("".join(a))))}
+    counts = [np.zeros((len(x), len(signs)), np.int32) for x in (a, b)]
+    for strings, n in zip((a, b), counts):
+        for k, s in enumerate(strings):
+            for c in s:
+                if c in signs:
+                    n[k, signs[c]] += 1
+    size = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])
+    shared = sum((np.minimum.outer(counts[0][:, k], counts[1][:, k]) for k in range(len(signs))), np.zeros(size.shape, np.int64))
+    return np.where(size > 0, 2.0 * shared / np.maximum(size, 1), 1.0)
 
 
 def block_ratio(a: str, b: str) -> float:
@@ -61,35 +66,80 @@ def family_similarity(a: str, b: str) -> float:
     return round((0.12 if part_a == part_b else 0.0) + 0.28 * block_ratio(vendor_a, vendor_b) + 0.60 * block_ratio(product_a, product_b), 4)
 
 
+#: Items of a document that meet its candidates in one row.
+ITEMS = 256
+
+
+@lru_cache(1 << 14)
+def _matcher(b: str) -> SequenceMatcher:
+    return SequenceMatcher(None, "", b)  # what it knows of b serves every a
+
+
+@lru_cache(1 << 17)
+def _ratio(a: str, b: str) -> float:
+    m = _matcher(b)
+    m.set_seq1(a)
+    return m.ratio()
+
+
+def _ranked(families: list[str], criteria: list[str], theirs: list[str], most: int) -> list[list[tuple[float, str]]]:
+    """Per family the (-score, criteria) of its ``most`` best candidates. Candidates are taken by falling
+    bound, and none is scored whose bound is below the last place."""
+    mine, other = ([f.split(":", 2) for f in x] for x in (families, theirs))
+    part = np.array([x[0] for x in mine])[:, None] == np.array([x[0] for x in other])
+    bound = 0.12 * part + 0.28 * _most([x[1] for x in mine], [x[1] for x in other]) + 0.6 * _most([x[2] for x in mine], [x[2] for x in other]) + 1e-4
+    out = []
+    for (p, vendor, product), limits in zip(mine, bound):
+        best: list[tuple[float, str]] = []
+        for k in np.argsort(-limits, kind="stable"):
+            if len(best) == most and limits[k] < -best[-1][0]:
+                break
+            q, their_vendor, their_product = other[k]
+            score = round((0.12 if p == q else 0.0) + 0.28 * _ratio(vendor, their_vendor) + 0.60 * _ratio(product, their_product), 4)
+            insort(best, (-score, criteria[k]))
+            del best[most:]
+        out.append(best)
+    return out
+
+
 def ranked_candidates(items: DataFrame, candidates: DataFrame, most: int = 12) -> DataFrame:
-    """Per item the ``most`` candidates (doc_id, id, criteria) of highest family_similarity,
-    ties by criteria.
-
-    A bound from shared characters comes first: the best of an item by bound are scored, and of
-    the others only those whose bound reaches the item's last place. Equal pairs of families are
-    scored once. Rows with their bounds, and those scored first, are tables, as both are read twice."""
-    i = items.select("doc_id", "id", product_family(F.col("norm")).alias("a")).where("a is not null")
-    c = candidates.select("doc_id", "id", "criteria", product_family(F.col("criteria")).alias("b")).where("b is not null")
-    j = i.join(c, ["doc_id", "id"]).distinct()
-    pa, pb = F.split("a", ":", 3), F.split("b", ":", 3)
-    bound = F.when(pa[0] == pb[0], 0.12).otherwise(0.0) + 0.28 * _most(pa[1], pb[1]) + 0.6 * _most(pa[2], pb[2]) + 1e-4
-    pairs = j.select("a", "b").distinct().withColumn("bound", bound)
-    j = stored(j.join(pairs, ["a", "b"]))
-
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([family_similarity(x, y) for x, y in zip(a, b)], dtype=float)
-
-    def scored(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.select("a", "b").distinct().withColumn("score", similarity("a", "b")), ["a", "b"])
-
-    w = Window.partitionBy("doc_id", "id")
-    j = j.withColumn("_k", F.row_number().over(w.orderBy(F.desc("bound"), "criteria")))
-    first = stored(scored(j.where(F.col("_k") <= most)))
-    last = first.groupBy("doc_id", "id").agg(F.min("score").alias("last"))
-    more = scored(j.where(F.col("_k") > most).join(last, ["doc_id", "id"]).where("bound >= last").drop("last"))
-    ranked = first.unionByName(more).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "criteria")))
-    return ranked.where(F.col("rank") <= most).select("doc_id", "id", "criteria", "score", "rank")
+    """Per item the ``most`` candidates of highest family_similarity, ties by criteria.
+
+    candidates: (doc_id, id, criteria), or (doc_id, criteria) where a document's candidates are those of
+    all its items. Items and candidates are shuffled as they are and meet in rows of at most
+    ITEMS items, so that no pair is a row; bounds from shared characters tell which pairs are scored."""
+    keys = ["doc_id", "id"] if "id" in candidates.columns else ["doc_id"]
+    c = candidates.select(*keys, "criteria", product_family(F.col("criteria")).alias("b")).where("b is not null").distinct()
+    c = c.groupBy(*keys).agg(F.collect_list(F.struct("criteria", "b")).alias("c"))
+    i = items.select("doc_id", "id", product_family(F.col("norm")).alias("a")).where("a is not null").groupBy("doc_id", "id").agg(F.collect_set("a").alias("a"))
+    if len(keys) == 1:
+        i = i.withColumn("_b", F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("id")) - 1) / ITEMS))
+        i = i.groupBy("doc_id", "_b").agg(F.collect_list(F.struct("id", "a")).alias("i"))
+        # few bytes and much work: a fixed number of partitions is not coalesced
+        parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = i.join(c, "doc_id").select("doc_id", "i", "c", "_b").repartition(parts, "doc_id", "_b").drop("_b")
+    else:
+        rows = i.join(c, keys).select("doc_id", F.array(F.struct("id", "a")).alias("i"), "c")
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for k in range(batch.num_rows):
+                mine, theirs = (batch[x].slice(k, 1).flatten() for x in "ic")
+                ids, lists = mine.field("id").to_pylist(), mine.field("a").to_pylist()
+                families = sorted({a for x in lists for a in x})
+                best = dict(zip(families, _ranked(families, theirs.field("criteria").to_pylist(), theirs.field("b").to_pylist(), most)))
+                for one, x in zip(ids, lists):
+                    for rank, (score, criteria) in enumerate(sorted(y for a in x for y in best[a])[:most], 1):
+                        for column, value in zip(out, (k, one, criteria, -score, rank)):
+                            column.append(value)
+                if len(out[0]) >= OUT or k == batch.num_rows - 1:
+                    cols = [batch["doc_id"].take(pa.array(out[0], pa.int64())), pa.array(out[1], mine.field("id").type), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "id", "criteria", "score", "rank"])
+                    out = [[], [], [], [], []]
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema["i"].dataType.elementType} | {"doc_id": rows.schema["doc_id"].dataType.simpleString()}
+    return rows.mapInArrow(run, f"doc_id {kind['doc_id']}, id {kind['id']}, criteria string, score double, rank int")
 
 
 def family_presence(wanted: DataFrame, feed: DataFrame) -> DataFrame:
