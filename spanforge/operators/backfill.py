@@ -6,14 +6,14 @@ again; hits count only in sentences that hold an anchor, such as a record's id."
 from __future__ import annotations
 
 import bisect
+import re
+from itertools import accumulate, takewhile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .link import in_sentence
-from .sweep import overlap_join
-from .textscan import scan
 
 # Nouns cut from the end of a seed; names whose last noun stays; vendors cut from the
 # front; terms that are no product; what marks a log or a file; how far it is sought.
@@ -33,6 +33,8 @@ EXCLUDED = [
 NOISE = r"(?i)\.log|\.exe|httpproxy|log file|event log|audit log"
 REACH = 30
 WORD = r"[\p{L}\p{N}_]+"
+#: The same word, a border between two characters of one, and NOISE, inside texts.
+WORDS, BORDER, LOGS = re.compile(r"(?<!\w)\w+"), re.compile(r"\w\w"), re.compile(NOISE, re.ASCII)
 
 
 def _bare(c: Column) -> Column:
@@ -87,18 +89,34 @@ def seeds(products: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return one.select("doc_id", F.col("s.seed").alias("seed"), F.col("s.norm").alias("norm"), rank.alias("rank"))
 
 
-def _taken(rows: pd.DataFrame) -> pd.DataFrame:
-    """Hits of one sentence, in the order longest seed, rank, place: a seed once, no overlap."""
-    rows = rows.sort_values(["n", "rank", "start"], ascending=[False, True, True])
-    keep, had, spans = [], set(), []
-    for rank, s, e in zip(rows["rank"].to_numpy(), rows["start"].to_numpy(), rows["end"].to_numpy()):
-        k = bisect.bisect_left(spans, (s, e))
-        free = rank not in had and (k == 0 or spans[k - 1][1] <= s) and (k == len(spans) or spans[k][0] >= e)
-        keep.append(free)
-        if free:
-            had.add(rank)
-            spans.insert(k, (s, e))
-    return rows[keep]
+def _hits(text: str, sents: list[tuple[int, int]], seeds: list[dict], taken: list[tuple[int, int]]):
+    """(start, end, seed) of the mentions to add to the sentences of a text, see ``backfill``: seeds in the
+    order longest first, then rank, and taken spans in order of their starts."""
+    by_word: dict[str, list[int]] = {}
+    for k, x in enumerate(seeds):
+        by_word.setdefault(x["w"], []).append(k)
+    starts = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))  # how far spans up to each one go
+    for s0, s1 in sents:
+        found = []
+        for m in takewhile(lambda m: m.start() < s1, WORDS.finditer(text, s0)):
+            for j in by_word.get(m[0].lower(), ()):
+                start, end = m.start() - seeds[j]["o"], m.start() - seeds[j]["o"] + seeds[j]["n"]
+                if start < s0 or end > s1 or text[start:end].lower() != seeds[j]["low"]:
+                    continue
+                alone = not BORDER.match(text, end - 1) and (start == 0 or not BORDER.match(text, start - 1))
+                if not alone or LOGS.search(text[max(0, start - REACH) : end + REACH]):
+                    continue
+                before = bisect.bisect_left(starts, end)  # spans that begin before the hit ends
+                if before == 0 or reach[before - 1] <= start:
+                    found.append((j, start, end))
+        had, spans = set(), []
+        for j, start, end in sorted(found):
+            i = bisect.bisect_left(spans, (start, end))
+            if j not in had and (i == 0 or spans[i - 1][1] <= start) and (i == len(spans) or spans[i][0] >= end):
+                had.add(j)
+                spans.insert(i, (start, end))
+                yield start, end, seeds[j]
 
 
 def backfill(docs: DataFrame, mentions: DataFrame, found: DataFrame, sents: DataFrame, anchors: DataFrame, product: str = "Configuration") -> DataFrame:
@@ -108,30 +126,26 @@ def backfill(docs: DataFrame, mentions: DataFrame, found: DataFrame, sents: Data
     in any case and in whole words, that overlaps neither ``mentions`` nor a place taken by a
     seed before it (longest first), and has no log or file within REACH characters. Seeds meet
     the sentences' words by their own first word, so that no sentence is searched seed by seed; a
-    seed without a letter or digit finds nothing. Null texts have no sentences."""
-    at = in_sentence(anchors.select("doc_id", "start"), sents).select("doc_id", "k", "s0", "s1").distinct()
-    lo = F.greatest(F.lit(0), F.col("s0") - REACH)
-    text = F.substr("text", (lo + 1).cast("int"), (F.col("s1") + REACH - lo).cast("int"))
-    cut = at.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "k", "s0", "s1", lo.alias("lo"), text.alias("wide"))
-    # a sentence is scanned as a document of its own, named by document and number
-    words = scan(cut.select(F.struct("doc_id", "k", "lo", "s0", "s1").alias("doc_id"), F.col("wide").alias("text")), WORD)
-    words = words.select("doc_id.*", F.lower("surface").alias("_w"), (F.col("start") + F.col("doc_id.lo")).alias("_at")).where("_at >= s0 and _at < s1")
+    seed without a letter or digit finds nothing. Null texts have no sentences. A document's seeds, spans
+    and sentences' offsets meet its text in one row: words and parts of texts are not shuffled."""
     first = F.regexp_extract("seed", WORD, 0)
-    keyed = found.select("doc_id", "seed", "norm", "rank", F.lower(first).alias("_w"), (F.instr("seed", first) - 1).alias("_o"), F.char_length("seed").alias("n")).where("_w <> ''")
-    hits = words.join(keyed, ["doc_id", "_w"]).withColumn("start", F.col("_at") - F.col("_o")).withColumn("end", F.col("start") + F.col("n")).where("start >= s0 and end <= s1")
-    hits = hits.select("doc_id", "k", "start", "end", "seed", "norm", "rank", "n").join(cut.select("doc_id", "k", "lo", "wide"), ["doc_id", "k"])
-    here = (F.col("start") - F.col("lo")).cast("int")
-
-    def part(start: Column, n: Column) -> Column:
-        return F.substr("wide", start + F.lit(1), n)
-
-    surface = part(here, F.col("n"))
-    inside = rf"^{WORD[:-1]}{{2}}"  # a border between two characters of one word
-    alone = ~part(here + F.col("n") - F.lit(1), F.lit(2)).rlike(inside) & ((here == 0) | ~part(here - F.lit(1), F.lit(2)).rlike(inside))
-    around = part(F.greatest(F.lit(0), here - F.lit(REACH)), F.col("n") + F.least(here, F.lit(REACH)) + F.lit(REACH))
-    hits = hits.withColumn("surface", surface).where((F.lower("surface") == F.lower("seed")) & alone & ~around.rlike(NOISE)).drop("wide", "lo")
-    spans = ["doc_id", "start", "end"]
-    taken = overlap_join(hits.select(*spans).distinct(), mentions.select(*spans), ["doc_id"]).select("doc_id", F.col("l_start").alias("start"), F.col("l_end").alias("end")).distinct()
-    free = hits.join(taken, spans, "left_anti").select("doc_id", "k", "start", "end", "surface", "norm", "rank", "n")
-    one = free.groupBy("doc_id", "k").applyInPandas(_taken, free.schema)
+    keyed = found.select("doc_id", "seed", "norm", "rank", F.lower("seed").alias("low"), F.lower(first).alias("w"), (F.instr("seed", first) - 1).alias("o"), F.char_length("seed").alias("n")).where("w <> ''")
+    own = keyed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("by"), "rank", "norm", "low", "w", "o", "n"))).alias("seeds"))
+    at = in_sentence(anchors.select("doc_id", "start"), sents).select("doc_id", F.col("s0").alias("s"), F.col("s1").alias("e"), F.lit(True).alias("sent")).distinct()
+    spans = mentions.select("doc_id", F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.lit(False).alias("sent")).where("e > s")
+    marks = at.union(spans).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e", "sent"))).alias("marks"), F.count_if("sent").alias("n")).where("n > 0").drop("n")
+    rows = own.join(marks, "doc_id").join(docs.select("doc_id", "text").where("text <> ''"), "doc_id").select("doc_id", "text", "seeds", "marks")
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                text, marks = b["text"][k].as_py(), b["marks"][k].as_py()
+                here, taken = ([(m["s"], m["e"]) for m in marks if m["sent"] == x] for x in (True, False))
+                got = list(_hits(text, here, b["seeds"][k].as_py(), taken))
+                if got:
+                    start, end, seed = zip(*got)
+                    cols = [b["doc_id"].take(pa.array([k] * len(got))), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array([text[s:e] for s, e in zip(start, end)], pa.string()), pa.array([x["norm"] for x in seed], pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "surface", "norm"])
+
+    one = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, end long, surface string, norm string")
     return one.select("doc_id", "start", "end", F.lit(product).alias("type"), "surface", "norm")
