@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +45,15 @@ def _some(text: Column) -> Column:
 
 def listed_phrase(text: Column, phrases: list[str]) -> Column:
     """The listed phrase that begins first in a text, of these the longest, as written; else null."""
-    low = F.lower(text)
-    listed = F.array(*(F.lit(p.lower()) for p in phrases)) if phrases else F.array().cast("array<string>")
-    places = F.transform(listed, lambda p: F.struct(F.position(p, low).alias("at"), (-F.char_length(p)).alias("n")))
-    best = F.array_min(F.filter(places, lambda x: x["at"] > 0))
-    # the lambda names the least place, so that it is found once
-    return F.element_at(F.transform(F.array(best), lambda x: F.substr(text, x["at"], -x["n"])), 1)
+    listed = sorted({p.lower() for p in phrases}, key=lambda p: -len(p))  # of those that begin at one place the first stands
+    pattern = "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in listed) or r"\b\B"
+
+    def found(low: Column) -> Column:
+        at = F.regexp_instr(low, F.lit(pattern))
+        return F.when(at > 0, F.substr(text, at, F.char_length(F.regexp_extract(low, pattern, 0))))
+
+    # the lambda names the text in small letters, so that it is made once
+    return F.element_at(F.transform(F.array(F.lower(text)), found), 1)
 
 
 def with_core(rows: DataFrame, phrases: list[str] = tuple(METHODS), generic: list[str] = tuple(GENERIC)) -> DataFrame:
@@ -72,7 +78,8 @@ def with_core(rows: DataFrame, phrases: list[str] = tuple(METHODS), generic: lis
         F.when(kind == "Vulnerability", vulnerability).when(kind == "Configuration", F.when(~F.lower("_product").isin(list(generic) or [""]), F.col("_product")))
         .when(kind == "Weakness", weakness).when(kind == "AttackPattern", pattern).when(kind == "AttackTactic", F.when(low.isin(TACTICS), low)).when(kind == "KillChainPhase", F.when(low.isin(PHASES), low)).otherwise(text)
     )
-    return rows.withColumn("surface", out).drop("_text", "_method", "_product").where("surface <> ''")
+    # a filter on the reduced surface would reduce it a second time; what explode_outer gives is not sought again below
+    return rows.withColumn("surface", F.explode_outer(F.array(out))).drop("_text", "_method", "_product").where("surface <> ''")
 
 
 def _placed(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -80,18 +87,21 @@ def _placed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     any case; start and end follow. Rows whose surface the text lacks go. A surface is sought once
     a document, and texts leave with the search."""
     rows = stored(rows)  # reduced once, read for the search and for what it finds
-    want = rows.select("doc_id", "surface").distinct().groupBy("doc_id").agg(F.collect_list("surface").alias("_s")).join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
-
-    def place(s: Column, text: Column, low: Column) -> Column:
-        # named by lambdas, so that a text is searched once in each way
-        exact = F.transform(F.array(F.call_function("locate", s, text)), lambda k: F.when(k > 0, k).otherwise(F.call_function("locate", F.lower(s), low)))
-        return F.element_at(F.transform(exact, lambda k: F.struct(s.alias("surface"), k.alias("_at"), F.substr(text, k, F.char_length(s)).alias("_found"))), 1)
+    want = rows.select("doc_id", "surface").distinct().groupBy("doc_id").agg(F.collect_list("surface").alias("_s")).join(docs.select("doc_id", F.col("text").alias("_t")).where("_t is not null"), "doc_id")
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                text, sought = b["_t"][k].as_py(), b["_s"].slice(k, 1).flatten()
+                low = text.lower()
+                at = [text.find(s) if s in text else low.find(s.lower()) for s in sought.to_pylist()]
+                found = [text[x : x + len(s)] if x >= 0 else None for x, s in zip(at, sought.to_pylist())]
+                cols = [b["doc_id"].take(pa.array([k] * len(at))), sought, pa.array(at, pa.int32()), pa.array(found, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "surface", "_at", "_found"])
 
     # one row a document, whose text is put in small letters once
-    places = F.flatten(F.transform(F.array(F.lower("_t")), lambda low: F.transform("_s", lambda s: place(s, F.col("_t"), low))))
-    # explode would infer a filter that searches a second time
-    want = want.select("doc_id", F.explode_outer(places).alias("_z")).select("doc_id", "_z.*").where("_at > 0")
-    j = rows.drop("start", "end").join(want, ["doc_id", "surface"]).withColumn("start", F.col("_at") - 1).withColumn("surface", F.col("_found"))
+    want = want.select("doc_id", "_s", "_t").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, surface string, _at int, _found string").where("_at >= 0")
+    j = rows.drop("start", "end").join(want, ["doc_id", "surface"]).withColumn("start", F.col("_at")).withColumn("surface", F.col("_found"))
     return j.withColumn("end", F.col("start") + F.char_length("surface")).drop("_at", "_found")
 
 
