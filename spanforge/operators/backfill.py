@@ -138,14 +138,15 @@ def backfill(docs: DataFrame, mentions: DataFrame, found: DataFrame, sents: Data
 
     def run(batches):
         for b in batches:
+            got: list[tuple] = []
             for k in range(b.num_rows):
                 text, marks = b["text"][k].as_py(), b["marks"][k].as_py()
                 here, taken = ([(m["s"], m["e"]) for m in marks if m["sent"] == x] for x in (True, False))
-                got = list(_hits(text, here, b["seeds"][k].as_py(), taken))
-                if got:
-                    start, end, seed = zip(*got)
-                    cols = [b["doc_id"].take(pa.array([k] * len(got))), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array([text[s:e] for s, e in zip(start, end)], pa.string()), pa.array([x["norm"] for x in seed], pa.string())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "surface", "norm"])
+                got += [(k, s, e, text[s:e], seed["norm"]) for s, e, seed in _hits(text, here, b["seeds"][k].as_py(), taken)]
+            if got:
+                row, start, end, surface, norm = zip(*got)
+                cols = [b["doc_id"].take(pa.array(row)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(surface, pa.string()), pa.array(norm, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "surface", "norm"])
 
     one = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, end long, surface string, norm string")
     return one.select("doc_id", "start", "end", F.lit(product).alias("type"), "surface", "norm")
