@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import stored
+from .textscan import OUT
 
 # Closed vocabularies of two types, phrases of security methods, generic product
 # terms, and the words that go at the ends of surfaces.
@@ -84,25 +86,38 @@ def with_core(rows: DataFrame, phrases: list[str] = tuple(METHODS), generic: lis
 
 def _placed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (doc_id, .., surface) with the surface as the text has it first: as written, else in
-    any case; start and end follow. Rows whose surface the text lacks go. A surface is sought once
-    a document, and texts leave with the search."""
-    rows = stored(rows)  # reduced once, read for the search and for what it finds
-    want = rows.select("doc_id", "surface").distinct().groupBy("doc_id").agg(F.collect_list("surface").alias("_s")).join(docs.select("doc_id", F.col("text").alias("_t")).where("_t is not null"), "doc_id")
+    any case; start and end follow, and ``_again`` is the first place of what was found. Rows whose surface
+    the text lacks go. A document's rows meet its text in one row, where a surface is sought once."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "start", "end")]
+    met = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("_z")).join(docs.select("doc_id", F.col("text").alias("_t")).where("_t is not null"), "doc_id")
+
+    def place(text: str, low: str, s: str) -> tuple[int, str, int]:
+        at = text.find(s)
+        if at < 0:
+            at = low.find(s.lower())
+        found = text[at : at + len(s)]
+        return at, found, text.find(found)
 
     def run(batches):
         for b in batches:
-            for k in range(b.num_rows):
-                text, sought = b["_t"][k].as_py(), b["_s"].slice(k, 1).flatten()
+            z = b["_z"].flatten()
+            sought, first = z.field("surface").to_pylist(), 0
+            kept: list[tuple[int, int, int, str, int]] = []
+            for k, n in enumerate(pc.list_value_length(b["_z"]).to_pylist()):
+                text = b["_t"][k].as_py()
                 low = text.lower()
-                at = [text.find(s) if s in text else low.find(s.lower()) for s in sought.to_pylist()]
-                found = [text[x : x + len(s)] if x >= 0 else None for x, s in zip(at, sought.to_pylist())]
-                cols = [b["doc_id"].take(pa.array([k] * len(at))), sought, pa.array(at, pa.int32()), pa.array(found, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "surface", "_at", "_found"])
+                places = {s: place(text, low, s) for s in set(sought[first : first + n])}
+                kept += [(k, i, *places[sought[i]]) for i in range(first, first + n) if places[sought[i]][0] >= 0]
+                first += n
+            for lo in range(0, len(kept), OUT):
+                row, i, at, found, again = zip(*kept[lo : lo + OUT])
+                some = z.take(pa.array(i))
+                cols = [b["doc_id"].take(pa.array(row)), *(pa.array(found, pa.string()) if c == "surface" else some.field(c) for c in rest)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.int32()), pa.array(again, pa.int32())], names=["doc_id", *rest, "_at", "_again"])
 
-    # one row a document, whose text is put in small letters once
-    want = want.select("doc_id", "_s", "_t").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, surface string, _at int, _found string").where("_at >= 0")
-    j = rows.drop("start", "end").join(want, ["doc_id", "surface"]).withColumn("start", F.col("_at")).withColumn("surface", F.col("_found"))
-    return j.withColumn("end", F.col("start") + F.char_length("surface")).drop("_at", "_found")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = met.select("doc_id", "_t", "_z").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *rest)) + ", _at int, _again int")
+    return out.withColumnRenamed("_at", "start").withColumn("end", F.col("start") + F.char_length("surface"))
 
 
 def legacy_clean(mentions: DataFrame, relations: DataFrame, docs: DataFrame, signatures: DataFrame, types: DataFrame | None = None, phrases: list[str] = tuple(METHODS), generic: list[str] = tuple(GENERIC)) -> tuple[DataFrame, DataFrame]:
@@ -114,9 +129,12 @@ def legacy_clean(mentions: DataFrame, relations: DataFrame, docs: DataFrame, sig
     that went, to themselves, or against their signature go, and of equal ones (type, head, tail)
     the smallest id stays. Null or empty surfaces, null texts and unknown types give nothing."""
     m = mentions if types is None else mentions.join(F.broadcast(types.select("type").distinct()), "type", "left_semi")
-    m = m.withColumn("_old", F.col("start"))
-    for _ in range(2):
-        m = _placed(with_core(m, phrases, generic), docs)
+    m = _placed(with_core(m.withColumn("_old", F.col("start")), phrases, generic), docs).withColumn("_found", F.col("surface"))
+    m = stored(with_core(m, phrases, generic))  # reduced once, read for what stands and for what is sought again
+    stands = m.where("surface = _found").withColumn("start", F.col("_again")).withColumn("end", F.col("start") + F.char_length("surface"))
+    again = _placed(m.where("surface <> _found").drop("_again", "_found"), docs)
+    again = again.drop("_again")
+    m = stands.select(again.columns).union(again)
     first = F.row_number().over(Window.partitionBy("doc_id", "start", "end", "type").orderBy("_old", "id"))
     kinds = {f.name: f.dataType for f in mentions.schema}
     m = stored(m.withColumn("_r", first).where("_r = 1").select(*(F.col(c).cast(kinds[c]).alias(c) for c in mentions.columns)))

@@ -21,4 +21,16 @@ def test_listed_phrase(spark):
 def test_surfaces_are_reduced_once(spark):
     rows = spark.createDataFrame([(1, "Weakness", "an sql injection flaw")], "doc_id int, type string, surface string")
     plan = legacy.with_core(rows)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("sql injection") == 2, "once to find the phrase's place, once its length"
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("CASE" in line for line in filters), "a filter must not reduce surfaces of its own"
+
+
+def test_second_search_is_of_what_was_reduced_again(spark):
+    text = "Alpha flaw. an alpha Server and Beta package 1.2, Beta 1.2 ALPHA"
+    rows = [(1, "a", 40, 45, "Weakness", "ALPHA flaw."), (1, "b", 0, 1, "Configuration", "the Beta package 1.2"), (1, "c", 0, 1, "Weakness", "gamma"), (1, "d", 3, 9, "Weakness", "Alpha"), (2, "a", 0, 1, "Weakness", "x"), (3, "a", 0, 1, "Weakness", "y"), (None, "n", 0, 1, "Weakness", "x")]
+    m = spark.createDataFrame(rows, "doc_id int, id string, start int, end int, type string, surface string")
+    rel = spark.createDataFrame([], "doc_id int, id string, type string, head string, tail string")
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    sig = spark.createDataFrame([], "type string, head_type string, tail_type string")
+    got, _ = legacy.legacy_clean(m, rel, docs, sig)
+    assert sorted((r["doc_id"], r["id"], r["start"], r["end"], r["surface"]) for r in got.collect()) == [(1, "a", 59, 64, "ALPHA"), (1, "b", 32, 36, "Beta"), (1, "d", 0, 5, "Alpha")]
