@@ -132,7 +132,7 @@ def legacy_clean(mentions: DataFrame, relations: DataFrame, docs: DataFrame, sig
     m = _placed(with_core(m.withColumn("_old", F.col("start")), phrases, generic), docs).withColumn("_found", F.col("surface"))
     m = stored(with_core(m, phrases, generic))  # reduced once, read for what stands and for what is sought again
     stands = m.where("surface = _found").withColumn("start", F.col("_again")).withColumn("end", F.col("start") + F.char_length("surface"))
-    again = _placed(m.where("surface <> _found").drop("_again", "_found"), docs)
+    again = stored(_placed(m.where("surface <> _found").drop("_again", "_found"), docs))
     again = again.drop("_again")
     m = stands.select(again.columns).union(again)
     first = F.row_number().over(Window.partitionBy("doc_id", "start", "end", "type").orderBy("_old", "id"))
